@@ -57,46 +57,53 @@ def units_frame(spark: SparkSession) -> DataFrame:
     )
 
 
-def _unit_struct(row) -> Column:
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value evaluated once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _entry_sql(row, how: str) -> str:
     alias, canonical, dimension, factor, offset = row
-    return F.struct(
-        F.lit(alias).alias("alias"),
-        F.lit(canonical).alias("canonical"),
-        F.lit(dimension).alias("dimension"),
-        F.lit(factor).alias("factor"),
-        F.lit(offset).alias("offset"),
+    return (
+        f"named_struct('alias', '{alias}', 'canonical', '{canonical}', 'dimension', '{dimension}', "
+        f"'factor', {factor!r}D, 'offset', {offset!r}D, 'how', '{how}')"
     )
 
 
+def _by_alias() -> Column:
+    """The dictionary as a literal map (one expression, folded into a constant)."""
+    return F.expr("map(" + ", ".join(f"'{row[0]}', {_entry_sql(row, 'exact')}" for row in dictionary()) + ")")
+
+
+def _by_length() -> Column:
+    ordered = sorted(dictionary(), key=lambda row: (-len(row[0]), row[0]))
+    return F.expr("array(" + ", ".join(_entry_sql(row, "fuzzy") for row in ordered) + ")")
+
+
 def find_unit(text: Column) -> Column:
     """Dictionary entry whose alias is exactly this text, in any case."""
-    entries = [x for row in dictionary() for x in (F.lit(row[0]), _unit_struct(row))]
-    return F.try_element_at(F.create_map(*entries), F.lower(F.trim(text)))
+    return F.try_element_at(_by_alias(), F.lower(F.trim(text)))
 
 
 def clean_unit(text: Column) -> Column:
     return F.regexp_replace(F.trim(text), "[^\\p{L}\\p{N}_°]", "")
 
 
-def find_unit_fuzzy(text: Column) -> Column:
-    """First entry that contains the text or is contained in it, longest alias first."""
-    ordered = sorted(dictionary(), key=lambda row: (-len(row[0]), row[0]))
-    lowered = F.lower(text)
+def find_unit_fuzzy(lowered: Column) -> Column:
+    """First entry that contains the text or is contained in it, longest alias first.
+
+    Pass a column that is already evaluated: it is compared with every alias.
+    """
     hits = F.filter(
-        F.array(*[_unit_struct(row) for row in ordered]),
+        _by_length(),
         lambda unit: lowered.contains(unit["alias"]) | unit["alias"].contains(lowered),
     )
-    return F.when(F.length(text) > 0, F.get(hits, F.lit(0)))
+    return F.when(F.length(lowered) > 0, F.get(hits, F.lit(0)))
 
 
 def validate_unit(text: Column) -> Column:
-    """Struct ``canonical, dimension, how`` ('exact' or 'fuzzy'), null when unknown."""
-    cleaned = clean_unit(text)
-    as_valid = lambda unit, how: F.when(
-        unit.isNotNull(),
-        F.struct(unit["canonical"].alias("canonical"), unit["dimension"].alias("dimension"), F.lit(how).alias("how")),
-    )
-    return F.coalesce(as_valid(find_unit(cleaned), "exact"), as_valid(find_unit_fuzzy(cleaned), "fuzzy"))
+    """Dictionary entry of a unit text with ``how`` it was found, null when unknown."""
+    return let(F.lower(clean_unit(text)), lambda c: F.coalesce(find_unit(c), find_unit_fuzzy(c)))
 
 
 def _number_unit_pairs(text: Column, pattern: str) -> Column:
@@ -169,8 +176,11 @@ def confident(extractions: Column, threshold: float = CONFIDENCE_THRESHOLD) -> C
 
 def best_extraction(extractions: Column) -> Column:
     """The first of the extractions with the highest confidence."""
-    top = F.array_max(F.transform(extractions, lambda e: e["confidence"]))
-    return F.get(F.filter(extractions, lambda e: e["confidence"] == top), F.lit(0))
+    top = lambda found: F.array_max(F.transform(found, lambda e: e["confidence"]))
+    return let(
+        extractions,
+        lambda found: let(top(found), lambda best: F.get(F.filter(found, lambda e: e["confidence"] == best), F.lit(0))),
+    )
 
 
 def _any_in(text: Column | str, words: list[str], whole_word: bool) -> Column | bool:
@@ -181,10 +191,7 @@ def _any_in(text: Column | str, words: list[str], whole_word: bool) -> Column |
         return text.rlike(pattern)
     if isinstance(text, str):
         return any(w in text for w in words)
-    hit = text.contains(words[0])
-    for word in words[1:]:
-        hit = hit | text.contains(word)
-    return hit
+    return text.rlike("|".join(re.escape(w) for w in words))
 
 
 def _and(*conditions):
@@ -245,21 +252,33 @@ def context_unit(
 ) -> Column:
     """Unit from the column name and its context: bracketed text, then a word of
     the name, then the product rules, then the last-resort words."""
-    name = F.lit(column) if isinstance(column, str) else column
-    bracket = F.trim(F.regexp_extract(name, r"\(([^)]+)\)", 1))
-    words = F.regexp_extract_all(F.lower(name), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    named = F.get(F.filter(words, lambda w: (F.length(w) > 1) & find_unit(w).isNotNull()), F.lit(0))
+    if isinstance(column, str):
+        known = unit_in_name(column)
+        if known is not None:
+            return F.lit(known)
+        by_name = []
+    else:
+        bracket = F.trim(F.regexp_extract(column, r"\(([^)]+)\)", 1))
+        words = F.regexp_extract_all(F.lower(column), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+        by_name = [
+            F.when(find_unit(bracket).isNotNull(), bracket),
+            F.get(F.filter(words, lambda w: (F.length(w) > 1) & find_unit(w).isNotNull()), F.lit(0)),
+        ]
     context = _context(column, product, category)
     fallback = None
     for terms, unit in CONTEXT_FALLBACK:
         hit = _any_in(context, terms, False)
         fallback = F.when(hit, unit) if fallback is None else fallback.when(hit, unit)
-    return F.coalesce(
-        F.when(find_unit(bracket).isNotNull(), bracket),
-        named,
-        rule_unit(column, product, category, description),
-        fallback,
-    )
+    return F.coalesce(*by_name, rule_unit(column, product, category, description), fallback)
+
+
+def unit_in_name(column: str) -> str | None:
+    """The unit a header itself states, for a name known while planning."""
+    known = {row[0] for row in dictionary()}
+    bracket = re.search(r"\(([^)]+)\)", column)
+    if bracket and bracket.group(1).strip().lower() in known:
+        return bracket.group(1).strip()
+    return next((w for w in re.findall(r"\w+", column.lower()) if len(w) > 1 and w in known), None)
 
 
 def formatted(number: Column, unit: Column, fmt: str = "number_unit") -> Column:
@@ -271,32 +290,49 @@ def formatted(number: Column, unit: Column, fmt: str = "number_unit") -> Column:
 def standardize_simple(value: Column, fallback_unit: Column, fmt: str = "number_unit") -> Column:
     """First number with its own unit, else with the fallback; otherwise unchanged."""
     text = F.trim(value)
-    number = F.regexp_extract(text, VALUE_PATTERN, 1)
-    own = F.trim(F.regexp_extract(text, VALUE_PATTERN, 2))
-    unit = F.coalesce(F.when(own != "", own), fallback_unit)
-    return F.when((number != "") & unit.isNotNull() & (unit != ""), formatted(number, unit, fmt)).otherwise(value)
+    found = F.struct(
+        F.regexp_extract(text, VALUE_PATTERN, 1).alias("number"),
+        F.trim(F.regexp_extract(text, VALUE_PATTERN, 2)).alias("own"),
+    )
+    written = lambda f: F.when(
+        f["number"] != "",
+        F.when(f["own"] != "", formatted(f["number"], f["own"], fmt)).otherwise(
+            let(F.nullif(fallback_unit, F.lit("")), lambda u: F.when(u.isNotNull(), formatted(f["number"], u, fmt)))
+        ),
+    )
+    return F.coalesce(let(found, written), value)
 
 
 def standardize_best(value: Column, fallback_unit: Column, fmt: str = "number_unit") -> Column:
     """Most confident extraction with its canonical unit; without any, the first
     number with the fallback unit. Below the threshold the value is unchanged."""
-    best = best_extraction(all_extractions(value))
     number = F.regexp_extract(F.trim(value), f"({NUMBER})", 1)
-    extracted = F.when(best["confidence"] >= CONFIDENCE_THRESHOLD, formatted(best["number"], best["unit"], fmt))
-    from_context = F.when((number != "") & fallback_unit.isNotNull(), formatted(number, fallback_unit, fmt))
-    return F.coalesce(F.when(best.isNotNull(), extracted).otherwise(from_context), value)
+    bare = let(
+        F.struct(F.when(number != "", number).alias("number"), fallback_unit.alias("unit")),
+        lambda b: F.when(b["number"].isNotNull() & b["unit"].isNotNull(), formatted(b["number"], b["unit"], fmt)),
+    )
+    sure = lambda b: F.when(
+        b.isNull(), bare
+    ).when(b["confidence"] >= CONFIDENCE_THRESHOLD, formatted(b["number"], b["unit"], fmt))
+    return F.coalesce(F.when(value.isNotNull(), let(best_extraction(all_extractions(value)), sure)), value)
 
 
 def converted(value: Column) -> Column:
     """First number and unit of a value in the base unit of its dimension."""
-    number = F.regexp_extract(F.trim(value), VALUE_PATTERN, 1)
-    unit = find_unit(clean_unit(F.regexp_extract(F.trim(value), VALUE_PATTERN, 2)))
+    text = F.trim(value)
     base = F.create_map(*[F.lit(x) for pair in BASE_UNITS.items() for x in pair])
-    return F.when(
-        (number != "") & unit.isNotNull(),
-        F.struct(
-            (number.cast("double") * unit["factor"] + unit["offset"]).alias("amount"),
-            F.try_element_at(base, unit["dimension"]).alias("base_unit"),
-            unit["dimension"].alias("dimension"),
+    parts = F.struct(
+        F.regexp_extract(text, VALUE_PATTERN, 1).alias("number"),
+        find_unit(clean_unit(F.regexp_extract(text, VALUE_PATTERN, 2))).alias("unit"),
+    )
+    return let(
+        parts,
+        lambda p: F.when(
+            (p["number"] != "") & p["unit"].isNotNull(),
+            F.struct(
+                (p["number"].cast("double") * p["unit"]["factor"] + p["unit"]["offset"]).alias("amount"),
+                F.try_element_at(base, p["unit"]["dimension"]).alias("base_unit"),
+                p["unit"]["dimension"].alias("dimension"),
+            ),
         ),
     )

@@ -17,15 +17,12 @@ def column_samples(
     """The first ``n`` filled values of every column, with the column's total.
 
     Sorting all cells to find a few per column would dominate at scale. So one
-    aggregate counts the filled cells in ranges of the order column that double
+    aggregate counts the filled cells in ranges of the row number that double
     in width; from it follow the totals and, per column, the range that holds
     its n-th value. Only cells up to there (about twice ``n``) are ranked.
     ``n=None`` keeps every value.
     """
-    start = df.agg(F.min(order)).first()[0]
-    if start is None:
-        start = 0
-    band = F.floor(F.log2(F.col(order) - F.lit(start) + F.lit(1))).cast("int")
+    band = F.floor(F.log2(F.greatest(F.col(order), F.lit(0)) + F.lit(1))).cast("int")
     counts = df.groupBy(band.alias("band")).agg(*[F.count(quoted(c)).alias(f"n{i}") for i, c in enumerate(columns)])
     cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"n{i}").alias("n")) for i, c in enumerate(columns)])
     bands = counts.select("band", F.inline(cells))
@@ -41,7 +38,7 @@ def column_samples(
         last = {c: facts[c]["last_band"] for c in columns if c in facts}
         if last and all(b is not None for b in last.values()):
             # pushed to the scan: rows behind the last needed one are not read
-            rows = rows.filter(F.col(order) < start + 2 ** (max(last.values()) + 1))
+            rows = rows.filter(F.col(order) < 2 ** (max(last.values()) + 1))
         limited = [
             F.when(band <= last[c], quoted(c)).otherwise(F.lit(None)).alias(c) if last.get(c) is not None else quoted(c)
             for c in columns

@@ -53,8 +53,11 @@ def unit_tokens(df: DataFrame, value: str) -> DataFrame:
     runs once per text and not once per row.
     """
     found = F.explode(F.regexp_extract_all(F.lower(value), F.lit(rf"{NUMBER}\s*({UNIT_CLASS}+)"), 1))
-    tokens = df.select(F.trim(found).alias("unit")).filter("unit <> ''").groupBy("unit").agg(
-        F.count(F.lit(1)).alias("n_rows")
+    tokens = (
+        df.select(found.alias("found"))
+        .groupBy(F.trim("found").alias("unit"))
+        .agg(F.count(F.lit(1)).alias("n_rows"))
+        .filter("unit <> ''")
     )
     valid = tokens.withColumn("v", validate_unit(F.col("unit")))
     return valid.select("unit", "n_rows", "v.canonical", "v.dimension", F.coalesce("v.how", F.lit("none")).alias("how"))

@@ -8,6 +8,7 @@ from catalign.functions.strings import token_sort_text
 from catalign.operators import linkage as L
 from catalign.operators import params as P
 from catalign.operators import schema as S
+from catalign.runtime import stage
 from suite.views import ATTRIBUTES, CATALOG_CTE, NA_LIST, catalog, cte, product_lines, table
 
 Q, SQL = {}, {}
@@ -42,7 +43,7 @@ BASE = [CATALOG_CTE, LINES_CTE, CELLS_CTE, PAIRS_CTE]
 
 
 def clean_lines(spark, d):
-    return S.normalize_na(product_lines(spark, d), ATTRIBUTES)
+    return stage(S.normalize_na(product_lines(spark, d), ATTRIBUTES), "catalog")
 
 
 Q["fill_counts"] = lambda spark, d: P.fill_counts(clean_lines(spark, d), ATTRIBUTES)
