@@ -50,8 +50,9 @@ def embed_with_model(texts: DataFrame, make_predict, batch_size: int = 256) -> D
     two-dimensional float array.
     """
     from pyspark.ml.functions import predict_batch_udf
+    from pyspark.sql.types import ArrayType, FloatType
 
-    predict = predict_batch_udf(make_predict, return_type="array<float>", batch_size=batch_size)
+    predict = predict_batch_udf(make_predict, return_type=ArrayType(FloatType()), batch_size=batch_size)
     distinct = texts.select("text").distinct()
     return distinct.select("text", predict("text").cast("array<double>").alias("embedding"))
 

@@ -75,7 +75,10 @@ def lookup(rows: DataFrame, dim: DataFrame, on: str | list[str], how: str = "lef
     written size. Past the threshold the join is a sort-merge join and adaptive
     execution splits hot keys on the row side.
     """
-    return rows.join(stage(dim, "lookup"), on, how)
+    keys = [on] if isinstance(on, str) else on
+    exact = lambda name: F.col("`" + name.replace("`", "``") + "`")
+    columns = rows.columns + [c for c in dim.columns if c not in keys]
+    return rows.join(stage(dim, "lookup"), on, how).select(*[exact(c) for c in columns])
 
 
 def global_rank(
