@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,23 +35,29 @@ def indel_ratio(a: str, b: str) -> float:
 
 
 def jaro(a: str, b: str) -> float:
-    if not a and not b:
-        return 1.0
+    """Share of characters matched within half the longer length, less swaps.
+
+    Free positions of ``b`` are bits of a number, so a character takes its first
+    free match with one mask.
+    """
     if not a or not b:
-        return 0.0
+        return 1.0 if not a and not b else 0.0
     reach = max(max(len(a), len(b)) // 2 - 1, 0)
-    free = [True] * len(b)
-    left = []
+    where: dict[str, int] = {}
+    for j, ch in enumerate(b):
+        where[ch] = where.get(ch, 0) | (1 << j)
+    taken, left = 0, []
     for i, ch in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if free[j] and b[j] == ch:
-                free[j] = False
-                left.append(ch)
-                break
+        low = max(0, i - reach)
+        window = ((1 << (i + reach + 1)) - 1) >> low << low
+        open_bits = where.get(ch, 0) & window & ~taken
+        if open_bits:
+            taken |= open_bits & -open_bits
+            left.append(ch)
     if not left:
         return 0.0
-    right = [ch for ch, unused in zip(b, free) if not unused]
     m = len(left)
+    right = [ch for j, ch in enumerate(b) if taken >> j & 1]
     swaps = sum(x != y for x, y in zip(left, right)) // 2
     return (m / len(a) + m / len(b) + (m - swaps) / m) / 3
 
@@ -81,6 +88,31 @@ def bag(text: str) -> list[str]:
     return tokens
 
 
+class Way(NamedTuple):
+    """One way for a text to match: pairs matched this way share ``extra`` and at
+    least ``least`` characters of this text, and are keyed by so many of them."""
+
+    number: int
+    extra: str
+    least: int
+    sizes: frozenset[int]
+
+
+# Longer texts are keyed by single tokens, since their pairs would be too many.
+LONG_TEXT = 64
+
+
+def _key_sizes(length: int, least: int, size: int, shortest: float) -> frozenset[int]:
+    """Key sizes of a text such that any two matching texts have one in common.
+
+    ``shortest`` bounds the length of a partner, as a share of the longer text.
+    """
+    sizes = {min(size, 1) if length > LONG_TEXT else size, min(size, least)}
+    if length > LONG_TEXT * shortest - 1:
+        sizes.add(min(size, 1))
+    return frozenset(sizes)
+
+
 class TokenSortMeasure:
     """Indel ratio of blank-sorted tokens, on a 0 to 100 scale.
 
@@ -95,13 +127,19 @@ class TokenSortMeasure:
     def score(self, a: str, b: str) -> float:
         return indel_ratio(a, b)
 
-    def ways(self, text: str):
-        """(extra key, least overlap with any partner, tokens per key) per way to match."""
-        return [("", _ceil(len(text) * self.share / (2 - self.share)), 2)]
+    def ways(self, text: str) -> list[Way]:
+        shortest = self.share / (2 - self.share)
+        least = _ceil(len(text) * shortest)
+        return [Way(0, "", least, _key_sizes(len(text), least, 2, shortest))]
 
-    def needed(self, la, lb):
+    def needed(self, way: int, la, lb):
+        """Least bag overlap of a pair with these lengths."""
         return self.share * (la + lb) / 2.0
 
+    def elsewhere(self, way: int, left: list[str], right: list[str]):
+        """Pairs that another way finds (none)."""
+        return None
+
 
 class JaroWinklerMeasure:
     """Jaro-Winkler on a 0 to 100 scale, truncated to an integer.
@@ -125,16 +163,27 @@ class JaroWinklerMeasure:
     def _least_jaro(self, prefix: int) -> float:
         return max((self.share - 0.1 * prefix) / (1 - 0.1 * prefix), min(self.share, 0.7))
 
-    def ways(self, text: str):
+    def ways(self, text: str) -> list[Way]:
         found = []
         for prefix, tokens in self.TOKENS.items():
             if prefix <= len(text):
-                least = 3 * self._least_jaro(prefix) - 1
-                found.append((text[:prefix], _ceil(len(text) * (least - 1)), tokens))
+                shortest = 3 * self._least_jaro(prefix) - 2
+                least = _ceil(len(text) * shortest)
+                found.append(Way(prefix, text[:prefix], least, _key_sizes(len(text), least, tokens, shortest)))
         return found
 
-    def needed(self, la, lb):
-        return (3 * self._least_jaro(4) - 1) * la * lb / (la + lb)
+    def needed(self, way: int, la, lb):
+        prefix = 4 if way == 3 else way
+        return (3 * self._least_jaro(prefix) - 1) * la * lb / (la + lb)
+
+    def elsewhere(self, way: int, left: list[str], right: list[str]):
+        """Pairs that share a further leading character belong to the next way."""
+        import numpy as np
+
+        if way == 3:
+            return None
+        at = lambda texts, none: np.array([ord(t[way]) if len(t) > way else none for t in texts])
+        return at(left, -1)[:, None] == at(right, -2)[None, :]
 
 
 MEASURES = {"token_sort": TokenSortMeasure, "jaro_winkler": JaroWinklerMeasure}

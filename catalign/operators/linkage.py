@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 
 from catalign.functions.strings import MEASURES, bag
 from catalign.operators.components import connected_components
-from catalign.runtime import lookup, stage
+from catalign.runtime import lookup, spread, stage
 
 BLOCK_ROWS = 512
 # With no more texts than this in all, one key can never outgrow a block.
 FEW_TEXTS = 4096
+SEPARATOR = "\x1f"
 # Tokens beyond this many count as rare; any fixed order keeps the join exact.
 RANKED_TOKENS = 10_000
 
@@ -80,20 +81,20 @@ def fuzzy_pairs(
         for batch in batches:
             out_key, out_text = [], []
             for text in batch["text"]:
-                tokens = sorted(bag(text), key=lambda t: (order.get(t, 0), t))
+                tokens = _rarest_first(text, order)
                 found = set()
-                for extra, least, size in measure.ways(text):
-                    for k in {size, min(size, least)}:
-                        take = tokens[: len(tokens) - least + k]
-                        found.update((extra, *c) for c in itertools.combinations(take, k))
-                out_key.extend("\x1f".join((str(len(k[0])), *k)) for k in found)
+                for way in measure.ways(text):
+                    for size in way.sizes:
+                        take = tokens[: len(tokens) - way.least + size]
+                        found.update((way.number, way.extra, *c) for c in itertools.combinations(take, size))
+                out_key.extend(SEPARATOR.join(map(str, k)) for k in found)
                 out_text.extend([text] * len(found))
             yield pd.DataFrame({"key": out_key, "text": out_text})
 
-    keyed = values.mapInPandas(keys, "key string, text string").select(F.xxhash64("key").alias("key"), "text")
+    keyed = spread(values).mapInPandas(keys, "key string, text string")
     if values.count() <= few_texts:
         packed = keyed.groupBy("key").agg(F.collect_list("text").alias("left")).filter(F.size("left") > 1)
-        blocks = packed.select("left", F.lit(None).cast("array<string>").alias("right"))
+        blocks = packed.select("key", "left", F.lit(None).cast("array<string>").alias("right"))
     else:
         blocks = _blocks(stage(keyed, "keyed"), block_rows)
 
@@ -102,18 +103,22 @@ def fuzzy_pairs(
 
         for batch in batches:
             left, right, score = [], [], []
-            for a, b in zip(batch["left"], batch["right"]):
-                for x, y, s in _block_matches(measure, a, b):
+            for key, a, b in zip(batch["key"], batch["left"], batch["right"]):
+                for x, y, s in _block_matches(measure, order, key, a, b):
                     left.append(x)
                     right.append(y)
                     score.append(s)
             yield pd.DataFrame({"text1": left, "text2": right, "score": score})
 
-    return blocks.mapInPandas(verify, "text1 string, text2 string, score double").distinct()
+    return spread(blocks).mapInPandas(verify, "text1 string, text2 string, score double").distinct()
+
+
+def _rarest_first(text: str, order: dict[str, int]) -> list[str]:
+    return sorted(bag(text), key=lambda t: (order.get(t, 0), t))
 
 
 def _blocks(keyed: DataFrame, block_rows: int) -> DataFrame:
-    """Rows ``(left, right)`` of text lists; ``right`` is null for one block alone."""
+    """Rows ``(key, left, right)`` of text lists; ``right`` is null for one block alone."""
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     shared = stage(sizes.filter("n > 1"), "sizes")
     hot = shared.filter(F.col("n") > block_rows).select(
@@ -128,35 +133,45 @@ def _blocks(keyed: DataFrame, block_rows: int) -> DataFrame:
     # A block holds about block_rows texts: its key was cut by a hash into that many parts.
     packed = split.groupBy("key", "parts", "part").agg(F.collect_list("text").alias("texts"))
     packed = stage(packed, "blocks")
-    alone = packed.select(F.col("texts").alias("left"), F.lit(None).cast("array<string>").alias("right"))
+    alone = packed.select("key", F.col("texts").alias("left"), F.lit(None).cast("array<string>").alias("right"))
     later = packed.filter("part < parts - 1").select(
         "key", F.col("texts").alias("left"), F.explode(F.sequence(F.col("part") + 1, F.col("parts") - 1)).alias("part")
     )
     crossed = later.join(packed.select("key", "part", F.col("texts").alias("right")), ["key", "part"])
-    return alone.unionByName(crossed.select("left", "right")).repartition(F.xxhash64("left", "right"))
+    return alone.unionByName(crossed.select("key", "left", "right"))
+
 
+def _block_matches(measure, order, key, left, right):
+    """Pairs of one block (or two) that pass; each pair counts in one block only.
 
-def _block_matches(measure, left, right):
+    Of the keys a pair shares, the one made of its rarest common tokens checks
+    it, so a pair that meets under many keys is scored once.
+    """
     import numpy as np
 
+    number, _, *tokens = key.split(SEPARATOR)
+    number = int(number)
     alone = right is None
     left = list(left)
     right = left if alone else list(right)
-    if len(left) * len(right) <= 16:
-        pairs = ((i, j) for i in range(len(left)) for j in range(len(right)))
-    else:
-        columns: dict[str, int] = {}
-        index = lambda texts: [[columns.setdefault(t, len(columns)) for t in bag(x)] for x in texts]
-        rows_l = index(left)
-        rows_r = rows_l if alone else index(right)
-        matrix = lambda rows: _indicator(rows, len(columns))
-        overlap = matrix(rows_l) @ matrix(rows_r).T
-        la = np.array([len(x) for x in left], dtype=float)[:, None]
-        lb = np.array([len(x) for x in right], dtype=float)[None, :]
-        pairs = zip(*np.nonzero(overlap >= measure.needed(la, lb) - 1e-6))
-    for i, j in pairs:
+    la = np.array([len(x) for x in left], dtype=float)[:, None]
+    lb = np.array([len(x) for x in right], dtype=float)[None, :]
+    needed = measure.needed(number, la, lb) - 1e-6
+    hit = np.minimum(la, lb) >= needed
+    moved = measure.elsewhere(number, left, right)
+    if moved is not None:
+        hit &= ~moved
+    if alone:
+        hit &= np.triu(np.ones(hit.shape, dtype=bool), 1)
+    if tokens and hit.any():
+        last = max((order.get(t, 0), t) for t in tokens)
+        rarer = lambda texts: [_rarer_than(measure, order, number, len(tokens), t, last) for t in texts]
+        hit &= _overlap(rarer(left), None if alone else rarer(right)) == len(tokens) - 1
+    if hit.any():
+        hit &= _overlap([bag(t) for t in left], None if alone else [bag(t) for t in right]) >= needed
+    for i, j in zip(*np.nonzero(hit)):
         a, b = left[i], right[j]
-        if a == b or (alone and i >= j):
+        if a == b:
             continue
         if a > b:
             a, b = b, a
@@ -165,6 +180,23 @@ def _block_matches(measure, left, right):
             yield a, b, score
 
 
+def _rarer_than(measure, order, number, size, text, last):
+    """The text's blocking tokens that are rarer than the last token of the key."""
+    way = next(w for w in measure.ways(text) if w.number == number)
+    tokens = _rarest_first(text, order)
+    return [t for t in tokens[: len(tokens) - way.least + size] if (order.get(t, 0), t) < last]
+
+
+def _overlap(left: list[list[str]], right: list[list[str]] | None):
+    """Number of shared tokens for every pair of token lists."""
+    columns: dict[str, int] = {}
+    index = lambda rows: [[columns.setdefault(t, len(columns)) for t in row] for row in rows]
+    rows_l = index(left)
+    rows_r = rows_l if right is None else index(right)
+    a = _indicator(rows_l, len(columns))
+    return a @ (a if right is None else _indicator(rows_r, len(columns))).T
+
+
 def _indicator(rows, width):
     import numpy as np
 

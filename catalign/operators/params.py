@@ -43,13 +43,17 @@ def column_pairs(spark: SparkSession, columns: list[str]) -> DataFrame:
     )
 
 
-def _per_source(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Filled cells per source and column, from one partially aggregated scan."""
-    counts = df.groupBy("source_file").agg(*[F.count(quoted(c)).alias(f"n{i}") for i, c in enumerate(columns)])
-    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"n{i}").alias("n")) for i, c in enumerate(columns)])
-    return stage(
-        counts.select("source_file", F.inline(F.filter(cells, lambda x: x["n"] > 0))), "per_source"
+def _per_source(df: DataFrame, columns: list[str]) -> tuple[DataFrame, int]:
+    """Filled cells per source and column, and the row count, from one scan."""
+    counts = stage(
+        df.groupBy("source_file").agg(
+            F.count(F.lit(1)).alias("n_rows"), *[F.count(quoted(c)).alias(f"n{i}") for i, c in enumerate(columns)]
+        ),
+        "per_source",
     )
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"n{i}").alias("n")) for i, c in enumerate(columns)])
+    long = counts.select("source_file", F.inline(F.filter(cells, lambda x: x["n"] > 0)))
+    return long, counts.agg(F.sum("n_rows")).first()[0] or 0
 
 
 def fill_counts(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -134,7 +138,7 @@ def compatibility(
         )
         return counted.withColumn("total_rows", F.lit(blank.first()[0]).cast("bigint"))
     used = columns if pairs is None else sorted({c for p in pairs for c in p})
-    sources = _per_source(df, used)
+    sources, total = _per_source(df, used)
     totals = sources.groupBy("column_name").agg(
         F.count(F.lit(1)).alias("n_sources"), F.sum("n").alias("filled")
     )
@@ -160,7 +164,6 @@ def compatibility(
     )
     differ = (F.col("s1") > 0) & (F.col("s2") > 0) & (F.col("common") < F.greatest("s1", "s2"))
     clash = F.col("conflicts") / F.greatest(F.col("overlap"), F.lit(1)) > CONFLICT_LIMIT
-    total = df.agg(F.count(F.lit(1)).alias("n")).first()[0]
     return joined.select(
         "col1",
         "col2",

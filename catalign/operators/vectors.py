@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from catalign.constants import EPS_FLAT, EPS_HIERARCHICAL, MIN_SAMPLES_FLAT, MIN_SAMPLES_HIERARCHICAL
 from catalign.operators.components import connected_components, spanning_forest
 from catalign.operators.hierarchy import NOISE, levels_of, long_levels
-from catalign.runtime import SINGLE_TASK_ROWS, global_rank, stage
+from catalign.runtime import SINGLE_TASK_ROWS, global_rank, spread, stage
 
 BLOCK_VECTORS = 1024
 MAX_PIVOTS = 1024
@@ -127,21 +127,21 @@ def _compared(vectors: DataFrame, eps: float, block_vectors: int) -> DataFrame:
     plan = []
     for (by, cell), (start, parts, radius) in blocks.items():
         partners = [
-            p
+            (start2, start2 + parts2 - 1)
             for (by2, cell2), (start2, parts2, radius2) in blocks.items()
             if by2 == by and (cell2 == cell or between[cell, cell2] - radius - radius2 <= reach)
-            for p in range(start2, start2 + parts2)
         ]
         plan.append((by, cell, start, parts, partners))
     by_type = vectors.schema["by"].dataType.simpleString()
     plan_rows = vectors.sparkSession.createDataFrame(
-        plan, f"by {by_type}, cell int, start int, parts int, partners array<int>"
+        plan, f"by {by_type}, cell int, start int, parts int, partners array<struct<lo:int,hi:int>>"
     )
     block = F.col("start") + F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    spread = placed.join(stage(plan_rows, "plan"), ["by", "cell"]).select(
-        *vectors.columns, block.alias("block"), F.explode("partners").alias("partner")
+    ranges = placed.join(stage(plan_rows, "plan"), ["by", "cell"]).select(
+        *vectors.columns, block.alias("block"), F.explode("partners").alias("r")
     )
-    return spread.select(
+    met = ranges.select(*vectors.columns, "block", F.explode(F.sequence("r.lo", "r.hi")).alias("partner"))
+    return met.select(
         *vectors.columns,
         F.least("block", "partner").alias("lo"),
         F.greatest("block", "partner").alias("hi"),
@@ -187,7 +187,7 @@ def cosine_pairs(vectors: DataFrame, eps: float, collapse: bool = True, block_ve
         return pd.DataFrame({"id1": np.where(swap, b, a), "id2": np.where(swap, a, b), "distance": distance[i, j]})
 
     return (
-        _compared(distinct, eps, block_vectors)
+        spread(_compared(distinct, eps, block_vectors), "by", "lo", "hi")
         .groupBy("by", "lo", "hi")
         .applyInPandas(near, f"id1 {id_type}, id2 {id_type}, distance double")
     )
@@ -223,7 +223,7 @@ def dbscan(
         return pd.concat(out)
 
     counts = (
-        _compared(distinct, eps, block_vectors)
+        spread(_compared(distinct, eps, block_vectors), "by", "lo", "hi")
         .groupBy("by", "lo", "hi")
         .applyInPandas(tally, f"id {id_type}, n bigint")
         .groupBy("id")
@@ -250,7 +250,7 @@ def dbscan(
         return pd.DataFrame(rows, columns=["src", "dst", "both_core"])
 
     found = stage(
-        _compared(flagged, eps, block_vectors)
+        spread(_compared(flagged, eps, block_vectors), "by", "lo", "hi")
         .groupBy("by", "lo", "hi")
         .applyInPandas(links, f"src {id_type}, dst {id_type}, both_core boolean"),
         "links",

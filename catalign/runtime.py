@@ -81,6 +81,17 @@ def lookup(rows: DataFrame, dim: DataFrame, on: str | list[str], how: str = "lef
     return rows.join(stage(dim, "lookup"), on, how).select(*[exact(c) for c in columns])
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """Repartition before CPU-heavy work into a fixed number of tasks.
+
+    Adaptive execution sizes partitions by bytes and would put small rows that
+    are expensive to process into a few tasks; an explicit number stays.
+    """
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(tasks, *by)
+
+
 def global_rank(
     df: DataFrame,
     order: list[Column],

@@ -58,6 +58,18 @@ def test_fuzzy_pairs_lose_nothing(spark, method, threshold, block_rows, few_text
     assert len(got) == len(want) and {(r[0], r[1]): r[2] for r in got} == want
 
 
+@pytest.mark.parametrize("method,threshold", [("token_sort", 75), ("jaro_winkler", 88)])
+def test_long_and_short_texts_meet(spark, method, threshold):
+    rnd = random.Random(8)
+    texts = sorted({" ".join(rnd.choices(WORDS[:7], k=k)) for k in range(8, 18) for _ in range(12)})
+    assert min(map(len, texts)) < 64 < max(map(len, texts))
+    measure = MEASURES[method](threshold)
+    want = {(a, b) for a, b in itertools.combinations(texts, 2) if measure.score(a, b) >= threshold}
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = fuzzy_pairs(df, method, threshold, block_rows=16, few_texts=0).collect()
+    assert want and {(r[0], r[1]) for r in got} == want and len(got) == len(want)
+
+
 def test_link_values_takes_the_smallest_text(spark):
     df = spark.createDataFrame([("boltt",), ("bolt",), ("boltts",), ("zzz",)], "text string")
     linked = link_values(df, fuzzy_pairs(df, "token_sort", 85))
