@@ -44,7 +44,8 @@ def _token_order(values: DataFrame) -> dict[str, int]:
 
         for batch in batches:
             seen = Counter(t for text in batch["text"] for t in bag(text))
-            yield pd.DataFrame({"token": list(seen), "n": list(seen.values())})
+            if seen:
+                yield pd.DataFrame({"token": list(seen), "n": list(seen.values())})
 
     common = (
         values.select("text")
@@ -89,7 +90,8 @@ def fuzzy_pairs(
                         found.update((way.number, way.extra, *c) for c in itertools.combinations(take, size))
                 out_key.extend(SEPARATOR.join(map(str, k)) for k in found)
                 out_text.extend([text] * len(found))
-            yield pd.DataFrame({"key": out_key, "text": out_text})
+            if out_key:
+                yield pd.DataFrame({"key": out_key, "text": out_text})
 
     keyed = spread(values).mapInPandas(keys, "key string, text string")
     if values.count() <= few_texts:
@@ -108,7 +110,8 @@ def fuzzy_pairs(
                     left.append(x)
                     right.append(y)
                     score.append(s)
-            yield pd.DataFrame({"text1": left, "text2": right, "score": score})
+            if left:
+                yield pd.DataFrame({"text1": left, "text2": right, "score": score})
 
     return spread(blocks).mapInPandas(verify, "text1 string, text2 string, score double").distinct()
 
