@@ -22,6 +22,33 @@ def _memberships(df: DataFrame, category: str, product: str) -> DataFrame:
     )
 
 
+def _size_class(size: Column) -> Column:
+    """Sizes up to 16 on their own, larger ones in eight classes per doubling."""
+    return F.when(size <= 16, size.cast("int")).otherwise((F.floor(F.log2(size / 16) * 8) + 17).cast("int"))
+
+
+def _partners(heads: DataFrame, threshold: float) -> Column:
+    """Size classes that can match a set of ``size``, with the least shared products.
+
+    The classes are few (a fixed number per doubling of the largest set).
+    """
+    bounds = heads.groupBy(_size_class(F.col("size")).alias("class")).agg(F.min("size").alias("lo"), F.max("size").alias("hi"))
+    classes = F.array(
+        *[F.struct(F.lit(r["class"]).alias("class"), F.lit(r["lo"]).alias("lo"), F.lit(r["hi"]).alias("hi")) for r in bounds.collect()]
+    )
+    size = F.col("size")
+    smallest = F.ceil(size * threshold - 1e-9)
+    near = F.filter(classes, lambda c: (c["hi"] >= smallest) & (c["lo"] * threshold <= size + 1e-9))
+    share = threshold / (1 + threshold)
+    return F.transform(
+        near,
+        lambda c: F.struct(
+            c["class"].alias("class"),
+            F.ceil((size + F.greatest(c["lo"], smallest)) * share - 1e-9).alias("least"),
+        ),
+    )
+
+
 def product_overlap(
     df: DataFrame, threshold: float, category: str = "category", product: str = "product_name"
 ) -> DataFrame:
@@ -29,10 +56,11 @@ def product_overlap(
 
     Categories with exactly the same set are represented by the smallest name;
     the others are reported as a pair with it (score 1). Among distinct sets the
-    search is exact: two sets with Jaccard ``t`` must share one of the
-    ``size - ceil(t * size) + 1`` rarest products of each, so only those are
-    joined and a product found everywhere is not a key unless a set holds
-    little else.
+    search is exact: sets of sizes ``a`` and ``b`` with Jaccard ``t`` share at
+    least ``s = t / (1 + t) * (a + b)`` products, so one of the ``a - s + 1``
+    rarest of the first is among the ``b - s + 1`` rarest of the second. Only
+    those are joined, class of sizes by class of sizes, and a product found
+    everywhere is no key unless the sets hold little else.
     """
     members = stage(_memberships(df, category, product), "members")
     signature = members.groupBy("category").agg(
@@ -55,13 +83,20 @@ def product_overlap(
     # Products before each class, per category: at most a few thousand classes each.
     per_class = classed.groupBy("category", "size", "rank").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("category").orderBy("rank")) - F.col("n")
-    needed = F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1
-    kept = per_class.withColumn("before", before).filter(F.col("before") < needed).select("category", "rank")
-    prefix = stage(classed.join(stage(kept, "prefix_classes"), ["category", "rank"], "left_semi"), "prefix")
-    one = prefix.select("product", F.col("category").alias("category1"), F.col("size").alias("size1"))
-    two = prefix.select("product", F.col("category").alias("category2"), F.col("size").alias("size2"))
+    kept = (
+        per_class.withColumn("before", before)
+        .select("category", "size", "rank", "before", F.explode(_partners(heads, threshold)).alias("p"))
+        .filter(F.col("before") < F.col("size") - F.col("p.least") + 1)
+        .select("category", "rank", _size_class(F.col("size")).alias("own"), F.col("p.class").alias("partner"))
+    )
+    prefix = stage(classed.join(stage(kept, "prefix_classes"), ["category", "rank"]), "prefix")
+    one = prefix.select("product", "own", "partner", F.col("category").alias("category1"), F.col("size").alias("size1"))
+    two = prefix.select(
+        "product", F.col("partner").alias("own"), F.col("own").alias("partner"),
+        F.col("category").alias("category2"), F.col("size").alias("size2"),
+    )
     candidates = stage(
-        one.join(two, "product")
+        one.join(two, ["product", "own", "partner"])
         .filter("category1 < category2")
         .filter(F.least("size1", "size2") >= F.greatest("size1", "size2") * threshold - 1e-9)
         .select("category1", "category2", "size1", "size2")

@@ -20,7 +20,7 @@ def column_samples(
     aggregate counts the filled cells in ranges of the row number that double
     in width; from it follow the totals and, per column, the range that holds
     its n-th value. Only cells up to there (about twice ``n``) are ranked.
-    ``n=None`` keeps every value.
+    ``n=None`` keeps every value, unranked.
     """
     band = F.floor(F.log2(F.greatest(F.col(order), F.lit(0)) + F.lit(1))).cast("int")
     counts = df.groupBy(band.alias("band")).agg(*[F.count(quoted(c)).alias(f"n{i}") for i, c in enumerate(columns)])
@@ -45,9 +45,11 @@ def column_samples(
         ]
         rows = rows.select(order, *keep, *limited)
     long = unpivot_values(rows, columns, [order, *keep])
-    ranked = long.withColumn("rn", F.row_number().over(Window.partitionBy("column_name").orderBy(order)))
     if n:
-        ranked = ranked.filter(F.col("rn") <= n)
+        place = F.row_number().over(Window.partitionBy("column_name").orderBy(order))
+        ranked = long.withColumn("rn", place).filter(F.col("rn") <= n)
+    else:
+        ranked = long.withColumn("rn", F.lit(None).cast("int"))
     return ranked.withColumn("total_values", F.try_element_at(total, F.col("column_name")))
 
 
@@ -105,19 +107,16 @@ def numeric_profile(
     )
     pairs = extracted_pairs(samples, order)
     place = F.row_number().over(Window.partitionBy("column_name").orderBy(order, "pos"))
-    numbers = (
-        pairs.withColumn("k", place)
+    means = pairs.groupBy("column_name").agg(F.round(F.avg(F.col("number").cast("double")), 4).alias("avg_value"))
+    firsts = (
+        pairs.select("column_name", order, "pos", "number")
+        .withColumn("k", place)
+        .filter(F.col("k") <= 10)
         .groupBy("column_name")
-        .agg(
-            F.avg(F.col("number").cast("double")).alias("avg_value"),
-            F.array_sort(F.collect_list(F.when(F.col("k") <= 10, F.struct("k", "number")))).alias("first"),
-        )
-        .select(
-            "column_name",
-            F.round("avg_value", 4).alias("avg_value"),
-            F.transform("first", lambda x: x["number"]).alias("first_numbers"),
-        )
+        .agg(F.array_sort(F.collect_list(F.struct("k", "number"))).alias("first"))
+        .select("column_name", F.transform("first", lambda x: x["number"]).alias("first_numbers"))
     )
+    numbers = means.join(firsts, "column_name")
     units = (
         top_units(pairs, 5, order)
         .groupBy("column_name")

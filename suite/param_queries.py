@@ -136,7 +136,8 @@ FROM comp JOIN names n ON n.pos = id JOIN names f ON f.pos = component"""
 Q["harmonize_attributes"] = lambda spark, d: (lambda df, members: P.harmonize_attributes(df, members, ["row_id"]))(
     *_harmonized(spark, d)
 )
-SQL["harmonize_attributes"] = None  # set below: its columns follow the components
+SQL["harmonize_attributes"] = cte(CATALOG_CTE, LINES_CTE) + """
+SELECT row_id, coalesce(weight_kg, weight, dimensions) AS weight_kg, power, brand, manufacturer, vendor FROM clean"""
 
 
 # Fuzzy joins of values
