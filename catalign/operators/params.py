@@ -217,11 +217,13 @@ def name_scores(
         from catalign.operators.vectors import cosine_pairs
 
         vectors = embed(names.select("text"))
-        pairs = cosine_pairs(vectors.select(F.col("text").alias("id"), "embedding"), 1 - embedding / 100.0, collapse=False)
+        # The slack keeps a similarity that is a whole percent from falling below it by rounding.
+        reach = 1 - embedding / 100.0 + 1e-9
+        pairs = cosine_pairs(vectors.select(F.col("text").alias("id"), "embedding"), reach, collapse=False)
         found.append(
             pairs.select(
                 F.col("id1").alias("text1"), F.col("id2").alias("text2"),
-                F.floor((1 - F.col("distance")) * 100).cast("double").alias("score"), F.lit("embedding").alias("method"),
+                F.floor((1 - F.col("distance")) * 100 + 1e-7).cast("double").alias("score"), F.lit("embedding").alias("method"),
             ).filter(F.col("score") >= embedding)
         )
     if jaro_winkler is not None:

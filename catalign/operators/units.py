@@ -228,12 +228,16 @@ def category_units(
         "column_name",
         context_unit(F.col("column_name"), F.col("product"), context, F.col("description")).alias("by_context"),
     )
-    found = last.join(votes, ["category", "column_name"], "left")
-    if category is None:
+    found = stage(last.join(votes, ["category", "column_name"], "left"), "by_rule")
+    # Values are only looked at for columns that some category has no rule for.
+    unruled = [] if category is None else [
+        r["column_name"] for r in found.filter("by_rule IS NULL").select("column_name").distinct().collect()
+    ]
+    if not unruled:
         return found.select("category", "column_name", F.coalesce("by_rule", "by_context").alias("unit")).filter(
             "unit IS NOT NULL"
         )
-    cells = unpivot_values(df.withColumn("_group", group).filter("_group IS NOT NULL"), columns, ["_group", order])
+    cells = unpivot_values(df.withColumn("_group", group).filter("_group IS NOT NULL"), unruled, ["_group", order])
     nth = F.row_number().over(Window.partitionBy("_group", "column_name").orderBy(order))
     text = F.trim(F.regexp_extract(F.trim("value"), rf"{NUMBER}\s*({UNIT_CLASS}+)", 1))
     values = (

@@ -68,6 +68,12 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_stages(spark: SparkSession) -> None:
+    """Delete this application's stage tables, once nothing built on them is needed."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_root(spark)}/{spark.sparkContext.applicationId}")
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def lookup(rows: DataFrame, dim: DataFrame, on: str | list[str], how: str = "left") -> DataFrame:
     """Join rows with a smaller keyed table whose size is only known at run time.
 

@@ -461,6 +461,19 @@ SQL["standardize_unit_first"] = cte(*CATEGORY, WIDE_CTE) + "SELECT row_id, group
     simple_sql(c, "unit_number") for c in MEASURED
 ) + " FROM grouped LEFT JOIN wide_units USING (group_name)"
 
+
+
+def standardize_without_units(spark, d):
+    """No units by category: the rules and the context of each row decide."""
+    none = spark.createDataFrame([], "category string, column_name string, unit string")
+    return V.standardize_columns(grouped_lines(spark, d), MEASURED, none).select("row_id", "group_name", *MEASURED)
+
+
+Q["standardize_without_units"] = standardize_without_units
+SQL["standardize_without_units"] = cte(*LINES, UNITS_CTE) + "SELECT row_id, group_name, " + ",\n".join(
+    simple_sql(c).replace(f"unit_{c}", "NULL") for c in MEASURED
+) + " FROM grouped"
+
 Q["standardize_best"] = lambda spark, d: _standard(spark, d, "best")
 SQL["standardize_best"] = cte(
     *CATEGORY, WIDE_CTE, "texts AS (SELECT DISTINCT value FROM cells)", extraction_ctes("texts", "value", "value"),

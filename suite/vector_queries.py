@@ -6,11 +6,14 @@ from pyspark.sql import functions as F
 
 from catalign.operators import linkage as L
 from catalign.operators import overlap as O
+from catalign.operators import params as P
 from catalign.operators import schema as S
 from catalign.operators import vectors as X
 from catalign.runtime import stage
 from suite.category_queries import CATS_CTE, DEEP_CTE, LEVELS_CTE, deep_catalog
-from suite.views import cte, table
+from suite.param_queries import BASE as PAIR_BASE
+from suite.param_queries import clean_lines
+from suite.views import ATTRIBUTES, cte, table
 
 Q, SQL = {}, {}
 
@@ -174,3 +177,22 @@ both_ways AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e),
 reach AS (SELECT first_row_id AS id, first_row_id AS hop FROM cats UNION SELECT id, dst FROM reach JOIN both_ways ON src = hop)
 SELECT category AS original_category, first_row_id, cluster FROM cats
 JOIN (SELECT id, min(hop) AS cluster FROM reach GROUP BY 1) ON id = first_row_id"""
+
+
+# Column names by embedding, with the facts of the whole table
+
+
+def similar_pairs_by_embedding(spark, d):
+    methods = {"token_sort": None, "embedding": 20, "embed": X.embed_ngrams}
+    return P.similar_pairs(clean_lines(spark, d), ATTRIBUTES, **methods)
+
+
+Q["similar_pairs_by_embedding"] = similar_pairs_by_embedding
+SQL["similar_pairs_by_embedding"] = cte(*PAIR_BASE) + f""",
+vecs AS (SELECT column_name, {ngram_sql('column_name')} AS e FROM names),
+scored AS (SELECT col1, col2, floor(list_cosine_similarity(a.e, b.e) * 100 + 1e-7) AS score FROM pairs
+  JOIN vecs a ON a.column_name = col1 JOIN vecs b ON b.column_name = col2)
+SELECT col1, col2, score, 'embedding' AS method, filled1, filled2, overlap, conflicts, sources_different,
+  filled1 + filled2 - overlap AS potential
+FROM facts JOIN scored USING (col1, col2) WHERE (sources_different OR non_conflicting) AND score >= 20
+ORDER BY score DESC, col1, col2"""
