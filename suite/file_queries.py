@@ -36,7 +36,7 @@ def csv_cyrillic(spark, d):
         F.when(F.col("p_partkey") % 3 == 0, "N/A").otherwise(F.col("p_type")).alias("cat"),
     )
     as_bytes = lambda c: recode(c, "cp1251", back=True)
-    head = part.limit(1).select(as_bytes(F.lit("код;product;cat")).alias("value"))
+    head = spark.range(1).select(as_bytes(F.lit("код;product;cat")).alias("value"))
     lines = part.select(as_bytes(F.concat_ws(";", *part.columns)).alias("value"))
     head.unionByName(lines).coalesce(1).select(F.encode("value", "ISO-8859-1").cast("string").alias("value")).write.text(path)
     return read_csv(spark, path).drop("_file", "_block", "_line")
