@@ -72,7 +72,7 @@ def tool_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     results = turns.filter("role = 'user' and turn > 0").select(
         "conv_id", "turn", F.concat(F.lit("c"), "conv_id", F.lit("_"), F.col("turn") - 1).alias("call_id"), F.md5("text").alias("content")
     )
-    return tool_calls.link_tool_calls(calls, results, TOOLS)
+    return tool_calls.link_tool_calls(calls, results, TOOLS).withColumn("level", F.coalesce("level", F.lit(-1)))
 
 
 def fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,7 +152,7 @@ WITH RECURSIVE words AS (
   SELECT doc_id, {BLANK_WORDS} AS w FROM documents
 ), sets AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 2 THEN w
-                      ELSE list_distinct(list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])) END AS s FROM words
+                      ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM words
 ), items AS (
   SELECT doc_id, unnest(s) AS item FROM sets
 ), pairs AS (
@@ -235,14 +235,14 @@ WITH RECURSIVE calls AS (
   SELECT r.conv_id, r.call_id, r.turn, r.name, l.level, CASE WHEN a.call_id IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
     array_to_string(list_filter(list_concat(
       CASE WHEN r.name = 'translate' THEN ['tool'] ELSE [CASE WHEN n % 5 = 0 THEN 'type:limit' END, CASE WHEN n % 7 = 0 THEN 'unknown:debug' END] END,
-      [CASE WHEN refers AND NOT found THEN 'reference:c' || r.conv_id || '_' || (r.turn - 2) END]), x -> x IS NOT NULL), ',') AS errors,
+      [CASE WHEN refers AND NOT found THEN 'reference:c' || r.conv_id || '_' || (r.turn - 2) END]), lambda x: x IS NOT NULL), ',') AS errors,
     '{"arguments":{' || CASE WHEN refers THEN '"after":"$c' || r.conv_id || '_' || (r.turn - 2) || '",' ELSE '' END
       || CASE WHEN n % 7 = 0 THEN '"debug":true,' ELSE '' END
       || '"limit":' || CASE WHEN n % 5 = 0 THEN '"' || n || '"' ELSE CAST(n AS VARCHAR) END || ',"query":"' || digest || '"},"id":"' || r.call_id
       || '","name":"' || r.name || '"' || CASE WHEN a.call_id IS NULL THEN '' ELSE ',"result":"' || content || '"' END || '}' AS record
   FROM refs r JOIN levels l USING (conv_id, turn) LEFT JOIN results a ON a.conv_id = r.conv_id AND a.call_id = r.call_id
 ), orphans AS (
-  SELECT conv_id, call_id, turn, NULL AS name, NULL AS level, 'orphan' AS status, NULL AS errors,
+  SELECT conv_id, call_id, turn, NULL AS name, -1 AS level, 'orphan' AS status, NULL AS errors,
          '{"id":"' || call_id || '","result":"' || content || '"}' AS record
   FROM results a WHERE NOT EXISTS (SELECT 1 FROM calls c WHERE c.conv_id = a.conv_id AND c.call_id = a.call_id)
 )
