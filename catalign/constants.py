@@ -37,45 +37,88 @@ EPS_FLAT, MIN_SAMPLES_FLAT = 0.4, 2
 EPS_HIERARCHICAL, MIN_SAMPLES_HIERARCHICAL = 0.35, 1
 
 # Confidence of an extraction by method and by how its unit was found.
-QUANTITY_CONFIDENCE = {"known": 0.95, "unknown": 0.8}
+QUANTITY_CONFIDENCE = {"exact": 0.95, "fuzzy": 0.8, "unknown": 0.8}
 PATTERN_CONFIDENCE = {"exact": 0.9, "fuzzy": 0.7, "unknown": 0.4}
 
 # number/unit patterns (ASCII digits, Latin and lower-case Cyrillic letters).
 NUMBER = r"[0-9]+\.?[0-9]*"
 UNIT_CLASS = "[a-zA-Zа-яё°\"'\\s]"
 VALUE_PATTERN = rf"({NUMBER})\s*({UNIT_CLASS}*)"
-UNIT_TEXT_PATTERN = rf"({NUMBER})\s*({UNIT_CLASS}+)"
 QUANTITY_PATTERN = rf"([0-9]+(?:\.[0-9]+)?)\s*({UNIT_CLASS}+)"
 NOT_UNITS = ["x", "-", ":", ""]
 
-# Unit dictionary (alias, canonical name, dimension, factor, offset);
-# value * factor + offset is the amount in the base unit of the dimension.
+# Prefixes of units (symbol, name, factor).
+PREFIXES = [
+    ("k", "kilo", 1e3),
+    ("M", "mega", 1e6),
+    ("G", "giga", 1e9),
+    ("T", "tera", 1e12),
+    ("m", "milli", 1e-3),
+    ("c", "centi", 1e-2),
+    ("u", "micro", 1e-6),
+    ("µ", "micro", 1e-6),
+    ("n", "nano", 1e-9),
+]
+
+# Units (canonical name, dimension, factor, offset, symbols, other names, prefixes).
+# value * factor + offset is the amount in the base unit of the dimension. Prefixes go before the
+# symbols and before the canonical name and its plural. Earlier units win where only the case differs.
 UNITS = [
-    ("mm", "millimeter", "length", 0.001, 0.0),
-    ("cm", "centimeter", "length", 0.01, 0.0),
-    ("m", "meter", "length", 1.0, 0.0),
-    ("in", "inch", "length", 0.0254, 0.0),
-    ("inch", "inch", "length", 0.0254, 0.0),
-    ("inches", "inch", "length", 0.0254, 0.0),
-    ("g", "gram", "mass", 0.001, 0.0),
-    ("grams", "gram", "mass", 0.001, 0.0),
-    ("kg", "kilogram", "mass", 1.0, 0.0),
-    ("W", "watt", "power", 1.0, 0.0),
-    ("watt", "watt", "power", 1.0, 0.0),
-    ("kW", "kilowatt", "power", 1000.0, 0.0),
-    ("kWatt", "kilowatt", "power", 1000.0, 0.0),
-    ("kWh", "kilowatt_hour", "energy", 3600000.0, 0.0),
-    ("V", "volt", "voltage", 1.0, 0.0),
-    ("volts", "volt", "voltage", 1.0, 0.0),
-    ("L", "liter", "volume", 0.001, 0.0),
-    ("liter", "liter", "volume", 0.001, 0.0),
-    ("GB", "gigabyte", "information", 1.0, 0.0),
-    ("pixel", "pixel", "pixel", 1.0, 0.0),
-    ("dB", "decibel", "level", 1.0, 0.0),
-    ("decibels", "decibel", "level", 1.0, 0.0),
-    ("ppm", "pages_per_minute", "rate", 1.0, 0.0),
+    ("meter", "length", 1.0, 0.0, ["m"], ["meters", "metre", "metres"], "kmcuµn"),
+    ("inch", "length", 0.0254, 0.0, ["in"], ["inches"], ""),
+    ("foot", "length", 0.3048, 0.0, ["ft"], ["feet"], ""),
+    ("yard", "length", 0.9144, 0.0, ["yd"], ["yards"], ""),
+    ("mile", "length", 1609.344, 0.0, ["mi"], ["miles"], ""),
+    ("gram", "mass", 0.001, 0.0, ["g"], ["grams"], "kmuµ"),
+    ("metric_ton", "mass", 1000.0, 0.0, ["t"], ["tonne", "tonnes"], ""),
+    ("pound", "mass", 0.45359237, 0.0, ["lb"], ["lbs", "pounds"], ""),
+    ("ounce", "mass", 0.028349523125, 0.0, ["oz"], ["ounces"], ""),
+    ("watt", "power", 1.0, 0.0, ["W", "w"], ["watts", "Watt"], "kMGmuµ"),
+    ("horsepower", "power", 745.6998715822702, 0.0, ["hp"], [], ""),
+    ("watt_hour", "energy", 3600.0, 0.0, ["Wh"], [], "kMGm"),
+    ("joule", "energy", 1.0, 0.0, ["J"], ["joules"], "kMG"),
+    ("calorie", "energy", 4.184, 0.0, ["cal"], ["calories"], "k"),
+    ("volt", "voltage", 1.0, 0.0, ["V", "v"], ["volts"], "kmuµ"),
+    ("ampere_hour", "charge", 1.0, 0.0, ["Ah"], [], "km"),
+    ("ampere", "current", 1.0, 0.0, ["A"], ["amp", "amps", "amperes"], "kmuµ"),
+    ("ohm", "resistance", 1.0, 0.0, ["Ω"], ["ohms"], "kM"),
+    ("liter", "volume", 0.001, 0.0, ["L", "l"], ["liters", "litre", "litres"], "mcuµ"),
+    ("gallon", "volume", 0.003785411784, 0.0, ["gal"], ["gallons"], ""),
+    ("byte", "information", 1e-9, 0.0, ["B"], ["bytes"], "kMGT"),
+    ("bit", "information", 1.25e-10, 0.0, ["b"], ["bits"], "kMGT"),
+    ("hertz", "frequency", 1.0, 0.0, ["Hz"], [], "kMGT"),
+    ("second", "time", 1.0, 0.0, ["s"], ["sec", "secs", "seconds"], "muµn"),
+    ("minute", "time", 60.0, 0.0, ["min"], ["mins", "minutes"], ""),
+    ("hour", "time", 3600.0, 0.0, ["h"], ["hr", "hrs", "hours"], ""),
+    ("day", "time", 86400.0, 0.0, [], ["days"], ""),
+    ("kelvin", "temperature", 1.0, 0.0, ["K"], [], ""),
+    ("degree_Celsius", "temperature", 1.0, 273.15, ["°C"], ["degC", "celsius"], ""),
+    ("degree_Fahrenheit", "temperature", 5 / 9, 459.67 * 5 / 9, ["°F"], ["degF", "fahrenheit"], ""),
+    ("degree", "angle", 1.0, 0.0, ["°", "deg"], ["degrees"], ""),
+    ("pascal", "pressure", 1.0, 0.0, ["Pa"], ["pascals"], "kM"),
+    ("bar", "pressure", 100000.0, 0.0, [], ["bars"], "m"),
+    ("pound_force_per_square_inch", "pressure", 6894.757293168, 0.0, ["psi"], [], ""),
+    ("revolution_per_minute", "rotation", 1.0, 0.0, ["rpm"], [], ""),
+    ("pixel", "pixel", 1.0, 0.0, ["px"], ["pixels"], ""),
+    ("megapixel", "pixel", 1e6, 0.0, ["MP"], ["megapixels"], ""),
+    ("decibel", "level", 1.0, 0.0, ["dB"], ["decibels"], ""),
+    ("lumen", "luminous_flux", 1.0, 0.0, ["lm"], ["lumens"], ""),
+    ("pages_per_minute", "rate", 1.0, 0.0, ["ppm"], [], ""),
+    ("percent", "dimensionless", 0.01, 0.0, ["%"], [], ""),
+    ("piece", "dimensionless", 1.0, 0.0, ["pcs"], ["pc", "pieces"], ""),
 ]
 
+# Other spellings of units above.
+SPELLINGS = [
+    ("kWatt", "kilowatt"), ("м", "meter"), ("мм", "millimeter"), ("см", "centimeter"), ("км", "kilometer"), ("дюйм", "inch"), ("дюймов", "inch"),
+    ("г", "gram"), ("гр", "gram"), ("кг", "kilogram"), ("мг", "milligram"), ("т", "metric_ton"),
+    ("Вт", "watt"), ("кВт", "kilowatt"), ("МВт", "megawatt"), ("В", "volt"), ("А", "ampere"), ("мАч", "milliampere_hour"),
+    ("кВтч", "kilowatt_hour"), ("л", "liter"), ("мл", "milliliter"), ("Гц", "hertz"), ("кГц", "kilohertz"),
+    ("МГц", "megahertz"), ("ГГц", "gigahertz"), ("КБ", "kilobyte"), ("МБ", "megabyte"), ("ГБ", "gigabyte"),
+    ("ТБ", "terabyte"), ("с", "second"), ("сек", "second"), ("мин", "minute"), ("ч", "hour"), ("дБ", "decibel"),
+    ("шт", "piece"),
+]
+
 _COMPUTER = ["laptop", "notebook", "computer", "pc", "ноутбук", "компьютер"]
 _PHONE = ["phone", "smartphone", "mobile", "телефон", "смартфон"]
 _TV = ["tv", "television", "monitor", "телевизор", "монитор"]

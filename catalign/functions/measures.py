@@ -1,14 +1,15 @@
 """Units of measure as column expressions: lookup, extraction, rules, formats.
 
-Everything here is row-local and built in, so it stays inside code generation;
-the unit dictionary and the rules are small constants folded into the plan.
+Everything here is row-local and runs in the JVM. Lambdas over arrays are interpreted, not
+compiled, so callers with many equal values extract from the distinct ones. The unit dictionary
+and the rules are small constants folded into the plan.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from catalign.constants import (
@@ -16,15 +17,19 @@ from catalign.constants import (
     CONTEXT_FALLBACK,
     NUMBER,
     PATTERN_CONFIDENCE,
+    PREFIXES,
     QUANTITY_CONFIDENCE,
     QUANTITY_PATTERN,
+    SPELLINGS,
     UNIT_RULES,
     UNITS,
     VALUE_PATTERN,
 )
 
 # A quantity written as a number and one word, in the text's own case.
-WORD_PATTERN = r"([0-9]+\.?[0-9]*)\s*([a-zA-Zа-яё°\"']+)"
+WORD_PATTERN = r"([0-9]+(?:[.,][0-9]+|\.)?)\s*([a-zA-Zа-яА-ЯёЁ°µΩ%\"']+)"
+# A fuzzy match needs this many letters in the shorter of text and alias.
+FUZZY_LETTERS = 4
 
 # The unit each dimension is converted to.
 BASE_UNITS = {
@@ -33,6 +38,17 @@ BASE_UNITS = {
     "power": "watt",
     "energy": "joule",
     "voltage": "volt",
+    "charge": "ampere_hour",
+    "current": "ampere",
+    "resistance": "ohm",
+    "frequency": "hertz",
+    "time": "second",
+    "temperature": "kelvin",
+    "angle": "degree",
+    "pressure": "pascal",
+    "rotation": "revolution_per_minute",
+    "luminous_flux": "lumen",
+    "dimensionless": "one",
     "volume": "cubic_meter",
     "information": "gigabyte",
     "pixel": "pixel",
@@ -42,19 +58,35 @@ BASE_UNITS = {
 
 
 def dictionary() -> list[tuple[str, str, str, float, float]]:
-    """Units by lower-case alias; a canonical name is an alias of itself."""
-    by_alias = {}
-    for alias, canonical, dimension, factor, offset in UNITS:
-        by_alias.setdefault(alias.lower(), (alias.lower(), canonical, dimension, factor, offset))
-    for _, canonical, dimension, factor, offset in UNITS:
-        by_alias.setdefault(canonical, (canonical, canonical, dimension, factor, offset))
-    return list(by_alias.values())
-
-
-def units_frame(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        dictionary(), "alias string, canonical string, dimension string, factor double, offset double"
-    )
+    """``(alias, canonical, dimension, factor, offset)``, one row for each alias in its own case."""
+    rows: dict[str, tuple] = {}
+    by_name: dict[str, tuple] = {}
+
+    def add(aliases, *unit):
+        by_name.setdefault(unit[0], unit)
+        for alias in aliases:
+            rows.setdefault(alias, (alias, *unit))
+
+    for name, dimension, factor, offset, symbols, names, _ in UNITS:
+        add([name, *symbols, *names], name, dimension, factor, offset)
+    # Prefixes come after all plain units, so that "min" is a minute and "ft" a foot.
+    for name, dimension, factor, offset, symbols, _, prefixes in UNITS:
+        for symbol, word, size in PREFIXES:
+            if symbol in prefixes:
+                aliases = [word + name, word + name + "s", *(symbol + s for s in symbols if s != "Ω")]
+                add(aliases, word + name, dimension, factor * size, offset)
+    for alias, name in SPELLINGS:
+        add([alias], *by_name[name])
+    return list(rows.values())
+
+
+def lower_dictionary() -> list[tuple[str, str, str, float, float]]:
+    """The same by lower-case alias of two letters or more; the first of aliases that become equal."""
+    rows: dict[str, tuple] = {}
+    for alias, *unit in dictionary():
+        if len(alias) > 1:
+            rows.setdefault(alias.lower(), (alias.lower(), *unit))
+    return list(rows.values())
 
 
 def let(value: Column, body) -> Column:
@@ -62,54 +94,83 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _entry_sql(row, how: str) -> str:
-    alias, canonical, dimension, factor, offset = row
-    return (
-        f"named_struct('alias', '{alias}', 'canonical', '{canonical}', 'dimension', '{dimension}', "
-        f"'factor', {factor!r}D, 'offset', {offset!r}D, 'how', '{how}')"
-    )
+def _literal_map(rows: dict[str, tuple]) -> Column:
+    """A dictionary as one literal, which the optimizer folds into a constant map of strings."""
+    return F.expr("str_to_map('" + "\n".join(f"{k}={';'.join(map(str, v))}" for k, v in rows.items()) + "', '\n', '=')")
 
 
-def _by_alias() -> Column:
-    """The dictionary as a literal map (one expression, folded into a constant)."""
-    return F.expr("map(" + ", ".join(f"'{row[0]}', {_entry_sql(row, 'exact')}" for row in dictionary()) + ")")
+def _entry(packed: Column, how: str) -> Column:
+    part = lambda p, i: F.get(F.split(p, ";"), F.lit(i))
+    return let(
+        packed,
+        lambda p: F.when(
+            p.isNotNull(),
+            F.struct(
+                part(p, 0).alias("canonical"),
+                part(p, 1).alias("dimension"),
+                part(p, 2).cast("double").alias("factor"),
+                part(p, 3).cast("double").alias("offset"),
+                F.lit(how).alias("how"),
+            ),
+        ),
+    )
 
 
-def _by_length() -> Column:
-    ordered = sorted(dictionary(), key=lambda row: (-len(row[0]), row[0]))
-    return F.expr("array(" + ", ".join(_entry_sql(row, "fuzzy") for row in ordered) + ")")
+def _exact(text: Column) -> Column:
+    cased = F.try_element_at(_literal_map({a: u for a, *u in dictionary()}), text)
+    return F.coalesce(cased, F.try_element_at(_literal_map({a: u for a, *u in lower_dictionary()}), F.lower(text)))
 
 
 def find_unit(text: Column) -> Column:
-    """Dictionary entry whose alias is exactly this text, in any case."""
-    return F.try_element_at(_by_alias(), F.lower(F.trim(text)))
+    """Dictionary entry with this alias, in its own case or else, for two letters or more, in any."""
+    return _entry(let(F.trim(text), _exact), "exact")
 
 
 def clean_unit(text: Column) -> Column:
-    return F.regexp_replace(F.trim(text), "[^\\p{L}\\p{N}_°]", "")
+    return F.regexp_replace(F.trim(text), "[^\\p{L}\\p{N}_°%]", "")
 
 
-def find_unit_fuzzy(lowered: Column) -> Column:
-    """First entry that contains the text or is contained in it, longest alias first.
+def find_unit_fuzzy(text: Column) -> Column:
+    """Entry whose alias begins with this one word or is its beginning, in any case.
 
-    Pass a column that is already evaluated: it is compared with every alias.
+    Both need at least four letters. The longest alias that begins with the word wins, then the
+    longest that it begins with, then the alphabet. A short alias somewhere inside a word says nothing.
     """
-    hits = F.filter(
-        _by_length(),
-        lambda unit: lowered.contains(unit["alias"]) | unit["alias"].contains(lowered),
-    )
-    return F.when(F.length(lowered) > 0, F.get(hits, F.lit(0)))
+    begun: dict[str, tuple] = {}
+    aliases = sorted(lower_dictionary(), key=lambda row: (-len(row[0]), row[0]))
+    for alias, *unit in aliases:
+        for size in range(FUZZY_LETTERS, len(alias)):
+            begun.setdefault(alias[:size], unit)
+    starts = {a: u for a, *u in aliases if len(a) >= FUZZY_LETTERS}
+    longest = max(map(len, starts))
+
+    def found(word: Column) -> Column:
+        sizes = F.sequence(F.least(F.length(word) - 1, F.lit(longest)), F.lit(FUZZY_LETTERS), F.lit(-1))
+        hits = F.transform(sizes, lambda n: F.try_element_at(_literal_map(starts), word.substr(F.lit(1), n)))
+        inside = F.when(F.length(word) > FUZZY_LETTERS, F.get(F.filter(hits, lambda h: h.isNotNull()), F.lit(0)))
+        return F.when(F.length(word) >= FUZZY_LETTERS, F.coalesce(F.try_element_at(_literal_map(begun), word), inside))
+
+    return _entry(let(F.lower(F.trim(text)), found), "fuzzy")
 
 
 def validate_unit(text: Column) -> Column:
-    """Dictionary entry of a unit text with ``how`` it was found, null when unknown."""
-    return let(F.lower(clean_unit(text)), lambda c: F.coalesce(find_unit(c), find_unit_fuzzy(c)))
+    """Dictionary entry of a unit text with ``how`` it was found, null when unknown.
+
+    Only one word can be a fuzzy match.
+    """
+    one_word = ~F.trim(text).rlike(r"\s")
+    return let(clean_unit(text), lambda c: F.coalesce(find_unit(c), F.when(one_word, find_unit_fuzzy(c))))
+
+
+def plain_number(number: Column) -> Column:
+    """Decimal commas become points; a comma before exactly three last digits parts thousands."""
+    return F.translate(F.regexp_replace(number, "^([0-9]+),([0-9]{3})$", "$1$2"), ",", ".")
 
 
 def _number_unit_pairs(text: Column, pattern: str) -> Column:
     numbers = F.regexp_extract_all(text, F.lit(pattern), 1)
     units = F.regexp_extract_all(text, F.lit(pattern), 2)
-    return F.zip_with(numbers, units, lambda n, u: F.struct(n.alias("number"), F.trim(u).alias("raw")))
+    return F.zip_with(numbers, units, lambda n, u: F.struct(plain_number(n).alias("number"), F.trim(u).alias("raw")))
 
 
 def _extraction(pair: Column, valid: Column, confidence: Column, method: Column, unknown: str | None) -> Column:
@@ -124,50 +185,59 @@ def _extraction(pair: Column, valid: Column, confidence: Column, method: Column,
     )
 
 
-def quantity_extractions(text: Column) -> Column:
-    """Number and word: 0.95 if the unit is known in any form, else 0.8. Zero amounts are skipped."""
+def _checked(pairs: Column, validate: bool) -> Column:
+    none = F.lit(None).cast("struct<canonical:string,dimension:string,factor:double,offset:double,how:string>")
+    unit = (lambda p: validate_unit(p["raw"])) if validate else (lambda p: none)
+    return F.transform(pairs, lambda p: F.struct(p.alias("p"), unit(p).alias("v")))
+
+
+def _confidence(how: Column, by_how: dict[str, float]) -> Column:
+    return F.when(how == "exact", by_how["exact"]).when(how == "fuzzy", by_how["fuzzy"]).otherwise(by_how["unknown"])
+
+
+def quantity_extractions(text: Column, validate: bool = True) -> Column:
+    """Number and word: 0.95 if the unit is in the dictionary, else 0.8. Zero amounts are skipped."""
     pairs = F.filter(_number_unit_pairs(text, WORD_PATTERN), lambda p: p["number"].cast("double") != 0)
-    checked = F.transform(pairs, lambda p: F.struct(p.alias("p"), validate_unit(p["raw"]).alias("v")))
     return F.transform(
-        checked,
+        _checked(pairs, validate),
         lambda c: _extraction(
             c["p"],
             c["v"],
-            F.when(c["v"].isNotNull(), QUANTITY_CONFIDENCE["known"]).otherwise(QUANTITY_CONFIDENCE["unknown"]),
+            _confidence(c["v"]["how"], QUANTITY_CONFIDENCE),
             F.when(c["v"].isNotNull(), "quantity_known").otherwise("quantity"),
             "",
         ),
     )
 
 
-def pattern_extractions(text: Column) -> Column:
+def pattern_extractions(text: Column, validate: bool = True) -> Column:
     """Number and following unit text of 1 to 19 characters, on lower-cased text."""
     pairs = F.filter(
         _number_unit_pairs(F.lower(text), QUANTITY_PATTERN),
         lambda p: (F.length(p["raw"]) > 0) & (F.length(p["raw"]) < 20),
     )
-    checked = F.transform(pairs, lambda p: F.struct(p.alias("p"), validate_unit(p["raw"]).alias("v")))
     return F.transform(
-        checked,
+        _checked(pairs, validate),
         lambda c: _extraction(
             c["p"],
             c["v"],
-            F.when(c["v"]["how"] == "exact", PATTERN_CONFIDENCE["exact"])
-            .when(c["v"]["how"] == "fuzzy", PATTERN_CONFIDENCE["fuzzy"])
-            .otherwise(PATTERN_CONFIDENCE["unknown"]),
+            _confidence(c["v"]["how"], PATTERN_CONFIDENCE),
             F.when(c["v"].isNotNull(), "pattern_known").otherwise("pattern"),
             "unknown",
         ),
     )
 
 
-def all_extractions(text: Column, quantities: bool = True, patterns: bool = True) -> Column:
-    """Both extractors in order; either can be switched off."""
+def all_extractions(text: Column, quantities: bool = True, patterns: bool = True, validate: bool = True) -> Column:
+    """Both extractors in order; either can be switched off, and so can the validation of units.
+
+    Without validation units stay as written and confidences are those of unknown units.
+    """
     if not quantities and not patterns:
         raise ValueError("no extractor is active")
     if quantities and patterns:
-        return F.concat(quantity_extractions(text), pattern_extractions(text))
-    return quantity_extractions(text) if quantities else pattern_extractions(text)
+        return F.concat(quantity_extractions(text, validate), pattern_extractions(text, validate))
+    return quantity_extractions(text, validate) if quantities else pattern_extractions(text, validate)
 
 
 def confident(extractions: Column, threshold: float = CONFIDENCE_THRESHOLD) -> Column:
@@ -274,9 +344,10 @@ def context_unit(
 
 def unit_in_name(column: str) -> str | None:
     """The unit a header itself states, for a name known while planning."""
-    known = {row[0] for row in dictionary()}
+    known = {row[0] for row in lower_dictionary()}
+    exact = known | {row[0] for row in dictionary()}
     bracket = re.search(r"\(([^)]+)\)", column)
-    if bracket and bracket.group(1).strip().lower() in known:
+    if bracket and (bracket.group(1).strip() in exact or bracket.group(1).strip().lower() in known):
         return bracket.group(1).strip()
     return next((w for w in re.findall(r"\w+", column.lower()) if len(w) > 1 and w in known), None)
 

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalign.constants import CONTEXT_FALLBACK, UNIT_RULES
 from catalign.functions import measures as M
 from catalign.operators import profile as N
 from catalign.operators import schema as S
 from catalign.operators import standardize as V
 from catalign.operators import units as U
 from catalign.runtime import stage
-from suite.param_queries import LINES_CTE, clean_lines
+from suite.param_queries import LINES_CTE, staged_lines
+from suite.unit_sql import UNITS_CTE, cleaned, context_sql, known, rule_sql, validity_cte
 from suite.views import ATTRIBUTES, CATALOG_CTE, cte, table
 
 Q, SQL = {}, {}
@@ -21,7 +21,7 @@ MEASURED = ["weight_kg", "weight", "dimensions", "power"]
 
 def grouped_lines(spark, d):
     """The large catalogue with groups; every 17th row has no category."""
-    df = clean_lines(spark, d).select("row_id", "product_name", "category", *ATTRIBUTES)
+    df = staged_lines(spark, d, "row_id", "product_name", "category", *ATTRIBUTES)
     return df.select("*", F.when(F.col("row_id") % 17 != 0, F.col("category")).alias("group_name"))
 
 
@@ -39,36 +39,21 @@ def cells_cte(columns):
    INTO NAME column_name VALUE value))"""
 
 
-UNIT_VALUES = ", ".join(
-    f"('{a}', '{c}', '{dim}', CAST({factor!r} AS DOUBLE), CAST({offset!r} AS DOUBLE))"
-    for a, c, dim, factor, offset in M.dictionary()
-)
-UNITS_CTE = f"units AS (SELECT * FROM (VALUES {UNIT_VALUES}) t(alias, canonical, dimension, factor, off))"
 LETTERS = "[a-zA-Zа-яё°\"''\\s]"
 NUM = "[0-9]+\\.?[0-9]*"
 VALUE_RE = f"({NUM})\\s*({LETTERS}*)"
 
 
-def validity_cte(source):
-    """``valid(raw, canonical, dimension, how)`` for the distinct unit texts of ``source(raw)``."""
-    return f"""cleaned AS (SELECT raw, lower(regexp_replace(trim(raw), '[^\\p{{L}}\\p{{N}}_°]', '', 'g')) AS c
-  FROM (SELECT DISTINCT raw FROM {source})),
-exact AS (SELECT raw, canonical, dimension, 'exact' AS how FROM cleaned JOIN units ON alias = c),
-fuzzy AS (SELECT raw, canonical, dimension, 'fuzzy' AS how FROM cleaned JOIN units
-  ON c <> '' AND (contains(c, alias) OR contains(alias, c)) WHERE raw NOT IN (SELECT raw FROM exact)
-  QUALIFY row_number() OVER (PARTITION BY raw ORDER BY length(alias) DESC, alias) = 1),
-valid AS (SELECT * FROM exact UNION ALL SELECT * FROM fuzzy)"""
-
-
 def extraction_ctes(source, key, value):
     """``found``: all extractions of a text column, quantities before patterns."""
-    word = "([0-9]+\\.?[0-9]*)\\s*([a-zA-Zа-яё°\"'']+)"
+    word = "([0-9]+(?:[.,][0-9]+|\\.)?)\\s*([a-zA-Zа-яА-ЯёЁ°µΩ%\"'']+)"
     pattern = f"([0-9]+(?:\\.[0-9]+)?)\\s*({LETTERS}+)"
-    return f"""raw_q AS (SELECT {key}, i AS k, number, trim(raw) AS raw FROM (
+    return f"""raw_q AS (SELECT {key}, i AS k, replace(regexp_replace(number, '^([0-9]+),([0-9]{{3}})$', '\\1\\2'), ',', '.') AS number,
+  trim(raw) AS raw FROM (
   SELECT {key}, unnest(regexp_extract_all({value}, '{word}', 1)) AS number,
          unnest(regexp_extract_all({value}, '{word}', 2)) AS raw,
          generate_subscripts(regexp_extract_all({value}, '{word}', 1), 1) AS i FROM {source})
-  WHERE CAST(number AS DOUBLE) <> 0),
+  WHERE CAST(replace(number, ',', '.') AS DOUBLE) <> 0),
 raw_p AS (SELECT {key}, i AS k, number, trim(raw) AS raw FROM (
   SELECT {key}, unnest(regexp_extract_all(lower({value}), '{pattern}', 1)) AS number,
          unnest(regexp_extract_all(lower({value}), '{pattern}', 2)) AS raw,
@@ -79,41 +64,13 @@ raws AS (SELECT raw FROM raw_q UNION SELECT raw FROM raw_p),
 found AS (SELECT {key}, CAST(row_number() OVER (PARTITION BY {key} ORDER BY part, k) - 1 AS INT) AS pos, number,
   raw AS raw_unit, coalesce(canonical, raw) AS unit,
   coalesce(dimension, CASE part WHEN 0 THEN '' ELSE 'unknown' END) AS dimension,
-  CAST(CASE WHEN part = 0 THEN CASE WHEN how IS NULL THEN 0.8 ELSE 0.95 END
+  CAST(CASE WHEN part = 0 THEN CASE WHEN how = 'exact' THEN 0.95 ELSE 0.8 END
        WHEN how = 'exact' THEN 0.9 WHEN how = 'fuzzy' THEN 0.7 ELSE 0.4 END AS DOUBLE) AS confidence,
   CASE part WHEN 0 THEN 'quantity' ELSE 'pattern' END || CASE WHEN how IS NULL THEN '' ELSE '_known' END AS method,
   how IS NOT NULL AS is_valid
 FROM (SELECT *, 0 AS part FROM raw_q UNION ALL SELECT *, 1 AS part FROM raw_p) LEFT JOIN valid USING (raw))"""
 
 
-def rule_sql(column, context):
-    """The product rules as one CASE over a column name and its lower-case context."""
-    arms = []
-    for words, column_words, barred, pattern, unit in UNIT_RULES:
-        named = " OR ".join(f"contains(lower({column}), '{w}')" for w in column_words)
-        if pattern:
-            named += f" OR regexp_matches({column}, '{pattern}')"
-        test = f"({named})"
-        if barred:
-            test += f" AND NOT contains(lower({column}), '{barred}')"
-        if words:
-            test += " AND (" + " OR ".join(f"contains({context}, '{w}')" for w in words) + ")"
-        arms.append(f"WHEN {test} THEN '{unit}'")
-    return "CASE " + "\n".join(arms) + " END"
-
-
-def context_sql(column, rule, short_context):
-    arms = " ".join(
-        "WHEN " + " OR ".join(f"contains({short_context}, '{w}')" for w in words) + f" THEN '{unit}'"
-        for words, unit in CONTEXT_FALLBACK
-    )
-    bracket = f"trim(regexp_extract({column}, '\\(([^)]+)\\)', 1))"
-    words = f"regexp_extract_all(lower({column}), '[\\p{{L}}\\p{{N}}_]+')"
-    known = quoted_list(row[0] for row in M.dictionary())
-    return f"""coalesce(CASE WHEN list_contains({known}, lower({bracket})) THEN {bracket} END,
-  list_filter({words}, lambda w: length(w) > 1 AND list_contains({known}, w))[1], {rule}, CASE {arms} END)"""
-
-
 # Profiles
 
 
@@ -270,8 +227,9 @@ Q["unit_validate"] = lambda spark, d: (
     .agg(F.count(F.lit(1)).alias("n"))
 )
 SQL["unit_validate"] = cte(*LINES, UNITS_CTE, sample_cte(MEASURED, None)) + """
-SELECT column_name, unit, canonical, dimension, factor, count(*) AS n
-FROM pairs LEFT JOIN units ON alias = lower(regexp_replace(trim(unit), '[^\\p{L}\\p{N}_°]', '', 'g'))
+SELECT column_name, unit, coalesce(u.canonical, l.canonical) AS canonical, coalesce(u.dimension, l.dimension) AS dimension,
+  coalesce(u.factor, l.factor) AS factor, count(*) AS n
+FROM pairs LEFT JOIN units u ON u.alias = """ + cleaned("unit") + " LEFT JOIN lowered l ON l.alias = lower(" + cleaned("unit") + """)
 WHERE unit <> '' AND length(unit) < 15 AND lower(unit) NOT IN ('x', '-', ':') AND regexp_matches(unit, '[a-zA-Zа-яё]')
 GROUP BY 1, 2, 3, 4, 5"""
 
@@ -305,24 +263,8 @@ Q["unit_rules_whole_word"] = lambda spark, d: _headed(spark, d).select(
 )
 
 
-def whole_word_rule_sql(column, context):
-    test = lambda text, words: f"regexp_matches({text}, '(^|[^\\p{{L}}\\p{{N}}_])(" + "|".join(words) + ")($|[^\\p{L}\\p{N}_])')"
-    arms = []
-    for words, column_words, barred, pattern, unit in UNIT_RULES:
-        named = test(f"lower({column})", column_words)
-        if pattern:
-            named += f" OR regexp_matches({column}, '{pattern}')"
-        cond = f"({named})"
-        if barred:
-            cond += f" AND NOT contains(lower({column}), '{barred}')"
-        if words:
-            cond += f" AND {test(context, words)}"
-        arms.append(f"WHEN {cond} THEN '{unit}'")
-    return "CASE " + "\n".join(arms) + " END"
-
-
 SQL["unit_rules_whole_word"] = cte(HEADED_CTE) + (
-    f"SELECT doc_id, header, {whole_word_rule_sql('header', 'ctx')} AS unit FROM headed"
+    f"SELECT doc_id, header, {rule_sql('header', 'ctx', whole_word=True)} AS unit FROM headed"
 )
 
 Q["context_unit"] = lambda spark, d: _headed(spark, d).select(
@@ -349,8 +291,9 @@ samples AS (SELECT * FROM cells QUALIFY row_number() OVER (PARTITION BY column_n
 MEASURE_CTE = f"""named AS (SELECT column_name, count(*) AS n, count(*) FILTER (regexp_matches(value, '{NUM}')) AS n_num,
   {context_sql("column_name", rule_sql("column_name", "lower(column_name)"), "lower(column_name)")} AS context_unit
   FROM samples GROUP BY 1),
-context_valid AS (SELECT column_name, canonical, dimension FROM named JOIN units
-  ON alias = lower(regexp_replace(context_unit, '[^\\p{{L}}\\p{{N}}_°]', '', 'g'))),
+context_valid AS (SELECT column_name, coalesce(u.canonical, l.canonical) AS canonical, coalesce(u.dimension, l.dimension) AS dimension
+  FROM named LEFT JOIN units u ON u.alias = {cleaned("context_unit")} LEFT JOIN lowered l ON l.alias = lower({cleaned("context_unit")})
+  WHERE u.alias IS NOT NULL OR l.alias IS NOT NULL),
 flagged AS (SELECT named.*, canonical, dimension, canonical IS NOT NULL AND n_num / n > 0.5 AS by_name
   FROM named LEFT JOIN context_valid USING (column_name)),
 votes AS (
@@ -405,7 +348,7 @@ by_rule AS (SELECT group_name, column_name, rule AS unit FROM ruled WHERE rule I
 by_value AS (SELECT group_name, column_name, unit FROM (
   SELECT group_name, column_name, row_id, trim(regexp_extract(trim(value), '{NUM}\\s*({LETTERS}+)', 1)) AS unit FROM cells
   WHERE group_name IS NOT NULL QUALIFY row_number() OVER (PARTITION BY group_name, column_name ORDER BY row_id) <= 3)
-  WHERE unit <> '' AND length(unit) < 10 AND lower(unit) IN (SELECT alias FROM units)
+  WHERE unit <> '' AND length(unit) < 10 AND {known("unit")}
   QUALIFY row_number() OVER (PARTITION BY group_name, column_name ORDER BY row_id) = 1),
 by_context AS (SELECT group_name, column_name, {context_sql("column_name", "rule", "ctx")} AS unit FROM ruled WHERE rn = 1),
 category_units AS (SELECT group_name AS category, column_name, coalesce(r.unit, v.unit, c.unit) AS unit
@@ -568,8 +511,10 @@ JOIN after_cells USING (row_id, column_name) JOIN headers USING (column_name) WH
 
 Q["unit_convert"] = lambda spark, d: V.convert_units(grouped_lines(spark, d), ["weight", "dimensions", "power"], ["row_id"])
 SQL["unit_convert"] = cte(*LINES, UNITS_CTE, cells_cte(["weight", "dimensions", "power"])) + f"""
-SELECT row_id, column_name, value, CAST(number AS DOUBLE) * factor + off AS amount,
-  CASE dimension WHEN 'mass' THEN 'kilogram' WHEN 'length' THEN 'meter' WHEN 'power' THEN 'watt' END AS base_unit, dimension
+SELECT row_id, column_name, value, CAST(number AS DOUBLE) * coalesce(u.factor, l.factor) + coalesce(u.off, l.off) AS amount,
+  CASE coalesce(u.dimension, l.dimension) WHEN 'mass' THEN 'kilogram' WHEN 'length' THEN 'meter' WHEN 'power' THEN 'watt' END AS base_unit,
+  coalesce(u.dimension, l.dimension) AS dimension
 FROM (SELECT row_id, column_name, value, regexp_extract(trim(value), '{VALUE_RE}', 1) AS number,
-        lower(regexp_replace(regexp_extract(trim(value), '{VALUE_RE}', 2), '[^\\p{{L}}\\p{{N}}_°]', '', 'g')) AS unit FROM cells)
-JOIN units ON alias = unit WHERE number <> ''"""
+        {cleaned(f"regexp_extract(trim(value), '{VALUE_RE}', 2)")} AS unit FROM cells)
+LEFT JOIN units u ON u.alias = unit LEFT JOIN lowered l ON l.alias = lower(unit)
+WHERE number <> '' AND (u.alias IS NOT NULL OR l.alias IS NOT NULL)"""

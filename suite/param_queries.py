@@ -9,12 +9,11 @@ from catalign.operators import linkage as L
 from catalign.operators import params as P
 from catalign.operators import schema as S
 from catalign.runtime import stage
-from suite.views import ATTRIBUTES, CATALOG_CTE, NA_LIST, catalog, cte, product_lines, table
+from suite.views import ATTRIBUTES, CATALOG_CTE, LINE_ROWS, NA_LIST, catalog, cte, product_lines, table
 
 Q, SQL = {}, {}
 
-LINES_CTE = """lines AS (SELECT l_orderkey * 10 + l_linenumber AS row_id, min(l_partkey) AS part_id
-  FROM lineitem GROUP BY l_orderkey, l_linenumber),
+LINES_CTE = "lines AS (" + LINE_ROWS + """),
 product AS (SELECT l.row_id, c.* EXCLUDE (row_id) FROM lines l JOIN catalog c ON c.row_id = l.part_id),
 clean AS (SELECT row_id, source_file, category, product_name, """ + ", ".join(
     f"CASE WHEN trim({c}) NOT IN ({NA_LIST}) THEN {c} END AS {c}" for c in ATTRIBUTES
@@ -43,7 +42,13 @@ BASE = [CATALOG_CTE, LINES_CTE, CELLS_CTE, PAIRS_CTE]
 
 
 def clean_lines(spark, d):
-    return stage(S.normalize_na(product_lines(spark, d), ATTRIBUTES), "catalog")
+    """The large catalogue without null tokens; only the columns a query uses are computed."""
+    return S.normalize_na(product_lines(spark, d), ATTRIBUTES)
+
+
+def staged_lines(spark, d, *columns):
+    """The same, written once, for queries that read it several times."""
+    return stage(clean_lines(spark, d).select(*columns), "catalog")
 
 
 Q["fill_counts"] = lambda spark, d: P.fill_counts(clean_lines(spark, d), ATTRIBUTES)
@@ -52,7 +57,7 @@ SQL["fill_counts"] = cte(*BASE) + "SELECT column_name, filled FROM fills"
 Q["pair_overlap"] = lambda spark, d: P.pair_counts(clean_lines(spark, d), ATTRIBUTES)
 SQL["pair_overlap"] = cte(*BASE) + "SELECT * FROM overlapped"
 
-Q["pair_compatibility"] = lambda spark, d: P.compatibility(clean_lines(spark, d), ATTRIBUTES)
+Q["pair_compatibility"] = lambda spark, d: P.compatibility(staged_lines(spark, d, "row_id", "source_file", *ATTRIBUTES), ATTRIBUTES)
 SQL["pair_compatibility"] = cte(*BASE) + """
 SELECT *, sources_different OR non_conflicting AS compatible,
        CASE WHEN sources_different OR non_conflicting
@@ -94,7 +99,9 @@ SQL["merge_conflicts"] = cte(CATALOG_CTE, LINES_CTE) + """
 SELECT row_id, brand AS value1, vendor AS value2, brand AS merged FROM clean WHERE brand <> vendor"""
 
 REPORT = {"token_sort": 50, "jaro_winkler": 60}
-Q["similar_pairs_report"] = lambda spark, d: P.similar_pairs(clean_lines(spark, d), ATTRIBUTES, **REPORT)
+Q["similar_pairs_report"] = lambda spark, d: P.similar_pairs(
+    staged_lines(spark, d, "row_id", "source_file", *ATTRIBUTES), ATTRIBUTES, **REPORT
+)
 SQL["similar_pairs_report"] = cte(*BASE) + """,
 scored AS (SELECT col1, col2, floor(jaro_winkler_similarity(col1, col2) * 100) AS jw FROM pairs),
 token AS (SELECT * FROM (VALUES ('weight_kg', 'weight', 80.0)) t(col1, col2, ts))
@@ -106,7 +113,7 @@ WHERE (sources_different OR non_conflicting) AND (ts IS NOT NULL OR jw >= 60) OR
 
 
 def _selected_merge(spark, d):
-    df = clean_lines(spark, d).select("row_id", "source_file", *ATTRIBUTES)
+    df = staged_lines(spark, d, "row_id", "source_file", *ATTRIBUTES)
     pairs = P.similar_pairs(df, ATTRIBUTES, token_sort=70)
     return P.merge_pair(df, pairs, "weight_kg", "weight", "weight_any")
 
@@ -117,7 +124,7 @@ SELECT row_id, source_file, """ + ", ".join(ATTRIBUTES) + ", coalesce(weight_kg,
 
 
 def _harmonized(spark, d):
-    df = clean_lines(spark, d).select("row_id", "source_file", *ATTRIBUTES)
+    df = staged_lines(spark, d, "row_id", "source_file", *ATTRIBUTES)
     pairs = P.compatibility(df, ATTRIBUTES).filter("overlap = 0 AND sources_different")
     members = P.attribute_components(spark, ATTRIBUTES, pairs)
     return df, members

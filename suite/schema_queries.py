@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalign.operators import schema as S
-from suite.views import ATTRIBUTES, CATALOG_CTE, NA_LIST, catalog, cte, product_lines, table
+from suite.views import ATTRIBUTES, CATALOG_CTE, LINE_ROWS, NA_LIST, catalog, cte, product_lines, table
 
 Q, SQL = {}, {}
 
@@ -63,8 +63,7 @@ SQL["default_key"] = cte(CATALOG_CTE) + 'SELECT row_id, product_name, category,
 Q["initial_group"] = lambda spark, d: S.with_initial_group(product_lines(spark, d).select("row_id", "category"))
 SQL["initial_group"] = cte(CATALOG_CTE) + """
 SELECT l.row_id, c.category, c.category AS group_name
-FROM (SELECT l_orderkey * 10 + l_linenumber AS row_id, min(l_partkey) AS part_id FROM lineitem
-      GROUP BY l_orderkey, l_linenumber) l JOIN catalog c ON c.row_id = l.part_id"""
+FROM (""" + LINE_ROWS + ") l JOIN catalog c ON c.row_id = l.part_id"
 
 
 def provenance(spark, sf_dir):
@@ -116,16 +115,14 @@ Q["fixed_unfixed_split"] = fixed_unfixed_split
 SQL["fixed_unfixed_split"] = cte(
     CATALOG_CTE,
     "sizes AS (SELECT category, count(*) AS n FROM catalog GROUP BY 1)",
-    """lines AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS part_id FROM lineitem GROUP BY 1, 2)""",
+    f"lines AS ({LINE_ROWS})",
 ) + """
 SELECT c.category, count(*) AS n_rows, CASE WHEN any_value(s.n) % 2 = 0 THEN 'fixed' ELSE 'unfixed' END AS pool
 FROM lines l JOIN catalog c ON c.row_id = l.part_id JOIN sizes s ON s.category = c.category GROUP BY c.category"""
 
 Q["distinct_categories"] = lambda spark, d: S.distinct_categories(product_lines(spark, d))
 SQL["distinct_categories"] = cte(CATALOG_CTE) + """
-SELECT c.category, min(l_orderkey * 10 + l_linenumber) AS first_row_id FROM
-  (SELECT l_orderkey, l_linenumber, min(l_partkey) AS part_id FROM lineitem GROUP BY 1, 2) l
-  JOIN catalog c ON c.row_id = l.part_id GROUP BY 1"""
+SELECT c.category, min(l.row_id) AS first_row_id FROM (""" + LINE_ROWS + ") l JOIN catalog c ON c.row_id = l.part_id GROUP BY 1"
 
 Q["narrow_projection"] = lambda spark, d: S.narrow(
     S.drop_service_columns(
@@ -156,9 +153,7 @@ Q["first_rows_preview"] = lambda spark, d: S.preview(
 )
 SQL["first_rows_preview"] = cte(CATALOG_CTE) + """
 SELECT l.row_id, product_name, category, power
-FROM (SELECT l_orderkey * 10 + l_linenumber AS row_id, min(l_partkey) AS part_id FROM lineitem
-      GROUP BY l_orderkey, l_linenumber) l JOIN catalog c ON c.row_id = l.part_id
-ORDER BY l.row_id LIMIT 20"""
+FROM (""" + LINE_ROWS + ") l JOIN catalog c ON c.row_id = l.part_id ORDER BY l.row_id LIMIT 20"
 
 Q["filled_cells"] = lambda spark, d: S.unpivot_values(catalog(spark, d), ATTRIBUTES, ["row_id", "source_file"])
 SQL["filled_cells"] = cte(CATALOG_CTE) + """
@@ -171,4 +166,4 @@ Q["table_summary"] = lambda spark, d: S.table_summary(
 )
 SQL["table_summary"] = """
 SELECT count(*) AS n_rows, CAST(13 AS BIGINT) AS n_columns, CAST(1 AS BIGINT) AS n_merged
-FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) l"""
+FROM lineitem"""

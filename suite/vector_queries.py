@@ -12,7 +12,7 @@ from catalign.operators import vectors as X
 from catalign.runtime import stage
 from suite.category_queries import CATS_CTE, DEEP_CTE, LEVELS_CTE, deep_catalog
 from suite.param_queries import BASE as PAIR_BASE
-from suite.param_queries import clean_lines
+from suite.param_queries import staged_lines
 from suite.views import ATTRIBUTES, cte, table
 
 Q, SQL = {}, {}
@@ -184,7 +184,7 @@ JOIN (SELECT id, min(hop) AS cluster FROM reach GROUP BY 1) ON id = first_row_id
 
 def similar_pairs_by_embedding(spark, d):
     methods = {"token_sort": None, "embedding": 20, "embed": X.embed_ngrams}
-    return P.similar_pairs(clean_lines(spark, d), ATTRIBUTES, **methods)
+    return P.similar_pairs(staged_lines(spark, d, "row_id", "source_file", *ATTRIBUTES), ATTRIBUTES, **methods)
 
 
 Q["similar_pairs_by_embedding"] = similar_pairs_by_embedding

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CATALOG_SELECT = """
@@ -24,6 +24,11 @@ SELECT p_partkey AS row_id,
 FROM part
 """
 
+LINES_OF_ORDER = 1_000_000
+# Every line of ``lineitem``, in SQL.
+LINE_ROWS = """SELECT l_orderkey * 1000000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS row_id,
+  l_partkey AS part_id FROM lineitem"""
+
 ATTRIBUTES = ["weight_kg", "weight", "dimensions", "power", "brand", "manufacturer", "vendor"]
 
 
@@ -36,13 +41,15 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def product_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One catalogue row per order line: the large table for row-level jobs."""
-    part = catalog(spark, sf_dir)
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("row_id"))
-    line_id = F.col("l_orderkey") * 10 + F.col("l_linenumber")
-    return lines.withColumn("line_id", line_id).join(part, "row_id").select(
-        F.col("line_id").alias("row_id"), *part.columns[1:]
-    )
+    """One catalogue row per order line: the large table for row-level jobs.
+
+    Lines are numbered inside their order; lines of one order, number and part are alike.
+    """
+    part = catalog(spark, sf_dir).withColumnRenamed("row_id", "part_id")
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
+    line_id = F.col("l_orderkey") * LINES_OF_ORDER + F.row_number().over(order)
+    lines = table(spark, sf_dir, "lineitem").select(line_id.alias("row_id"), F.col("l_partkey").alias("part_id"))
+    return lines.join(part, "part_id").select("row_id", *part.columns[1:])
 
 
 def cte(*parts: str) -> str:
