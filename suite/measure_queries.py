@@ -233,6 +233,70 @@ FROM pairs LEFT JOIN units u ON u.alias = """ + cleaned("unit") + " LEFT JOIN lo
 WHERE unit <> '' AND length(unit) < 15 AND lower(unit) NOT IN ('x', '-', ':') AND regexp_matches(unit, '[a-zA-Zа-яё]')
 GROUP BY 1, 2, 3, 4, 5"""
 
+# Units as written, and what they are: case decides, and an unknown word stays what it is.
+KNOWN_UNITS = [
+    ("mAh", "milliampere_hour", "charge"), ("GHz", "gigahertz", "frequency"), ("MB", "megabyte", "information"),
+    ("Mb", "megabit", "information"), ("TB", "terabyte", "information"), ("rpm", "revolution_per_minute", "rotation"),
+    ("lbs", "pound", "mass"), ("oz", "ounce", "mass"), ("ml", "milliliter", "volume"), ("cl", "centiliter", "volume"),
+    ("MP", "megapixel", "pixel"), ("mW", "milliwatt", "power"), ("MW", "megawatt", "power"), ("KG", "kilogram", "mass"),
+    ("°C", "degree_Celsius", "temperature"), ("%", "percent", "dimensionless"), ("кг", "kilogram", "mass"),
+    ("Вт", "watt", "power"), ("мм", "millimeter", "length"), ("ft", "foot", "length"), ("min", "minute", "time"),
+    ("hours", "hour", "time"), ("ms", "millisecond", "time"),
+]
+UNKNOWN_UNITS = ["items", "example", "e", "b c", "bed", "minor", "format", "rated", "USB", "x", "gb-lan cable"]
+
+
+def _unit_texts(spark, d, texts):
+    """Every part with its size in one of these units."""
+    picked = F.get(F.array(*[F.lit(t) for t in texts]), (F.col("p_partkey") % len(texts)).cast("int"))
+    return table(spark, d, "part").select("p_partkey", "p_size", picked.alias("unit_text"))
+
+
+Q["unit_lookup_exact"] = lambda spark, d: (
+    _unit_texts(spark, d, [u for u, _, _ in KNOWN_UNITS])
+    .withColumn("v", M.validate_unit(F.col("unit_text")))
+    .select("p_partkey", "unit_text", "v.canonical", "v.dimension", "v.how")
+)
+SQL["unit_lookup_exact"] = f"""
+SELECT p_partkey, {quoted_list(u for u, _, _ in KNOWN_UNITS)}[p_partkey % {len(KNOWN_UNITS)} + 1] AS unit_text,
+  {quoted_list(c for _, c, _ in KNOWN_UNITS)}[p_partkey % {len(KNOWN_UNITS)} + 1] AS canonical,
+  {quoted_list(m for _, _, m in KNOWN_UNITS)}[p_partkey % {len(KNOWN_UNITS)} + 1] AS dimension, 'exact' AS how FROM part"""
+
+Q["unit_lookup_unknown"] = lambda spark, d: (
+    _unit_texts(spark, d, UNKNOWN_UNITS)
+    .withColumn("v", M.validate_unit(F.col("unit_text")))
+    .select("p_partkey", "unit_text", F.col("v").isNotNull().alias("known"))
+)
+SQL["unit_lookup_unknown"] = f"""
+SELECT p_partkey, {quoted_list(UNKNOWN_UNITS)}[p_partkey % {len(UNKNOWN_UNITS)} + 1] AS unit_text, false AS known FROM part"""
+
+BEST_UNITS = [
+    (" mAh", " milliampere_hour"), (".4 GHz", ".4 gigahertz"), (" MB", " megabyte"), (" rpm", " revolution_per_minute"),
+    (" lbs", " pound"), ("00 ml", "00 milliliter"), (" items", " items"), (" MP", " megapixel"), (",5 kg", ".5 kilogram"),
+    (",500 kg", "500 kilogram"), ("  W", " watt"),
+]
+
+
+def standardize_best_units(spark, d):
+    texts = _unit_texts(spark, d, [t for t, _ in BEST_UNITS]).withColumn("v", F.concat(F.col("p_size").cast("string"), "unit_text"))
+    none = F.lit(None).cast("string")
+    return texts.select("p_partkey", F.col("v").alias("value"), M.standardize_best(F.col("v"), none).alias("standard"))
+
+
+Q["standardize_best_units"] = standardize_best_units
+SQL["standardize_best_units"] = f"""
+SELECT p_partkey, p_size || {quoted_list(t for t, _ in BEST_UNITS)}[p_partkey % {len(BEST_UNITS)} + 1] AS value,
+  p_size || {quoted_list(t for _, t in BEST_UNITS)}[p_partkey % {len(BEST_UNITS)} + 1] AS standard FROM part"""
+
+Q["extract_without_validation"] = lambda spark, d: (
+    _documents(spark, d)
+    .select("doc_id", F.posexplode(M.all_extractions(F.col("text"), validate=False)))
+    .select("doc_id", "pos", "col.number", "col.unit", "col.confidence", "col.method", "col.is_valid")
+)
+SQL["extract_without_validation"] = cte(UNITS_CTE, extraction_ctes("documents", "doc_id", "text")) + """
+SELECT doc_id, pos, number, raw_unit AS unit, CASE WHEN method LIKE 'quantity%' THEN 0.8 ELSE 0.4 END::DOUBLE AS confidence,
+  string_split(method, '_')[1] AS method, false AS is_valid FROM found"""
+
 HEADERS = [
     "Dimensions", "Screen Size (in)", "Screen Resolution", "Weight (kg)", "RAM Size", "max power - kWatt", "Length",
     "photo 1920x1080", "Engine power", "Storage Capacity", "Вес", "Display Type", "Width", "Color", "Noise Level (dB)",

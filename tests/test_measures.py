@@ -49,8 +49,14 @@ def one(spark, value, expression):
 def test_unit_validation(spark):
     exact = one(spark, " KG ", M.validate_unit)
     assert (exact["canonical"], exact["how"]) == ("kilogram", "exact")
-    assert one(spark, "kilograms", M.validate_unit)["canonical"] == "kilogram"
-    assert one(spark, "kilograms", M.validate_unit)["how"] == "fuzzy"
+    plural, fuzzy = (one(spark, t, M.validate_unit) for t in ("kilograms", "kilogramm"))
+    assert (plural["canonical"], plural["how"]) == ("kilogram", "exact")
+    assert (fuzzy["canonical"], fuzzy["how"]) == ("kilogram", "fuzzy")
+    for word in ("example", "minor", "format", "two watts"):
+        assert one(spark, word, M.validate_unit) is None
+    assert [one(spark, t, M.validate_unit)["canonical"] for t in ("mW", "MW", "Mb", "MB")] == [
+        "milliwatt", "megawatt", "megabit", "megabyte"
+    ]
     assert one(spark, "??", M.validate_unit) is None and one(spark, "q", M.validate_unit) is None
 
 
