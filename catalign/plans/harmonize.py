@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from catalign.constants import EPS_FLAT, LOW_CONFIDENCE, MIN_SAMPLES_FLAT
 from catalign.operators import groups as G
@@ -79,14 +80,20 @@ def standardize_catalog(table: DataFrame, mode: str = "simple") -> tuple[DataFra
 
 
 def run(spark: SparkSession, paths: list[str], out: str, **options) -> dict[str, str]:
-    """From files to the harmonized, merged and standardized tables under ``out``."""
+    """From files to the harmonized, merged and standardized tables under ``out``.
+
+    ``files`` tells for each file how many rows were kept and dropped; null drops: it could not be read.
+    """
     from catalign.sources.files import load_catalog, write_stage
 
-    catalog, _ = load_catalog(spark, paths)
-    catalog = write_stage(catalog, f"{out}/catalog")
+    loaded = load_catalog(spark, paths)
+    catalog = write_stage(loaded.catalog, f"{out}/catalog")
+    unread = spark.createDataFrame([(p,) for p in loaded.failed], "file string")
+    zero = F.lit(0).cast("bigint")
+    write_stage(loaded.counts.unionByName(unread.select("file", zero.alias("kept"), F.lit(None).cast("bigint").alias("dropped"))), f"{out}/files")
     result = harmonize_categories(catalog, **options)
     final = write_stage(result.final, f"{out}/harmonized")
     write_stage(result.assignments, f"{out}/assignments")
     merged = write_stage(merge_attributes(final)[0], f"{out}/merged")
     write_stage(standardize_catalog(merged)[0], f"{out}/standardized")
-    return {name: f"{out}/{name}" for name in ("catalog", "harmonized", "assignments", "merged", "standardized")}
+    return {name: f"{out}/{name}" for name in ("files", "catalog", "harmonized", "assignments", "merged", "standardized")}

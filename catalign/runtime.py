@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 SINGLE_TASK_ROWS = 1_000_000
 
 _local_dirs: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def build_session(app: str = "catalign", cores: int | str = "*", **conf: str) -> SparkSession:
@@ -32,9 +35,28 @@ def build_session(app: str = "catalign", cores: int | str = "*", **conf: str) ->
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors' Python workers, once for each application.
+
+    Functions that run there are looked up by module name, and only the driver has the
+    folder the package was started from.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="catalign-")) / "catalign.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    sc.addPyFile(str(archive))
+    _shipped.add(sc.applicationId)
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for stage tables.
 
@@ -63,6 +85,7 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     ``spark.sql.autoBroadcastJoinThreshold`` and sort-merges it otherwise.
     """
     spark = df.sparkSession
+    ship(spark)
     path = f"{checkpoint_root(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:16]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -94,6 +117,7 @@ def spread(df: DataFrame, *by: str) -> DataFrame:
     are expensive to process into a few tasks; an explicit number stays.
     """
     spark = df.sparkSession
+    ship(spark)
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     return df.repartition(tasks, *by)
 

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import csv
+import re
 from dataclasses import dataclass
+from typing import NamedTuple
+from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from catalign.operators.schema import normalize_na, quoted, stack, unify_schema, with_initial_group, with_provenance
@@ -15,6 +18,8 @@ from catalign.runtime import SINGLE_TASK_ROWS, global_rank
 ENCODINGS = ["utf-8", "cp1251", "cp1252", "latin-1"]
 SEPARATORS = [";", ","]
 HEAD_LINES = 20
+# Where a row stands: file name, full path, start of the split, and line inside it.
+PLACE = ["_file", "_path", "_block", "_line"]
 
 
 class UnreadableFile(ValueError):
@@ -43,31 +48,77 @@ def clean_headers(names: list[str]) -> list[str]:
     return out
 
 
+def _location(uri: str) -> str:
+    """One form for the URIs that listings and scans give."""
+    return re.sub("^file:/+", "/", unquote(uri))
+
+
+def detect_dialects(spark: SparkSession, paths: list[str]) -> dict[str, dict[str, Dialect | None]]:
+    """For each path its files with their dialects, None where no dialect fits.
+
+    All files are looked at together: one job reads their first lines, which decide separator,
+    quoting and header (``;`` before ``,`` before a guess, quoted before unquoted), one scan of all
+    bytes decides the encodings and whether quoted fields span lines.
+    """
+    files = {path: sorted(_location(f) for f in spark.read.text(path).inputFiles()) for path in paths}
+    lines = spark.read.text(paths).select(
+        F.col("value"),
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"),
+    )
+    nth = F.row_number().over(Window.partitionBy("path").orderBy("line"))
+    first = lines.filter("block = 0").withColumn("nth", nth).filter(F.col("nth") <= HEAD_LINES)
+    heads: dict[str, list[bytes]] = {}
+    for row in first.select("path", "nth", F.col("value").cast("binary")).orderBy("path", "nth").collect():
+        heads.setdefault(_location(row[0]), []).append(bytes(row[2]))
+    guessed = {path: _separator(head) for path, head in heads.items()}
+    separators = sorted({g[0] for g in guessed.values() if g})
+    hexes = F.hex(F.col("value").cast("binary"))
+    checks = [F.bool_and(F.is_valid_utf8("value")).alias("utf-8")]
+    for name in ENCODINGS[1:]:
+        bad = [f"{128 + i:02X}" for i, ch in enumerate(_high_bytes(name)) if ch is None]
+        checks.append((~F.bool_or(hexes.rlike("^(..)*(" + "|".join(bad) + ")")) if bad else F.bool_and(F.lit(True))).alias(name))
+    checks += [F.bool_or(_opens_field(F.col("value"), sep)).alias(f"open{i}") for i, sep in enumerate(separators)]
+    facts = {_location(r["path"]): r for r in lines.groupBy("path").agg(*checks).collect()}
+
+    def dialect(file: str) -> Dialect | None:
+        if not guessed.get(file):
+            return None
+        separator, use_quotes = guessed[file]
+        fact = facts[file]
+        encoding = next(name for name in ENCODINGS if fact[name])
+        names = _header(heads[file], encoding, separator, use_quotes)
+        spans = use_quotes and fact[f"open{separators.index(separator)}"]
+        return Dialect(encoding, separator, use_quotes, bool(spans), tuple(clean_headers(names)))
+
+    return {path: {file: dialect(file) for file in own} for path, own in files.items()}
+
+
 def detect_dialect(spark: SparkSession, path: str) -> Dialect:
-    """Encoding from the bytes of the whole file (one distributed pass), the rest
-    from its first lines: ``;`` before ``,`` before a guess, quoted before unquoted."""
-    lines = spark.read.text(path)
-    found = lines.agg(
-        F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
-        F.max((F.length("value") - F.length(F.replace("value", F.lit('"')))) % 2).alias("odd_quotes"),
-        F.count(F.lit(1)).alias("n"),
-    ).first()
-    if not found["n"]:
+    """The dialect of a file, or of the first readable file of a folder."""
+    found = [d for d in detect_dialects(spark, [path])[path].values() if d]
+    if not found:
         raise UnreadableFile(path)
-    encoding = "utf-8" if found["utf8"] else _single_byte_encoding(lines)
-    head = [bytes(r[0]) for r in lines.select(F.col("value").cast("binary")).limit(HEAD_LINES).collect()]
-    text = [b.decode(encoding, errors="replace").replace("﻿", "") for b in head]
-    text = [t for t in text if t.strip()]
+    return found[0]
+
+
+def _header(head: list[bytes], encoding: str, separator: str, use_quotes: bool) -> list[str]:
+    quoting = csv.QUOTE_MINIMAL if use_quotes else csv.QUOTE_NONE
+    text = [b.decode(encoding, errors="replace").replace("\ufeff", "") for b in head]
+    return next(csv.reader([t for t in text if t.strip()], delimiter=separator, quoting=quoting))
+
+
+def _separator(head: list[bytes]) -> tuple[str, bool] | None:
+    """Separator and whether quotes count, from lines of any encoding: separators are ASCII."""
+    text = [t for t in (b.decode("latin-1").removeprefix("ï»¿") for b in head) if t.strip()]
     if len(text) < 2:
-        raise UnreadableFile(path)
+        return None
     for use_quotes in (True, False):
         for separator in [*SEPARATORS, *_guess(text, use_quotes)]:
-            quoting = csv.QUOTE_MINIMAL if use_quotes else csv.QUOTE_NONE
-            names = next(csv.reader(text, delimiter=separator, quoting=quoting))
-            if len(names) > 1:
-                broken = use_quotes and bool(found["odd_quotes"])
-                return Dialect(encoding, separator, use_quotes, broken, tuple(clean_headers(names)))
-    raise UnreadableFile(path)
+            if len(_header([t.encode("latin-1") for t in text], "latin-1", separator, use_quotes)) > 1:
+                return separator, use_quotes
+    return None
 
 
 def _guess(text: list[str], use_quotes: bool) -> list[str]:
@@ -79,22 +130,22 @@ def _guess(text: list[str], use_quotes: bool) -> list[str]:
         return []
 
 
+def _without_quoted(line: Column, separator: str) -> Column:
+    """A line with its closed quoted fields emptied, and without doubled quotes."""
+    sep = re.escape(separator)
+    return F.regexp_replace(F.replace(line, F.lit('""'), F.lit("")), f'(^|{sep})"[^"]*"(?={sep}|$)', "$1")
+
+
+def _opens_field(line: Column, separator: str) -> Column:
+    """Whether a quoted field begins in the line and doesn't end in it; a quote inside a field is text."""
+    return _without_quoted(line, separator).rlike(f'(^|{re.escape(separator)})"[^"]*$')
+
+
 def _high_bytes(encoding: str) -> list[str | None]:
     """What each byte from 0x80 on means in a single-byte encoding, None if nothing."""
     return [bytes([b]).decode(encoding, errors="ignore") or None for b in range(128, 256)]
 
 
-def _single_byte_encoding(lines: DataFrame) -> str:
-    pairs = F.hex(F.col("value").cast("binary"))
-    tests = []
-    for name in ENCODINGS[1:]:
-        bad = [f"{128 + i:02X}" for i, ch in enumerate(_high_bytes(name)) if ch is None]
-        hit = pairs.rlike("^(..)*(" + "|".join(bad) + ")") if bad else F.lit(False)
-        tests.append(F.coalesce(F.bool_or(hit), F.lit(False)).alias(name))
-    undecodable = lines.agg(*tests).first().asDict()
-    return next(name for name in ENCODINGS[1:] if not undecodable[name])
-
-
 def recode(value: Column, encoding: str, back: bool = False) -> Column:
     """Text read byte by byte (Latin-1) as the text it is in another encoding.
 
@@ -106,18 +157,16 @@ def recode(value: Column, encoding: str, back: bool = False) -> Column:
     return F.translate(value, target, latin) if back else F.translate(value, latin, target)
 
 
-def read_csv(spark: SparkSession, path: str, dialect: Dialect | None = None) -> DataFrame:
-    """One file as text columns under its cleaned headers, plus the position of each row.
+def scan_csv(spark: SparkSession, paths: list[str], dialect: Dialect) -> DataFrame:
+    """The rows of files of one dialect as text columns ``c0, c1, …``, with their place and ``_bad``.
 
-    Rows with more fields than the header are dropped, short rows are filled
-    with nulls. ``_block`` and ``_line`` order the rows as in the file.
+    ``_path``, ``_block`` and ``_line`` order the rows as in the files. A row is bad if it has
+    more fields than the header, be they empty or not; a short row is filled with nulls.
     """
-    dialect = detect_dialect(spark, path) if dialect is None else dialect
     width = len(dialect.columns)
-    schema = ", ".join(f"c{i} string" for i in range(width)) + ", _overflow string"
     rows = spark.read.csv(
-        path,
-        schema=schema,
+        paths,
+        schema=", ".join(f"c{i} string" for i in range(width)) + ", _raw string",
         header=True,
         enforceSchema=True,
         sep=dialect.separator,
@@ -126,48 +175,119 @@ def read_csv(spark: SparkSession, path: str, dialect: Dialect | None = None) ->
         escape='"' if dialect.quoted else "",
         multiLine=dialect.multi_line,
         mode="PERMISSIVE",
+        columnNameOfCorruptRecord="_raw",
     )
-    placed = rows.select(
-        "*",
+    # Spark keeps the text of every row that hasn't exactly the header's number of fields.
+    bare = _without_quoted(F.col("_raw"), dialect.separator) if dialect.quoted else F.col("_raw")
+    fields = F.length(bare) - F.length(F.replace(bare, F.lit(dialect.separator))) + 1
+    text = F.col if dialect.encoding in ("utf-8", "latin-1") else lambda c: recode(F.col(c), dialect.encoding)
+    return rows.select(
+        *[text(f"c{i}").alias(f"c{i}") for i in range(width)],
         F.col("_metadata.file_name").alias("_file"),
+        F.col("_metadata.file_path").alias("_path"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_line"),
-    ).filter("_overflow IS NULL")
-    text = F.col if dialect.encoding in ("utf-8", "latin-1") else lambda c: recode(F.col(c), dialect.encoding)
-    return placed.select(
-        *[text(f"c{i}").alias(name) for i, name in enumerate(dialect.columns)], "_file", "_block", "_line"
+        F.coalesce(fields > width, F.lit(False)).alias("_bad"),
     )
 
 
+def _whole(scanned: DataFrame) -> Column:
+    """Always true, but read from all columns: with some pruned away, Spark would no longer count
+    a row's fields against the header."""
+    return F.length(F.concat_ws("", *[c for c in scanned.columns if c not in (*PLACE, "_bad")])) >= 0
+
+
+def _good_rows(scanned: DataFrame, dialect: Dialect) -> DataFrame:
+    named = [F.col(f"c{i}").alias(name) for i, name in enumerate(dialect.columns)]
+    return scanned.filter(~F.col("_bad") & _whole(scanned)).select(*named, *PLACE)
+
+
+def _row_counts(scanned: DataFrame) -> DataFrame:
+    return (
+        scanned.filter(_whole(scanned))
+        .groupBy("_path", "_file")
+        .agg(F.count_if(~F.col("_bad")).alias("kept"), F.count_if("_bad").alias("dropped"))
+    )
+
+
+def _by_dialect(dialects: dict[str, Dialect | None]) -> dict[Dialect, list[str]]:
+    groups: dict[Dialect, list[str]] = {}
+    for file, dialect in dialects.items():
+        if dialect is not None:
+            groups.setdefault(dialect, []).append(file)
+    return groups
+
+
+def read_csv(spark: SparkSession, path: str, dialect: Dialect | None = None) -> DataFrame:
+    """One file or folder as text columns under cleaned headers, plus the place of each row.
+
+    Bad rows are left out; ``bad_rows`` counts them.
+    """
+    if dialect is not None:
+        return _good_rows(scan_csv(spark, [path], dialect), dialect)
+    groups = _by_dialect(detect_dialects(spark, [path])[path])
+    if not groups:
+        raise UnreadableFile(path)
+    return stack([_good_rows(scan_csv(spark, files, d), d) for d, files in groups.items()])
+
+
+def bad_rows(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, kept, dropped)`` for each file of a path: rows read, and rows with too many fields."""
+    groups = _by_dialect(detect_dialects(spark, [path])[path])
+    if not groups:
+        raise UnreadableFile(path)
+    counts = stack([_row_counts(scan_csv(spark, files, d)) for d, files in groups.items()])
+    return counts.select(F.col("_file").alias("file"), "kept", "dropped")
+
+
+class Loaded(NamedTuple):
+    """A catalogue, the paths that could not be read, and ``(file, kept, dropped)`` of the others."""
+
+    catalog: DataFrame
+    failed: list[str]
+    counts: DataFrame
+
+
 def load_catalog(
     spark: SparkSession,
     paths: list[str],
     roles: dict[str, dict[str, str]] | None = None,
     single_task_rows: int = SINGLE_TASK_ROWS,
-) -> tuple[DataFrame, list[str]]:
-    """All readable files as one catalogue, and the paths that could not be read.
+) -> Loaded:
+    """All readable files as one catalogue.
 
-    ``roles`` may fix the role headers of a file by its path. Every row keeps the
-    name of its file and gets a ``row_id`` in file and line order.
+    ``roles`` may fix the role headers of a file by its path. Every row keeps the name of its
+    file and gets a ``row_id`` in the order of paths, files of a path by name, and lines. Files of
+    one dialect and header are one scan, however many they are. A file of a folder that has no
+    rows is passed over.
     """
-    tables, failed = [], []
+    dialects = detect_dialects(spark, paths)
+    failed = [path for path in paths if not any(dialects[path].values())]
+    groups: dict[tuple, list[tuple[int, str]]] = {}
     for i, path in enumerate(paths):
-        try:
-            raw = read_csv(spark, path)
-        except UnreadableFile:
-            failed.append(path)
-            continue
-        service = ["_file", "_block", "_line"]
-        table = normalize_na(raw, [c for c in raw.columns if c not in service])
-        table = unify_schema(table, (roles or {}).get(path))
-        table = with_provenance(table, F.col("_file")).drop("_file")
-        tables.append(table.withColumn("_table", F.lit(i)))
-    if not tables:
+        fixed = (roles or {}).get(path)
+        for file, dialect in dialects[path].items():
+            if dialect is not None:
+                key = (dialect, tuple(sorted(fixed.items())) if fixed is not None else None)
+                groups.setdefault(key, []).append((i, file))
+    if not groups:
         raise UnreadableFile(", ".join(paths))
-    order = [F.col("_table"), F.col("_block"), F.col("_line")]
+    tables, counts = [], []
+    for (dialect, fixed), files in groups.items():
+        scanned = scan_csv(spark, [f for _, f in files], dialect)
+        counts.append(_row_counts(scanned))
+        raw = _good_rows(scanned, dialect)
+        table = normalize_na(raw, [c for c in raw.columns if c not in PLACE])
+        table = unify_schema(table, None if fixed is None else dict(fixed))
+        table = with_provenance(table, F.col("_file")).drop("_file")
+        where = spark.createDataFrame([(f, i) for i, f in files], "_location string, _table int")
+        at = F.regexp_replace(F.url_decode(F.replace("_path", F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
+        tables.append(table.withColumn("_location", at).join(where, "_location").drop("_location"))
+    order = [F.col("_table"), F.col("_path"), F.col("_block"), F.col("_line")]
     ranked = global_rank(stack(tables), order, "row_id", start=0, single_task_rows=single_task_rows)
-    columns = [c for c in ranked.columns if c not in ("_table", "_block", "_line", "row_id")]
-    return with_initial_group(ranked.select("row_id", *[quoted(c) for c in columns])), failed
+    columns = [c for c in ranked.columns if c not in ("_table", "_path", "_block", "_line", "row_id")]
+    catalog = with_initial_group(ranked.select("row_id", *[quoted(c) for c in columns]))
+    return Loaded(catalog, failed, stack(counts).select(F.col("_file").alias("file"), "kept", "dropped"))
 
 
 def write_csv(df: DataFrame, path: str, order: str | None = None) -> None:

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from catalign.runtime import checkpoint_root
-from catalign.sources.files import load_catalog, read_csv, recode, write_csv
+from catalign.sources.files import PLACE, Dialect, bad_rows, load_catalog, read_csv, recode, write_csv
 from suite.views import CATALOG_CTE, catalog, cte, table
 
 Q, SQL = {}, {}
@@ -20,7 +20,7 @@ def _folder(spark):
 def csv_semicolon(spark, d):
     path = _folder(spark)
     catalog(spark, d).write.option("header", True).option("sep", ";").csv(path)
-    return read_csv(spark, path).drop("_file", "_block", "_line").withColumn("row_id", F.col("row_id").cast("bigint"))
+    return read_csv(spark, path).drop(*PLACE).withColumn("row_id", F.col("row_id").cast("bigint"))
 
 
 Q["csv_semicolon"] = csv_semicolon
@@ -39,7 +39,7 @@ def csv_cyrillic(spark, d):
     head = spark.range(1).select(as_bytes(F.lit("код;product;cat")).alias("value"))
     lines = part.select(as_bytes(F.concat_ws(";", *part.columns)).alias("value"))
     head.unionByName(lines).coalesce(1).select(F.encode("value", "ISO-8859-1").cast("string").alias("value")).write.text(path)
-    return read_csv(spark, path).drop("_file", "_block", "_line")
+    return read_csv(spark, path).drop(*PLACE)
 
 
 Q["csv_cyrillic"] = csv_cyrillic
@@ -63,7 +63,7 @@ def csv_long_and_short_rows(spark, d):
     head = spark.range(1).select(F.lit(" Part No ,' Product Name ',Category,Brand").alias("value"))
     body = part.select(line.alias("value"))
     head.unionByName(body).coalesce(1).write.text(path)
-    return read_csv(spark, path).drop("_file", "_block", "_line")
+    return read_csv(spark, path).drop(*PLACE)
 
 
 Q["csv_long_and_short_rows"] = csv_long_and_short_rows
@@ -97,8 +97,7 @@ def load_two_files(spark, d):
     right = df.filter("row_id % 2 = 1").orderBy("row_id").selectExpr("product_name AS Product", "category AS cat", "sku AS SKU")
     left.coalesce(1).write.option("header", True).csv(first)
     right.coalesce(1).write.option("header", True).option("sep", ";").csv(second)
-    table_, _ = load_catalog(spark, [first, second])
-    return table_.drop("source_file")
+    return load_catalog(spark, [first, second]).catalog.drop("source_file")
 
 
 Q["load_two_files"] = load_two_files
@@ -107,3 +106,56 @@ SELECT CAST(row_number() OVER (ORDER BY row_id % 2, row_id) - 1 AS BIGINT) AS ro
   CASE WHEN row_id % 2 = 0 THEN nullif(manufacturer, 'N/A') END AS manufacturer,
   CASE WHEN row_id % 2 = 0 THEN power END AS power,
   CASE WHEN row_id % 2 = 0 THEN product_name ELSE sku END AS "SKU", category AS group_name FROM catalog"""
+
+
+def _broken(spark, d):
+    """A file in which every third row has surplus fields, some of them empty, and a raw inch mark elsewhere."""
+    path = _folder(spark)
+    part = table(spark, d, "part")
+    tail = F.when(F.col("p_partkey") % 3 == 0, ",,7").when(F.col("p_partkey") % 5 == 0, ",extra").otherwise("")
+    line = F.concat(F.col("p_partkey").cast("string"), F.lit(','), "p_name", F.lit(' 55",'), "p_type", tail)
+    head = spark.range(1).select(F.lit("id,name,kind").alias("value"))
+    head.unionByName(part.select(line.alias("value"))).coalesce(1).write.text(path)
+    return path
+
+
+Q["csv_bad_rows"] = lambda spark, d: bad_rows(spark, _broken(spark, d)).select("kept", "dropped")
+SQL["csv_bad_rows"] = """
+SELECT count(*) FILTER (p_partkey % 3 <> 0 AND p_partkey % 5 <> 0) AS kept,
+       count(*) FILTER (p_partkey % 3 = 0 OR p_partkey % 5 = 0) AS dropped FROM part"""
+
+Q["csv_surplus_after_empty"] = lambda spark, d: read_csv(spark, _broken(spark, d)).drop(*PLACE)
+SQL["csv_surplus_after_empty"] = """
+SELECT CAST(p_partkey AS VARCHAR) AS id, p_name || ' 55"' AS name, p_type AS kind
+FROM part WHERE p_partkey % 3 <> 0 AND p_partkey % 5 <> 0"""
+
+
+def csv_unquoted(spark, d):
+    """Quote marks are text where the dialect has none."""
+    path = _folder(spark)
+    part = table(spark, d, "part")
+    line = F.concat(F.lit('"'), "p_name", F.lit(';"'), "p_type", F.lit(";"), F.col("p_partkey").cast("string"))
+    head = spark.range(1).select(F.lit("name;kind;id").alias("value"))
+    head.unionByName(part.select(line.alias("value"))).coalesce(1).write.text(path)
+    return read_csv(spark, path, Dialect("utf-8", ";", False, False, ("name", "kind", "id"))).drop(*PLACE)
+
+
+Q["csv_unquoted"] = csv_unquoted
+SQL["csv_unquoted"] = """
+SELECT '"' || p_name AS name, '"' || p_type AS kind, CAST(p_partkey AS VARCHAR) AS id FROM part"""
+
+
+def load_folder(spark, d):
+    """A folder of several files of different sizes: rows are numbered by file name, then line."""
+    path = _folder(spark)
+    part = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("SKU"), F.col("p_name").alias("Product Name"))
+    key = F.col("SKU").cast("int")
+    for i, rows in enumerate((part.filter(key % 10 == 0), part.filter(key % 10 > 3), part.filter((key % 10 > 0) & (key % 10 < 4)))):
+        rows.orderBy(F.col("SKU").cast("int")).coalesce(1).write.option("header", True).csv(f"{path}/{i}")
+    return load_catalog(spark, [f"{path}/*"]).catalog.select("row_id", "SKU", "product_name")
+
+
+Q["load_folder"] = load_folder
+SQL["load_folder"] = """
+SELECT CAST(row_number() OVER (ORDER BY CASE WHEN p_partkey % 10 = 0 THEN 0 WHEN p_partkey % 10 > 3 THEN 1 ELSE 2 END, p_partkey) - 1
+  AS BIGINT) AS row_id, CAST(p_partkey AS VARCHAR) AS "SKU", p_name AS product_name FROM part"""

@@ -1,3 +1,7 @@
+import os
+import subprocess
+import sys
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,3 +55,20 @@ def test_checkpoint_folder_comes_from_the_session():
     with pytest.raises(RuntimeError):
         checkpoint_root(FakeSession("spark://x", {}))
     assert checkpoint_root(FakeSession("local[2]", {})).startswith(runtime.tempfile.gettempdir())
+
+
+def test_workers_find_the_package_wherever_the_session_starts(tmp_path):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+import __spark_entry__ as entry
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+for name in ("dbscan", "jaro_winkler_pairs"):
+    print(name, entry.queries()[name](spark, "/root/testdata/sf0.001").count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert "jaro_winkler_pairs" in done.stdout

@@ -1,7 +1,7 @@
 import pytest
 
 from catalign.plans.harmonize import run
-from catalign.sources.files import UnreadableFile, clean_headers, detect_dialect, load_catalog, read_csv, write_csv
+from catalign.sources.files import PLACE, UnreadableFile, bad_rows, clean_headers, detect_dialect, load_catalog, read_csv, write_csv
 
 
 def write(folder, name, text, encoding="utf-8"):
@@ -11,7 +11,7 @@ def write(folder, name, text, encoding="utf-8"):
 
 
 def rows(df):
-    return sorted(map(tuple, df.drop("_file", "_block", "_line").collect()), key=repr)
+    return sorted(map(tuple, df.drop(*PLACE).collect()), key=repr)
 
 
 def test_semicolon_wins_and_bom_goes(spark, tmp_path):
@@ -47,6 +47,23 @@ def test_raw_inch_mark_and_line_break(spark, tmp_path):
     assert rows(read_csv(spark, path)) == [('tv 55"', "1"), ("two\nlines", "2")]
 
 
+def test_surplus_fields_make_a_row_bad_even_after_empty_ones(spark, tmp_path):
+    path = write(tmp_path, "a.csv", 'a,b,c\n1,2,3\n4,5,6,,7\n4,5,6,\n"x,y",5,6\n"x,y",5,6,"7,8"\ntv 55",1,2\n')
+    assert rows(read_csv(spark, path)) == sorted([("1", "2", "3"), ("x,y", "5", "6"), ('tv 55"', "1", "2")], key=repr)
+    assert [tuple(r) for r in bad_rows(spark, path).collect()] == [("a.csv", 3, 3)]
+    assert not detect_dialect(spark, path).multi_line
+    assert read_csv(spark, path).select("b").count() == 3
+    assert sorted(r["c"] for r in read_csv(spark, path).select("c").collect()) == ["2", "3", "6"]
+
+
+def test_rows_of_a_folder_are_ordered_by_file_name(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    write(tmp_path / "in", "part-0.csv", "Product Name,Category\n" + "".join(f"a{i},x\n" for i in range(3)))
+    write(tmp_path / "in", "part-1.csv", "Product Name,Category\n" + "".join(f"b{i},x\n" for i in range(300)))
+    df = load_catalog(spark, [str(tmp_path / "in")]).catalog
+    assert [r["product_name"] for r in df.orderBy("row_id").limit(4).collect()] == ["a0", "a1", "a2", "b0"]
+
+
 def test_other_separator_is_guessed(spark, tmp_path):
     path = write(tmp_path, "a.csv", "a|b|c\n1|2|3\n4|5|6\n")
     assert rows(read_csv(spark, path)) == [("1", "2", "3"), ("4", "5", "6")]
@@ -66,7 +83,8 @@ def test_catalog_of_several_files(spark, tmp_path):
     one = write(tmp_path, "one.csv", "Product Name,Category,SKU,Weight\nbolt,parts,S1,N/A\nnut,parts,S2,2 kg\n")
     bad = write(tmp_path, "bad.csv", "x\n1\n")
     two = write(tmp_path, "two.csv", "name;cat;Power\nlamp;lights;5 W\n")
-    df, failed = load_catalog(spark, [one, bad, two])
+    df, failed, counts = load_catalog(spark, [one, bad, two])
+    assert sorted(map(tuple, counts.collect())) == [("one.csv", 2, 0), ("two.csv", 1, 0)]
     assert failed == [bad]
     assert df.columns == ["row_id", "product_name", "source_file", "category", "SKU", "Weight", "Power", "group_name"]
     assert [tuple(r) for r in df.orderBy("row_id").collect()] == [
