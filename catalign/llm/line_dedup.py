@@ -67,7 +67,7 @@ def edit_similar(a: str, b: str, percent: int) -> bool:
     for edits in range(1, most + 1):
         new = {}
         for k in range(-edits, edits + 1):
-            at = max(furthest.get(k, -9) + 1, furthest.get(k + 1, -9) + 1, furthest.get(k - 1, -9))
+            at = max(furthest.get(k, -9) + 1, furthest.get(k - 1, -9) + 1, furthest.get(k + 1, -9))
             at = min(at, len(a), len(b) + k)
             if at >= 0 and at - k >= 0:
                 new[k] = _slide(a, b, at, at - k)
