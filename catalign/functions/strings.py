@@ -107,7 +107,9 @@ def _key_sizes(length: int, least: int, size: int, shortest: float) -> frozenset
 
     ``shortest`` bounds the length of a partner, as a share of the longer text.
     """
-    sizes = {min(size, 1) if length > LONG_TEXT else size, min(size, least)}
+    if length > LONG_TEXT:
+        return frozenset({min(size, 1)})
+    sizes = {size, min(size, least)}
     if length > LONG_TEXT * shortest - 1:
         sizes.add(min(size, 1))
     return frozenset(sizes)
@@ -147,11 +149,11 @@ class JaroWinklerMeasure:
     With ``p`` shared leading characters the Jaro part must reach
     ``(T - 0.1 p) / (1 - 0.1 p)`` (and more than 0.7 for the bonus to count),
     and a Jaro of ``J`` needs ``m/la + m/lb >= 3 J - 1`` matching characters.
-    Each number of shared leading characters is one way to match; from three on
-    the characters themselves are the key.
+    Each number of shared leading characters is one way to match. From three on the
+    bound is that of four; a common prefix alone would put all texts of a column under one key.
     """
 
-    TOKENS = {0: 2, 1: 1, 2: 1, 3: 0}
+    TOKENS = {0: 2, 1: 1, 2: 1, 3: 2}
 
     def __init__(self, threshold: float):
         self.threshold = threshold
@@ -167,7 +169,7 @@ class JaroWinklerMeasure:
         found = []
         for prefix, tokens in self.TOKENS.items():
             if prefix <= len(text):
-                shortest = 3 * self._least_jaro(prefix) - 2
+                shortest = 3 * self._least_jaro(4 if prefix == 3 else prefix) - 2
                 least = _ceil(len(text) * shortest)
                 found.append(Way(prefix, text[:prefix], least, _key_sizes(len(text), least, tokens, shortest)))
         return found

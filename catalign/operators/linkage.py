@@ -18,23 +18,11 @@ from catalign.operators.components import connected_components
 from catalign.runtime import lookup, spread, stage
 
 BLOCK_ROWS = 512
-# With no more texts than this in all, one key can never outgrow a block.
-FEW_TEXTS = 4096
 SEPARATOR = "\x1f"
 # Tokens beyond this many count as rare; any fixed order keeps the join exact.
 RANKED_TOKENS = 10_000
 
 
-def distinct_texts(df: DataFrame, column: str) -> DataFrame:
-    """Each text once, with a stable id."""
-    return (
-        df.filter(F.col(column).isNotNull())
-        .select(F.col(column).cast("string").alias("text"))
-        .distinct()
-        .select(F.xxhash64("text").alias("id"), "text")
-    )
-
-
 def _token_order(values: DataFrame) -> dict[str, int]:
     """Ranks of character tokens, rare first. The table is bounded by the limit."""
 
@@ -64,7 +52,6 @@ def fuzzy_pairs(
     method: str,
     threshold: float,
     block_rows: int = BLOCK_ROWS,
-    few_texts: int = FEW_TEXTS,
 ) -> DataFrame:
     """All unordered pairs of ``values(id, text)`` scoring at least ``threshold``.
 
@@ -94,11 +81,7 @@ def fuzzy_pairs(
                 yield pd.DataFrame({"key": out_key, "text": out_text})
 
     keyed = spread(values).mapInPandas(keys, "key string, text string")
-    if values.count() <= few_texts:
-        packed = keyed.groupBy("key").agg(F.collect_list("text").alias("left")).filter(F.size("left") > 1)
-        blocks = packed.select("key", "left", F.lit(None).cast("array<string>").alias("right"))
-    else:
-        blocks = _blocks(stage(keyed, "keyed"), block_rows)
+    blocks = _blocks(stage(keyed, "keyed"), block_rows)
 
     def verify(batches):
         import pandas as pd
@@ -116,6 +99,20 @@ def fuzzy_pairs(
     return spread(blocks).mapInPandas(verify, "text1 string, text2 string, score double").distinct()
 
 
+def score_pairs(pairs: DataFrame, method: str, threshold: float) -> DataFrame:
+    """``pairs(text1, text2, …)`` that score at least ``threshold``, each compared directly."""
+    measure = MEASURES[method](threshold)
+
+    def score(batches):
+        for batch in batches:
+            found = [measure.score(a, b) for a, b in zip(batch["text1"], batch["text2"])]
+            batch = batch.assign(score=found)
+            yield batch[batch["score"] >= threshold]
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema.fields)
+    return spread(pairs).mapInPandas(score, fields + ", score double")
+
+
 def _rarest_first(text: str, order: dict[str, int]) -> list[str]:
     return sorted(bag(text), key=lambda t: (order.get(t, 0), t))
 

@@ -2,23 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from catalign.constants import (
     CONFIRM_COLUMNS,
     CONFLICT_LIMIT,
-    EMBEDDING_THRESHOLD,
-    JARO_WINKLER_THRESHOLD,
     MAX_COLUMNS,
     TOKEN_SORT_THRESHOLD,
 )
-from catalign.operators.linkage import fuzzy_pairs
+from catalign.operators.linkage import score_pairs
 from catalign.operators.schema import quoted
 from catalign.runtime import stage
 
-# Up to this many pairs are counted as plain aggregate columns of one scan.
-WIDE_PAIRS = 64
 METHOD_ORDER = ["token_sort", "embedding", "jaro_winkler"]
 
 
@@ -66,46 +64,41 @@ def fill_counts(df: DataFrame, columns: list[str]) -> DataFrame:
 def pair_counts(df: DataFrame, columns: list[str], pairs: list[tuple[str, str]] | None = None) -> DataFrame:
     """Rows with both columns filled, and those whose values differ.
 
-    A few wanted pairs are counted as aggregate columns of one scan. Otherwise
-    every row lists the pairs of its own filled columns; the counts are
-    pre-aggregated in each task, so a shuffle carries one row per pair and task
-    and the table is never joined with itself. Pairs that are never filled
-    together do not appear.
+    Every row lists the pairs of its own filled columns, or the wanted ones among
+    them; the counts are pre-aggregated in each task, so a shuffle carries one row
+    per pair and task and the table is never joined with itself. Pairs that are
+    never filled together do not appear.
     """
-    if pairs is not None and len(pairs) <= WIDE_PAIRS:
-        if not pairs:
-            return df.sparkSession.createDataFrame([], "col1 string, col2 string, overlap long, conflicts long")
-        counts = []
-        for i, (a, b) in enumerate(pairs):
-            counts.append(F.count_if(quoted(a).isNotNull() & quoted(b).isNotNull()).alias(f"o{i}"))
-            counts.append(F.count_if(quoted(a).cast("string") != quoted(b).cast("string")).alias(f"c{i}"))
-        cells = [
-            F.struct(
-                F.lit(a).alias("col1"), F.lit(b).alias("col2"), F.col(f"o{i}").alias("overlap"), F.col(f"c{i}").alias("conflicts")
-            )
-            for i, (a, b) in enumerate(pairs)
-        ]
-        return df.agg(*counts).select(F.inline(F.array(*cells))).filter("overlap > 0")
-    if pairs is not None:
-        wanted = df.sparkSession.createDataFrame(pairs, "col1 string, col2 string")
-        return pair_counts(df, columns).join(wanted, ["col1", "col2"], "left_semi")
     check_width(columns)
-    cells = F.array(
-        *[F.struct(F.lit(i).alias("i"), quoted(c).cast("string").alias("v")) for i, c in enumerate(columns)]
-    )
-    filled = F.col("filled")
-    in_row = F.flatten(
-        F.transform(
-            filled,
-            lambda x, k: F.transform(
-                F.slice(filled, k + 2, F.size(filled)),
-                lambda y: F.struct((x["i"] * MAX_COLUMNS + y["i"]).alias("pair"), (x["v"] != y["v"]).alias("differ")),
-            ),
+    text = [quoted(c).cast("string") for c in columns]
+    if pairs is None:
+        cells = F.array(*[F.struct(F.lit(i).alias("i"), v.alias("v")) for i, v in enumerate(text)])
+        filled = F.filter(cells, lambda x: x["v"].isNotNull())
+        in_row = F.flatten(
+            F.transform(
+                F.col("row"),
+                lambda x, k: F.transform(
+                    F.slice(F.col("row"), k + 2, F.size("row")),
+                    lambda y: F.struct((x["i"] * MAX_COLUMNS + y["i"]).alias("pair"), (x["v"] != y["v"]).alias("differ")),
+                ),
+            )
+        )
+    else:
+        at = {c: i for i, c in enumerate(columns)}
+        wanted = [F.lit(at[a] * MAX_COLUMNS + at[b]) for a, b in pairs]
+        filled = F.array(*text)
+        of = lambda i: F.get(F.col("row"), i.cast("int"))
+        asked = F.filter(
+            F.array(*wanted) if wanted else F.array().cast("array<int>"),
+            lambda p: of(F.floor(p / MAX_COLUMNS)).isNotNull() & of(p % MAX_COLUMNS).isNotNull(),
+        )
+        in_row = F.transform(
+            asked,
+            lambda p: F.struct(p.alias("pair"), (of(F.floor(p / MAX_COLUMNS)) != of(p % MAX_COLUMNS)).alias("differ")),
         )
-    )
     names = F.array(*[F.lit(c) for c in columns])
     return (
-        df.select(F.filter(cells, lambda x: x["v"].isNotNull()).alias("filled"))
+        df.select(filled.alias("row"))
         .select(F.inline(in_row))
         .groupBy("pair")
         .agg(F.count(F.lit(1)).alias("overlap"), F.count_if("differ").alias("conflicts"))
@@ -201,18 +194,17 @@ def name_scores(
     check_width(columns)
     names = spark.createDataFrame([(c, i) for i, c in enumerate(columns)], "text string, pos int")
     found = []
-    if token_sort is not None:
-        sortable = names.select(F.col("text").alias("name"), _sorted_name(F.col("text")).alias("text"))
-        scored = fuzzy_pairs(sortable, "token_sort", token_sort)
-        same = sortable.select("text").distinct().select(
-            F.col("text").alias("text1"), F.col("text").alias("text2"), F.lit(100.0).alias("score")
-        )
-        by = lambda n: sortable.select(F.col("text").alias(f"text{n}"), F.col("name").alias(f"name{n}"))
-        found.append(
-            scored.unionByName(same).join(by(1), "text1").join(by(2), "text2")
-            .filter("name1 <> name2")
-            .select(F.col("name1").alias("text1"), F.col("name2").alias("text2"), "score", F.lit("token_sort").alias("method"))
+    # At most half a million pairs of names, so each is compared: one job without blocking keys.
+    every = column_pairs(spark, columns)
+
+    def direct(method: str, threshold: float, text) -> DataFrame:
+        pairs = every.select("col1", "col2", text(F.col("col1")).alias("text1"), text(F.col("col2")).alias("text2"))
+        return score_pairs(pairs, method, threshold).select(
+            F.col("col1").alias("text1"), F.col("col2").alias("text2"), "score", F.lit(method).alias("method")
         )
+
+    if token_sort is not None:
+        found.append(direct("token_sort", token_sort, _sorted_name))
     if embedding is not None:
         from catalign.operators.vectors import cosine_pairs
 
@@ -227,17 +219,14 @@ def name_scores(
             ).filter(F.col("score") >= embedding)
         )
     if jaro_winkler is not None:
-        scored = fuzzy_pairs(names, "jaro_winkler", jaro_winkler)
-        found.append(scored.select("text1", "text2", "score", F.lit("jaro_winkler").alias("method")))
+        found.append(direct("jaro_winkler", jaro_winkler, lambda name: name))
     if not found:
         raise ValueError("no matching method is active")
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
+    scored = reduce(DataFrame.unionByName, found)
     at = lambda n: names.select(F.col("text").alias(f"text{n}"), F.col("pos").alias(f"p{n}"))
     forward = F.col("p1") < F.col("p2")
     return (
-        every.join(at(1), "text1").join(at(2), "text2")
+        scored.join(at(1), "text1").join(at(2), "text2")
         .select(
             F.when(forward, F.col("text1")).otherwise(F.col("text2")).alias("col1"),
             F.when(forward, F.col("text2")).otherwise(F.col("text1")).alias("col2"),
@@ -330,6 +319,19 @@ def merge_preview(df: DataFrame, a: str, b: str) -> DataFrame:
     )
 
 
+def merge_preview_rows(
+    df: DataFrame, a: str, b: str, order: str = "row_id", n: int = 10, n_conflicts: int = 5
+) -> DataFrame:
+    """The first rows of the table with both columns and the merged value, and the first conflicts."""
+    rows = df.select(
+        order, quoted(a).cast("string").alias("value1"), quoted(b).cast("string").alias("value2"),
+        F.coalesce(quoted(a).cast("string"), quoted(b).cast("string")).alias("merged"),
+    )
+    first = rows.orderBy(order).limit(n).withColumn("part", F.lit("rows"))
+    clash = rows.filter("value1 <> value2").orderBy(order).limit(n_conflicts).withColumn("part", F.lit("conflicts"))
+    return first.unionByName(clash)
+
+
 def conflicts(df: DataFrame, a: str, b: str, ids: list[str]) -> DataFrame:
     """Rows where both columns are filled and differ, with the value a merge would keep."""
     return df.filter(quoted(a).cast("string") != quoted(b).cast("string")).select(

@@ -15,7 +15,7 @@ from catalign.operators import standardize as V
 from catalign.operators import units as U
 from catalign.operators.schema import attribute_columns, distinct_categories, measurable_columns
 from catalign.operators.vectors import cluster_flat, embed_ngrams, hierarchical_clusters
-from catalign.runtime import stage
+from catalign.runtime import stage, stages_of_job
 
 
 @dataclass
@@ -63,6 +63,15 @@ def merge_attributes(table: DataFrame, smart: bool = True, **methods) -> tuple[D
     return P.merge_all(table, chosen), pairs
 
 
+def harmonize_attributes(table: DataFrame, pairs: DataFrame, ids: list[str] | None = None) -> DataFrame:
+    """One column for each attribute: the columns that accepted pairs connect, coalesced in table order."""
+    known = {c for r in pairs.select("col1", "col2").collect() for c in (r["col1"], r["col2"])}
+    columns = [c for c in table.columns if c in known]
+    members = P.attribute_components(table.sparkSession, columns, pairs)
+    rest = [c for c in table.columns if c not in known]
+    return P.harmonize_attributes(table, members, rest if ids is None else ids)
+
+
 def standardize_catalog(table: DataFrame, mode: str = "simple") -> tuple[DataFrame, DataFrame]:
     """Standardize every numeric column whose unit is known well enough."""
     columns = [c for c in measurable_columns(table.columns) if c != "row_id"]
@@ -86,14 +95,17 @@ def run(spark: SparkSession, paths: list[str], out: str, **options) -> dict[str,
     """
     from catalign.sources.files import load_catalog, write_stage
 
-    loaded = load_catalog(spark, paths)
-    catalog = write_stage(loaded.catalog, f"{out}/catalog")
-    unread = spark.createDataFrame([(p,) for p in loaded.failed], "file string")
-    zero = F.lit(0).cast("bigint")
-    write_stage(loaded.counts.unionByName(unread.select("file", zero.alias("kept"), F.lit(None).cast("bigint").alias("dropped"))), f"{out}/files")
-    result = harmonize_categories(catalog, **options)
-    final = write_stage(result.final, f"{out}/harmonized")
-    write_stage(result.assignments, f"{out}/assignments")
-    merged = write_stage(merge_attributes(final)[0], f"{out}/merged")
-    write_stage(standardize_catalog(merged)[0], f"{out}/standardized")
-    return {name: f"{out}/{name}" for name in ("files", "catalog", "harmonized", "assignments", "merged", "standardized")}
+    with stages_of_job(spark):
+        loaded = load_catalog(spark, paths)
+        catalog = write_stage(loaded.catalog, f"{out}/catalog")
+        unread = spark.createDataFrame([(p,) for p in loaded.failed], "file string")
+        zero = F.lit(0).cast("bigint")
+        write_stage(loaded.counts.unionByName(unread.select("file", zero.alias("kept"), F.lit(None).cast("bigint").alias("dropped"))), f"{out}/files")
+        result = harmonize_categories(catalog, **options)
+        final = write_stage(result.final, f"{out}/harmonized")
+        write_stage(result.assignments, f"{out}/assignments")
+        merged, pairs = merge_attributes(final)
+        merged = write_stage(merged, f"{out}/merged")
+        write_stage(harmonize_attributes(final, pairs), f"{out}/attributes")
+        write_stage(standardize_catalog(merged)[0], f"{out}/standardized")
+    return {name: f"{out}/{name}" for name in ("files", "catalog", "harmonized", "assignments", "merged", "attributes", "standardized")}

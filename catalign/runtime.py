@@ -6,6 +6,7 @@ import math
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,6 +18,7 @@ SINGLE_TASK_ROWS = 1_000_000
 
 _local_dirs: dict[str, str] = {}
 _shipped: set[str] = set()
+_scopes: list[str] = []
 
 
 def build_session(app: str = "catalign", cores: int | str = "*", **conf: str) -> SparkSession:
@@ -86,14 +88,26 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """
     spark = df.sparkSession
     ship(spark)
-    path = f"{checkpoint_root(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:16]}"
+    folder = "/".join([checkpoint_root(spark), spark.sparkContext.applicationId, *_scopes[-1:]])
+    path = f"{folder}/{name}-{uuid.uuid4().hex[:16]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_stages(spark: SparkSession) -> None:
-    """Delete this application's stage tables, once nothing built on them is needed."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_root(spark)}/{spark.sparkContext.applicationId}")
+@contextmanager
+def stages_of_job(spark: SparkSession):
+    """Stage tables written inside are deleted at the end; nothing built on them may be used later."""
+    _scopes.append(f"job-{uuid.uuid4().hex[:16]}")
+    try:
+        yield
+    finally:
+        drop_stages(spark, _scopes.pop())
+
+
+def drop_stages(spark: SparkSession, scope: str = "") -> None:
+    """Delete this application's stage tables (those of one job), once nothing built on them is needed."""
+    folder = f"{checkpoint_root(spark)}/{spark.sparkContext.applicationId}/{scope}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(folder.rstrip("/"))
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 

@@ -8,7 +8,7 @@ from catalign.functions.strings import token_sort_text
 from catalign.operators import linkage as L
 from catalign.operators import params as P
 from catalign.operators import schema as S
-from catalign.runtime import stage
+from catalign.runtime import global_rank, stage
 from suite.views import ATTRIBUTES, CATALOG_CTE, LINE_ROWS, NA_LIST, catalog, cte, product_lines, table
 
 Q, SQL = {}, {}
@@ -102,9 +102,18 @@ REPORT = {"token_sort": 50, "jaro_winkler": 60}
 Q["similar_pairs_report"] = lambda spark, d: P.similar_pairs(
     staged_lines(spark, d, "row_id", "source_file", *ATTRIBUTES), ATTRIBUTES, **REPORT
 )
-SQL["similar_pairs_report"] = cte(*BASE) + """,
+# Names with their words sorted, and the longest common subsequence of each two, letter by letter.
+TOKEN_SORT_SQL = """worded AS (SELECT col1, col2, array_to_string(list_sort(string_split(col1, ' ')), ' ') AS n1,
+  array_to_string(list_sort(string_split(col2, ' ')), ' ') AS n2 FROM pairs),
+steps AS (SELECT col1, col2, n1, n2, 0 AS i, list_transform(range(len(n2) + 1), lambda x: 0) AS best FROM worded
+UNION ALL
+SELECT col1, col2, n1, n2, i + 1, list_reduce(range(1, len(n2) + 1), lambda acc, j: list_append(acc,
+  CASE WHEN n1[i + 1] = n2[j] THEN best[j] + 1 ELSE greatest(best[j + 1], acc[-1]) END), [0]) FROM steps WHERE i < len(n1)),
+token AS (SELECT col1, col2, 200.0 * best[-1] / (len(n1) + len(n2)) AS ts FROM steps
+  WHERE i = len(n1) AND 200.0 * best[-1] / (len(n1) + len(n2)) >= 50)"""
+SQL["similar_pairs_report"] = "WITH RECURSIVE " + ",\n".join(BASE) + f""",
 scored AS (SELECT col1, col2, floor(jaro_winkler_similarity(col1, col2) * 100) AS jw FROM pairs),
-token AS (SELECT * FROM (VALUES ('weight_kg', 'weight', 80.0)) t(col1, col2, ts))
+{TOKEN_SORT_SQL}
 SELECT col1, col2, CAST(coalesce(ts, jw) AS DOUBLE) AS score,
        CASE WHEN ts IS NULL THEN 'jaro_winkler' ELSE 'token_sort' END AS method,
        filled1, filled2, overlap, conflicts, sources_different, filled1 + filled2 - overlap AS potential
@@ -125,26 +134,43 @@ SELECT row_id, source_file, """ + ", ".join(ATTRIBUTES) + ", coalesce(weight_kg,
 
 def _harmonized(spark, d):
     df = staged_lines(spark, d, "row_id", "source_file", *ATTRIBUTES)
-    pairs = P.compatibility(df, ATTRIBUTES).filter("overlap = 0 AND sources_different")
-    members = P.attribute_components(spark, ATTRIBUTES, pairs)
+    members = P.attribute_components(spark, ATTRIBUTES, P.similar_pairs(df, ATTRIBUTES, **REPORT))
     return df, members
 
 
-Q["attribute_components"] = lambda spark, d: _harmonized(spark, d)[1]
-SQL["attribute_components"] = cte("RECURSIVE " + CATALOG_CTE, *BASE[1:]) + """,
-e AS (SELECT a.pos AS src, b.pos AS dst FROM facts JOIN names a ON a.column_name = col1 JOIN names b ON b.column_name = col2
-      WHERE overlap = 0 AND sources_different),
+# Accepted similar pairs, as in the report, and what they connect.
+ACCEPTED_CTE = f"""scored AS (SELECT col1, col2, floor(jaro_winkler_similarity(col1, col2) * 100) AS jw FROM pairs),
+{TOKEN_SORT_SQL},
+accepted AS (SELECT col1, col2 FROM facts JOIN scored USING (col1, col2) LEFT JOIN token USING (col1, col2)
+  WHERE (sources_different OR non_conflicting) AND (ts IS NOT NULL OR jw >= 60)),
+e AS (SELECT a.pos AS src, b.pos AS dst FROM accepted JOIN names a ON a.column_name = col1 JOIN names b ON b.column_name = col2),
 both_ways AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e),
 reach AS (SELECT pos AS id, pos AS hop FROM names UNION SELECT id, dst FROM reach JOIN both_ways ON src = hop),
-comp AS (SELECT id, min(hop) AS component FROM reach GROUP BY 1)
-SELECT n.column_name, f.column_name AS attribute, CAST(n.pos AS INT) AS position
-FROM comp JOIN names n ON n.pos = id JOIN names f ON f.pos = component"""
+comp AS (SELECT id, min(hop) AS component FROM reach GROUP BY 1),
+members AS (SELECT n.column_name, f.column_name AS attribute, n.pos FROM comp JOIN names n ON n.pos = id JOIN names f ON f.pos = component)"""
 
-Q["harmonize_attributes"] = lambda spark, d: (lambda df, members: P.harmonize_attributes(df, members, ["row_id"]))(
-    *_harmonized(spark, d)
-)
-SQL["harmonize_attributes"] = cte(CATALOG_CTE, LINES_CTE) + """
-SELECT row_id, coalesce(weight_kg, weight, dimensions) AS weight_kg, power, brand, manufacturer, vendor FROM clean"""
+Q["attribute_components"] = lambda spark, d: _harmonized(spark, d)[1]
+SQL["attribute_components"] = "WITH RECURSIVE " + ",\n".join([*BASE, ACCEPTED_CTE]) + """
+SELECT column_name, attribute, CAST(pos AS INT) AS position FROM members"""
+
+
+def harmonize_attributes(spark, d):
+    """The attributes in long form: their names are part of the result."""
+    df, members = _harmonized(spark, d)
+    merged = P.harmonize_attributes(df, members, ["row_id"])
+    return S.unpivot_values(merged, [c for c in merged.columns if c != "row_id"], ["row_id"])
+
+
+Q["harmonize_attributes"] = harmonize_attributes
+SQL["harmonize_attributes"] = "WITH RECURSIVE " + ",\n".join([*BASE, ACCEPTED_CTE]) + """
+SELECT row_id, attribute AS column_name, value FROM cells JOIN members USING (column_name)
+QUALIFY row_number() OVER (PARTITION BY row_id, attribute ORDER BY members.pos) = 1"""
+
+Q["merge_preview_rows"] = lambda spark, d: P.merge_preview_rows(clean_lines(spark, d), "brand", "vendor")
+SQL["merge_preview_rows"] = cte(CATALOG_CTE, LINES_CTE) + """,
+shown AS (SELECT row_id, brand AS value1, vendor AS value2, coalesce(brand, vendor) AS merged FROM clean)
+(SELECT *, 'rows' AS part FROM shown ORDER BY row_id LIMIT 10)
+UNION ALL (SELECT *, 'conflicts' AS part FROM shown WHERE value1 <> value2 ORDER BY row_id LIMIT 5)"""
 
 
 # Fuzzy joins of values
@@ -198,3 +224,29 @@ e AS (SELECT a.text AS src, b.text AS dst FROM titles a JOIN titles b ON a.text
       WHERE floor(jaro_winkler_similarity(a.text, b.text) * 100) >= 97),
 reach AS (SELECT text AS id, text AS hop FROM titles UNION SELECT id, dst FROM reach JOIN e ON src = hop)
 SELECT id AS text, min(hop) AS linked_to FROM reach GROUP BY 1"""
+
+# The same by the routes that only large inputs take otherwise.
+Q["fuzzy_blocked"] = lambda spark, d: L.fuzzy_pairs(titles(spark, d), "jaro_winkler", 94, block_rows=8)
+SQL["fuzzy_blocked"] = SQL["jaro_winkler_pairs"]
+
+
+def components_distributed(spark, d):
+    from catalign.operators.components import connected_components
+
+    part = table(spark, d, "part")
+    nodes = part.select(F.col("p_partkey").alias("id"))
+    edges = part.select(F.col("p_partkey").alias("src"), F.floor(F.col("p_partkey") / 2).cast("bigint").alias("dst")).filter("src % 7 <> 0 and dst > 0")
+    return connected_components(nodes, edges, single_task_edges=0)
+
+
+Q["components_distributed"] = components_distributed
+SQL["components_distributed"] = """WITH RECURSIVE e AS (SELECT p_partkey AS src, p_partkey // 2 AS dst FROM part WHERE p_partkey % 7 <> 0 AND p_partkey // 2 > 0),
+nodes AS (SELECT p_partkey AS id FROM part UNION SELECT dst FROM e),
+climb AS (SELECT id, id AS top FROM nodes UNION ALL SELECT id, dst FROM climb JOIN e ON src = top)
+SELECT id, min(top) AS component FROM climb WHERE id IN (SELECT p_partkey FROM part) GROUP BY 1"""
+
+Q["rank_distributed"] = lambda spark, d: global_rank(
+    table(spark, d, "part").select("p_partkey", "p_name"), [F.col("p_name").desc(), F.col("p_partkey")], "nth", single_task_rows=50
+)
+SQL["rank_distributed"] = """
+SELECT p_partkey, p_name, CAST(row_number() OVER (ORDER BY p_name DESC, p_partkey) - 1 AS BIGINT) AS nth FROM part"""

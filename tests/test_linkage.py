@@ -47,14 +47,14 @@ def test_token_sort_text(spark):
 
 
 @pytest.mark.parametrize("method,threshold", [("token_sort", 70), ("token_sort", 90), ("jaro_winkler", 80), ("jaro_winkler", 92)])
-@pytest.mark.parametrize("block_rows,few_texts", [(512, 4096), (8, 0)])
-def test_fuzzy_pairs_lose_nothing(spark, method, threshold, block_rows, few_texts):
+@pytest.mark.parametrize("block_rows", [512, 8])
+def test_fuzzy_pairs_lose_nothing(spark, method, threshold, block_rows):
     texts = some_texts(130)
     measure = MEASURES[method](threshold)
     want = {(a, b): measure.score(a, b) for a, b in itertools.combinations(texts, 2)}
     want = {k: v for k, v in want.items() if v >= threshold}
     df = spark.createDataFrame([(t,) for t in texts * 2], "text string")
-    got = fuzzy_pairs(df, method, threshold, block_rows=block_rows, few_texts=few_texts).collect()
+    got = fuzzy_pairs(df, method, threshold, block_rows=block_rows).collect()
     assert len(got) == len(want) and {(r[0], r[1]): r[2] for r in got} == want
 
 
@@ -66,7 +66,7 @@ def test_long_and_short_texts_meet(spark, method, threshold):
     measure = MEASURES[method](threshold)
     want = {(a, b) for a, b in itertools.combinations(texts, 2) if measure.score(a, b) >= threshold}
     df = spark.createDataFrame([(t,) for t in texts], "text string")
-    got = fuzzy_pairs(df, method, threshold, block_rows=16, few_texts=0).collect()
+    got = fuzzy_pairs(df, method, threshold, block_rows=16).collect()
     assert want and {(r[0], r[1]) for r in got} == want and len(got) == len(want)
 
 
