@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,8 @@ from catalign.runtime import SINGLE_TASK_ROWS, global_rank, spread, stage
 
 BLOCK_VECTORS = 1024
 MAX_PIVOTS = 1024
+# Parts of one cell are numbered below this.
+MAX_PARTS = 1 << 32
 WEIGHTED_LEVELS = 3
 
 
@@ -73,6 +77,20 @@ def _unit(vector: Column) -> Column:
     return F.get(F.transform(F.array(pair), scaled), F.lit(0))
 
 
+def _staged_vectors(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All ids with their ``by``, and ``(id, by, raw)`` of the vectors, computed once.
+
+    A vector that is null or holds a null has no neighbours; lengths must be equal.
+    """
+    by = F.col("by") if "by" in vectors.columns else F.lit(0)
+    every = stage(vectors.select("id", by.alias("by"), F.col("embedding").cast("array<double>").alias("raw")), "raw")
+    whole = every.filter(F.col("raw").isNotNull() & ~F.exists("raw", lambda x: x.isNull()))
+    low, high = whole.agg(F.min(F.size("raw")), F.max(F.size("raw"))).first()
+    if low != high:
+        raise ValueError(f"vectors of {low} and of {high} dimensions can't be compared")
+    return every.select("id", "by"), whole
+
+
 def _distinct_vectors(vectors: DataFrame, collapse: bool) -> tuple[DataFrame, DataFrame | None]:
     """Unit vectors with the number of copies they stand for, and who stands for whom.
 
@@ -80,10 +98,9 @@ def _distinct_vectors(vectors: DataFrame, collapse: bool) -> tuple[DataFrame, Da
     the rows share costs one row per task. Zero vectors have no direction and
     stay apart.
     """
-    by = F.col("by") if "by" in vectors.columns else F.lit(0)
-    rows = vectors.select("id", by.alias("by"), F.col("embedding").cast("array<double>").alias("raw"))
     if not collapse:
-        return stage(rows.select("id", "by", _unit(F.col("raw")).alias("vec"), F.lit(1).cast("bigint").alias("copies")), "vectors"), None
+        return stage(vectors.select("id", "by", _unit(F.col("raw")).alias("vec"), F.lit(1).cast("bigint").alias("copies")), "vectors"), None
+    rows = vectors
     apart = F.when(F.exists("raw", lambda x: x != 0), F.lit(None)).otherwise(F.col("id"))
     groups = rows.groupBy("by", "raw", apart.alias("_apart")).agg(
         F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")
@@ -97,9 +114,8 @@ def _compared(vectors: DataFrame, eps: float, block_vectors: int) -> DataFrame:
     """Vectors repeated for every block pair they take part in: ``+ lo, hi, side``."""
     total = vectors.count()
     if total <= block_vectors:
-        return vectors.select("*", F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(0).alias("side"))
-    import numpy as np
-
+        zero = F.lit(0).cast("bigint")
+        return vectors.select("*", zero.alias("lo"), zero.alias("hi"), F.lit(0).alias("side"))
     pivots = np.array(
         [
             r["vec"]
@@ -115,32 +131,31 @@ def _compared(vectors: DataFrame, eps: float, block_vectors: int) -> DataFrame:
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.schema.fields)
     placed = stage(vectors.mapInPandas(assign, schema + ", cell int, angle double"), "placed")
-    # At most MAX_PIVOTS cells per equality key.
-    cells = placed.groupBy("by", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("radius")).collect()
     between = np.arccos(np.clip(pivots @ pivots.T, -1, 1))
     reach = math.acos(max(-1.0, 1 - eps)) + 1e-6
-    blocks, first = {}, 0
-    for c in sorted(cells, key=lambda c: (str(c["by"]), c["cell"])):
-        parts = math.ceil(c["n"] / block_vectors)
-        blocks[(c["by"], c["cell"])] = (first, parts, c["radius"])
-        first += parts
-    plan = []
-    for (by, cell), (start, parts, radius) in blocks.items():
-        partners = [
-            (start2, start2 + parts2 - 1)
-            for (by2, cell2), (start2, parts2, radius2) in blocks.items()
-            if by2 == by and (cell2 == cell or between[cell, cell2] - radius - radius2 <= reach)
-        ]
-        plan.append((by, cell, start, parts, partners))
-    by_type = vectors.schema["by"].dataType.simpleString()
-    plan_rows = vectors.sparkSession.createDataFrame(
-        plan, f"by {by_type}, cell int, start int, parts int, partners array<struct<lo:int,hi:int>>"
+
+    @F.pandas_udf("double")
+    def apart(one: pd.Series, other: pd.Series) -> pd.Series:
+        return pd.Series(between[one.to_numpy(), other.to_numpy()])
+
+    # A crowded cell is cut by a hash into parts; a block is one part of one cell of one ``by``.
+    cells = placed.groupBy("by", "cell").agg(
+        F.ceil(F.count(F.lit(1)) / block_vectors).cast("int").alias("parts"), F.max("angle").alias("radius")
     )
-    block = F.col("start") + F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    ranges = placed.join(stage(plan_rows, "plan"), ["by", "cell"]).select(
-        *vectors.columns, block.alias("block"), F.explode("partners").alias("r")
+    cells = stage(cells, "cells")
+    other = cells.select("by", *[F.col(c).alias(f"{c}2") for c in ("cell", "parts", "radius")])
+    met = (
+        cells.join(other, "by")
+        .filter((F.col("cell") == F.col("cell2")) | (apart("cell", "cell2") - F.col("radius") - F.col("radius2") <= reach))
+        .select("by", "cell", "parts", "cell2", "parts2")
+    )
+    block = lambda cell, part: F.col(cell).cast("bigint") * MAX_PARTS + part
+    own = F.pmod(F.xxhash64("id"), F.col("parts"))
+    met = placed.join(stage(met, "plan"), ["by", "cell"]).select(
+        *vectors.columns,
+        block("cell", own).alias("block"),
+        F.explode(F.sequence(block("cell2", F.lit(0)), block("cell2", F.col("parts2") - 1))).alias("partner"),
     )
-    met = ranges.select(*vectors.columns, "block", F.explode(F.sequence("r.lo", "r.hi")).alias("partner"))
     return met.select(
         *vectors.columns,
         F.least("block", "partner").alias("lo"),
@@ -151,8 +166,6 @@ def _compared(vectors: DataFrame, eps: float, block_vectors: int) -> DataFrame:
 
 def _sides(pdf):
     """Ids, vectors and the matrix of cosine distances of one block pair."""
-    import numpy as np
-
     left = pdf[pdf["side"] == 0]
     alone = bool((pdf["lo"] == pdf["hi"]).iloc[0])
     right = left if alone else pdf[pdf["side"] == 1]
@@ -170,10 +183,8 @@ def cosine_pairs(vectors: DataFrame, eps: float, collapse: bool = True, block_ve
     Copies of a vector are represented by the smallest id (``collapse=False``
     lists them like any other pair).
     """
-    import numpy as np
-    import pandas as pd
-
-    distinct, _ = _distinct_vectors(vectors, collapse)
+    _, whole = _staged_vectors(vectors)
+    distinct, _ = _distinct_vectors(whole, collapse)
     id_type = vectors.schema["id"].dataType.simpleString()
 
     def near(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -206,13 +217,11 @@ def dbscan(
     ``eps`` is a core. Linked cores share a cluster, numbered from 0 by the
     smallest core id; another vector near a core takes the smallest such number;
     the rest is noise (-1). With ``by``, vectors only meet within the same value
-    and clusters are numbered across all of them, ordered by it first.
+    and clusters are numbered across all of them, ordered by it first. Null vectors are noise.
     """
-    import numpy as np
-    import pandas as pd
-
     id_type = vectors.schema["id"].dataType.simpleString()
-    distinct, copies = _distinct_vectors(vectors, True)
+    every, whole = _staged_vectors(vectors)
+    distinct, copies = _distinct_vectors(whole, True)
 
     def tally(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right, alone, distance = _sides(pdf)
@@ -274,7 +283,7 @@ def dbscan(
         known = stage(known, "known")
         same = copies.join(known.withColumnRenamed("id", "stands_for"), "stands_for").select("id", "cluster")
         known = known.unionByName(same)
-    return vectors.select("id", *(["by"] if "by" in vectors.columns else [])).join(known, "id", "left").withColumn(
+    return every.select("id", *(["by"] if "by" in vectors.columns else [])).join(known, "id", "left").withColumn(
         "cluster", F.coalesce("cluster", F.lit(NOISE))
     )
 

@@ -62,6 +62,16 @@ SQL["dbscan_every_vector"] = "WITH RECURSIVE " + VEC_CTE + ",\n" + dbscan_sql(0.
 SELECT v.id, coalesce(cluster, -1) AS cluster FROM v LEFT JOIN labels USING (id)"""
 
 
+Q["dbscan_blocked"] = lambda spark, d: X.dbscan(vectors(spark, d), 0.65, 3, block_vectors=40)
+SQL["dbscan_blocked"] = SQL["dbscan"]
+
+Q["dbscan_null_vectors"] = lambda spark, d: X.dbscan(
+    vectors(spark, d).withColumn("embedding", F.when(F.col("id") % 5 != 0, F.col("embedding"))), 0.65, 3
+)
+SQL["dbscan_null_vectors"] = "WITH RECURSIVE " + VEC_CTE + ",\nw AS (SELECT * FROM v WHERE id % 5 <> 0),\n" + dbscan_sql(0.65, 3, "w") + """
+SELECT v.id, coalesce(cluster, -1) AS cluster FROM v LEFT JOIN labels USING (id)"""
+
+
 def ngram_sql(text, dims=64, n=3):
     padded = f"('^' || lower({text}) || '$')"
     return f"""list_transform(range({dims}), lambda d: CAST(len(list_filter(

@@ -108,3 +108,12 @@ def test_strategies(spark):
     cats = spark.createDataFrame([("A/x", 0), ("B/x", 1), ("B/y", 2)], "category string, first_row_id long")
     for strategy in ("weighted_combined", "detailed_first", "parent_fallback"):
         assert X.hierarchical_clusters(cats, strategy=strategy).count() == 3
+
+
+def test_null_vectors_are_noise_and_lengths_must_agree(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [1.0, 0.1]), (4, [None, 1.0])], "id long, embedding array<double>")
+    got = {r["id"]: r["cluster"] for r in X.dbscan(df, 0.2, 2).collect()}
+    assert got == {1: 0, 2: -1, 3: 0, 4: -1}
+    assert [(r["id1"], r["id2"]) for r in X.cosine_pairs(df, 0.2).collect()] == [(1, 3)]
+    with pytest.raises(ValueError):
+        X.dbscan(df.unionByName(spark.createDataFrame([(5, [1.0])], df.schema)))
