@@ -253,6 +253,21 @@ def best_extraction(extractions: Column) -> Column:
     )
 
 
+def best_of_text(text: Column) -> Column:
+    """The best of all extractions. No pattern can beat a quantity whose unit is in the dictionary,
+    so patterns are only looked for without one."""
+    sure = QUANTITY_CONFIDENCE["exact"]
+    return let(
+        quantity_extractions(text),
+        lambda found: let(
+            best_extraction(found),
+            lambda best: F.when(best["confidence"] >= sure, best).otherwise(
+                best_extraction(F.concat(found, pattern_extractions(text)))
+            ),
+        ),
+    )
+
+
 def _any_in(text: Column | str, words: list[str], whole_word: bool) -> Column | bool:
     if whole_word:
         pattern = r"(?<![\p{L}\p{N}_])(" + "|".join(re.escape(w) for w in words) + r")(?![\p{L}\p{N}_])"
@@ -385,7 +400,7 @@ def standardize_best(value: Column, fallback_unit: Column, fmt: str = "number_un
     sure = lambda b: F.when(
         b.isNull(), bare
     ).when(b["confidence"] >= CONFIDENCE_THRESHOLD, formatted(b["number"], b["unit"], fmt))
-    return F.coalesce(F.when(value.isNotNull(), let(best_extraction(all_extractions(value)), sure)), value)
+    return F.coalesce(F.when(value.isNotNull(), let(best_of_text(value), sure)), value)
 
 
 def converted(value: Column) -> Column:
