@@ -130,19 +130,22 @@ def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
     """Learn from ``text`` and ``lang`` of rows that aren't held out, have a language and letters.
 
     The sample holds at most ``rows_per_language`` whole texts of each of the MAX_LANGUAGES most
-    frequent languages, those with the lowest hash of id and text. Each text also gives two spans of
-    a few words from random places, so that short texts are learned too. Executors turn texts into
-    bucket counts, of which the driver gets at most BUCKETS a text.
+    frequent languages, those with the lowest hash of the id. A limit on the hash, set from the
+    language's row count, leaves a few times that many rows before they are sorted. Each text also
+    gives two spans of a few words from random places, so that short texts are learned too.
+    Executors turn texts into bucket counts, of which the driver gets at most BUCKETS a text.
     """
     known = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).filter(
         (fold_of(F.col("doc_id")) != 0) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")
     )
-    common = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).select("lang")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id", "h")
-    # Ids first: only the chosen rows' texts are moved.
-    keys = known.select("lang", "doc_id", F.xxhash64("text").alias("h")).distinct().withColumn("n", F.row_number().over(order))
-    chosen = keys.filter(F.col("n") <= rows_per_language).join(common, "lang", "left_semi").drop("n")
-    rows = known.withColumn("h", F.xxhash64("text")).join(chosen, ["lang", "doc_id", "h"], "left_semi")
+    spread = 1 << 40
+    known = known.withColumn("u", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(spread))).withColumn("h", F.xxhash64("text"))
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    limits = [F.lit(x) for r in counts for x in (r["lang"], int(min(1.0, 4 * rows_per_language / r["count"]) * spread))]
+    limit = F.try_element_at(F.create_map(*limits), "lang") if limits else F.lit(0)
+    near = known.filter(F.col("u") < limit).dropDuplicates(["lang", "doc_id", "h"])
+    order = Window.partitionBy("lang").orderBy("u", "doc_id", "h")
+    rows = near.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= rows_per_language)
 
     def counted(batches):
         import pyarrow as pa
