@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import base64
 import uuid
+from itertools import chain
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Pieces a worker remembers the ids of; the memory is emptied when it is full.
-CACHED_PIECES = 300_000
+# Pieces and pairs of tokens a worker remembers; a memory is emptied when it is full.
+CACHED_PIECES, CACHED_PAIRS = 400_000, 1_000_000
+FIRST, SECOND = itemgetter(0), itemgetter(1)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -19,6 +22,22 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+class _Pieces(dict):
+    """Ids of pieces, as numbers and as text, found when first asked for."""
+
+    def __init__(self, encoder: BpeEncoder):
+        self.encoder = encoder
+
+    def __missing__(self, piece: str) -> tuple[list[int], str]:
+        ids = self.encoder.encode_piece(piece.encode())
+        found = (ids, ",".join(map(str, ids)))
+        if len(piece) <= 64:
+            if len(self) >= CACHED_PIECES:
+                self.clear()
+            self[piece] = found
+        return found
+
+
 class BpeEncoder:
     """Ids of a text by ``ranks``, each match of ``pattern`` encoded on its own.
 
@@ -42,7 +61,7 @@ class BpeEncoder:
                 self.automaton.add_word(token.decode("latin-1"), (len(token), rank))
         self.automaton.make_automaton()
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.pieces: dict[str, tuple[list[int], str]] = {}
+        self.pieces = _Pieces(self)
 
     def merge(self, text: bytes) -> list[int]:
         """The merges themselves, for short byte strings: lowest rank first, leftmost of equals."""
@@ -57,7 +76,7 @@ class BpeEncoder:
     def goes_with(self, left: int, right: int) -> bool:
         known = self.pairs.get((left, right))
         if known is None:
-            if len(self.pairs) >= 4 * CACHED_PIECES:
+            if len(self.pairs) >= CACHED_PAIRS:
                 self.pairs.clear()
             known = self.merge(self.tokens[left] + self.tokens[right]) == [left, right]
             self.pairs[left, right] = known
@@ -67,47 +86,44 @@ class BpeEncoder:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        # All tokens at each place, shortest first.
+        letters = piece.decode("latin-1")
+        # The longest tokens from left to right are the answer wherever they go together.
+        longest = [rank for _, (_, rank) in self.automaton.iter_long(letters)]
+        if all(map(self.goes_with, longest, longest[1:])):
+            return longest
+        # Ends and ranks of all tokens at each place, shortest first.
         at: list[list[tuple[int, int]]] = [[] for _ in piece]
-        for end, (size, rank) in self.automaton.iter(piece.decode("latin-1")):
-            at[end - size + 1].append((size, rank))
-        dead = bytearray(len(piece) + 1)
-        chosen: list[tuple[int, int]] = []  # place, index into at[place]
-        place, option = 0, len(at[0]) - 1
+        for end, (size, rank) in self.automaton.iter(letters):
+            at[end - size + 1].append((end + 1, rank))
+        dead, pairs = bytearray(len(piece) + 1), self.pairs
+        chosen: list[int] = []
+        places: list[int] = []
+        place = 0
         while place < len(piece):
-            last = at[chosen[-1][0]][chosen[-1][1]][1] if chosen else None
-            while option >= 0:
-                size, rank = at[place][option]
-                if not dead[place + size] and (last is None or self.goes_with(last, rank)):
-                    break
-                option -= 1
-            if option >= 0:
-                chosen.append((place, option))
-                place += size
-                option = len(at[place]) - 1 if place < len(piece) else -1
+            options = at[place]
+            while options:
+                end, rank = options.pop()
+                if not dead[end]:
+                    if not chosen:
+                        break
+                    fits = pairs.get((chosen[-1], rank))
+                    if self.goes_with(chosen[-1], rank) if fits is None else fits:
+                        break
             else:
+                # What is popped stays popped: a place is left backwards only when it is dead.
                 dead[place] = 1
-                place, option = chosen.pop()
-                option -= 1
-        return [at[p][o][1] for p, o in chosen]
+                place = places.pop()
+                chosen.pop()
+                continue
+            chosen.append(rank)
+            places.append(place)
+            place = end
+        return chosen
 
     def encode(self, text: str) -> tuple[list[int], str]:
         """The ids, and the same as decimal numbers joined by commas."""
-        ids: list[int] = []
-        digits: list[str] = []
-        pieces = self.pieces
-        for piece in self.pattern.findall(text):
-            known = pieces.get(piece)
-            if known is None:
-                if len(pieces) >= CACHED_PIECES:
-                    pieces.clear()
-                own = self.encode_piece(piece.encode())
-                known = (own, ",".join(map(str, own)))
-                if len(piece) <= 64:
-                    pieces[piece] = known
-            ids += known[0]
-            digits.append(known[1])
-        return ids, ",".join(digits)
+        known = list(map(self.pieces.__getitem__, self.pattern.findall(text)))
+        return list(chain.from_iterable(map(FIRST, known))), ",".join(map(SECOND, known))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
