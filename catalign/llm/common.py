@@ -8,7 +8,6 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from catalign.operators.components import connected_components
 from catalign.runtime import stage
@@ -16,6 +15,8 @@ from catalign.runtime import stage
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Size of a key filter: 2^27 bits are 16 MB whatever the number of keys.
 FILTER_BITS = 1 << 27
+# Members of a bucket that are compared with as many others at once.
+BLOCK_MEMBERS = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,79 +96,106 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def ordered_pair(a: Column, b: Column) -> list[Column]:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+def with_row_ids(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` written down with a unique long ``id``; it is given while writing, so it stays."""
+    return stage(rows.withColumn("id", F.monotonically_increasing_id()), name)
 
 
 def linked_groups(
     members: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
-    near: Callable[[Column, Column], Column] | None = None,
+    near: Callable[[Column, Column], Column],
+    compare: Callable[[dict, dict], tuple[np.ndarray, np.ndarray]],
+    payload: DataFrame | None = None,
 ) -> DataFrame:
     """``(id, component)`` of the ids that links join, links being verified pairs of a bucket.
 
-    ``members(key, id)`` are distinct rows; ids that share a key are candidates. ``verify`` gets
-    ``(a, b)`` and returns the pairs that hold; ``near`` is a cheap native condition on a pair.
+    ``members(key, id, tag)`` are distinct rows of longs; ids that share a key are candidates,
+    ``tag`` belongs to the id. ``verify`` gets ``(a, b)`` and returns the pairs that hold; ``near``
+    is a cheap native condition on two tags, in either order, that links meet.
 
     No bucket is expanded into all its pairs. Each member is first compared with one
     representative of its bucket, twice with different ones; what is linked by then is one
     component. Then only members of *different* components that still share a bucket are
-    compared with each other, so that no link between two components is lost.
+    compared with each other, so that no link between two components is lost. That is done in
+    blocks of members, whose pairs stay inside a task: ``compare`` gets two blocks as arrays ``id``,
+    ``tag``, ``at`` (the component) and what ``payload(id, data)`` adds, and returns the positions of
+    the pairs worth verifying. So a bucket of many that aren't linked makes few rows.
     """
-    near = near or (lambda a, b: F.lit(True))
-    id_type = members.schema["id"].dataType
     buckets = stage(
         members.groupBy("key")
-        .agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"))
+        .agg(
+            F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"),
+            F.min("tag").alias("tag_lo"), F.max("tag").alias("tag_hi"),
+        )
         .filter("n > 1 and lo <> hi"),
         "buckets",
-    )
+    )
     large = buckets.filter("n > 2").select("key", "lo")
     # Buckets of two are settled by their ends; only larger ones need their members.
-    left = stage(
-        KeyFilter(large, "key").thin(members.select("key", "id"), "key").join(large, "key"), "members"
-    )
-    pairs = buckets.select(F.col("lo").alias("a"), F.col("hi").alias("b")).unionByName(
-        left.filter("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b"))
-    )
-    tested = stage(pairs.filter(near(F.col("a"), F.col("b"))).distinct(), "pairs")
+    left = stage(KeyFilter(large, "key").thin(members, "key").join(large, "key"), "members")
+    firsts = left.filter("id = lo").select("key", F.col("tag").alias("lo_tag"))
+    two = buckets.filter("n = 2").filter(near(F.col("tag_lo"), F.col("tag_hi")))
+    more = left.filter("id <> lo").join(firsts, "key").filter(near(F.col("tag"), F.col("lo_tag")))
+    pairs = two.select(F.col("lo").alias("a"), F.col("hi").alias("b")).unionByName(more.select(F.col("lo").alias("a"), F.col("id").alias("b")))
+    tested = stage(pairs.distinct(), "pairs")
     links = stage(verify(tested), "links")
-    groups = _components(links, id_type)
+    groups = _components(links)
     for final in (False, True):
-        known = stage(
-            left.select("key", "id")
-            .join(groups, "id", "left")
-            .select("key", "id", F.coalesce("component", "id").alias("at")),
-            "known",
-        )
-        order = F.struct(F.xxhash64("id", F.lit(17)), F.col("id"), F.col("at"))
-        mixed = stage(
-            known.groupBy("key")
-            .agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.max(order).alias("rep"))
-            .filter("lo <> hi")
-            .select("key", F.col("rep.id").alias("rep"), F.col("rep.at").alias("rep_at")),
-            "mixed",
-        )
+        known = left.select("key", "id", "tag").join(groups, "id", "left")
+        known = stage(known.select("key", "id", "tag", F.coalesce("component", "id").alias("at")), "known")
+        mixed = known.groupBy("key").agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.max(F.xxhash64("id")).alias("rep"))
+        mixed = stage(mixed.filter("lo <> hi").select("key", "rep"), "mixed")
         if mixed.isEmpty():
             break
-        rest = known.join(mixed, "key")
+        rest = stage(known.join(mixed, "key"), "rest")
         if final:
-            rest = stage(rest.select("key", "id", "at"), "mixed-members")
-            other = rest.select(F.col("key").alias("key2"), F.col("id").alias("id2"), F.col("at").alias("at2"))
-            pairs = rest.join(other, F.expr("key = key2 and at < at2") & near(F.col("id"), F.col("id2")))
-            pairs = pairs.select(*ordered_pair(F.col("id"), F.col("id2")))
+            pairs = _compared_blocks(rest if payload is None else rest.join(payload, "id"), compare)
         else:
-            pairs = rest.filter(F.expr("at <> rep_at") & near(F.col("id"), F.col("rep")))
-            pairs = pairs.select(*ordered_pair(F.col("id"), F.col("rep")))
+            # The representative is the member of the highest hash.
+            reps = rest.filter(F.xxhash64("id") == F.col("rep")).groupBy("key").agg(F.min(F.struct("id", "tag", "at")).alias("r"))
+            reps = reps.select("key", *[F.col(f"r.{c}").alias(f"{c}2") for c in ("id", "tag", "at")])
+            pairs = rest.join(reps, "key").filter(F.expr("at <> at2") & near(F.col("tag"), F.col("tag2")))
+            pairs = pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
         fresh = stage(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         found = stage(verify(fresh), "links")
         links, tested = links.unionByName(found), tested.unionByName(fresh)
         if not found.isEmpty():
-            groups = _components(links, id_type)
+            groups = _components(links)
     return groups
 
 
-def _components(links: DataFrame, id_type: T.DataType) -> DataFrame:
+def _compared_blocks(rest: DataFrame, compare) -> DataFrame:
+    """Pairs ``(a, b)`` of different components in a bucket that ``compare`` keeps."""
+    fields = [c for c in ("id", "tag", "at", "data") if c in rest.columns]
+    sizes = rest.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("id", F.lit(5)), F.col("parts")).cast("int")
+    split = rest.join(sizes, "key").groupBy("key", "parts", part.alias("part"))
+    # A block holds about BLOCK_MEMBERS members: the bucket was cut by a hash into that many parts.
+    packed = stage(split.agg(F.collect_list(F.struct(*fields)).alias("rows")), "blocks")
+    left = packed.select("key", F.col("rows").alias("one"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("part"))
+    met = left.join(packed.select("key", "part", F.col("rows").alias("two")), ["key", "part"]).select("one", "two")
+
+    def kept(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            sides = []
+            for column in batch.columns:
+                rows = column.flatten()
+                ends = np.cumsum(column.value_lengths().to_numpy())
+                own = {f.name: rows.field(i) for i, f in enumerate(rows.type)}
+                own = {n: v.to_numpy(zero_copy_only=False) for n, v in own.items()}
+                sides.append([{n: v[s:e] for n, v in own.items()} for s, e in zip(np.append(0, ends[:-1]), ends)])
+            for one, two in zip(*sides):
+                i, j = compare(one, two)
+                a, b = one["id"][i], two["id"][j]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return met.mapInArrow(kept, "a bigint, b bigint")
+
+
+def _components(links: DataFrame) -> DataFrame:
     edges = links.select(F.col("a").alias("src"), F.col("b").alias("dst"))
     nodes = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
     return stage(connected_components(nodes, edges, single_task_edges=0), "groups")

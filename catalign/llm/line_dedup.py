@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalign.llm.common import KeyFilter, free_name, linked_groups, mix64, texts_of
+from catalign.llm.common import KeyFilter, free_name, linked_groups, mix64, texts_of, with_row_ids
 from catalign.runtime import stage
 
 # Largest number of differing SimHash bits, and the blocks the 64 bits are cut into. At distance
@@ -28,24 +28,32 @@ def normal_line(line: bytes) -> bytes:
 
 
 def simhashes(lines: list[list[bytes]]) -> np.ndarray:
-    """SimHash of each line's words (at least one each): the majority bit of their 64-bit hashes."""
+    """SimHash of each line's distinct words (at least one each): the majority bit of their 64-bit hashes.
+
+    Repeats don't count, else the few most frequent words of a language would decide for long lines.
+    """
     import xxhash
 
+    lines = [set(words) for words in lines]
     counts = np.array([len(w) for w in lines], np.int64)
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for words in lines for w in words), np.uint64, int(counts.sum()))
-    out = np.empty(len(lines), np.uint64)
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(lines)), np.uint64, int(counts.sum()))
     ends = np.cumsum(counts)
-    start = 0
-    while start < len(lines):
+    # Runs of at most 255 words of a line: their bits are added as bytes, eight in a number.
+    runs = -(-counts // 255)
+    first = np.cumsum(runs) - runs
+    starts = np.repeat(ends - counts, runs) + 255 * (np.arange(int(runs.sum())) - np.repeat(first, runs))
+    sums = np.empty((len(starts), 64), np.uint8)
+    at = 0
+    while at < len(starts):
         # About 200,000 words at once: their bits take 13 MB.
-        first = int(ends[start] - counts[start])
-        stop = max(start + 1, int(np.searchsorted(ends, first + 200_000, side="right")))
-        bits = np.unpackbits(hashes[first : ends[stop - 1]].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        sums = np.add.reduceat(bits, ends[start:stop] - counts[start:stop] - first, axis=0, dtype=np.int32)
-        majority = (2 * sums > counts[start:stop, None]).astype(np.uint8)
-        out[start:stop] = np.packbits(majority, axis=1, bitorder="little").view(np.uint64).ravel()
-        start = stop
-    return out
+        stop = max(at + 1, int(np.searchsorted(starts, starts[at] + 200_000)))
+        last = starts[stop] if stop < len(starts) else len(hashes)
+        bits = np.unpackbits(hashes[starts[at] : last].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        sums[at:stop] = np.add.reduceat(bits.view(np.uint64), starts[at:stop] - starts[at], axis=0).view(np.uint8)
+        at = stop
+    ones = np.add.reduceat(sums, first, axis=0, dtype=np.int32) if len(lines) else sums
+    majority = (2 * ones > counts[:, None]).astype(np.uint8)
+    return np.packbits(majority, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
 def edit_similar(a: str, b: str, percent: int) -> bool:
@@ -77,16 +85,18 @@ def edit_similar(a: str, b: str, percent: int) -> bool:
     return False
 
 
+def _slices(batches, rows: int):
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def _slide(a: str, b: str, i: int, j: int) -> int:
     while i < len(a) and j < len(b) and a[i] == b[j]:
         i, j = i + 1, j + 1
     return i
 
 
-def _distance(a: Column, b: Column) -> Column:
-    return F.bit_count(a["sim"].bitwiseXOR(b["sim"]))
-
-
 def block_keys(sims: np.ndarray, distance: int, blocks: int) -> np.ndarray:
     """For each SimHash a 64-bit key per choice of blocks - distance blocks."""
     edges = np.linspace(0, 64, blocks + 1).astype(int)
@@ -126,10 +136,19 @@ def repeated_lines(
         import pyarrow as pa
         import xxhash
 
+        longs = lambda x: pa.array(np.asarray(x, np.uint64).view(np.int64))
+        empty = lambda: ([], [], [], [], [], [])
+
+        def made(ids, owner, number, words, h1, h2, _):
+            columns = [ids.take(pa.array(owner)), pa.array(number, pa.int32())]
+            columns += [longs(simhashes(words)), longs(h1), longs(h2)]
+            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "line", "sim", "h1", "h2"])
+
         for batch in batches:
-            owner, number, words, h1, h2 = [], [], [], [], []
-            for row, text in enumerate(texts_of(batch.column(1))):
-                for nth, line in enumerate(text.split(b"\n")):
+            rows = empty()
+            owner, number, words, h1, h2, sizes = rows
+            for row in range(batch.num_rows):
+                for nth, line in enumerate(texts_of(batch.column(1).slice(row, 1))[0].split(b"\n")):
                     own = line.translate(FOLD).split()
                     whole = b" ".join(own)
                     if own and len(whole) >= min_chars:
@@ -139,36 +158,36 @@ def repeated_lines(
                         key = xxhash.xxh3_128_intdigest(whole)
                         h1.append(key >> 64)
                         h2.append(key & (2**64 - 1))
-            if not owner:
-                continue
-            longs = lambda x: pa.array(np.asarray(x, np.uint64).view(np.int64))
-            columns = [batch.column(0).take(pa.array(owner)), pa.array(number, pa.int32())]
-            columns += [longs(simhashes(words)), longs(h1), longs(h2)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "line", "sim", "h1", "h2"])
+                        sizes.append(len(own))
+                # The words of a few thousand lines are in memory at once.
+                if len(sizes) >= 4000 or sum(sizes[-200:]) >= 200_000:
+                    yield made(batch.column(0), *rows)
+                    rows = empty()
+                    owner, number, words, h1, h2, sizes = rows
+            if owner:
+                yield made(batch.column(0), *rows)
 
     found = rows_in.mapInArrow(hashed, f"doc_id {kind}, line int, sim bigint, h1 bigint, h2 bigint")
     lines = stage(found, "lines")
     first = F.min(F.struct("doc_id", "line")).alias("first")
-    distinct = stage(lines.groupBy("sim", "h1", "h2").agg(first, F.count("*").alias("n")), "distinct")
+    distinct = with_row_ids(lines.groupBy("sim", "h1", "h2").agg(first, F.count("*").alias("n")), "distinct")
 
     def keyed(batches):
         import pyarrow as pa
 
         for batch in batches:
             keys = block_keys(batch.column(0).to_numpy().view(np.uint64), distance, blocks)
-            repeat = lambda i: pa.array(np.repeat(batch.column(i).to_numpy(), keys.shape[1]))  # noqa: B023, E731
-            columns = [pa.array(keys.ravel().view(np.int64)), *map(repeat, range(3))]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "sim", "h1", "h2"])
+            sims, ids = (pa.array(np.repeat(batch.column(i).to_numpy(), keys.shape[1])) for i in range(2))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), ids, sims], names=["key", "id", "tag"])
 
-    long = "key bigint, sim bigint, h1 bigint, h2 bigint"
-    members = distinct.select("sim", "h1", "h2").mapInArrow(keyed, long).select("key", F.struct("sim", "h1", "h2").alias("id"))
+    members = distinct.select("sim", "id").mapInArrow(keyed, "key bigint, id bigint, tag bigint")
 
     def normal(batches):
         """Lines that may be needed, with their key."""
         import pyarrow as pa
         import xxhash
 
-        for batch in batches:
+        for batch in _slices(batches, 500):
             whole = [
                 n for text in texts_of(batch.column(0)) for n in map(normal_line, text.split(b"\n")) if len(n) >= min_chars
             ]
@@ -191,22 +210,24 @@ def repeated_lines(
             yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
 
     def verify(pairs: DataFrame) -> DataFrame:
-        ends = pairs.selectExpr("a.h1 as h1", "a.h2 as h2").unionByName(pairs.selectExpr("b.h1 as h1", "b.h2 as h2"))
-        needed = stage(ends.distinct(), "needed")
+        ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+        needed = stage(ends.join(distinct.select("id", "h1", "h2"), "id"), "needed")
         wanted[:] = [KeyFilter(needed, "h1")]
         texts = rows_in.select("text").mapInArrow(normal, "h1 bigint, h2 bigint, normal string")
-        texts = texts.groupBy("h1", "h2").agg(F.first("normal").alias("normal"))
-        texts = stage(texts.join(needed, ["h1", "h2"], "left_semi"), "texts")
-        side = lambda s: texts.select(F.struct("h1", "h2").alias(f"_{s}"), F.col("normal").alias(f"text_{s}"))
-        at = lambda s: F.struct(F.col(f"{s}.h1").alias("h1"), F.col(f"{s}.h2").alias("h2")).alias(f"_{s}")
-        both = pairs.select("a", "b", at("a"), at("b")).join(side("a"), "_a").join(side("b"), "_b")
-        both = both.select("a", "b", "text_a", "text_b")
-        return both.mapInArrow(similar, both.select("a", "b").schema)
-
-    groups = linked_groups(members, verify, near=lambda a, b: _distance(a, b) <= distance)
-    at = F.struct("sim", "h1", "h2")
-    known = distinct.join(groups.select("id.*", "component"), ["sim", "h1", "h2"], "left")
-    known = stage(known.select("sim", "h1", "h2", "first", "n", "component", F.coalesce("component", at).alias("at")), "known")
+        texts = stage(texts.join(needed, ["h1", "h2"]).groupBy("id").agg(F.first("normal").alias("normal")), "texts")
+        side = lambda s: texts.select(F.col("id").alias(s), F.col("normal").alias(f"text_{s}"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
+        return both.mapInArrow(similar, "a bigint, b bigint")
+
+    close = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= distance
+
+    def closest(one, two):
+        bits = np.bitwise_count(one["tag"].view(np.uint64)[:, None] ^ two["tag"].view(np.uint64)[None, :])
+        return np.nonzero((bits <= distance) & (one["at"][:, None] != two["at"][None, :]))
+
+    groups = linked_groups(members, verify, close, closest)
+    known = distinct.join(groups, "id", "left")
+    known = stage(known.select("sim", "h1", "h2", "first", "n", "component", F.coalesce("component", "id").alias("at")), "known")
     # Only lines that occur twice or are linked can have something to drop.
     known = known.filter("n > 1 or component is not null")
     kept = known.groupBy("at").agg(F.min("first").alias("keep"))

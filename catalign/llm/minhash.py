@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalign.llm.common import KeyFilter, free_name, linked_groups, mix64, texts_of
+from catalign.llm.common import KeyFilter, free_name, linked_groups, mix64, texts_of, with_row_ids
 from catalign.runtime import stage
 
 BANDS, ROWS = 40, 5
@@ -138,8 +138,7 @@ def near_duplicates(
     rows_in = docs.select("doc_id", "text")
     sketched = stage(rows_in.mapInArrow(sketch, f"doc_id {kind}, n bigint, k1 bigint, k2 bigint, sign binary"), "sketches")
     named = sketched.filter("n > 0 and doc_id is not null")
-    key = F.struct("k1", "k2").alias("id")
-    sets = stage(named.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.first("sign").alias("sign")), "sets")
+    sets = with_row_ids(named.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.first("sign").alias("sign")), "sets")
 
     def banded(batches):
         import pyarrow as pa
@@ -148,15 +147,14 @@ def near_duplicates(
         for batch in batches:
             if not batch.num_rows:
                 continue
-            signs = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(-1, bands, rows)
+            signs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, bands, rows)
             keys = np.tile(salt, (len(signs), 1))
             for i in range(rows):
                 keys = mix64(keys ^ signs[:, :, i].astype(np.uint64)) + np.uint64(i)
-            k1, k2 = (np.repeat(batch.column(i).to_numpy(), bands) for i in range(2))
-            columns = [pa.array(mix64(keys).ravel().view(np.int64)), pa.array(k1), pa.array(k2)]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "k1", "k2"])
+            ids, sizes = (pa.array(np.repeat(batch.column(i).to_numpy(), bands)) for i in (0, 2))
+            yield pa.RecordBatch.from_arrays([pa.array(mix64(keys).ravel().view(np.int64)), ids, sizes], names=["key", "id", "tag"])
 
-    members = sets.select("k1", "k2", "sign").mapInArrow(banded, "key bigint, k1 bigint, k2 bigint").select("key", key)
+    members = sets.select("id", "sign", "n").mapInArrow(banded, "key bigint, id bigint, tag bigint")
 
     def prune(batches):
         import pyarrow as pa
@@ -164,9 +162,9 @@ def near_duplicates(
         for batch in batches:
             if not batch.num_rows:
                 continue
-            left, right = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, places) for i in (4, 5))
+            left, right = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, places) for i in (2, 3))
             kept = pa.array(passing(left, right, steps))
-            yield pa.RecordBatch.from_arrays([batch.column(i).take(kept) for i in range(4)], names=["a1", "a2", "b1", "b2"])
+            yield pa.RecordBatch.from_arrays([batch.column(i).take(kept) for i in range(2)], names=["a", "b"])
 
     def reread(batches):
         """The set key of each text, so that a reused doc_id can't bring in another text."""
@@ -180,46 +178,61 @@ def near_duplicates(
     def confirm(batches):
         import pyarrow as pa
 
+        # A representative comes up again and again; 2 MB of text are remembered.
         known: dict[bytes, set] = {}
 
         def whole(text: bytes) -> set:
             if text not in known:
-                if len(known) > 200:
+                if sum(map(len, known)) + len(text) > 2 << 20:
                     known.clear()
                 known[text] = set(word_shingles(text, shingle))
             return known[text]
 
         for batch in batches:
             holds = []
-            for left, right in zip(texts_of(batch.column(4)), texts_of(batch.column(5))):
+            for left, right in zip(texts_of(batch.column(2)), texts_of(batch.column(3))):
                 x, y = whole(left), whole(right)
                 both = len(x & y)
                 holds.append(100 * both >= percent * (len(x) + len(y) - both))
             kept = batch.filter(pa.array(holds, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([kept.column(i) for i in range(4)], names=["a1", "a2", "b1", "b2"])
+            yield pa.RecordBatch.from_arrays([kept.column(i) for i in range(2)], names=["a", "b"])
 
-    ends = "a1 bigint, a2 bigint, b1 bigint, b2 bigint"
+    ends = "a bigint, b bigint"
+
+    side = lambda df, s, c: df.select(F.col("id").alias(s), F.col(c).alias(f"{c}_{s}"))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        flat = pairs.selectExpr("a.k1 as a1", "a.k2 as a2", "b.k1 as b1", "b.k2 as b2")
-        side = lambda df, s, c: df.select(F.col("k1").alias(f"{s}1"), F.col("k2").alias(f"{s}2"), F.col(c).alias(f"{c}_{s}"))
-        signed = flat.join(side(sets, "a", "sign"), ["a1", "a2"]).join(side(sets, "b", "sign"), ["b1", "b2"])
-        alive = stage(signed.select("a1", "a2", "b1", "b2", "sign_a", "sign_b").mapInArrow(prune, ends), "survivors")
-        needed = alive.selectExpr("a1 as k1", "a2 as k2").unionByName(alive.selectExpr("b1 as k1", "b2 as k2")).distinct()
-        owners = stage(needed.join(sets.select("k1", "k2", "doc_id"), ["k1", "k2"]), "needed")
+        signed = pairs.join(side(sets, "a", "sign"), "a").join(side(sets, "b", "sign"), "b")
+        alive = stage(signed.select("a", "b", "sign_a", "sign_b").mapInArrow(prune, ends), "survivors")
+        needed = alive.select(F.col("a").alias("id")).unionByName(alive.select(F.col("b").alias("id"))).distinct()
+        texts = stage(texts_of_sets(needed), "texts")
+        full = alive.join(side(texts, "a", "text"), "a").join(side(texts, "b", "text"), "b")
+        return full.select("a", "b", "text_a", "text_b").mapInArrow(confirm, ends)
+
+    def texts_of_sets(needed: DataFrame) -> DataFrame:
+        """``(id, text)``, one text for each of the sets ``needed(id)``."""
+        owners = stage(needed.join(sets.select("id", "k1", "k2", "doc_id"), "id"), "needed")
         hashed = rows_in.withColumn("h", F.xxhash64("doc_id"))
         near = KeyFilter(owners.select(F.xxhash64("doc_id").alias("h")), "h").thin(hashed, "h")
         near = near.join(owners.select("doc_id").distinct(), "doc_id").select("text").mapInArrow(reread, "k1 bigint, k2 bigint, text string")
-        texts = stage(near.join(needed, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("text").alias("text")), "texts")
-        full = alive.join(side(texts, "a", "text"), ["a1", "a2"]).join(side(texts, "b", "text"), ["b1", "b2"])
-        held = full.select("a1", "a2", "b1", "b2", "text_a", "text_b").mapInArrow(confirm, ends)
-        return held.selectExpr("struct(a1 as k1, a2 as k2) as a", "struct(b1 as k1, b2 as k2) as b")
-
-    groups = linked_groups(members, verify).selectExpr("id.k1 as k1", "id.k2 as k2", "component")
+        return near.join(owners.select("id", "k1", "k2"), ["k1", "k2"]).groupBy("id").agg(F.first("text").alias("text"))
+
+    def worth_it(one, two):
+        """Pairs of two blocks that differ in component, are of similar size and aren't pruned."""
+        m, n = one["tag"][:, None], two["tag"][None, :]
+        fits = (np.minimum(m, n) * 100 >= np.maximum(m, n) * percent) & (one["at"][:, None] != two["at"][None, :])
+        i, j = np.nonzero(fits)
+        left, right = (np.frombuffer(b"".join(x["data"]), np.uint16).reshape(-1, places) for x in (one, two))
+        kept = [start + passing(left[i[start : start + 8192]], right[j[start : start + 8192]], steps) for start in range(0, len(i), 8192)]
+        kept = np.concatenate(kept) if kept else np.empty(0, np.int64)
+        return i[kept], j[kept]
+
+    similar_size = lambda m, n: F.least(m, n) * 100 >= F.greatest(m, n) * percent
+    signs = sets.select("id", F.col("sign").alias("data"))
+    groups = linked_groups(members, verify, similar_size, worth_it, signs)
     # Sets that link with no other set are components of their own.
-    lone = F.coalesce("component", F.struct("k1", "k2"))
-    of_sets = sets.select("k1", "k2", "doc_id").join(groups, ["k1", "k2"], "left").select("k1", "k2", "doc_id", lone.alias("component"))
-    of_sets = stage(of_sets, "of-sets")
+    of_sets = sets.select("id", "k1", "k2", "doc_id").join(groups, "id", "left")
+    of_sets = stage(of_sets.select("k1", "k2", "doc_id", F.coalesce("component", "id").alias("component")), "of-sets")
     first = of_sets.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of_sets = of_sets.join(first, "component").select("k1", "k2", "component_id")
     found = sketched.select("doc_id", "n", "k1", "k2").join(of_sets, ["k1", "k2"], "left")

@@ -65,6 +65,15 @@ def test_a_large_group_of_near_copies_is_one_component(spark):
     assert {got[i].component_id for i in range(300)} == {0} and all(got[900 + i].kept for i in range(50))
 
 
+def test_links_among_documents_that_share_a_passage(spark):
+    rng = random.Random(21)
+    passage = prose(rng, 60)
+    rows = [(i, passage + " " + prose(rng, 25), None, None, None) for i in range(120)]
+    rows += [(200 + i, edited(rng, rows[i][1], 3), None, None, None) for i in range(0, 120, 2)]
+    got = M.near_duplicates(frame(spark, rows), shingle=2)
+    assert plain(got) == brute_components(rows, 2)
+
+
 def test_keep_first_keeps_columns_and_lone_rows(spark):
     rows = awkward(6)
     docs = frame(spark, rows, clashing=True)
