@@ -13,8 +13,8 @@ from catalign.operators.components import connected_components
 from catalign.runtime import stage
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-# Size of a key filter: 2^27 bits are 16 MB whatever the number of keys.
-FILTER_BITS = 1 << 27
+# Size of a key filter: 2^23 bits are 1 MB whatever the number of keys. A fuller one lets more rows pass.
+FILTER_BITS = 1 << 23
 # Members of a bucket that are compared with as many others at once.
 BLOCK_MEMBERS = 256
 
