@@ -17,6 +17,8 @@ from catalign.runtime import stage
 DISTANCE, BLOCKS = 3, 5
 PERCENT = 90
 MIN_CHARS = 20
+# Up to so many edits are looked for along diagonals, whose work grows with their square.
+DIAGONAL_EDITS = 40
 # ASCII letters become lower case, digits 0, other ASCII characters separators.
 FOLD = bytes(
     48 if 48 <= c <= 57 else c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256)
@@ -58,7 +60,11 @@ def simhashes(lines: list[list[bytes]]) -> np.ndarray:
 
 def edit_similar(a: str, b: str, percent: int) -> bool:
     """Whether edit distance * 100 <= (100 - percent) * the longer length, by a banded table."""
-    most = max(len(a), len(b)) * (100 - percent) // 100
+    return edit_within(a, b, max(len(a), len(b)) * (100 - percent) // 100)
+
+
+def edit_within(a: str, b: str, most: int) -> bool:
+    """Whether the edit distance is at most ``most``: few edits by diagonals, many by bits of long integers."""
     if abs(len(a) - len(b)) > most:
         return False
     while a and b and a[0] == b[0]:  # common ends cost nothing
@@ -72,7 +78,7 @@ def edit_similar(a: str, b: str, percent: int) -> bool:
     furthest = {0: _slide(a, b, 0, 0)}
     if furthest[0] == len(a) == len(b):
         return True
-    for edits in range(1, most + 1):
+    for edits in range(1, min(most, DIAGONAL_EDITS) + 1):
         new = {}
         for k in range(-edits, edits + 1):
             at = max(furthest.get(k, -9) + 1, furthest.get(k - 1, -9) + 1, furthest.get(k + 1, -9))
@@ -82,10 +88,29 @@ def edit_similar(a: str, b: str, percent: int) -> bool:
         if new.get(len(a) - len(b), -1) >= len(a):
             return True
         furthest = new
-    return False
-
-
-def _slices(batches, rows: int):
+    return most > DIAGONAL_EDITS and _bit_distance(a, b, most) <= most
+
+
+def _bit_distance(a: str, b: str, most: int) -> int:
+    """The edit distance by bit-parallel columns (Myers, Hyyrö); some number over ``most`` if it is larger."""
+    points = np.frombuffer(a.encode("utf-32-le", "surrogatepass"), np.uint32)
+    places = {c: int.from_bytes(np.packbits(points == ord(c), bitorder="little").tobytes(), "little") for c in set(a)}
+    mask, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, score = mask, 0, len(a)
+    for left, c in enumerate(b, 1 - len(b)):
+        same = places.get(c, 0)
+        flat = same | down
+        step = (((same & up) + up) ^ up) | same
+        more, less = down | (~(step | up) & mask), up & step
+        score += bool(more & top) - bool(less & top)
+        if score + left > most:
+            return score + left
+        more = (more << 1 | 1) & mask
+        up, down = (less << 1 & mask) | (~(flat | more) & mask), more & flat
+    return score
+
+
+def slices(batches, rows: int):
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
@@ -187,7 +212,7 @@ def repeated_lines(
         import pyarrow as pa
         import xxhash
 
-        for batch in _slices(batches, 500):
+        for batch in slices(batches, 500):
             whole = [
                 n for text in texts_of(batch.column(0)) for n in map(normal_line, text.split(b"\n")) if len(n) >= min_chars
             ]

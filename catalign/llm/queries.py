@@ -44,7 +44,7 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edit_embedding.compare_edits(table(spark, sf_dir, "documents"))
+    return edit_embedding.compare_and_group(table(spark, sf_dir, "documents"))
 
 
 def lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -240,3 +240,44 @@ def test_few_edits_leave_most_of_the_fingerprint():
 def test_fingerprints_do_not_depend_on_the_batch():
     texts = ["", "a", "é" * 9, "".join(WORDS), "😀" * 300]
     assert E.fingerprints(texts) == [E.fingerprints([t])[0] for t in texts] and E.fingerprints([]) == []
+
+
+def test_edit_distance_of_many_edits():
+    rng = random.Random(4)
+    for _ in range(200):
+        a = "".join(rng.choice("abé 😀") for _ in range(rng.randrange(1, 150)))
+        b = "".join(rng.choice([c, c, c, c, "", "x", c + "y"]) for c in a)
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        for most in (row[-1] - 1, row[-1], row[-1] + 1, 41, 60):
+            assert LD.edit_within(a, b, most) == (row[-1] <= most), (a, b, most)
+
+
+def near_rows():
+    """Long texts with a few scattered edits, far from their originals in doc_id order; and awkward rows."""
+    rng = random.Random(31)
+    base = [prose(rng, rng.randrange(8, 250)) for _ in range(40)]
+    rows = awkward(3, long_words=400)
+    for i, text in enumerate(base):
+        few = list(text)
+        for _ in range(max(1, len(text) // 80)):
+            few[rng.randrange(len(few))] = rng.choice(["", "q", "zz"])
+        rows += [(4000 + i, text, None, None, None), (9000 - i, "".join(few), None, None, None)]
+    return rows
+
+
+def test_groups_of_near_texts_against_brute_force(spark):
+    rows = near_rows()
+    docs = frame(spark, rows, clashing=True)
+    texts = [r[1] or "" for r in rows]
+    group = groups_of(len(rows), lambda a, b: LD.edit_similar(texts[a], texts[b], E.PERCENT))
+    ids = lambda g: [r[0] for r, own in zip(rows, group) if own == g and r[0] is not None]
+    want = sorted(((r[0], min(ids(g), default=None)) for r, g in zip(rows, group)), key=repr)
+    got = E.compare_and_group(docs)
+    assert got.columns == [*E.compare_edits(docs).columns, "group_id"] and plain(got.select("doc_id", "group_id")) == want
+    assert sum(key is not None and key >= 8000 and key != g for key, g in want) == 40
+    assert E.compare_and_group(frame(spark, [])).count() == 0
