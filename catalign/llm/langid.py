@@ -76,11 +76,33 @@ def softmax(logits: np.ndarray) -> np.ndarray:
     return grown / grown.sum(axis=1, keepdims=True)
 
 
+def rejection_limit(score: np.ndarray, right: np.ndarray) -> float:
+    """The lowest score from which on an answer is as likely right as wrong.
+
+    The chance of being right at a score is the best fit that rises with the score (isotonic
+    regression), so what lies under the limit is wrong for the most part, however many rows there
+    are and whatever is wrong above. 0 (no limit) if the wrong ones under it are not so many more than
+    the right ones that chance hardly explains it (two standard deviations), or if the fit stays
+    under one half everywhere, as then no score tells.
+    """
+    levels, at = np.unique(score, return_inverse=True)
+    blocks: list[list[float]] = []  # first score, rows, right ones
+    for level, rows, hits in zip(levels, np.bincount(at), np.bincount(at, weights=right)):
+        blocks.append([float(level), int(rows), float(hits)])
+        while len(blocks) > 1 and blocks[-2][2] * blocks[-1][1] >= blocks[-1][2] * blocks[-2][1]:
+            _, rows, hits = blocks.pop()
+            blocks[-1][1] += rows
+            blocks[-1][2] += hits
+    nth = next((i for i, (_, rows, hits) in enumerate(blocks) if 2 * hits >= rows), 0)
+    rows, hits = (sum(b[i] for b in blocks[:nth]) for i in (1, 2))
+    return blocks[nth][0] if rows and rows - 2 * hits >= 2 * rows**0.5 else 0.0
+
+
 def fit(rows: list[tuple[str, bytes, bytes, bool]], epochs: int = 12, rate: float = 0.5, seed: int = 5) -> Model:
     """Train on ``(language, buckets, counts, validation)`` rows by stochastic gradient descent.
 
     Rows of the validation part only set the temperature, by least log loss, and the score under
-    which a prediction is rejected: the lowest one at which 99 % of what it accepts is right.
+    which a prediction is rejected (``rejection_limit``).
     """
     languages = sorted({r[0] for r in rows}) or [UNKNOWN]
     at = {name: i for i, name in enumerate(languages)}
@@ -113,11 +135,7 @@ def fit(rows: list[tuple[str, bytes, bytes, bool]], epochs: int = 12, rate: floa
         model.temperature = float(heats[int(np.argmin(loss))])
         chance = softmax(logits / model.temperature)
         score, right = chance.max(axis=1), chance.argmax(axis=1) == labels
-        order = np.argsort(-score, kind="stable")
-        share = np.cumsum(right[order]) / np.arange(1, len(order) + 1)
-        good = np.flatnonzero(share >= 0.99)
-        lowest = score[order[good[-1]]] if len(good) else 1.0
-        model.least_score = 0.0 if len(good) and good[-1] == len(order) - 1 else float(lowest)
+        model.least_score = rejection_limit(score, right)
     return model
 
 

@@ -165,3 +165,24 @@ def test_prediction_uses_text_alone_and_training_may_have_nothing(spark):
     assert one == two
     nothing = L.train(frame(spark, []))
     assert L.predict(frame(spark, []), nothing).count() == 0
+
+
+@pytest.mark.parametrize("rows,wrong", [(1, 0.0), (8, 0.2), (40, 0.03), (320, 0.015), (320, 0.03), (3000, 0.03)])
+def test_rejection_keeps_what_is_judged_rightly(rows, wrong):
+    rng = np.random.default_rng(rows)
+    lost = []
+    for _ in range(300):
+        score = rng.beta(8, 1, rows)
+        limit = L.rejection_limit(score, rng.random(rows) >= wrong)
+        lost.append((rng.beta(8, 1, 2000) < limit).mean())
+    assert np.mean(lost) < 0.05 and np.median(lost) < 0.01
+
+
+def test_rejected_answers_are_mostly_wrong():
+    rng = np.random.default_rng(4)
+    score = rng.random(4000)
+    right = rng.random(4000) < score
+    limit = L.rejection_limit(score, right)
+    assert 0.4 < limit < 0.6 and right[score < limit].mean() < 0.5
+    assert L.rejection_limit(np.array([0.3, 0.9]), np.array([False, False])) == 0.0
+    assert L.rejection_limit(np.array([0.3, 0.9]), np.array([False, True])) == 0.0
