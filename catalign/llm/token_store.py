@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -16,6 +17,10 @@ PART_BYTES = 16 << 20
 CACHED_CHUNKS = 600_000
 # A-Z as a-z, line ends as spaces.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if c == 10 else c for c in range(256))
+LINE_ENDS = bytes(32 if c == 10 else c for c in range(256))
+# A capital and a mark may be composed to one letter, or only the small letter and the mark; the
+# tokenizer composes before it folds.
+MARKED = re.compile(rb"[A-Z][\x80-\xff]")
 
 # One row of the files is a segment: whole documents in order, about SEGMENT_IDS ids. Its chunks
 # hold CHUNK_IDS ids each (the last one fewer) and can be read alone: chunk_ids and chunk_bytes
@@ -76,17 +81,24 @@ def _load(content: bytes):
     return _tokenizers[key]
 
 
+def _chunks(text: bytes) -> list[bytes]:
+    """What stands between spaces and line ends, folded where that changes no id."""
+    if text.isascii() or not MARKED.search(text):
+        return text.translate(FOLD).split(b" ")
+    return [c if MARKED.search(c) else c.translate(FOLD) for c in text.translate(LINE_ENDS).split(b" ")]
+
+
 def encode_texts(texts: list[str | None], tokenizer, known: dict[bytes, bytes], splits: bool = True) -> list[np.ndarray]:
     """Ids of each whole text, without special tokens.
 
     ``splits`` says that no token of this tokenizer reaches over a space or a line end, and that
-    it takes A-Z as a-z. Then
-    a text's ids are those of the chunks between them, and each new chunk of the list is encoded
-    once. The memory is emptied when it is full.
+    it takes A-Z as a-z, except before a letter's mark. Then a text's ids are those of the chunks
+    between them, and each new chunk of the list is encoded once. The memory is emptied when it is
+    full.
     """
     if not splits:
         return [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
-    parts = [(text or "").encode().translate(FOLD).split(b" ") for text in texts]
+    parts = [_chunks((text or "").encode()) for text in texts]
     fresh = set().union(*(set(chunks).difference(known) for chunks in parts))
     if len(known) + len(fresh) > CACHED_CHUNKS:
         known.clear()

@@ -84,6 +84,15 @@ def test_chunks_between_spaces_encode_like_the_whole_text():
     assert [x.tolist() for x in token_store.encode_texts(texts, tokenizer, known)] == library_ids(texts)
 
 
+def test_capitals_before_marks_encode_like_the_whole_text():
+    tokenizer, known = token_store._load(open(WORD_BPE, "rb").read())
+    marks = [chr(c) for c in range(0x300, 0x370)]
+    texts = [f"A {letter}{mark} {letter}\u0327{mark}x\nABC" for letter in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for mark in marks]
+    texts += ["J\u030c", "j\u030c J\u030c", "xJ\u030c ÉCOLE É", "H\u0331T\u0308 W\u030a\nY\u030a"]
+    assert [x.tolist() for x in token_store.encode_texts(texts, tokenizer, known)] == library_ids(texts)
+    assert token_store.encode_texts(["J\u030c"], tokenizer, known)[0].tolist() == [329, 136, 490]
+
+
 @pytest.mark.parametrize("plane", ["byte", "bit"])
 def test_planes_round_trip(plane):
     rng = np.random.default_rng(2)
