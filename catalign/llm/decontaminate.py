@@ -155,7 +155,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs``, all columns, in which no window of the benchmark occurs.
 
-    A row goes if any row of its id is hit. Rows without an id are judged as one id.
+    A row goes if any row of its id is hit. Rows without an id are judged one by one, by their text.
     """
-    hit = find_contamination(docs, benchmark, window).filter("n_hit > 0").select(F.col("doc_id").alias(free_name(docs, "_hit"))).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit[hit.columns[0]]), "left_anti")
+    text = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
+    keyed = docs.select(F.struct(F.col("doc_id").alias("id"), text.alias("text")).alias("doc_id"), "text")
+    one, two = free_name(docs, "_hit"), free_name(docs, "_hit_text")
+    hit = find_contamination(keyed, benchmark, window).filter("n_hit > 0")
+    hit = hit.select(F.col("doc_id.id").alias(one), F.col("doc_id.text").alias(two)).distinct()
+    same = F.when(docs["doc_id"].isNull(), F.xxhash64(docs["text"])).eqNullSafe(hit[two])
+    return docs.join(hit, docs["doc_id"].eqNullSafe(hit[one]) & same, "left_anti")

@@ -151,11 +151,22 @@ def repeated_lines(
     at most ``distance`` bits and their edit similarity is ``percent`` or more. Of each connected
     group the first occurrence, by doc_id and line number, stays. Lines whose normal form is under
     ``min_chars`` bytes are left alone: headings and single words recur in unrelated texts. Null
-    and empty texts have no such lines. Rows that share an id (or have none) count as one
-    document: a line number that one of them may keep, all of them keep.
+    and empty texts have no such lines. Rows that share an id (or have none) are judged one by
+    one; only rows of one id and one text can't be told apart and are treated alike.
     """
+    return _repeated(docs, percent, distance, blocks, min_chars).select("doc_id", "line")
+
+
+def _repeated(
+    docs: DataFrame,
+    percent: int = PERCENT,
+    distance: int = DISTANCE,
+    blocks: int = BLOCKS,
+    min_chars: int = MIN_CHARS,
+) -> DataFrame:
+    """``repeated_lines`` plus ``row``, a hash of the row's whole text: rows of one id and text are judged alike."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows_in = docs.select("doc_id", "text").filter("text is not null")
+    rows_in = docs.select("doc_id", "text", F.xxhash64("text").alias("row")).filter("text is not null")
 
     def hashed(batches):
         import pyarrow as pa
@@ -165,9 +176,10 @@ def repeated_lines(
         empty = lambda: ([], [], [], [], [], [])
 
         def made(ids, owner, number, words, h1, h2, _):
-            columns = [ids.take(pa.array(owner)), pa.array(number, pa.int32())]
+            own = pa.array(owner)
+            columns = [ids[0].take(own), ids[1].take(own), pa.array(number, pa.int32())]
             columns += [longs(simhashes(words)), longs(h1), longs(h2)]
-            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "line", "sim", "h1", "h2"])
+            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "line", "sim", "h1", "h2"])
 
         for batch in batches:
             rows = empty()
@@ -186,15 +198,15 @@ def repeated_lines(
                         sizes.append(len(own))
                 # The words of a few thousand lines are in memory at once.
                 if len(sizes) >= 4000 or sum(sizes[-200:]) >= 200_000:
-                    yield made(batch.column(0), *rows)
+                    yield made((batch.column(0), batch.column(2)), *rows)
                     rows = empty()
                     owner, number, words, h1, h2, sizes = rows
             if owner:
-                yield made(batch.column(0), *rows)
+                yield made((batch.column(0), batch.column(2)), *rows)
 
-    found = rows_in.mapInArrow(hashed, f"doc_id {kind}, line int, sim bigint, h1 bigint, h2 bigint")
+    found = rows_in.mapInArrow(hashed, f"doc_id {kind}, row bigint, line int, sim bigint, h1 bigint, h2 bigint")
     lines = stage(found, "lines")
-    first = F.min(F.struct("doc_id", "line")).alias("first")
+    first = F.min(F.struct("doc_id", "line", "row")).alias("first")
     distinct = with_row_ids(lines.groupBy("sim", "h1", "h2").agg(first, F.count("*").alias("n")), "distinct")
 
     def keyed(batches):
@@ -257,8 +269,8 @@ def repeated_lines(
     known = known.filter("n > 1 or component is not null")
     kept = known.groupBy("at").agg(F.min("first").alias("keep"))
     keep = stage(known.join(kept, "at").select("sim", "h1", "h2", "keep"), "keep")
-    same = F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("line") == F.col("keep.line"))
-    return lines.join(keep, ["sim", "h1", "h2"]).filter(~same).select("doc_id", "line")
+    same = F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("line") == F.col("keep.line")) & (F.col("row") == F.col("keep.row"))
+    return lines.join(keep, ["sim", "h1", "h2"]).filter(~same).select("doc_id", "row", "line")
 
 
 def drop_repeated_lines(docs: DataFrame, drop_emptied: bool = False, **how) -> DataFrame:
@@ -266,9 +278,9 @@ def drop_repeated_lines(docs: DataFrame, drop_emptied: bool = False, **how) -> D
 
     All other columns and all rows stay; with ``drop_emptied`` rows of which no line is left go.
     """
-    gone = stage(repeated_lines(docs, **how), "repeated")
-    doc, numbers, cut_text = (free_name(docs, n) for n in ("_doc", "_lines", "_cut"))
-    gone = gone.groupBy(F.col("doc_id").alias(doc)).agg(F.collect_set("line").alias(numbers))
+    gone = stage(_repeated(docs, **how), "repeated")
+    doc, row, numbers, cut_text = (free_name(docs, n) for n in ("_doc", "_row", "_lines", "_cut"))
+    gone = gone.groupBy(F.col("doc_id").alias(doc), F.col("row").alias(row)).agg(F.collect_set("line").alias(numbers))
 
     @F.pandas_udf("string")
     def without(texts: pd.Series, lines: pd.Series) -> pd.Series:
@@ -281,7 +293,7 @@ def drop_repeated_lines(docs: DataFrame, drop_emptied: bool = False, **how) -> D
 
         return pd.Series([cut(t, d) for t, d in zip(texts, lines)], dtype=object)
 
-    both = docs.join(gone, docs["doc_id"].eqNullSafe(gone[doc]), "left")
+    both = docs.join(gone, docs["doc_id"].eqNullSafe(gone[doc]) & (F.xxhash64(docs["text"]) == gone[row]), "left")
     columns = []
     for name in docs.columns:
         column = docs[f"`{name}`"]

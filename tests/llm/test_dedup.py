@@ -281,3 +281,24 @@ def test_groups_of_near_texts_against_brute_force(spark):
     assert got.columns == [*E.compare_edits(docs).columns, "group_id"] and plain(got.select("doc_id", "group_id")) == want
     assert sum(key is not None and key >= 8000 and key != g for key, g in want) == 40
     assert E.compare_and_group(frame(spark, [])).count() == 0
+
+
+def test_lines_of_rows_that_share_or_lack_an_id(spark):
+    rng = random.Random(17)
+    a, b, c, d, e, f, g = (prose(rng, 20) for _ in range(7))
+    texts = [(None, f"{d}\n{g}"), (1, a), (None, f"{b}\n{a}"), (None, f"{c}\n{d}"), (None, f"{e}\n{b}"), (7, f"{f}\n{d}"), (7, f"{f}x\n{e} {f}"), (8, f)]
+    out = LD.drop_repeated_lines(frame(spark, [(*t, None, None, None) for t in texts]), drop_emptied=True)
+    got = plain(out.select("doc_id", "text"))
+    # Null ids come first: what ids 1 and 7 repeat from them goes, and each row is cut by its own lines only.
+    lines = [line for _, t in got for line in t.split("\n")]
+    assert all(lines.count(line) == 1 for line in (a, b, c, d, e, f, g)) and (7, f"{f}x\n{e} {f}") in got
+    assert {(None, c), (None, e), (7, f)} <= set(got) and (8, f) not in got and (1, a) not in got and len(got) == 6
+
+
+def test_clean_rows_without_an_id_stay(spark):
+    from catalign.llm import decontaminate as D
+
+    rows = [(None, "one two three"), (None, "clean"), (None, None), (None, "clean"), (4, "one two three"), (5, "x")]
+    bench = spark.createDataFrame([(5, "two three")], "item_id long, text string")
+    kept = D.drop_contaminated(frame(spark, [(*r, None, None, None) for r in rows]), bench)
+    assert plain(kept.select("doc_id", "text")) == sorted([(None, "clean"), (None, None), (None, "clean"), (5, "x")], key=repr)
