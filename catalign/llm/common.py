@@ -30,6 +30,19 @@ def texts_of(column) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def text_slices(batch, column: int, limit: int):
+    """The Arrow batch cut into runs of rows with about ``limit`` bytes in ``column``; a longer text stands alone."""
+    import pyarrow.compute as pc
+
+    if not batch.num_rows:
+        return
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    run = (np.cumsum(sizes) - 1) // limit
+    starts = np.append(0, np.flatnonzero(run[1:] != run[:-1]) + 1)
+    for start, end in zip(starts, np.append(starts[1:], batch.num_rows)):
+        yield batch.slice(start, end - start)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective mixer of unsigned 64-bit numbers."""
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)

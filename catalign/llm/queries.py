@@ -8,7 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from catalign.llm import backoff_lm, bpe, decontaminate, edit_embedding, langid, line_dedup, minhash, token_store, tool_calls, url_filter
+from catalign.llm import (
+    backoff_lm,
+    bpe,
+    centroids,
+    decontaminate,
+    edit_embedding,
+    exact_dedup,
+    langid,
+    line_dedup,
+    minhash,
+    resample,
+    token_store,
+    tool_calls,
+    url_filter,
+)
 from catalign.llm.common import table
 from catalign.runtime import checkpoint_root
 
@@ -103,6 +117,20 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (langid.fold_of(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def exact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed, found = centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
+    digests = F.array(*[F.lit(centroids.centroid_digest(c)) for c in found]).cast("array<string>")
+    return placed.withColumn("centroid_sha256", F.get(digests, F.col("cluster")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -118,6 +146,9 @@ Q = {
     "op8_token_planes": token_planes,
     "op9_byte_bpe": byte_bpe,
     "op10_language_id": language_id,
+    "op11_importance_resampling": importance_resampling,
+    "op12_exact_dedup": exact_copies,
+    "op13_centroid_clusters": centroid_clusters,
     "pipeline": pipeline,
 }
 
@@ -126,7 +157,82 @@ LOWER = FOLD.format("coalesce(text, '')")
 BLANK_WORDS = rf"regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+')"
 LETTER_WORDS = rf"regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+
+
+def _centroid_sql(k: int, rounds: int) -> str:
+    """The rounds written out; ``c0``, ``c1``, ... are the centroids, ``a0``, ``a1``, ... the assignments to them."""
+    parts = [
+        """kept AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+)""",
+        f"""c0 AS (
+  SELECT CAST(row_number() OVER (ORDER BY h) - 1 AS INTEGER) AS number, x AS c
+  FROM (SELECT x, sha256('1:' || vec_id) AS h FROM kept ORDER BY h LIMIT {k})
+)""",
+    ]
+    for r in range(rounds + 1):
+        parts.append(f"""a{r} AS (
+  SELECT vec_id, any_value(x) AS x, min({{'d': d, 'number': number}}) AS best
+  FROM (SELECT vec_id, x, number, CAST(list_sum(list_transform(range(1, 65), lambda i: (x[i] - c[i]) * (x[i] - c[i]))) AS BIGINT) AS d
+        FROM kept, c{r}) GROUP BY vec_id
+)""")
+        if r < rounds:
+            parts.append(f"""c{r + 1} AS (
+  SELECT c{r}.number, coalesce(m, c) AS c FROM c{r} LEFT JOIN (
+    SELECT number, list(v ORDER BY i) AS m FROM (
+      SELECT best.number AS number, i, CAST(floor(CAST(sum(x[i]) AS DOUBLE) / count(*)) AS BIGINT) AS v
+      FROM a{r}, range(1, 65) AS t(i) GROUP BY ALL) GROUP BY number) u ON c{r}.number = u.number
+)""")
+    return "WITH " + ", ".join(parts) + f"""
+SELECT vec_id, number AS cluster, best.d AS distance, CAST(sum(best.d) OVER (PARTITION BY number) AS BIGINT) AS cluster_inertia,
+       CAST(sum(best.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON number = best.number"""
+
+
 SQL = {
+    "op13_centroid_clusters": _centroid_sql(16, 3),
+    "op12_exact_dedup": """
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
+       sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+    "op11_importance_resampling": f"""
+WITH RECURSIVE crc_bits AS (
+  SELECT CAST(range AS BIGINT) AS b, CAST(range AS BIGINT) AS c, 0 AS n FROM range(256)
+  UNION ALL
+  SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n + 1 FROM crc_bits WHERE n < 8
+), crc_table AS (
+  SELECT list(c ORDER BY b) AS t FROM crc_bits WHERE n = 8
+), texts AS (
+  SELECT doc_id, 0 AS target, {LETTER_WORDS} AS w FROM documents UNION ALL SELECT item_id, 1, {LETTER_WORDS} FROM benchmark
+), features AS (
+  SELECT doc_id, target, array_to_string(w[i : i + n - 1], ' ') AS f
+  FROM (SELECT doc_id, target, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM texts, range(1, 4) AS r(n))
+), counted AS (
+  SELECT doc_id, target, f, count(*) AS n FROM features GROUP BY ALL
+), hexed AS (
+  SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM counted)
+), hashed AS (
+  SELECT f, xor(list_reduce(list_concat([4294967295], list_transform(range(1, len(h), 2),
+           lambda i: 16 * (strpos('0123456789ABCDEF', h[i]) - 1) + strpos('0123456789ABCDEF', h[i + 1]) - 1)),
+           lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) % 10000 AS bucket
+  FROM hexed, crc_table
+), per_bucket AS (
+  SELECT bucket, sum(n) FILTER (target = 0) AS s, sum(n) FILTER (target = 1) AS t FROM counted JOIN hashed USING (f) GROUP BY bucket
+), gains AS (
+  SELECT bucket, CAST(floor(1000 * ln(CAST(coalesce(t, 0) + 1 AS DOUBLE) * CAST(sum(s) OVER () + 10000 AS DOUBLE)
+           / (CAST(coalesce(s, 0) + 1 AS DOUBLE) * CAST(sum(t) OVER () + 10000 AS DOUBLE)))) AS BIGINT) AS gain FROM per_bucket
+), weights AS (
+  SELECT doc_id, sum(n) AS n_features, sum(n * gain) AS weight FROM counted JOIN hashed USING (f) JOIN gains USING (bucket)
+  WHERE target = 0 GROUP BY doc_id
+), scored AS (
+  SELECT doc_id, len(w) >= 20 AS able, CAST(coalesce(n_features, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+         CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || doc_id), 1, 8) AS BIGINT) + 0.5) / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+  FROM texts LEFT JOIN weights USING (doc_id) WHERE target = 0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id) AS place, 5 * count(*) FILTER (able) OVER () // 100 AS wanted FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= wanted THEN place END AS rank FROM ranked""",
     "op1_url_filter": rf"""
 WITH cut AS (
   SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
