@@ -44,7 +44,25 @@ PATTERN_CONFIDENCE = {"exact": 0.9, "fuzzy": 0.7, "unknown": 0.4}
 NUMBER = r"[0-9]+\.?[0-9]*"
 UNIT_CLASS = "[a-zA-Zа-яё°\"'\\s]"
 VALUE_PATTERN = rf"({NUMBER})\s*({UNIT_CLASS}*)"
-QUANTITY_PATTERN = rf"([0-9]+(?:\.[0-9]+)?)\s*({UNIT_CLASS}+)"
+# Signed numbers with groups of thousands, decimals, exponents and fractions, the longest form first.
+AMOUNT = (
+    r"[-+\u2212]?(?:(?:[0-9]+[ \u00a0])?[0-9]+/[0-9]+"  # 3/4 and 1 1/2
+    r"|[1-9][0-9]{0,2}(?:[ \u00a0][0-9]{3})+(?:[.,][0-9]+)?"  # 10 000,5
+    r"|[1-9][0-9]{0,2}(?:,[0-9]{3})+(?:\.[0-9]+)?"  # 1,234.5
+    r"|[1-9][0-9]{0,2}(?:\.[0-9]{3})+,[0-9]+"  # 1.234,5
+    r"|[1-9][0-9]{0,2}(?:\.[0-9]{3}){2,}"  # 1.234.567
+    r"|[0-9]+(?:[.,][0-9]+)?(?:[eE][-+]?[0-9]+)?)"  # 12,5 and 1e3
+)
+# What can't stand before an amount (it would be a part of something else, as of a range), and after its unit.
+NOT_BEFORE = r"(?<![\p{L}\p{N}_.,/+\-\u2013\u2014\u2212])(?<![0-9]\s?[-\u2013\u2014]\s?)"
+NOT_AFTER = r"(?![\p{L}\p{N}_²³/^·*])"
+# A unit of one word, or words with powers in products and quotients.
+UNIT_WORD = r"[a-zA-Zа-яА-ЯёЁ°µΩ%\"']+"
+UNIT_POWER = r"(?:[²³]|\^?-?[1-9](?![0-9]))?"
+# An x before a number is no unit but a size, as in 2x4.
+UNIT_TEXT = rf"(?!x[0-9]){UNIT_WORD}{UNIT_POWER}(?:[/·*]{UNIT_WORD}{UNIT_POWER})*"
+# Letters that are more than a unit where they touch the number: 4K is a picture size, 802.11b a standard.
+NOT_TOUCHING = "Kb"
 NOT_UNITS = ["x", "-", ":", ""]
 
 # Prefixes of units (symbol, name, factor).
@@ -106,8 +124,47 @@ UNITS = [
     ("pages_per_minute", "rate", 1.0, 0.0, ["ppm"], [], ""),
     ("percent", "dimensionless", 0.01, 0.0, ["%"], [], ""),
     ("piece", "dimensionless", 1.0, 0.0, ["pcs"], ["pc", "pieces"], ""),
+    ("newton", "force", 1.0, 0.0, ["N"], ["newtons"], "kM"),
+    ("newton_meter", "energy", 1.0, 0.0, ["Nm"], [], ""),
+    ("candela", "luminous_intensity", 1.0, 0.0, ["cd"], ["candelas"], ""),
+    ("lux", "illuminance", 1.0, 0.0, ["lx"], [], ""),
 ]
 
+# Exponents of the base units that each dimension is made of, and how many of those one unit of
+# the table above is at factor 1.
+BASE_EXPONENTS = {
+    "length": ({"meter": 1}, 1.0),
+    "mass": ({"kilogram": 1}, 1.0),
+    "time": ({"second": 1}, 1.0),
+    "power": ({"kilogram": 1, "meter": 2, "second": -3}, 1.0),
+    "energy": ({"kilogram": 1, "meter": 2, "second": -2}, 1.0),
+    "voltage": ({"kilogram": 1, "meter": 2, "second": -3, "ampere": -1}, 1.0),
+    "charge": ({"ampere": 1, "second": 1}, 3600.0),
+    "current": ({"ampere": 1}, 1.0),
+    "resistance": ({"kilogram": 1, "meter": 2, "second": -3, "ampere": -2}, 1.0),
+    "volume": ({"meter": 3}, 1.0),
+    "information": ({"gigabyte": 1}, 1.0),
+    "frequency": ({"second": -1}, 1.0),
+    "temperature": ({"kelvin": 1}, 1.0),
+    "angle": ({"degree": 1}, 1.0),
+    "pressure": ({"kilogram": 1, "meter": -1, "second": -2}, 1.0),
+    "force": ({"kilogram": 1, "meter": 1, "second": -2}, 1.0),
+    "rotation": ({"second": -1}, 1 / 60),
+    "pixel": ({"pixel": 1}, 1.0),
+    "level": ({"decibel": 1}, 1.0),
+    "luminous_flux": ({"candela": 1}, 1.0),
+    "luminous_intensity": ({"candela": 1}, 1.0),
+    "illuminance": ({"candela": 1, "meter": -2}, 1.0),
+    "rate": ({"second": -1}, 1 / 60),
+    "dimensionless": ({}, 1.0),
+}
+# Names of base units' dimensions, and of products of them; others are spelled out.
+BASE_DIMENSIONS = {
+    "kilogram": "mass", "meter": "length", "second": "time", "ampere": "current", "kelvin": "temperature",
+    "candela": "luminosity", "gigabyte": "information", "pixel": "pixel", "degree": "angle", "decibel": "level",
+}
+NAMED_DIMENSIONS = ["length", "mass", "time", "power", "energy", "voltage", "current", "resistance", "volume", "pressure", "force", "temperature"]
+
 # Other spellings of units above.
 SPELLINGS = [
     ("kWatt", "kilowatt"), ("м", "meter"), ("мм", "millimeter"), ("см", "centimeter"), ("км", "kilometer"), ("дюйм", "inch"), ("дюймов", "inch"),
@@ -116,7 +173,7 @@ SPELLINGS = [
     ("кВтч", "kilowatt_hour"), ("л", "liter"), ("мл", "milliliter"), ("Гц", "hertz"), ("кГц", "kilohertz"),
     ("МГц", "megahertz"), ("ГГц", "gigahertz"), ("КБ", "kilobyte"), ("МБ", "megabyte"), ("ГБ", "gigabyte"),
     ("ТБ", "terabyte"), ("с", "second"), ("сек", "second"), ("мин", "minute"), ("ч", "hour"), ("дБ", "decibel"),
-    ("шт", "piece"),
+    ("шт", "piece"), ("Н", "newton"), ("кН", "kilonewton"),
 ]
 
 _COMPUTER = ["laptop", "notebook", "computer", "pc", "ноутбук", "компьютер"]

@@ -13,21 +13,31 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from catalign.constants import (
+    AMOUNT,
     CONFIDENCE_THRESHOLD,
     CONTEXT_FALLBACK,
-    NUMBER,
+    NOT_AFTER,
+    NOT_BEFORE,
+    NOT_TOUCHING,
     PATTERN_CONFIDENCE,
     PREFIXES,
     QUANTITY_CONFIDENCE,
-    QUANTITY_PATTERN,
     SPELLINGS,
     UNIT_RULES,
+    UNIT_TEXT,
     UNITS,
     VALUE_PATTERN,
 )
 
-# A quantity written as a number and one word, in the text's own case.
-WORD_PATTERN = r"([0-9]+(?:[.,][0-9]+|\.)?)\s*([a-zA-Zа-яА-ЯёЁ°µΩ%\"']+)"
+# An amount and its unit in the text's own case, with space or a hyphen between them or nothing.
+QUANTITY = rf"({AMOUNT})(?:\s+|-|(?![{NOT_TOUCHING}](?!\p{{L}})))({UNIT_TEXT})"
+WORD_PATTERN = NOT_BEFORE + QUANTITY + NOT_AFTER
+# An amount and the letters after it, spaces among them, on lower-cased text.
+LETTERS = "a-zA-Zа-яё°\"'"
+QUANTITY_PATTERN = rf"{NOT_BEFORE}({AMOUNT})\s*([{LETTERS}](?:[{LETTERS}\s]*[{LETTERS}])?){NOT_AFTER}"
+# A value that is one quantity, maybe with words behind it but no other number.
+WHOLE_QUANTITY = rf"^{QUANTITY}(?:[^\p{{L}}\p{{N}}_²³/^·*][^0-9]*)?$"
+WHOLE_AMOUNT = rf"^({AMOUNT})$"
 # A fuzzy match needs this many letters in the shorter of text and alias.
 FUZZY_LETTERS = 4
 
@@ -54,6 +64,9 @@ BASE_UNITS = {
     "pixel": "pixel",
     "level": "decibel",
     "rate": "pages_per_minute",
+    "force": "newton",
+    "luminous_intensity": "candela",
+    "illuminance": "lux",
 }
 
 
@@ -156,15 +169,36 @@ def find_unit_fuzzy(text: Column) -> Column:
 def validate_unit(text: Column) -> Column:
     """Dictionary entry of a unit text with ``how`` it was found, null when unknown.
 
-    Only one word can be a fuzzy match.
+    Only one word can be a fuzzy match. Products, quotients and powers are no dictionary entries; see
+    ``operators.unit_expressions`` for them.
     """
     one_word = ~F.trim(text).rlike(r"\s")
-    return let(clean_unit(text), lambda c: F.coalesce(find_unit(c), F.when(one_word, find_unit_fuzzy(c))))
+    found = let(clean_unit(text), lambda c: F.coalesce(find_unit(c), F.when(one_word, find_unit_fuzzy(c))))
+    return F.when(~text.rlike("[/·*^²³0-9]"), found)
 
 
 def plain_number(number: Column) -> Column:
-    """Decimal commas become points; a comma before exactly three last digits parts thousands."""
-    return F.translate(F.regexp_replace(number, "^([0-9]+),([0-9]{3})$", "$1$2"), ",", ".")
+    """An amount as a plain decimal number: without groups of thousands, with a point, fractions divided.
+
+    A comma before groups of three digits parts thousands, any other one is a decimal comma; points
+    part thousands where a comma or more points follow. Null if a fraction has no value.
+    """
+
+    def written(n: Column) -> Column:
+        part = lambda i: F.regexp_extract(n, r"^([-+]?)(?:([0-9]+) )?([0-9]+)/([0-9]+)$", i)
+        whole = F.coalesce(F.nullif(part(2), F.lit("")).cast("double"), F.lit(0.0))
+        share = F.try_divide(part(3).cast("double"), part(4).cast("double"))
+        fraction = F.when(part(1) == "-", -(whole + share)).otherwise(whole + share)
+        return (
+            F.when(n.contains("/"), F.regexp_replace(fraction.cast("string"), r"\.0$", ""))
+            .when(n.contains(" "), F.translate(n, ", ", "."))
+            .when(n.rlike(r"^[-+]?[1-9][0-9]{0,2}(,[0-9]{3})+(\.[0-9]+)?$"), F.translate(n, ",", ""))
+            .when(n.rlike(r"^[-+]?[1-9][0-9]{0,2}((\.[0-9]{3})+,[0-9]+|(\.[0-9]{3}){2,})$"), F.translate(n, ",.", "."))
+            .otherwise(F.translate(n, ",", "."))
+        )
+
+    tidy = F.translate(number, "\u00a0\u2212", " -")
+    return F.ltrim(let(tidy, written), F.lit("+"))
 
 
 def _number_unit_pairs(text: Column, pattern: str) -> Column:
@@ -191,19 +225,31 @@ def _checked(pairs: Column, validate: bool) -> Column:
     return F.transform(pairs, lambda p: F.struct(p.alias("p"), unit(p).alias("v")))
 
 
-def _confidence(how: Column, by_how: dict[str, float]) -> Column:
+def confidence_of(how: Column | str, by_how: dict[str, float]) -> Column:
+    how = F.col(how) if isinstance(how, str) else how
     return F.when(how == "exact", by_how["exact"]).when(how == "fuzzy", by_how["fuzzy"]).otherwise(by_how["unknown"])
 
 
+def quantity_pairs(text: Column) -> Column:
+    """Amounts and their unit texts; zero amounts are skipped."""
+    return F.filter(_number_unit_pairs(text, WORD_PATTERN), lambda p: p["number"].cast("double") != 0)
+
+
+def pattern_pairs(text: Column) -> Column:
+    """Amounts and the up to 19 letters and spaces after them, lower-cased."""
+    pairs = _number_unit_pairs(F.lower(text), QUANTITY_PATTERN)
+    return F.filter(pairs, lambda p: p["number"].isNotNull() & (F.length(p["raw"]) < 20))
+
+
 def quantity_extractions(text: Column, validate: bool = True) -> Column:
     """Number and word: 0.95 if the unit is in the dictionary, else 0.8. Zero amounts are skipped."""
-    pairs = F.filter(_number_unit_pairs(text, WORD_PATTERN), lambda p: p["number"].cast("double") != 0)
+    pairs = quantity_pairs(text)
     return F.transform(
         _checked(pairs, validate),
         lambda c: _extraction(
             c["p"],
             c["v"],
-            _confidence(c["v"]["how"], QUANTITY_CONFIDENCE),
+            confidence_of(c["v"]["how"], QUANTITY_CONFIDENCE),
             F.when(c["v"].isNotNull(), "quantity_known").otherwise("quantity"),
             "",
         ),
@@ -212,16 +258,13 @@ def quantity_extractions(text: Column, validate: bool = True) -> Column:
 
 def pattern_extractions(text: Column, validate: bool = True) -> Column:
     """Number and following unit text of 1 to 19 characters, on lower-cased text."""
-    pairs = F.filter(
-        _number_unit_pairs(F.lower(text), QUANTITY_PATTERN),
-        lambda p: (F.length(p["raw"]) > 0) & (F.length(p["raw"]) < 20),
-    )
+    pairs = pattern_pairs(text)
     return F.transform(
         _checked(pairs, validate),
         lambda c: _extraction(
             c["p"],
             c["v"],
-            _confidence(c["v"]["how"], PATTERN_CONFIDENCE),
+            confidence_of(c["v"]["how"], PATTERN_CONFIDENCE),
             F.when(c["v"].isNotNull(), "pattern_known").otherwise("pattern"),
             "unknown",
         ),
@@ -253,21 +296,6 @@ def best_extraction(extractions: Column) -> Column:
     )
 
 
-def best_of_text(text: Column) -> Column:
-    """The best of all extractions. No pattern can beat a quantity whose unit is in the dictionary,
-    so patterns are only looked for without one."""
-    sure = QUANTITY_CONFIDENCE["exact"]
-    return let(
-        quantity_extractions(text),
-        lambda found: let(
-            best_extraction(found),
-            lambda best: F.when(best["confidence"] >= sure, best).otherwise(
-                best_extraction(F.concat(found, pattern_extractions(text)))
-            ),
-        ),
-    )
-
-
 def _any_in(text: Column | str, words: list[str], whole_word: bool) -> Column | bool:
     if whole_word:
         pattern = r"(?<![\p{L}\p{N}_])(" + "|".join(re.escape(w) for w in words) + r")(?![\p{L}\p{N}_])"
@@ -373,6 +401,30 @@ def formatted(number: Column, unit: Column, fmt: str = "number_unit") -> Column:
     return F.concat_ws(" ", number, unit)
 
 
+def fixed_text(x: Column, digits: int) -> Column:
+    """A double, not negative, with so many digits behind the point, rounded by its binary value (ties to even).
+
+    The fraction is a whole number of 2^-60 parts, so the rounding is exact; Java's formats round the
+    shortest decimal text instead, which turns 12.075 (a little less in binary) into 12.08.
+    """
+    parts = F.lit(1 << 60).cast("decimal(38,0)")
+
+    def written(v: Column) -> Column:
+        ones = F.floor(v).cast("decimal(38,0)")
+        scaled = ((v - F.floor(v)) * F.lit(float(1 << 60))).cast("bigint").cast("decimal(20,0)") * F.lit(10**digits).cast("decimal(8,0)")
+        return F.struct(ones.alias("ones"), scaled.cast("decimal(38,0)").alias("scaled"))
+
+    def rounded(s: Column) -> Column:
+        rest = s["scaled"] % parts
+        low = ((s["scaled"] - rest) / parts).cast("bigint")
+        up = (rest * 2 > parts) | ((rest * 2 == parts) & (low % 2 == 1))
+        units = s["ones"].cast("bigint") * 10**digits + low + F.when(up, 1).otherwise(0)
+        tail = F.lpad((units % 10**digits).cast("string"), digits, "0")
+        return F.concat(((units - units % 10**digits) / 10**digits).cast("bigint").cast("string"), F.lit("."), tail)
+
+    return let(let(x.cast("double"), written), rounded)
+
+
 def standardize_simple(value: Column, fallback_unit: Column, fmt: str = "number_unit") -> Column:
     """First number with its own unit, else with the fallback; otherwise unchanged."""
     text = F.trim(value)
@@ -390,35 +442,45 @@ def standardize_simple(value: Column, fallback_unit: Column, fmt: str = "number_
 
 
 def standardize_best(value: Column, fallback_unit: Column, fmt: str = "number_unit") -> Column:
-    """Most confident extraction with its canonical unit; without any, the first
-    number with the fallback unit. Below the threshold the value is unchanged."""
-    number = F.regexp_extract(F.trim(value), f"({NUMBER})", 1)
-    bare = let(
-        F.struct(F.when(number != "", number).alias("number"), fallback_unit.alias("unit")),
-        lambda b: F.when(b["number"].isNotNull() & b["unit"].isNotNull(), formatted(b["number"], b["unit"], fmt)),
+    """The quantity a value begins with in its canonical unit; a bare number gets the fallback unit.
+
+    Only a value that is understood is rewritten: one quantity whose unit is in the dictionary, with no
+    other number behind it, or one number. Ranges, sizes, versions and unknown units stay as they are.
+    """
+    text = F.trim(value)
+    quantity = F.struct(
+        plain_number(F.regexp_extract(text, WHOLE_QUANTITY, 1)).alias("number"),
+        validate_unit(F.regexp_extract(text, WHOLE_QUANTITY, 2)).alias("unit"),
+    )
+    known = lambda q: F.when(
+        q["unit"].isNotNull() & (q["number"].cast("double") != 0), formatted(q["number"], q["unit"]["canonical"], fmt)
+    )
+    bare = F.struct(plain_number(F.regexp_extract(text, WHOLE_AMOUNT, 1)).alias("number"), fallback_unit.alias("unit"))
+    with_fallback = lambda b: F.when((b["number"] != "") & b["unit"].isNotNull(), formatted(b["number"], b["unit"], fmt))
+    return F.coalesce(
+        F.when(text.rlike(WHOLE_AMOUNT), let(bare, with_fallback)).when(text.rlike(WHOLE_QUANTITY), let(quantity, known)), value
     )
-    sure = lambda b: F.when(
-        b.isNull(), bare
-    ).when(b["confidence"] >= CONFIDENCE_THRESHOLD, formatted(b["number"], b["unit"], fmt))
-    return F.coalesce(F.when(value.isNotNull(), let(best_of_text(value), sure)), value)
 
 
 def converted(value: Column) -> Column:
-    """First number and unit of a value in the base unit of its dimension."""
+    """A value that is one quantity, in the base unit of its dimension; null for any other value."""
     text = F.trim(value)
     base = F.create_map(*[F.lit(x) for pair in BASE_UNITS.items() for x in pair])
     parts = F.struct(
-        F.regexp_extract(text, VALUE_PATTERN, 1).alias("number"),
-        find_unit(clean_unit(F.regexp_extract(text, VALUE_PATTERN, 2))).alias("unit"),
+        plain_number(F.regexp_extract(text, WHOLE_QUANTITY, 1)).alias("number"),
+        find_unit(F.regexp_extract(text, WHOLE_QUANTITY, 2)).alias("unit"),
     )
-    return let(
-        parts,
-        lambda p: F.when(
-            (p["number"] != "") & p["unit"].isNotNull(),
-            F.struct(
-                (p["number"].cast("double") * p["unit"]["factor"] + p["unit"]["offset"]).alias("amount"),
-                F.try_element_at(base, p["unit"]["dimension"]).alias("base_unit"),
-                p["unit"]["dimension"].alias("dimension"),
+    return F.when(
+        text.rlike(WHOLE_QUANTITY),
+        let(
+            parts,
+            lambda p: F.when(
+                p["number"].isNotNull() & p["unit"].isNotNull(),
+                F.struct(
+                    (p["number"].cast("double") * p["unit"]["factor"] + p["unit"]["offset"]).alias("amount"),
+                    F.try_element_at(base, p["unit"]["dimension"]).alias("base_unit"),
+                    p["unit"]["dimension"].alias("dimension"),
+                ),
             ),
         ),
     )

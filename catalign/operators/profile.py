@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalign.constants import MEASURE_SAMPLE, NOT_UNITS, NUMBER, NUMERIC_SHARE, PROFILE_SAMPLE, VALUE_PATTERN
-from catalign.functions.measures import all_extractions, confident
+from catalign.functions.measures import all_extractions, confident, fixed_text
 from catalign.operators.schema import quoted, unpivot_values
 from catalign.runtime import stage
 
@@ -107,7 +107,7 @@ def numeric_profile(
     )
     pairs = extracted_pairs(samples, order)
     place = F.row_number().over(Window.partitionBy("column_name").orderBy(order, "pos"))
-    means = pairs.groupBy("column_name").agg(F.round(F.avg(F.col("number").cast("double")), 4).alias("avg_value"))
+    means = pairs.groupBy("column_name").agg(F.avg(F.col("number").cast("double")).alias("mean_value"))
     firsts = (
         pairs.select("column_name", order, "pos", "number")
         .withColumn("k", place)
@@ -133,7 +133,8 @@ def numeric_profile(
             "numeric_count",
             F.round(share, 4).alias("numeric_percentage"),
             (share > NUMERIC_SHARE).alias("has_numeric"),
-            F.coalesce("avg_value", F.lit(0.0)).alias("avg_value"),
+            F.round(F.coalesce("mean_value", F.lit(0.0)), 4).alias("avg_value"),
+            F.coalesce("mean_value", F.lit(0.0)).alias("mean_value"),
             F.coalesce("first_numbers", F.array().cast("array<string>")).alias("first_numbers"),
             F.coalesce(
                 F.transform("units", lambda u: F.struct(u["unit"].alias("unit"), u["n"].alias("n"))),
@@ -154,10 +155,10 @@ def profile_report(profile: DataFrame) -> DataFrame:
         "total_values",
         "analyzed_values",
         "numeric_count",
-        F.format_string("%.1f%%", "numeric_percentage").alias("numeric_share"),
+        F.concat(fixed_text(F.col("numeric_percentage"), 1), F.lit("%")).alias("numeric_share"),
         F.array_join(F.transform(F.slice("units_found", 1, 3), lambda u: u["unit"]), ", ").alias("units"),
         F.array_join(F.slice("first_numbers", 1, 3), ", ").alias("numbers"),
-        F.when(F.col("avg_value") > 0, F.format_string("%.2f", "avg_value")).otherwise(F.lit("-")).alias("mean"),
+        F.when(F.col("mean_value") > 0, fixed_text(F.col("mean_value"), 2)).otherwise(F.lit("-")).alias("mean"),
     )
 
 

@@ -12,12 +12,23 @@ from catalign.constants import (
     LOW_CONFIDENCE,
     MEASURE_SAMPLE,
     NUMBER,
+    PATTERN_CONFIDENCE,
+    QUANTITY_CONFIDENCE,
     UNIT_CLASS,
 )
-from catalign.functions.measures import all_extractions, context_unit, find_unit, rule_unit, validate_unit
+from catalign.functions.measures import (
+    all_extractions,
+    confidence_of,
+    context_unit,
+    find_unit,
+    pattern_pairs,
+    quantity_pairs,
+    rule_unit,
+    validate_unit,
+)
 from catalign.operators.profile import column_samples
 from catalign.operators.schema import unpivot_values
-from catalign.runtime import stage
+from catalign.runtime import lookup, stage
 
 ROLE_NAMES = {
     "product": ["product_name", "name"],
@@ -40,9 +51,35 @@ def role_value(df: DataFrame, role: str) -> Column:
 
 
 def extraction_rows(df: DataFrame, value: str, ids: list[str], quantities: bool = True, patterns: bool = True) -> DataFrame:
-    """One row per extraction of a text column."""
-    return df.select(*ids, F.posexplode(all_extractions(F.col(value), quantities, patterns))).select(
-        *ids, "pos", "col.*"
+    """One row per extraction of a text column.
+
+    Unit texts are looked up once each: the distinct ones meet the dictionary, and the result is joined back.
+    """
+    if not quantities and not patterns:
+        raise ValueError("no extractor is active")
+    tagged = lambda pairs, method: F.transform(
+        pairs, lambda p: F.struct(F.lit(method).alias("kind"), p["number"].alias("number"), p["raw"].alias("raw"))
+    )
+    text = F.col(value)
+    parts = [tagged(quantity_pairs(text), "quantity")] * quantities + [tagged(pattern_pairs(text), "pattern")] * patterns
+    found = df.filter(text.rlike("[0-9]")).select(*ids, F.posexplode(F.concat(*parts))).select(*ids, "pos", "col.*")
+    found = stage(found, "extractions")
+    known = found.select("raw").distinct().withColumn("v", validate_unit(F.col("raw"))).filter("v IS NOT NULL")
+    rows = lookup(found, known.select("raw", "v.canonical", "v.dimension", "v.how"), "raw")
+    quantity = F.col("kind") == "quantity"
+    return rows.select(
+        *ids,
+        "pos",
+        "number",
+        F.col("raw").alias("raw_unit"),
+        F.coalesce("canonical", "raw").alias("unit"),
+        F.coalesce("dimension", F.when(quantity, "").otherwise("unknown")).alias("dimension"),
+        F.when(quantity, confidence_of("how", QUANTITY_CONFIDENCE))
+        .otherwise(confidence_of("how", PATTERN_CONFIDENCE))
+        .cast("double")
+        .alias("confidence"),
+        F.when(F.col("how").isNotNull(), F.concat("kind", F.lit("_known"))).otherwise(F.col("kind")).alias("method"),
+        F.col("how").isNotNull().alias("is_valid"),
     )
 
 
@@ -75,13 +112,13 @@ def measurement_types(df: DataFrame, columns: list[str], n: int = MEASURE_SAMPLE
     base = samples.groupBy("column_name").agg(
         F.count(F.lit(1)).alias("n_values"),
         F.count_if(F.trim("value").rlike(NUMBER)).alias("n_numeric"),
-        F.array_sort(F.collect_list(F.struct("rn", "value"))).alias("s"),
+        F.array_sort(F.collect_list(F.when(F.col("rn") <= 10, F.struct("rn", "value")))).alias("s"),
     )
     base = base.select(
         "column_name",
         "n_values",
         "n_numeric",
-        F.transform(F.slice("s", 1, 10), lambda x: x["value"]).alias("sample_values"),
+        F.transform("s", lambda x: x["value"]).alias("sample_values"),
         context_unit(name).alias("context_unit"),
     ).withColumn("v", F.when(F.col("context_unit").isNotNull(), validate_unit(F.col("context_unit"))))
     base = stage(

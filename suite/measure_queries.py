@@ -8,6 +8,7 @@ from catalign.functions import measures as M
 from catalign.operators import profile as N
 from catalign.operators import schema as S
 from catalign.operators import standardize as V
+from catalign.operators import unit_expressions as X
 from catalign.operators import units as U
 from catalign.runtime import stage
 from suite.param_queries import LINES_CTE, staged_lines
@@ -44,21 +45,70 @@ NUM = "[0-9]+\\.?[0-9]*"
 VALUE_RE = f"({NUM})\\s*({LETTERS}*)"
 
 
+SPACE = r"(?:  |\x{A0}\x{A0})"
+
+
+def amount_re(space=SPACE):
+    """Amounts; ``space`` is what stands between groups of thousands, and before a fraction."""
+    return (
+        f"[-+−]?(?:(?:[0-9]+{space})?[0-9]+/[0-9]+|[1-9][0-9]{{0,2}}(?:{space}[0-9]{{3}})+(?:[.,][0-9]+)?"
+        "|[1-9][0-9]{0,2}(?:,[0-9]{3})+(?:\\.[0-9]+)?|[1-9][0-9]{0,2}(?:\\.[0-9]{3})+,[0-9]+"
+        "|[1-9][0-9]{0,2}(?:\\.[0-9]{3}){2,}|[0-9]+(?:[.,][0-9]+)?(?:[eE][-+]?[0-9]+)?)"
+    )
+
+
+UNIT_WORD = "[a-zA-Zа-яА-ЯёЁ°µΩ%\"'']+(?:[²³]|\\^?-?[1-9])?"
+UNIT_RE = f"{UNIT_WORD}(?:[/·*]{UNIT_WORD})*"
+BEFORE = "(?:^|[^\\p{L}\\p{N}_.,/+\\-–—−\\x{E000}])"
+AFTER = "(?:$|[^\\p{L}\\p{N}_²³/^·*])"
+SINGLE = "a-zа-яё°\"''"
+
+
+def doubled(text):
+    """This engine can't look around a match. So characters that may end one quantity and begin the next are written
+    twice, and a dash before a space in a range becomes a mark that nothing may follow."""
+    marked = text
+    for _ in range(2):
+        marked = f"regexp_replace({marked}, '([0-9])\\s?[-–—]\\s([0-9])', '\\1\ue000\\2', 'g')"
+    return f"""regexp_replace({marked}, '([^\\p{{L}}\\p{{N}}_.,/+\\-–—−\\x{{E000}}²³^·*°µΩ%"''])', '\\1\\1', 'g')"""
+
+
+def single(text):
+    out = text
+    for c in ("' '", "chr(160)", "chr(10)", "chr(9)", "chr(13)", "chr(12)"):
+        out = f"replace({out}, {c} || {c}, {c})"
+    return out
+
+
+def number_sql(n):
+    """An amount as a plain number."""
+    fraction = "'^([-+]?)(?:([0-9]+) )?([0-9]+)/([0-9]+)$'"
+    part = lambda i: f"regexp_extract({n}, {fraction}, {i})"
+    value = f"(CASE WHEN {part(1)} = '-' THEN -1 ELSE 1 END) * (coalesce(TRY_CAST({part(2)} AS DOUBLE), 0) + TRY_CAST({part(3)} AS DOUBLE) / nullif(TRY_CAST({part(4)} AS DOUBLE), 0))"
+    return f"""ltrim(CASE WHEN contains({n}, '/') THEN regexp_replace(CAST({value} AS VARCHAR), '\\.0$', '')
+  WHEN contains({n}, ' ') THEN replace(replace({n}, ' ', ''), ',', '.')
+  WHEN regexp_matches({n}, '^[-+]?[1-9][0-9]{{0,2}}(,[0-9]{{3}})+(\\.[0-9]+)?$') THEN replace({n}, ',', '')
+  WHEN regexp_matches({n}, '^[-+]?[1-9][0-9]{{0,2}}((\\.[0-9]{{3}})+,[0-9]+|(\\.[0-9]{{3}}){{2,}})$') THEN replace(replace({n}, '.', ''), ',', '.')
+  ELSE replace({n}, ',', '.') END, '+')"""
+
+
 def extraction_ctes(source, key, value):
     """``found``: all extractions of a text column, quantities before patterns."""
-    word = "([0-9]+(?:[.,][0-9]+|\\.)?)\\s*([a-zA-Zа-яА-ЯёЁ°µΩ%\"'']+)"
-    pattern = f"([0-9]+(?:\\.[0-9]+)?)\\s*({LETTERS}+)"
-    return f"""raw_q AS (SELECT {key}, i AS k, replace(regexp_replace(number, '^([0-9]+),([0-9]{{3}})$', '\\1\\2'), ',', '.') AS number,
-  trim(raw) AS raw FROM (
-  SELECT {key}, unnest(regexp_extract_all({value}, '{word}', 1)) AS number,
-         unnest(regexp_extract_all({value}, '{word}', 2)) AS raw,
-         generate_subscripts(regexp_extract_all({value}, '{word}', 1), 1) AS i FROM {source})
-  WHERE CAST(replace(number, ',', '.') AS DOUBLE) <> 0),
-raw_p AS (SELECT {key}, i AS k, number, trim(raw) AS raw FROM (
-  SELECT {key}, unnest(regexp_extract_all(lower({value}), '{pattern}', 1)) AS number,
-         unnest(regexp_extract_all(lower({value}), '{pattern}', 2)) AS raw,
-         generate_subscripts(regexp_extract_all(lower({value}), '{pattern}', 1), 1) AS i FROM {source})
-  WHERE length(trim(raw)) BETWEEN 1 AND 19),
+    word = f"{BEFORE}({amount_re()})(\\s+|-|)({UNIT_RE}){AFTER}"
+    pattern = f"{BEFORE}({amount_re()})\\s*([{SINGLE}](?:[{SINGLE}\\s]*[{SINGLE}])?){AFTER}"
+    tidy = lambda n: f"replace(replace({single(n)}, chr(160), ' '), '−', '-')"
+    return f"""raw_q AS (SELECT {key}, k, {number_sql("n")} AS number, raw FROM (
+  SELECT {key}, i AS k, {tidy("number")} AS n, raw FROM (
+  SELECT {key}, unnest(regexp_extract_all(t, '{word}', 1)) AS number, unnest(regexp_extract_all(t, '{word}', 2)) AS sep,
+         unnest(regexp_extract_all(t, '{word}', 3)) AS raw, generate_subscripts(regexp_extract_all(t, '{word}', 1), 1) AS i
+  FROM (SELECT {key}, {doubled(value)} AS t FROM {source}))
+  WHERE NOT (sep = '' AND regexp_matches(raw, '^[Kb]([^\\p{{L}}]|$)')) AND NOT regexp_matches(raw, '^x[0-9]'))
+  WHERE CAST({number_sql("n")} AS DOUBLE) <> 0),
+raw_p AS (SELECT {key}, k, {number_sql("n")} AS number, raw FROM (
+  SELECT {key}, i AS k, {tidy("number")} AS n, trim({single("raw")}) AS raw FROM (
+  SELECT {key}, unnest(regexp_extract_all(t, '{pattern}', 1)) AS number, unnest(regexp_extract_all(t, '{pattern}', 2)) AS raw,
+         generate_subscripts(regexp_extract_all(t, '{pattern}', 1), 1) AS i FROM (SELECT {key}, {doubled(f"lower({value})")} AS t FROM {source})))
+  WHERE length(raw) BETWEEN 1 AND 19 AND {number_sql("n")} IS NOT NULL),
 raws AS (SELECT raw FROM raw_q UNION SELECT raw FROM raw_p),
 {validity_cte("raws")},
 found AS (SELECT {key}, CAST(row_number() OVER (PARTITION BY {key} ORDER BY part, k) - 1 AS INT) AS pos, number,
@@ -150,7 +200,8 @@ SELECT column_name, total_values, analyzed_values, numeric_count,
   printf('%.1f%%', numeric_percentage) AS numeric_share,
   coalesce((SELECT string_agg(unit, ', ' ORDER BY rank) FROM unit_counts u WHERE u.column_name = f.column_name AND rank <= 3), '') AS units,
   array_to_string(list_filter(string_split(first_numbers, ' ')[1:3], lambda x: x <> ''), ', ') AS numbers,
-  CASE WHEN avg_value > 0 THEN printf('%.2f', avg_value) ELSE '-' END AS mean FROM full_profile f"""
+  coalesce((SELECT CASE WHEN avg(CAST(number AS DOUBLE)) > 0 THEN printf('%.2f', avg(CAST(number AS DOUBLE))) END FROM pairs q
+    WHERE q.column_name = f.column_name), '-') AS mean FROM full_profile f"""
 
 Q["value_samples"] = lambda spark, d: N.value_samples(
     grouped_lines(spark, d).withColumnRenamed("power", "power (W)"), ["weight", "power", "vendor"]
@@ -297,6 +348,96 @@ SQL["extract_without_validation"] = cte(UNITS_CTE, extraction_ctes("documents",
 SELECT doc_id, pos, number, raw_unit AS unit, CASE WHEN method LIKE 'quantity%' THEN 0.8 ELSE 0.4 END::DOUBLE AS confidence,
   string_split(method, '_')[1] AS method, false AS is_valid FROM found"""
 
+# What becomes of values that are easily misread, worked out by hand: (value, amounts and units found, standard form).
+READINGS = [
+    ("1,234.5 kg", "1234.5 kilogram", "1234.5 kilogram"), ("1.234,5 kg", "1234.5 kilogram", "1234.5 kilogram"),
+    ("10 000 mm", "10000 millimeter", "10000 millimeter"), ("1 1/2 in", "1.5 inch", "1.5 inch"), ("3/4 in", "0.75 inch", "0.75 inch"),
+    ("1e3 W", "1e3 watt", "1e3 watt"), ("-5 °C", "-5 degree_Celsius", "-5 degree_Celsius"), ("1.2.3 kg", "", "1.2.3 kg"),
+    ("100 km/h", "100 km/h", "100 km/h"), ("12 m²", "12 m²", "12 m²"), ("5 g/cm3", "5 g/cm3", "5 g/cm3"),
+    ("30 Nm", "30 newton_meter", "30 newton_meter"), ("802.11b", "", "802.11b"), ("7 in 1", "7 inch", "7 in 1"), ("4K", "", "4K"),
+    ("50-60 Hz", "", "50-60 Hz"), ("50 - 60 Hz", "", "50 - 60 Hz"), ("15-inch", "15 inch", "15 inch"), ("2x4 cm", "", "2x4 cm"),
+    ("0,500 kg", "0.500 kilogram", "0.500 kilogram"), ("1,500 kg", "1500 kilogram", "1500 kilogram"), ("1.500 kg", "1.500 kilogram", "1.500 kilogram"),
+    ("1.234.567 g", "1234567 gram", "1234567 gram"), ("5 kg, 3 W", "5 kilogram; 3 watt", "5 kg, 3 W"), ("3/0 kg", "", "3/0 kg"),
+    ("4 K", "4 kelvin", "4 kelvin"), ("1 234,5 kg", "1234.5 kilogram", "1234.5 kilogram"), ("kg", "", "kg"), ("5 kg.", "5 kilogram", "5 kilogram"),
+    ("+12 V", "12 volt", "12 volt"), ("5 кг", "5 kilogram", "5 kilogram"), ("7", "", "7 pcs"), ("1/2", "", "0.5 pcs"), ("12,5", "", "12.5 pcs"),
+]
+
+
+def quantity_values(spark, d):
+    rows = _unit_texts(spark, d, [v for v, _, _ in READINGS])
+    found = F.transform(M.quantity_extractions(F.col("unit_text")), lambda e: F.concat_ws(" ", e["number"], e["unit"]))
+    return rows.select(
+        "p_partkey",
+        F.col("unit_text").alias("value"),
+        F.array_join(found, "; ").alias("found"),
+        M.standardize_best(F.col("unit_text"), F.lit("pcs")).alias("standard"),
+    )
+
+
+Q["quantity_values"] = quantity_values
+SQL["quantity_values"] = "SELECT p_partkey, " + ", ".join(
+    f"{quoted_list(r[i] for r in READINGS)}[p_partkey % {len(READINGS)} + 1] AS {c}" for i, c in enumerate(("value", "found", "standard"))
+) + " FROM part"
+
+# Unit texts with canonical form, dimension, and what one of them is in base units, worked out by hand.
+EXPRESSIONS = [
+    ("km/h", "kilometer / hour", "[length] / [time]", 1000 / 3600, "meter / second"),
+    ("m/s", "meter / second", "[length] / [time]", 1.0, "meter / second"),
+    ("m²", "meter ** 2", "[length] ** 2", 1.0, "meter ** 2"),
+    ("cm^3", "centimeter ** 3", "volume", 1e-6, "meter ** 3"),
+    ("W/m2", "watt / meter ** 2", "[mass] / [time] ** 3", 1.0, "kilogram / second ** 3"),
+    ("g/cm3", "gram / centimeter ** 3", "[mass] / [length] ** 3", 1000.0, "kilogram / meter ** 3"),
+    ("Nm", "newton_meter", "energy", 1.0, "kilogram * meter ** 2 / second ** 2"),
+    ("N*m", "meter * newton", "energy", 1.0, "kilogram * meter ** 2 / second ** 2"),
+    ("cd/m2", "candela / meter ** 2", "[luminosity] / [length] ** 2", 1.0, "candela / meter ** 2"),
+    ("W/(m*K)", "watt / kelvin / meter", "[length] * [mass] / [temperature] / [time] ** 3", 1.0, "kilogram * meter / kelvin / second ** 3"),
+    ("l/100km", "liter / kilometer", "[length] ** 2", 1e-8, "meter ** 2"),
+    ("kWh/day", "kilowatt_hour / day", "power", 3.6e6 / 86400, "kilogram * meter ** 2 / second ** 3"),
+    ("kg m s^-2", "kilogram * meter / second ** 2", "force", 1.0, "kilogram * meter / second ** 2"),
+    ("miles per hour", "mile / hour", "[length] / [time]", 1609.344 / 3600, "meter / second"),
+    ("MB/s", "megabyte / second", "[information] / [time]", 1e-3, "gigabyte / second"),
+    ("m/m", "dimensionless", "dimensionless", 1.0, "one"),
+    ("mW", "milliwatt", "power", 1e-3, "kilogram * meter ** 2 / second ** 3"),
+    ("кг/л", "kilogram / liter", "[mass] / [length] ** 3", 1000.0, "kilogram / meter ** 3"),
+]
+NO_EXPRESSIONS = ["foo/bar", "m//s", "kg/", "100", "m^", "km/parsec"]
+
+
+def _expression_rows(spark, d):
+    return _unit_texts(spark, d, [e[0] for e in EXPRESSIONS] + NO_EXPRESSIONS)
+
+
+def unit_expressions(spark, d):
+    known = X.unit_expressions(_expression_rows(spark, d), "unit_text")
+    return _expression_rows(spark, d).groupBy("unit_text").count().join(known, "unit_text").select(
+        "unit_text", F.col("count").alias("n_rows"), "canonical", "dimension", F.round("factor", 12).alias("factor"), "base_unit"
+    )
+
+
+def expressions_cte():
+    texts = [e[0] for e in EXPRESSIONS] + NO_EXPRESSIONS
+    rows = ", ".join(f"('{t}', '{c}', '{m}', CAST({f!r} AS DOUBLE), '{b}')" for t, c, m, f, b in EXPRESSIONS)
+    return f"""texts AS (SELECT p_partkey, p_size, {quoted_list(texts)}[p_partkey % {len(texts)} + 1] AS unit_text FROM part),
+expressions AS (SELECT * FROM (VALUES {rows}) t(unit_text, canonical, dimension, factor, base_unit))"""
+
+
+Q["unit_expressions"] = unit_expressions
+SQL["unit_expressions"] = cte(expressions_cte()) + """
+SELECT unit_text, count(*) AS n_rows, canonical, dimension, round(factor, 12) AS factor, base_unit
+FROM texts JOIN expressions USING (unit_text) GROUP BY ALL"""
+
+
+def unit_convert_compound(spark, d):
+    rows = _expression_rows(spark, d)
+    rows = rows.select("p_partkey", F.concat_ws(" ", F.col("p_size").cast("string"), "unit_text").alias("measured"))
+    return X.convert_measured(rows, ["measured"], ["p_partkey"]).withColumn("amount", F.round("amount", 9))
+
+
+Q["unit_convert_compound"] = unit_convert_compound
+SQL["unit_convert_compound"] = cte(expressions_cte()) + """
+SELECT p_partkey, 'measured' AS column_name, p_size || ' ' || unit_text AS value, round(p_size * factor, 9) AS amount, base_unit, dimension
+FROM texts LEFT JOIN expressions USING (unit_text)"""
+
 HEADERS = [
     "Dimensions", "Screen Size (in)", "Screen Resolution", "Weight (kg)", "RAM Size", "max power - kWatt", "Length",
     "photo 1920x1080", "Engine power", "Storage Capacity", "Вес", "Display Type", "Width", "Color", "Noise Level (dB)",
@@ -482,13 +623,17 @@ SQL["standardize_without_units"] = cte(*LINES, UNITS_CTE) + "SELECT row_id, grou
 ) + " FROM grouped"
 
 Q["standardize_best"] = lambda spark, d: _standard(spark, d, "best")
-SQL["standardize_best"] = cte(
-    *CATEGORY, WIDE_CTE, "texts AS (SELECT DISTINCT value FROM cells)", extraction_ctes("texts", "value", "value"),
-    """best AS (SELECT value, number || ' ' || unit AS text FROM found
-       QUALIFY row_number() OVER (PARTITION BY value ORDER BY confidence DESC, pos) = 1)""",
-) + "SELECT row_id, group_name, " + ",\n".join(
-    f"""CASE WHEN group_name IS NULL THEN {c} ELSE coalesce((SELECT text FROM best b WHERE b.value = {c}),
-  CASE WHEN regexp_extract(trim({c}), '({NUM})', 1) <> '' THEN regexp_extract(trim({c}), '({NUM})', 1) || ' ' || {fallback_sql(c)} END, {c}) END AS {c}"""
+ONE = r"[ \x{A0}]"
+WHOLE = f"^({amount_re(ONE)})(\\s+|-|)({UNIT_RE})(?:[^\\p{{L}}\\p{{N}}_²³/^·*][^0-9]*)?$"
+BEST_CTES = f"""split AS (SELECT value, replace(replace(regexp_extract(trim(value), '{WHOLE}', 1), chr(160), ' '), '−', '-') AS n,
+  regexp_extract(trim(value), '{WHOLE}', 3) AS raw FROM texts WHERE regexp_matches(trim(value), '{WHOLE}')
+  AND NOT (regexp_extract(trim(value), '{WHOLE}', 2) = '' AND regexp_matches(regexp_extract(trim(value), '{WHOLE}', 3), '^[Kb]([^\\p{{L}}]|$)'))),
+{validity_cte("split")},
+best AS (SELECT value, {number_sql("n")} || ' ' || canonical AS text FROM split JOIN valid USING (raw) WHERE CAST({number_sql("n")} AS DOUBLE) <> 0)"""
+SQL["standardize_best"] = cte(*CATEGORY, WIDE_CTE, "texts AS (SELECT DISTINCT value FROM cells)", BEST_CTES) + "SELECT row_id, group_name, " + ",\n".join(
+    f"""CASE WHEN group_name IS NULL THEN {c} WHEN regexp_matches(trim({c}), '^{amount_re(ONE)}$')
+  THEN coalesce({number_sql(f"trim({c})")} || ' ' || {fallback_sql(c)}, {c})
+  ELSE coalesce((SELECT text FROM best b WHERE b.value = {c}), {c}) END AS {c}"""
     for c in MEASURED
 ) + " FROM grouped LEFT JOIN wide_units USING (group_name)"
 

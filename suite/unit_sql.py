@@ -43,14 +43,18 @@ PLAIN_UNITS = """(1, 'meter', 'length', 1.0, 0.0, ['m'], ['meters', 'metre', 'me
 (39, 'lumen', 'luminous_flux', 1.0, 0.0, ['lm'], ['lumens'], ''),
 (40, 'pages_per_minute', 'rate', 1.0, 0.0, ['ppm'], [], ''),
 (41, 'percent', 'dimensionless', 0.01, 0.0, ['%'], [], ''),
-(42, 'piece', 'dimensionless', 1.0, 0.0, ['pcs'], ['pc', 'pieces'], '')"""
+(42, 'piece', 'dimensionless', 1.0, 0.0, ['pcs'], ['pc', 'pieces'], ''),
+(43, 'newton', 'force', 1.0, 0.0, ['N'], ['newtons'], 'kM'),
+(44, 'newton_meter', 'energy', 1.0, 0.0, ['Nm'], [], ''),
+(45, 'candela', 'luminous_intensity', 1.0, 0.0, ['cd'], ['candelas'], ''),
+(46, 'lux', 'illuminance', 1.0, 0.0, ['lx'], [], '')"""
 
 SPELLINGS = """('kWatt', 'kilowatt'), ('м', 'meter'), ('мм', 'millimeter'), ('см', 'centimeter'), ('км', 'kilometer'), ('дюйм', 'inch'),
 ('дюймов', 'inch'), ('г', 'gram'), ('гр', 'gram'), ('кг', 'kilogram'), ('мг', 'milligram'), ('т', 'metric_ton'), ('Вт', 'watt'),
 ('кВт', 'kilowatt'), ('МВт', 'megawatt'), ('В', 'volt'), ('А', 'ampere'), ('мАч', 'milliampere_hour'), ('кВтч', 'kilowatt_hour'),
 ('л', 'liter'), ('мл', 'milliliter'), ('Гц', 'hertz'), ('кГц', 'kilohertz'), ('МГц', 'megahertz'), ('ГГц', 'gigahertz'),
 ('КБ', 'kilobyte'), ('МБ', 'megabyte'), ('ГБ', 'gigabyte'), ('ТБ', 'terabyte'), ('с', 'second'), ('сек', 'second'),
-('мин', 'minute'), ('ч', 'hour'), ('дБ', 'decibel'), ('шт', 'piece')"""
+('мин', 'minute'), ('ч', 'hour'), ('дБ', 'decibel'), ('шт', 'piece'), ('Н', 'newton'), ('кН', 'kilonewton')"""
 
 UNITS_CTE = f"""base_units AS (SELECT * FROM (VALUES {PLAIN_UNITS}) t(nth, canonical, dimension, factor, off, symbols, names, prefixes)),
 prefix AS (SELECT * FROM (VALUES (1, 'k', 'kilo', 1e3), (2, 'M', 'mega', 1e6), (3, 'G', 'giga', 1e9), (4, 'T', 'tera', 1e12),
@@ -88,7 +92,8 @@ def cleaned(text: str) -> str:
 
 def validity_cte(source: str) -> str:
     """``valid(raw, canonical, dimension, how)`` for the distinct unit texts of ``source(raw)``."""
-    return f"""cleaned AS (SELECT raw, {cleaned("raw")} AS c, lower({cleaned("raw")}) AS lc FROM (SELECT DISTINCT raw FROM {source})),
+    return f"""cleaned AS (SELECT raw, {cleaned("raw")} AS c, lower({cleaned("raw")}) AS lc FROM (SELECT DISTINCT raw FROM {source})
+  WHERE NOT regexp_matches(raw, '[/·*^²³0-9]')),
 exact AS (SELECT raw, coalesce(u.canonical, l.canonical) AS canonical, coalesce(u.dimension, l.dimension) AS dimension, 'exact' AS how
   FROM cleaned LEFT JOIN units u ON u.alias = c LEFT JOIN lowered l ON l.alias = lc WHERE u.alias IS NOT NULL OR l.alias IS NOT NULL),
 fuzzy AS (SELECT raw, canonical, dimension, 'fuzzy' AS how FROM cleaned JOIN lowered

@@ -7,6 +7,7 @@ from catalign.constants import UNIT_RULES
 from catalign.functions import measures as M
 from catalign.operators import profile as N
 from catalign.operators import standardize as V
+from catalign.operators import unit_expressions as X
 from catalign.operators import units as U
 
 COLUMN_ROWS = [
@@ -206,3 +207,68 @@ def test_confidence_may_exceed_one(spark):
 def test_standardized_header_is_found_again():
     assert N.standardized_name(["a", "power (W)"], "power") == "power (W)"
     assert N.standardized_name(["power", "power (W)"], "power") == "power" and N.standardized_name(["a"], "b") is None
+
+
+@pytest.mark.parametrize(
+    "text,plain",
+    [
+        ("1,234.5", "1234.5"), ("1.234,5", "1234.5"), ("1 234,5", "1234.5"), ("10\u00a0000", "10000"), ("1 1/2", "1.5"), ("-3/4", "-0.75"),
+        ("1/3", "0.3333333333333333"), ("3/0", None), ("1e3", "1e3"), ("+7", "7"), ("\u22125,5", "-5.5"), ("0,500", "0.500"), ("1,500", "1500"),
+        ("12,34", "12.34"), ("1.234.567", "1234567"), ("6/3", "2"),
+    ],
+)
+def test_plain_numbers(spark, text, plain):
+    assert one(spark, text, M.plain_number) == plain
+
+
+def test_amounts_in_running_text(spark):
+    text = "Holds 1 1/2 l, 10 000 W; 5 kg.\nFrom 50-60 Hz or 50 - 60 Hz, 12V/24V, v1.2.3 kg, (7 mm) and -5 °C at 100 km/h"
+    found = one(spark, text, M.quantity_extractions)
+    assert [(e["number"], e["unit"]) for e in found] == [
+        ("1.5", "liter"), ("10000", "watt"), ("5", "kilogram"), ("7", "millimeter"), ("-5", "degree_Celsius"), ("100", "km/h"),
+    ]
+
+
+def test_empty_and_missing_texts_have_no_amounts(spark):
+    for text in (None, "", " ", "no number", "x" * 20000, "9" * 20000, ("5 " * 5000) + "kg"):
+        found = one(spark, text, M.all_extractions)
+        assert found is None if text is None else len(found) <= 2
+
+
+@pytest.mark.parametrize("digits", [1, 2, 4])
+def test_fixed_digits_follow_the_binary_value(spark, digits):
+    import random
+
+    rng = random.Random(digits)
+    values = [0.0, 12.075, 0.125, 0.375, 2.5, 0.005, 1e-9, 123456789.987654321, 0.9999999, 1.005, 2.675, 99.995] + [
+        rng.random() * 10 ** rng.randrange(-3, 9) for _ in range(500)
+    ]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    got = df.select("x", M.fixed_text(F.col("x"), digits).alias("t")).collect()
+    assert all(r.t == f"{r.x:.{digits}f}" for r in got)
+
+
+def test_extraction_rows_agree_with_the_column_form(spark):
+    texts = ["weighs 2.5 KG or 3 foobar, 0 kg", None, "", "5 g/cm3 and 7 lbs, 1,5 meterss", "4K 802.11b 2 min", "5 kg 5 kg 5 kg"]
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, pos string").withColumnRenamed("pos", "body")
+    rows = sorted(tuple(r) for r in U.extraction_rows(df, "body", ["n"]).collect())
+    wide = df.select("n", F.posexplode(M.all_extractions(F.col("body")))).select("n", "pos", "col.*")
+    assert rows == sorted(tuple(r) for r in wide.collect()) and len(rows) > 10
+
+
+def test_expressions_of_units(spark):
+    texts = ["km / h", "m / s ^ 2", "N·m", "kg*m**2/s**2", "1/min", None, "", " ", "foo", "kg·foo", "°C", "W/(m²*K)", "(kg*m)/s", "km/h"]
+    df = spark.createDataFrame([(t,) for t in texts], "u string").withColumn("unit_text", F.lit("clash"))
+    got = {r.unit_text: r for r in X.unit_expressions(df, "u").collect()}
+    assert set(got) == {"km / h", "m / s ^ 2", "N·m", "kg*m**2/s**2", "1/min", "°C", "W/(m²*K)", "(kg*m)/s", "km/h"}
+    assert got["km / h"]["canonical"] == got["km/h"]["canonical"] == "kilometer / hour"
+    assert got["kg*m**2/s**2"]["dimension"] == "energy" and got["1/min"]["base_unit"] == "1 / second" and got["°C"]["offset"] == 273.15
+    assert got["W/(m²*K)"]["base_unit"] == "kilogram / kelvin / second ** 3" and got["(kg*m)/s"]["canonical"] == "kilogram * meter / second"
+    assert X.unit_expressions(df.limit(0), "u").collect() == []
+
+
+def test_values_with_unknown_units_keep_their_rows(spark):
+    df = spark.createDataFrame([(1, "3 km/h"), (2, "3 foo"), (3, "12"), (4, "1 000 m²"), (5, "-5 °C"), (6, None), (7, "50-60 Hz")], "id int, v string")
+    got = {r.id: (r.amount, r.base_unit) for r in X.convert_measured(df, ["v"], ["id"]).collect()}
+    assert got[4] == (1000.0, "meter ** 2") and got[5] == (268.15, "kelvin") and got[2] == got[3] == got[7] == (None, None)
+    assert abs(got[1][0] - 3 / 3.6) < 1e-12 and 6 not in got
