@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from catalign.operators.schema import normalize_na, quoted, stack, unify_schema, with_initial_group, with_provenance
-from catalign.runtime import SINGLE_TASK_ROWS, global_rank
+from catalign.runtime import SINGLE_TASK_ROWS, global_rank, lookup
+from catalign.sources.records import SPLIT_BYTES, opens_field, scan_records, without_quoted
 
 # Encodings in the order they are tried.
 ENCODINGS = ["utf-8", "cp1251", "cp1252", "latin-1"]
@@ -79,7 +80,7 @@ def detect_dialects(spark: SparkSession, paths: list[str]) -> dict[str, dict[str
     for name in ENCODINGS[1:]:
         bad = [f"{128 + i:02X}" for i, ch in enumerate(_high_bytes(name)) if ch is None]
         checks.append((~F.bool_or(hexes.rlike("^(..)*(" + "|".join(bad) + ")")) if bad else F.bool_and(F.lit(True))).alias(name))
-    checks += [F.bool_or(_opens_field(F.col("value"), sep)).alias(f"open{i}") for i, sep in enumerate(separators)]
+    checks += [F.bool_or(opens_field(F.col("value"), sep)).alias(f"open{i}") for i, sep in enumerate(separators)]
     facts = {_location(r["path"]): r for r in lines.groupBy("path").agg(*checks).collect()}
 
     def dialect(file: str) -> Dialect | None:
@@ -130,17 +131,6 @@ def _guess(text: list[str], use_quotes: bool) -> list[str]:
         return []
 
 
-def _without_quoted(line: Column, separator: str) -> Column:
-    """A line with its closed quoted fields emptied, and without doubled quotes."""
-    sep = re.escape(separator)
-    return F.regexp_replace(F.replace(line, F.lit('""'), F.lit("")), f'(^|{sep})"[^"]*"(?={sep}|$)', "$1")
-
-
-def _opens_field(line: Column, separator: str) -> Column:
-    """Whether a quoted field begins in the line and doesn't end in it; a quote inside a field is text."""
-    return _without_quoted(line, separator).rlike(f'(^|{re.escape(separator)})"[^"]*$')
-
-
 def _high_bytes(encoding: str) -> list[str | None]:
     """What each byte from 0x80 on means in a single-byte encoding, None if nothing."""
     return [bytes([b]).decode(encoding, errors="ignore") or None for b in range(128, 256)]
@@ -157,40 +147,61 @@ def recode(value: Column, encoding: str, back: bool = False) -> Column:
     return F.translate(value, target, latin) if back else F.translate(value, latin, target)
 
 
-def scan_csv(spark: SparkSession, paths: list[str], dialect: Dialect) -> DataFrame:
+def scan_csv(spark: SparkSession, paths: list[str], dialect: Dialect, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """The rows of files of one dialect as text columns ``c0, c1, …``, with their place and ``_bad``.
 
     ``_path``, ``_block`` and ``_line`` order the rows as in the files. A row is bad if it has
     more fields than the header, be they empty or not; a short row is filled with nulls.
     """
     width = len(dialect.columns)
-    rows = spark.read.csv(
-        paths,
-        schema=", ".join(f"c{i} string" for i in range(width)) + ", _raw string",
-        header=True,
-        enforceSchema=True,
-        sep=dialect.separator,
-        encoding="UTF-8" if dialect.encoding == "utf-8" else "ISO-8859-1",
-        quote='"' if dialect.quoted else "",
-        escape='"' if dialect.quoted else "",
-        multiLine=dialect.multi_line,
-        mode="PERMISSIVE",
-        columnNameOfCorruptRecord="_raw",
-    )
+    schema = ", ".join(f"c{i} string" for i in range(width)) + ", _raw string"
+    charset = "UTF-8" if dialect.encoding == "utf-8" else "ISO-8859-1"
+    options = {
+        "sep": dialect.separator,
+        "quote": '"' if dialect.quoted else "",
+        "escape": '"' if dialect.quoted else "",
+        "mode": "PERMISSIVE",
+        "columnNameOfCorruptRecord": "_raw",
+    }
+    if dialect.multi_line:
+        records = scan_records(spark, paths, dialect.separator, charset, split_bytes)
+        rows = _parsed_records(records, schema, options)
+    else:
+        rows = spark.read.csv(paths, schema=schema, header=True, enforceSchema=True, encoding=charset, **options).select(
+            "*",
+            F.col("_metadata.file_name").alias("_file"),
+            F.col("_metadata.file_path").alias("_path"),
+            F.col("_metadata.file_block_start").alias("_block"),
+            F.monotonically_increasing_id().alias("_line"),
+        )
     # Spark keeps the text of every row that hasn't exactly the header's number of fields.
-    bare = _without_quoted(F.col("_raw"), dialect.separator) if dialect.quoted else F.col("_raw")
+    bare = without_quoted(F.col("_raw"), dialect.separator) if dialect.quoted else F.col("_raw")
     fields = F.length(bare) - F.length(F.replace(bare, F.lit(dialect.separator))) + 1
     text = F.col if dialect.encoding in ("utf-8", "latin-1") else lambda c: recode(F.col(c), dialect.encoding)
     return rows.select(
         *[text(f"c{i}").alias(f"c{i}") for i in range(width)],
-        F.col("_metadata.file_name").alias("_file"),
-        F.col("_metadata.file_path").alias("_path"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_line"),
+        *PLACE,
         F.coalesce(fields > width, F.lit(False)).alias("_bad"),
     )
 
 
+def _parsed_records(records: DataFrame, schema: str, options: dict) -> DataFrame:
+    """Records of files whose quoted fields span lines, each parsed by itself.
+
+    The first record of a file that isn't blank is the header; blank ones are no rows.
+    """
+    records = records.filter(F.col("text").rlike(r"\S"))
+    heads = records.groupBy("path").agg(F.min(F.struct("block", "line")).alias("head"))
+    rows = lookup(records, heads, "path").filter(F.struct("block", "line") != F.col("head"))
+    return rows.select(
+        F.from_csv("text", schema, options | {"multiLine": "true"}).alias("r"),
+        F.url_decode(F.replace(F.element_at(F.split("path", "/"), -1), F.lit("+"), F.lit("%2B"))).alias("_file"),
+        F.col("path").alias("_path"),
+        F.col("block").alias("_block"),
+        F.col("line").alias("_line"),
+    ).select("r.*", *PLACE)
+
+
 def _whole(scanned: DataFrame) -> Column:
     """Always true, but read from all columns: with some pruned away, Spark would no longer count
     a row's fields against the header."""
@@ -218,17 +229,18 @@ def _by_dialect(dialects: dict[str, Dialect | None]) -> dict[Dialect, list[str]]
     return groups
 
 
-def read_csv(spark: SparkSession, path: str, dialect: Dialect | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, dialect: Dialect | None = None, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """One file or folder as text columns under cleaned headers, plus the place of each row.
 
-    Bad rows are left out; ``bad_rows`` counts them.
+    Bad rows are left out; ``bad_rows`` counts them. Files whose quoted fields span lines are read in ranges of
+    ``split_bytes``, too.
     """
     if dialect is not None:
-        return _good_rows(scan_csv(spark, [path], dialect), dialect)
+        return _good_rows(scan_csv(spark, [path], dialect, split_bytes), dialect)
     groups = _by_dialect(detect_dialects(spark, [path])[path])
     if not groups:
         raise UnreadableFile(path)
-    return stack([_good_rows(scan_csv(spark, files, d), d) for d, files in groups.items()])
+    return stack([_good_rows(scan_csv(spark, files, d, split_bytes), d) for d, files in groups.items()])
 
 
 def bad_rows(spark: SparkSession, path: str) -> DataFrame:

@@ -87,6 +87,21 @@ Q["csv_multi_line_text"] = csv_multi_line_text
 SQL["csv_multi_line_text"] = "SELECT doc_id, lang, md5(trim(text)) AS text_md5 FROM documents"
 
 
+def csv_parallel_quotes(spark, d):
+    """One file of free text whose quoted fields span lines, read in many ranges."""
+    path = _folder(spark)
+    docs = table(spark, d, "documents").select("doc_id", "text", F.concat(F.lit('"'), "lang", F.lit('";\n'), "text").alias("note"))
+    docs.coalesce(1).write.option("header", True).option("sep", ";").option("escape", '"').csv(path)
+    back = read_csv(spark, path, split_bytes=1 << 18)
+    digest = lambda c: F.md5(F.trim(c).cast("binary")).alias(f"{c}_md5")
+    return back.select(F.col("doc_id").cast("bigint").alias("doc_id"), digest("text"), digest("note"))
+
+
+Q["csv_parallel_quotes"] = csv_parallel_quotes
+SQL["csv_parallel_quotes"] = """
+SELECT doc_id, md5(trim(text)) AS text_md5, md5(trim('"' || lang || '";' || chr(10) || text)) AS note_md5 FROM documents"""
+
+
 def load_two_files(spark, d):
     """Two files with their own headers as one catalogue."""
     first, second = _folder(spark), _folder(spark)

@@ -1,7 +1,9 @@
+import random
+
 import pytest
 
 from catalign.plans.harmonize import run
-from catalign.sources.files import PLACE, UnreadableFile, bad_rows, clean_headers, detect_dialect, load_catalog, read_csv, write_csv
+from catalign.sources.files import PLACE, Dialect, UnreadableFile, bad_rows, clean_headers, detect_dialect, load_catalog, read_csv, write_csv
 
 
 def write(folder, name, text, encoding="utf-8"):
@@ -96,6 +98,54 @@ def test_catalog_of_several_files(spark, tmp_path):
         load_catalog(spark, [bad])
 
 
+def serial(spark, path, names):
+    """The reader that takes a whole file in one task."""
+    return spark.read.csv(path, schema=", ".join(f"{c} string" for c in names), header=True, multiLine=True, escape='"', enforceSchema=True)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_ranges_of_quoted_files_give_the_rows_of_a_serial_read(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    end = "\r\n" if seed == 3 else "\n"
+
+    def field():
+        text = "".join(rng.choice(['"', ",", "\n", "a", "bc ", " ", "é", end]) for _ in range(rng.randrange(12)))
+        if rng.random() < 0.2:
+            text += "x" * rng.randrange(400)
+        bare = not set(text) & set('",\n\r') and text.strip() != ""
+        return text if bare else '"' + text.replace('"', '""') + '"'
+
+    lines = ["a,b,c"] + [",".join([f"r{i}", field(), field()]) + (end if rng.random() < 0.1 else "") for i in range(120)]
+    path = write(tmp_path, "a.csv", end.join(lines) + (end if seed % 2 else ""))
+    dialect = Dialect("utf-8", ",", True, True, ("a", "b", "c"))
+    # The serial reader takes carriage returns out of fields where lines end with them.
+    plain = lambda table: sorted((tuple(v and v.replace("\r\n", "\n") for v in r) for r in table), key=repr)
+    want = plain(serial(spark, path, "abc").collect())
+    assert len(want) == 120
+    for split_bytes in (300, 1 << 20):
+        assert plain(rows(read_csv(spark, path, dialect, split_bytes))) == want
+    placed = read_csv(spark, path, dialect, 300).orderBy(*PLACE).select("a", "_block").collect()
+    assert [r["a"] for r in placed] == [f"r{i}" for i in range(120)] and len({r["_block"] for r in placed}) > 10
+
+
+def test_a_field_longer_than_many_ranges_and_an_open_one(spark, tmp_path):
+    long = "\n".join(f'line {i} ""q""' for i in range(500))
+    path = write(tmp_path, "a.csv", f'a,b\n1,"{long}"\n2,"in 55"" x"\n3,tv 55" y\n4,"open\nnever\nclosed')
+    got = {r["a"]: r["b"] for r in read_csv(spark, path, split_bytes=300).collect()}
+    assert got["1"] == long.replace('""', '"') and got["2"] == 'in 55" x' and got["3"] == 'tv 55" y' and len(got) == 4
+
+
+def test_multi_line_files_of_a_folder_in_a_single_byte_encoding(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name in ("b c", "a+1"):
+        write(tmp_path / "in", f"{name}.csv", f'код;текст\n1;"до\nпосле {name}"\n\n2;x;y\n3;z\n', "cp1251")
+    path = str(tmp_path / "in")
+    assert rows(read_csv(spark, path, split_bytes=10)) == [("1", "до\nпосле a+1"), ("1", "до\nпосле b c"), ("3", "z"), ("3", "z")]
+    assert sorted(map(tuple, bad_rows(spark, path).collect())) == [("a+1.csv", 2, 1), ("b c.csv", 2, 1)]
+    catalog = load_catalog(spark, [path]).catalog
+    assert [r["source_file"] for r in catalog.orderBy("row_id").collect()] == ["a+1.csv"] * 2 + ["b c.csv"] * 2
+
+
 def test_csv_sink_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(2, 'say "hi"'), (1, "a,b")], "row_id int, t string")
     write_csv(df, str(tmp_path / "out"), "row_id")
