@@ -77,7 +77,7 @@ def _unit(vector: Column) -> Column:
     return F.get(F.transform(F.array(pair), scaled), F.lit(0))
 
 
-def _staged_vectors(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+def staged_vectors(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All ids with their ``by``, and ``(id, by, raw)`` of the vectors, computed once.
 
     A vector that is null or holds a null has no neighbours; lengths must be equal.
@@ -91,7 +91,7 @@ def _staged_vectors(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return every.select("id", "by"), whole
 
 
-def _distinct_vectors(vectors: DataFrame, collapse: bool) -> tuple[DataFrame, DataFrame | None]:
+def distinct_vectors(vectors: DataFrame, collapse: bool) -> tuple[DataFrame, DataFrame | None]:
     """Unit vectors with the number of copies they stand for, and who stands for whom.
 
     Copies are counted by a pre-aggregated group-by, so a vector that a third of
@@ -110,7 +110,7 @@ def _distinct_vectors(vectors: DataFrame, collapse: bool) -> tuple[DataFrame, Da
     return chosen.drop("raw"), rows.join(copied, ["by", "raw"]).select("id", "by", "stands_for").filter("id <> stands_for")
 
 
-def _compared(vectors: DataFrame, eps: float, block_vectors: int) -> DataFrame:
+def compared_blocks(vectors: DataFrame, eps: float, block_vectors: int) -> DataFrame:
     """Vectors repeated for every block pair they take part in: ``+ lo, hi, side``."""
     total = vectors.count()
     if total <= block_vectors:
@@ -164,7 +164,7 @@ def _compared(vectors: DataFrame, eps: float, block_vectors: int) -> DataFrame:
     )
 
 
-def _sides(pdf):
+def block_sides(pdf):
     """Ids, vectors and the matrix of cosine distances of one block pair."""
     left = pdf[pdf["side"] == 0]
     alone = bool((pdf["lo"] == pdf["hi"]).iloc[0])
@@ -183,12 +183,12 @@ def cosine_pairs(vectors: DataFrame, eps: float, collapse: bool = True, block_ve
     Copies of a vector are represented by the smallest id (``collapse=False``
     lists them like any other pair).
     """
-    _, whole = _staged_vectors(vectors)
-    distinct, _ = _distinct_vectors(whole, collapse)
+    _, whole = staged_vectors(vectors)
+    distinct, _ = distinct_vectors(whole, collapse)
     id_type = vectors.schema["id"].dataType.simpleString()
 
     def near(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right, alone, distance = _sides(pdf)
+        left, right, alone, distance = block_sides(pdf)
         hit = distance <= eps
         if alone:
             hit = np.triu(hit, 1)
@@ -198,7 +198,7 @@ def cosine_pairs(vectors: DataFrame, eps: float, collapse: bool = True, block_ve
         return pd.DataFrame({"id1": np.where(swap, b, a), "id2": np.where(swap, a, b), "distance": distance[i, j]})
 
     return (
-        spread(_compared(distinct, eps, block_vectors), "by", "lo", "hi")
+        spread(compared_blocks(distinct, eps, block_vectors), "by", "lo", "hi")
         .groupBy("by", "lo", "hi")
         .applyInPandas(near, f"id1 {id_type}, id2 {id_type}, distance double")
     )
@@ -220,11 +220,11 @@ def dbscan(
     and clusters are numbered across all of them, ordered by it first. Null vectors are noise.
     """
     id_type = vectors.schema["id"].dataType.simpleString()
-    every, whole = _staged_vectors(vectors)
-    distinct, copies = _distinct_vectors(whole, True)
+    every, whole = staged_vectors(vectors)
+    distinct, copies = distinct_vectors(whole, True)
 
     def tally(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right, alone, distance = _sides(pdf)
+        left, right, alone, distance = block_sides(pdf)
         hit = distance <= eps
         out = [pd.DataFrame({"id": left["id"], "n": hit @ right["copies"].to_numpy()})]
         if not alone:
@@ -232,7 +232,7 @@ def dbscan(
         return pd.concat(out)
 
     counts = (
-        spread(_compared(distinct, eps, block_vectors), "by", "lo", "hi")
+        spread(compared_blocks(distinct, eps, block_vectors), "by", "lo", "hi")
         .groupBy("by", "lo", "hi")
         .applyInPandas(tally, f"id {id_type}, n bigint")
         .groupBy("id")
@@ -243,7 +243,7 @@ def dbscan(
     )
 
     def links(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right, alone, distance = _sides(pdf)
+        left, right, alone, distance = block_sides(pdf)
         hit = distance <= eps
         lc, rc = left["core"].to_numpy(dtype=bool), right["core"].to_numpy(dtype=bool)
         li, ri = left["id"].to_numpy(), right["id"].to_numpy()
@@ -259,7 +259,7 @@ def dbscan(
         return pd.DataFrame(rows, columns=["src", "dst", "both_core"])
 
     found = stage(
-        spread(_compared(flagged, eps, block_vectors), "by", "lo", "hi")
+        spread(compared_blocks(flagged, eps, block_vectors), "by", "lo", "hi")
         .groupBy("by", "lo", "hi")
         .applyInPandas(links, f"src {id_type}, dst {id_type}, both_core boolean"),
         "links",

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
+from catalign.operators import forest as W
 from catalign.operators import linkage as L
+from catalign.operators import neighbours as H
 from catalign.operators import overlap as O
 from catalign.operators import params as P
 from catalign.operators import schema as S
@@ -72,6 +76,42 @@ SQL["dbscan_null_vectors"] = "WITH RECURSIVE " + VEC_CTE + ",\nw AS (SELECT * FR
 SELECT v.id, coalesce(cluster, -1) AS cluster FROM v LEFT JOIN labels USING (id)"""
 
 
+# Nearly all neighbours, by an index with 8 bits and one place of difference
+
+
+def lsh_recall(spark, d):
+    """How many of the exact pairs the index finds, and whether it finds others."""
+    v = vectors(spark, d)
+    exact = stage(X.cosine_pairs(v, 0.6).select("id1", "id2", "distance"), "exact")
+    chance = H.hit_chance(0.6, 8, 1)
+    plan = H.Plan(8, 1, math.ceil(math.log(0.05) / math.log(1 - chance)))
+    found = stage(H.lsh_pairs(v, 0.6, plan=plan), "found").withColumn("found", F.lit(1))
+    both = exact.withColumnRenamed("distance", "d").join(found, ["id1", "id2"], "full")
+    return both.agg(
+        F.count("d").alias("n_exact"),
+        F.count_if(F.col("d").isNull() | (F.abs(F.col("d") - F.col("distance")) > 1e-9)).alias("n_wrong"),
+        (F.count("found") >= 0.9 * F.count("d")).alias("enough"),
+    )
+
+
+Q["lsh_pairs"] = lambda spark, d: H.lsh_pairs(vectors(spark, d), 0.6, recall=0.99).select("id1", "id2", F.round("distance", 6).alias("distance"))
+Q["lsh_recall"] = lsh_recall
+SQL["lsh_recall"] = cte(VEC_CTE) + """
+SELECT count(*) AS n_exact, 0 AS n_wrong, true AS enough
+FROM (SELECT e, min(id) AS id FROM v GROUP BY 1) a JOIN (SELECT e, min(id) AS id FROM v GROUP BY 1) b ON a.id < b.id
+WHERE 1 - list_cosine_similarity(a.e, b.e) <= 0.6"""
+
+SWEEP = [0.2, 0.4, 0.6, 0.8, 1.0]
+Q["cluster_eps_sweep"] = lambda spark, d: W.eps_sweep(vectors(spark, d), SWEEP, block_vectors=200)
+SQL["cluster_eps_sweep"] = "WITH RECURSIVE " + VEC_CTE + f""",
+widths AS (SELECT unnest({SWEEP}) AS eps),
+pairs AS (SELECT a.id AS a, b.id AS b, 1 - list_cosine_similarity(a.e, b.e) AS far FROM v a JOIN v b ON a.id <> b.id),
+links AS (SELECT eps, a, b FROM widths JOIN pairs ON far <= eps),
+reach AS (SELECT eps, id, id AS hop FROM widths, v UNION SELECT reach.eps, id, b FROM reach JOIN links ON links.eps = reach.eps AND a = hop),
+comp AS (SELECT eps, id, min(hop) AS component FROM reach GROUP BY 1, 2)
+SELECT CAST(eps AS DOUBLE) AS eps, id, CAST(dense_rank() OVER (PARTITION BY eps ORDER BY component) - 1 AS INT) AS cluster FROM comp"""
+
+
 def ngram_sql(text, dims=64, n=3):
     padded = f"('^' || lower({text}) || '$')"
     return f"""list_transform(range({dims}), lambda d: CAST(len(list_filter(
