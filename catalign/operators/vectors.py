@@ -70,7 +70,7 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return 1 - dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def _unit(vector: Column) -> Column:
+def unit_vector(vector: Column) -> Column:
     scaled = lambda p: F.transform(p["v"], lambda x: x / F.when(p["n"] > 0, p["n"]).otherwise(F.lit(1.0)))
     vector = vector.cast("array<double>")
     pair = F.struct(vector.alias("v"), F.sqrt(dot(vector, vector)).alias("n"))
@@ -99,19 +99,24 @@ def distinct_vectors(vectors: DataFrame, collapse: bool) -> tuple[DataFrame, Dat
     stay apart.
     """
     if not collapse:
-        return stage(vectors.select("id", "by", _unit(F.col("raw")).alias("vec"), F.lit(1).cast("bigint").alias("copies")), "vectors"), None
+        return stage(vectors.select("id", "by", unit_vector(F.col("raw")).alias("vec"), F.lit(1).cast("bigint").alias("copies")), "vectors"), None
     rows = vectors
     apart = F.when(F.exists("raw", lambda x: x != 0), F.lit(None)).otherwise(F.col("id"))
     groups = rows.groupBy("by", "raw", apart.alias("_apart")).agg(
         F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")
     )
-    chosen = stage(groups.select("id", "by", "raw", _unit(F.col("raw")).alias("vec"), "copies"), "vectors")
+    chosen = stage(groups.select("id", "by", "raw", unit_vector(F.col("raw")).alias("vec"), "copies"), "vectors")
     copied = chosen.filter("copies > 1").select("by", "raw", F.col("id").alias("stands_for"))
     return chosen.drop("raw"), rows.join(copied, ["by", "raw"]).select("id", "by", "stands_for").filter("id <> stands_for")
 
 
 def compared_blocks(vectors: DataFrame, eps: float, block_vectors: int) -> DataFrame:
-    """Vectors repeated for every block pair they take part in: ``+ lo, hi, side``."""
+    """Vectors repeated for every block pair they take part in: ``+ lo, hi, side``.
+
+    If there is a column ``fresh``, fresh vectors have blocks of their own, and blocks without any don't meet
+    each other (all of a small table is one block, though).
+    """
+    own_blocks = ["fresh"] if "fresh" in vectors.columns else []
     total = vectors.count()
     if total <= block_vectors:
         zero = F.lit(0).cast("bigint")
@@ -139,19 +144,21 @@ def compared_blocks(vectors: DataFrame, eps: float, block_vectors: int) -> DataF
         return pd.Series(between[one.to_numpy(), other.to_numpy()])
 
     # A crowded cell is cut by a hash into parts; a block is one part of one cell of one ``by``.
-    cells = placed.groupBy("by", "cell").agg(
+    cells = placed.groupBy("by", "cell", *own_blocks).agg(
         F.ceil(F.count(F.lit(1)) / block_vectors).cast("int").alias("parts"), F.max("angle").alias("radius")
     )
     cells = stage(cells, "cells")
-    other = cells.select("by", *[F.col(c).alias(f"{c}2") for c in ("cell", "parts", "radius")])
+    other = cells.select("by", *[F.col(c).alias(f"{c}2") for c in ("cell", "parts", "radius", *own_blocks)])
     met = (
         cells.join(other, "by")
         .filter((F.col("cell") == F.col("cell2")) | (apart("cell", "cell2") - F.col("radius") - F.col("radius2") <= reach))
-        .select("by", "cell", "parts", "cell2", "parts2")
+        .filter(F.col("fresh") | F.col("fresh2") if own_blocks else F.lit(True))
+        .select("by", "cell", "parts", "cell2", "parts2", *own_blocks, *[f"{c}2" for c in own_blocks])
     )
-    block = lambda cell, part: F.col(cell).cast("bigint") * MAX_PARTS + part
+    place = lambda cell: F.col(cell) * 2 + F.col(cell.replace("cell", "fresh")).cast("int") if own_blocks else F.col(cell)
+    block = lambda cell, part: place(cell).cast("bigint") * MAX_PARTS + part
     own = F.pmod(F.xxhash64("id"), F.col("parts"))
-    met = placed.join(stage(met, "plan"), ["by", "cell"]).select(
+    met = placed.join(stage(met, "plan"), ["by", "cell", *own_blocks]).select(
         *vectors.columns,
         block("cell", own).alias("block"),
         F.explode(F.sequence(block("cell2", F.lit(0)), block("cell2", F.col("parts2") - 1))).alias("partner"),

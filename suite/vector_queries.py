@@ -11,6 +11,7 @@ from catalign.operators import linkage as L
 from catalign.operators import neighbours as H
 from catalign.operators import overlap as O
 from catalign.operators import params as P
+from catalign.operators import rounds as R
 from catalign.operators import schema as S
 from catalign.operators import vectors as X
 from catalign.runtime import stage
@@ -112,6 +113,19 @@ comp AS (SELECT eps, id, min(hop) AS component FROM reach GROUP BY 1, 2)
 SELECT CAST(eps AS DOUBLE) AS eps, id, CAST(dense_rank() OVER (PARTITION BY eps ORDER BY component) - 1 AS INT) AS cluster FROM comp"""
 
 
+def round_incremental(spark, d):
+    """The vectors come in three rounds; labels are kept up to date."""
+    v = vectors(spark, d)
+    state = R.empty_state(spark)
+    for turn in range(3):
+        state = R.add_vectors(state, v.filter(F.pmod("id", F.lit(3)) == turn), 0.65, 3, block_vectors=150)
+    return R.cluster_labels(state)
+
+
+Q["round_incremental"] = round_incremental
+SQL["round_incremental"] = SQL["dbscan"]
+
+
 def ngram_sql(text, dims=64, n=3):
     padded = f"('^' || lower({text}) || '$')"
     return f"""list_transform(range({dims}), lambda d: CAST(len(list_filter(

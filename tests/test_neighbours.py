@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from catalign.operators import forest as W
 from catalign.operators import neighbours as H
+from catalign.operators import rounds as R
 from catalign.operators import vectors as X
 
 
@@ -157,3 +158,31 @@ def test_sweep_of_nothing(spark):
 def test_clusters_of_the_table_need_no_collected_vectors(spark):
     df = frame(spark, [(i, [1.0, float(i)]) for i in range(20)]).withColumn("by", F.lit(1))
     assert W.eps_sweep(df.drop("by"), [2.0]).select("cluster").distinct().count() == 1
+
+
+@pytest.mark.parametrize("eps,least,block", [(0.04, 3, 1024), (0.02, 1, 40), (0.05, 5, 25)])
+def test_rounds_give_the_clusters_of_a_full_run(spark, eps, least, block):
+    rng = np.random.default_rng(least)
+    points = clouds(rng, 150, dims=5, centres=9, spread=0.3)
+    rows = [(i, p.tolist()) for i, p in enumerate(points)]
+    rows += [(200 + i, rows[i % 30][1]) for i in range(60)] + [(300 + i, rows[7][1]) for i in range(20)]
+    rows += [(400, None), (401, [0.0] * 5), (402, [0.0] * 5), (-3, rows[11][1])]
+    random.Random(least).shuffle(rows)
+    state = R.empty_state(spark)
+    seen = []
+    for cut in (rows[:90], [], rows[90:200], rows[200:]):
+        seen += cut
+        state = R.add_vectors(state, frame(spark, cut), eps, least, block)
+    got = {r.id: r.cluster for r in R.cluster_labels(state).collect()}
+    want = {r.id: r.cluster for r in X.dbscan(frame(spark, rows), eps, least).collect()}
+    assert got == want and len(set(want.values())) > 3
+    # What is kept of neighbourhoods is bounded by the vectors that are no core.
+    assert all(r["count"] < least for r in state.near.groupBy("src").count().collect())
+
+
+def test_old_vectors_are_not_compared_again(spark):
+    df = frame(spark, [(i, [1.0, float(i)]) for i in range(100)])
+    mixed = df.select("id", X.unit_vector(F.col("embedding")).alias("vec"), F.lit(0).alias("by"), (F.col("id") < 10).alias("fresh"))
+    met = X.compared_blocks(mixed, 2.0, 20).groupBy("lo", "hi").agg(F.bool_or("fresh").alias("any"), F.bool_and("fresh").alias("all"), F.count_distinct("fresh").alias("n"))
+    facts = met.collect()
+    assert len(facts) > 5 and all(r["any"] for r in facts) and any(r["n"] == 2 for r in facts)
