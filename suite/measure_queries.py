@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from catalign.functions import measures as M
 from catalign.operators import profile as N
 from catalign.operators import schema as S
+from catalign.operators import sketches as K
 from catalign.operators import standardize as V
 from catalign.operators import unit_expressions as X
 from catalign.operators import units as U
@@ -203,6 +204,29 @@ SELECT column_name, total_values, analyzed_values, numeric_count,
   coalesce((SELECT CASE WHEN avg(CAST(number AS DOUBLE)) > 0 THEN printf('%.2f', avg(CAST(number AS DOUBLE))) END FROM pairs q
     WHERE q.column_name = f.column_name), '-') AS mean FROM full_profile f"""
 
+def profile_sketches(spark, d):
+    """Quantile sketches of each source's numbers, merged, against the exact ranks of the whole columns."""
+    lines = staged_lines(spark, d, "row_id", "source_file", *MEASURED)
+    numbers = stage(K.column_numbers(lines, MEASURED), "numbers")
+    merged = stage(K.merge_profiles(stage(K.sketch_profiles(numbers), "sketches"), [0.25, 0.5, 0.75]), "merged")
+    cuts = merged.select("column_name", "n", "n_sources", F.posexplode("quantiles")).withColumn("rank", (F.col("pos") + 1) / 4)
+    # Equal numbers share a range of ranks; the wanted one must be within the error of it.
+    at = numbers.join(F.broadcast(cuts.select("column_name", F.col("col").alias("cut"), "rank")), "column_name").groupBy("column_name", "rank").agg(
+        (F.count_if(F.col("number") < F.col("cut")) / F.count("*")).alias("low"), (F.count_if(F.col("number") <= F.col("cut")) / F.count("*")).alias("high")
+    )
+    near = (F.col("low") - K.rank_error() <= F.col("rank")) & (F.col("rank") <= F.col("high") + K.rank_error())
+    ok = at.groupBy("column_name").agg(F.bool_and(near).alias("within"))
+    return merged.join(ok, "column_name").select("column_name", "n", "n_sources", "min_value", "max_value", F.round("mean_value", 6).alias("mean_value"), "within")
+
+
+Q["profile_sketches"] = profile_sketches
+SQL["profile_sketches"] = cte(*LINES) + f""",
+cells AS (SELECT source_file, column_name, value FROM (UNPIVOT (SELECT source_file, {", ".join(MEASURED)} FROM clean)
+  ON {", ".join(MEASURED)} INTO NAME column_name VALUE value)),
+numbers AS (SELECT source_file, column_name, CAST(unnest(regexp_extract_all(trim(value), '{NUM}')) AS DOUBLE) AS number FROM cells)
+SELECT column_name, count(*) AS n, count(DISTINCT source_file) AS n_sources, min(number) AS min_value, max(number) AS max_value,
+  round(avg(number), 6) AS mean_value, true AS within FROM numbers GROUP BY 1"""
+
 Q["value_samples"] = lambda spark, d: N.value_samples(
     grouped_lines(spark, d).withColumnRenamed("power", "power (W)"), ["weight", "power", "vendor"]
 )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -13,8 +14,10 @@ from catalign.operators import overlap as O
 from catalign.operators import params as P
 from catalign.operators import rounds as R
 from catalign.operators import schema as S
+from catalign.operators import sketches as K
+from catalign.operators import terms as T
 from catalign.operators import vectors as X
-from catalign.runtime import stage
+from catalign.runtime import checkpoint_root, stage
 from suite.category_queries import CATS_CTE, DEEP_CTE, LEVELS_CTE, deep_catalog
 from suite.param_queries import BASE as PAIR_BASE
 from suite.param_queries import staged_lines
@@ -114,12 +117,11 @@ SELECT CAST(eps AS DOUBLE) AS eps, id, CAST(dense_rank() OVER (PARTITION BY eps
 
 
 def round_incremental(spark, d):
-    """The vectors come in three rounds; labels are kept up to date."""
+    """The vectors come in two rounds; labels are kept up to date."""
     v = vectors(spark, d)
-    state = R.empty_state(spark)
-    for turn in range(3):
-        state = R.add_vectors(state, v.filter(F.pmod("id", F.lit(3)) == turn), 0.65, 3, block_vectors=150)
-    return R.cluster_labels(state)
+    late = F.pmod("id", F.lit(3)) == 2
+    state = R.add_vectors(R.empty_state(spark), v.filter(~late), 0.65, 3)
+    return R.cluster_labels(R.add_vectors(state, v.filter(late), 0.65, 3, block_vectors=150))
 
 
 Q["round_incremental"] = round_incremental
@@ -177,6 +179,37 @@ SELECT level, value AS category, CAST(CASE WHEN cluster IS NULL THEN -1
   ELSE cluster - min(cluster) OVER (PARTITION BY level) END AS INT) AS cluster FROM named LEFT JOIN labels USING (id)"""
 
 
+Q["embedding_idf"] = lambda spark, d: T.fit_idf(_cats(spark, d).select(F.col("category").alias("text"))).select(
+    "bucket", "n_texts", F.round("idf", 9).alias("idf")
+)
+SQL["embedding_idf"] = cte(DEEP_CTE, CATS_CTE) + """,
+grams AS (SELECT category, unnest(list_distinct(list_transform(range(1, greatest(length(p) - 2, 1) + 1),
+  lambda i: CAST('0x' || substr(md5(substr(p, i, 3)), 1, 8) AS BIGINT) % 256))) AS bucket
+  FROM (SELECT category, '^' || lower(category) || '$' AS p FROM cats))
+SELECT CAST(bucket AS INT) AS bucket, count(*) AS n_texts, round(ln(((SELECT count(*) FROM cats) + 1) / (count(*) + 1)), 9) AS idf
+FROM grams GROUP BY 1"""
+
+
+def embed_idf(spark, d):
+    """Names in the fitted model's terms: the length of each vector, and its largest weight."""
+    names = _cats(spark, d).select(F.col("category").alias("text"))
+    model = T.load_idf(spark, T.save_idf(T.fit_idf(names), f"{checkpoint_root(spark)}/{spark.sparkContext.applicationId}/idf-{uuid.uuid4().hex[:16]}"))
+    vector = T.embed_idf(names, model)
+    return vector.select(
+        "text", F.round(F.sqrt(X.dot(F.col("embedding"), F.col("embedding"))), 9).alias("norm"), F.round(F.array_max("embedding"), 9).alias("top")
+    )
+
+
+Q["embedding_idf_names"] = embed_idf
+SQL["embedding_idf_names"] = cte(DEEP_CTE, CATS_CTE) + """,
+grams AS (SELECT category, bucket, count(*) AS tf FROM (SELECT category, unnest(list_transform(range(1, greatest(length(p) - 2, 1) + 1),
+  lambda i: CAST('0x' || substr(md5(substr(p, i, 3)), 1, 8) AS BIGINT) % 256)) AS bucket
+  FROM (SELECT category, '^' || lower(category) || '$' AS p FROM cats)) GROUP BY 1, 2),
+weights AS (SELECT bucket, ln(((SELECT count(*) FROM cats) + 1) / (count(*) + 1)) AS idf FROM grams GROUP BY 1)
+SELECT category AS text, round(CASE WHEN sum(pow(tf * idf, 2)) > 0 THEN 1.0 ELSE 0.0 END, 9) AS norm,
+  round(coalesce(max(tf * idf) / nullif(sqrt(sum(pow(tf * idf, 2))), 0), 0), 9) AS top
+FROM grams JOIN weights USING (bucket) GROUP BY category"""
+
 # Categories by the products they hold
 
 
@@ -214,6 +247,21 @@ SQL["supplier_overlap"] = cte(
 ) + "SELECT category1, category2, shared, round(jaccard, 6) AS jaccard FROM overlap_pairs"
 
 
+def overlap_sketch(spark, d):
+    """Sketches of each supplier's parts, by year of delivery and merged, against the exact overlaps."""
+    held = supplied(spark, d).withColumn("part", F.pmod(F.col("product_name"), F.lit(3)))
+    sketches = stage(K.merge_sets(stage(K.sketch_sets(held, "part"), "parts")), "sets")
+    exact = stage(O.product_overlap(supplied(spark, d), 0.15).select("category1", "category2", "shared", "jaccard"), "exact")
+    guess = K.sketched_overlap(exact.select("category1", "category2"), sketches)
+    both = exact.withColumnRenamed("shared", "true_shared").join(guess, ["category1", "category2"])
+    inside = (F.col("true_shared") >= F.col("shared_low")) & (F.col("true_shared") <= F.col("shared_high"))
+    return both.agg(F.count("*").alias("n_pairs"), (F.count_if(inside) >= 0.95 * F.count("*")).alias("within"))
+
+
+Q["overlap_sketch"] = overlap_sketch
+SQL["overlap_sketch"] = SQL["supplier_overlap"].replace("SELECT category1, category2, shared, round(jaccard, 6) AS jaccard FROM", "SELECT count(*) AS n_pairs, true AS within FROM")
+
+
 def _hybrid(spark, d):
     cats = _cats(spark, d)
     names = L.fuzzy_pairs(cats.select(F.col("category").alias("text")), "jaro_winkler", 95)
