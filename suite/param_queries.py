@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalign.functions.strings import token_sort_text
+from catalign.operators import assignment as B
 from catalign.operators import linkage as L
 from catalign.operators import params as P
+from catalign.operators import record_linkage as R
 from catalign.operators import schema as S
 from catalign.runtime import global_rank, stage
 from suite.views import ATTRIBUTES, CATALOG_CTE, LINE_ROWS, NA_LIST, catalog, cte, product_lines, table
@@ -166,6 +168,26 @@ SQL["harmonize_attributes"] = "WITH RECURSIVE " + ",\n".join([*BASE, ACCEPTED_CT
 SELECT row_id, attribute AS column_name, value FROM cells JOIN members USING (column_name)
 QUALIFY row_number() OVER (PARTITION BY row_id, attribute ORDER BY members.pos) = 1"""
 
+def _assigned(spark, d):
+    df = staged_lines(spark, d, "row_id", "source_file", *ATTRIBUTES)
+    names = spark.createDataFrame([(c,) for c in ATTRIBUTES], "text string")
+    return B.assign_attributes(spark, ATTRIBUTES, L.fuzzy_pairs(names, "jaro_winkler", 50), P.compatibility(df, ATTRIBUTES))
+
+
+Q["attribute_assignment"] = _assigned
+# All partitions of the columns: each column joins a part that there is, or begins the next one.
+SQL["attribute_assignment"] = "WITH RECURSIVE " + ",\n".join(BASE) + f""",
+grow AS (SELECT [0] AS labels, 0 AS top UNION ALL
+  SELECT list_append(labels, l), greatest(top, l) FROM grow, unnest(range(top + 2)) AS t(l) WHERE len(labels) < {len(ATTRIBUTES)}),
+placed AS (SELECT column_name, row_number() OVER (ORDER BY pos) AS place FROM names),
+near AS (SELECT a.place AS i, b.place AS j, floor(jaro_winkler_similarity(a.column_name, b.column_name) * 100) AS score
+  FROM placed a JOIN placed b ON a.place < b.place WHERE floor(jaro_winkler_similarity(a.column_name, b.column_name) * 100) >= 50),
+bad AS (SELECT a.place AS i, b.place AS j FROM facts JOIN placed a ON a.column_name = col1 JOIN placed b ON b.column_name = col2 WHERE NOT non_conflicting),
+kept AS (SELECT labels, top FROM grow WHERE len(labels) = {len(ATTRIBUTES)} AND NOT EXISTS (SELECT 1 FROM bad WHERE labels[i] = labels[j])),
+best AS (SELECT labels FROM kept ORDER BY coalesce((SELECT sum(score) FROM near WHERE labels[i] = labels[j]), 0) DESC, top DESC, labels LIMIT 1)
+SELECT p.column_name, (SELECT min_by(q.column_name, q.place) FROM placed q WHERE labels[q.place] = labels[p.place]) AS attribute,
+  CAST(p.place - 1 AS INT) AS position FROM placed p, best"""
+
 Q["merge_preview_rows"] = lambda spark, d: P.merge_preview_rows(clean_lines(spark, d), "brand", "vendor")
 SQL["merge_preview_rows"] = cte(CATALOG_CTE, LINES_CTE) + """,
 shown AS (SELECT row_id, brand AS value1, vendor AS value2, coalesce(brand, vendor) AS merged FROM clean)
@@ -225,6 +247,46 @@ e AS (SELECT a.text AS src, b.text AS dst FROM titles a JOIN titles b ON a.text
 reach AS (SELECT text AS id, text AS hop FROM titles UNION SELECT id, dst FROM reach JOIN e ON src = hop)
 SELECT id AS text, min(hop) AS linked_to FROM reach GROUP BY 1"""
 
+# Probabilistic linkage of parts with similar titles
+
+LINK_FIELDS, LINK_LEVELS = ["title", "brand", "size", "price"], [3, 2, 2, 3]
+
+
+def _compared(spark, d):
+    part = table(spark, d, "part")
+    title = F.concat_ws(" ", "p_name", "p_type", F.col("p_size").cast("string"))
+    first = F.min(F.struct("p_partkey", "p_brand", "p_size", "p_retailprice")).alias("r")
+    records = stage(part.groupBy(title.alias("text")).agg(first).select("text", "r.p_brand", "r.p_size", "r.p_retailprice"), "records")
+    pairs = L.fuzzy_pairs(records.select("text"), "jaro_winkler", 90)
+    ratio = F.least("a_p_retailprice", "b_p_retailprice") / F.greatest("a_p_retailprice", "b_p_retailprice")
+    levels = {
+        "title": R.banded_level(F.col("score"), [94, 97]),
+        "brand": R.equal_level(F.col("a_p_brand"), F.col("b_p_brand")),
+        "size": R.equal_level(F.col("a_p_size"), F.col("b_p_size")),
+        "price": R.banded_level(ratio, [0.8, 0.95]),
+    }
+    return stage(R.compare_records(pairs, records, "text", levels), "compared")
+
+
+LINKED_CTE = """records AS (SELECT text, r.p_brand, r.p_size, r.p_retailprice FROM (
+  SELECT p_name || ' ' || p_type || ' ' || CAST(p_size AS VARCHAR) AS text, min_by(part, p_partkey) AS r FROM part GROUP BY 1)),
+linked AS (SELECT a.text AS text1, b.text AS text2, floor(jaro_winkler_similarity(a.text, b.text) * 100) AS score,
+  CAST(a.p_brand = b.p_brand AS INT) AS brand, CAST(a.p_size = b.p_size AS INT) AS size,
+  least(a.p_retailprice, b.p_retailprice) / greatest(a.p_retailprice, b.p_retailprice) AS ratio
+  FROM records a JOIN records b ON a.text < b.text WHERE floor(jaro_winkler_similarity(a.text, b.text) * 100) >= 90),
+compared AS (SELECT text1, text2, CAST(score >= 94 AS INT) + CAST(score >= 97 AS INT) AS title, brand, size,
+  CAST(ratio >= 0.8 AS INT) + CAST(ratio >= 0.95 AS INT) AS price FROM linked)"""
+Q["linkage_weights"] = lambda spark, d: R.pattern_counts(_compared(spark, d), LINK_FIELDS)
+SQL["linkage_weights"] = cte(LINKED_CTE) + "SELECT title, brand, size, price, count(*) AS n_pairs FROM compared GROUP BY ALL"
+
+
+def linkage_matches(spark, d):
+    found, _ = R.match_records(_compared(spark, d), LINK_FIELDS, LINK_LEVELS, least=0.8)
+    return found.select("text1", "text2", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"))
+
+
+Q["linkage_matches"] = linkage_matches
+
 # The same by the routes that only large inputs take otherwise.
 Q["fuzzy_blocked"] = lambda spark, d: L.fuzzy_pairs(titles(spark, d), "jaro_winkler", 94, block_rows=8)
 SQL["fuzzy_blocked"] = SQL["jaro_winkler_pairs"]
