@@ -225,10 +225,23 @@ def dbscan(
     smallest core id; another vector near a core takes the smallest such number;
     the rest is noise (-1). With ``by``, vectors only meet within the same value
     and clusters are numbered across all of them, ordered by it first. Null vectors are noise.
+
+    With ``min_samples`` of 1 or 2 every vector that is near another is a core, so one pass over the
+    distances finds cores and links; with more, a first pass counts and a second one links.
     """
     id_type = vectors.schema["id"].dataType.simpleString()
     every, whole = staged_vectors(vectors)
     distinct, copies = distinct_vectors(whole, True)
+    if min_samples <= 2:
+        found = stage(_near_links(distinct, eps, block_vectors), "links")
+        cores = distinct.select("id", "by", "copies")
+        if min_samples == 2:
+            ends = found.select(F.col("src").alias("id")).unionByName(found.select(F.col("dst").alias("id"))).distinct()
+            linked = ends.withColumn("linked", F.lit(True))
+            cores = cores.join(linked, "id", "left").filter("copies > 1 or linked")
+        cores = stage(cores.select("id", "by"), "cores")
+        border = every.select("id", F.lit(0).alias("cluster")).limit(0)
+        return _numbered_clusters(vectors, every, copies, cores, found, lambda labelled: border, single_task_rows)
 
     def tally(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right, alone, distance = block_sides(pdf)
@@ -272,20 +285,38 @@ def dbscan(
         "links",
     )
     cores = flagged.filter("core").select("id", "by")
-    parts = stage(
-        connected_components(cores.select("id"), found.filter("both_core").select("src", "dst")).join(cores, "id"), "parts"
-    )
-    numbers = global_rank(
-        parts.select("by", "component").distinct(), [F.col("by"), F.col("component")], "cluster", single_task_rows=single_task_rows
-    )
-    labelled = stage(parts.join(numbers.drop("by"), "component").select("id", F.col("cluster").cast("int").alias("cluster")), "labels")
-    border = (
+    border = lambda labelled: (
         found.filter("NOT both_core")
         .join(labelled.withColumnRenamed("id", "dst"), "dst")
         .groupBy(F.col("src").alias("id"))
         .agg(F.min("cluster").alias("cluster"))
     )
-    known = labelled.unionByName(border)
+    return _numbered_clusters(vectors, every, copies, cores, found.filter("both_core"), border, single_task_rows)
+
+
+def _near_links(vectors: DataFrame, eps: float, block_vectors: int) -> DataFrame:
+    """``(src, dst)``: from each block pair a spanning forest of the vectors within ``eps`` of each other."""
+    from catalign.operators.forest import local_forest
+
+    id_type = vectors.schema["id"].dataType.simpleString()
+
+    def links(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right, alone, distance = block_sides(pdf)
+        i, j = local_forest((distance > eps).astype(np.float64), alone, 0.5) if distance.size else (np.zeros(0, int), np.zeros(0, int))
+        return pd.DataFrame({"src": left["id"].to_numpy()[i], "dst": right["id"].to_numpy()[j]})
+
+    blocks = spread(compared_blocks(vectors, eps, block_vectors), "by", "lo", "hi")
+    return blocks.groupBy("by", "lo", "hi").applyInPandas(links, f"src {id_type}, dst {id_type}")
+
+
+def _numbered_clusters(vectors, every, copies, cores, links, border, single_task_rows: int) -> DataFrame:
+    """``(id[, by], cluster)``: components of ``cores(id, by)``, what ``border(labelled)`` adds, copies and noise."""
+    parts = stage(connected_components(cores.select("id"), links.select("src", "dst")).join(cores, "id"), "parts")
+    numbers = global_rank(
+        parts.select("by", "component").distinct(), [F.col("by"), F.col("component")], "cluster", single_task_rows=single_task_rows
+    )
+    labelled = stage(parts.join(numbers.drop("by"), "component").select("id", F.col("cluster").cast("int").alias("cluster")), "labels")
+    known = labelled.unionByName(border(labelled))
     if copies is not None:
         known = stage(known, "known")
         same = copies.join(known.withColumnRenamed("id", "stands_for"), "stands_for").select("id", "cluster")
