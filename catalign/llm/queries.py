@@ -67,24 +67,31 @@ def lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tool_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Assistant turns are read as calls, user turns as the results of the turn before."""
+    """Assistant turns are read as calls whose query is their whole text, user turns as the results of the turn before.
+
+    Every turn gives a row: a user turn with no call before it (as the first one) and system turns are results
+    without a call.
+    """
     turns = table(spark, sf_dir, "conversations")
     size = F.length("text")
+    # {"q":"…"} without its first five characters and the last one.
+    quoted = F.expr("coalesce(regexp_extract(to_json(named_struct('q', text)), '(?s)^.{5}(.*).$', 1), 'null')")
     calls = turns.filter("role = 'assistant'").select(
         "conv_id",
         "turn",
         F.concat(F.lit("c"), "conv_id", F.lit("_"), "turn").alias("call_id"),
         F.element_at(F.array(F.lit("search"), F.lit("fetch"), F.lit("translate")), F.when(size % 11 == 0, 3).otherwise(size % 2 + 1)).alias("name"),
         F.concat(
-            F.lit('{"query" : "'),
-            F.md5("text"),
-            F.when(size % 5 == 0, F.concat(F.lit('", "limit": "'), size, F.lit('"'))).otherwise(F.concat(F.lit('", "limit": '), size)),
+            F.lit('{"query" : '),
+            quoted,
+            F.when(size % 5 == 0, F.concat(F.lit(', "limit": "'), size, F.lit('"'))).otherwise(F.concat(F.lit(', "limit": '), size)),
             F.when(size % 3 == 0, F.concat(F.lit(', "after":"$c'), "conv_id", F.lit("_"), F.col("turn") - 2, F.lit('"'))).otherwise(F.lit("")),
             F.when(size % 7 == 0, F.lit(', "debug":true }')).otherwise(F.lit(" }")),
         ).alias("arguments"),
     )
-    results = turns.filter("role = 'user' and turn > 0").select(
-        "conv_id", "turn", F.concat(F.lit("c"), "conv_id", F.lit("_"), F.col("turn") - 1).alias("call_id"), F.md5("text").alias("content")
+    before = F.when(F.col("role") == "system", F.lit("s")).otherwise((F.col("turn") - 1).cast("string"))
+    results = turns.filter("role <> 'assistant'").select(
+        "conv_id", "turn", F.concat(F.lit("c"), "conv_id", F.lit("_"), before).alias("call_id"), F.col("text").alias("content")
     )
     return tool_calls.link_tool_calls(calls, results, TOOLS).withColumn("level", F.coalesce("level", F.lit(-1)))
 
@@ -325,12 +332,13 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_tokens, round(coalesce(s, 0), 6) AS l
 FROM words LEFT JOIN sums USING (doc_id)""",
     "op6_tool_call_links": """
 WITH RECURSIVE calls AS (
-  SELECT conv_id, turn, 'c' || conv_id || '_' || turn AS call_id, length(text) AS n, md5(text) AS digest,
+  SELECT conv_id, turn, 'c' || conv_id || '_' || turn AS call_id, length(text) AS n, to_json(text) AS digest,
          CASE WHEN length(text) % 11 = 0 THEN 'translate' WHEN length(text) % 2 = 0 THEN 'search' ELSE 'fetch' END AS name
   FROM conversations WHERE role = 'assistant'
 ), results AS (
-  SELECT conv_id, turn, 'c' || conv_id || '_' || (turn - 1) AS call_id, md5(text) AS content
-  FROM conversations WHERE role = 'user' AND turn > 0
+  SELECT conv_id, turn, 'c' || conv_id || '_' || CASE role WHEN 'system' THEN 's' ELSE CAST(turn - 1 AS VARCHAR) END AS call_id,
+         to_json(text) AS content
+  FROM conversations WHERE role <> 'assistant'
 ), refs AS (
   SELECT c.*, n % 3 = 0 AS refers, EXISTS (SELECT 1 FROM calls p WHERE p.conv_id = c.conv_id AND p.turn = c.turn - 2) AS found FROM calls c
 ), levels AS (
@@ -344,12 +352,12 @@ WITH RECURSIVE calls AS (
       [CASE WHEN refers AND NOT found THEN 'reference:c' || r.conv_id || '_' || (r.turn - 2) END]), lambda x: x IS NOT NULL), ',') AS errors,
     '{"arguments":{' || CASE WHEN refers THEN '"after":"$c' || r.conv_id || '_' || (r.turn - 2) || '",' ELSE '' END
       || CASE WHEN n % 7 = 0 THEN '"debug":true,' ELSE '' END
-      || '"limit":' || CASE WHEN n % 5 = 0 THEN '"' || n || '"' ELSE CAST(n AS VARCHAR) END || ',"query":"' || digest || '"},"id":"' || r.call_id
-      || '","name":"' || r.name || '"' || CASE WHEN a.call_id IS NULL THEN '' ELSE ',"result":"' || content || '"' END || '}' AS record
+      || '"limit":' || CASE WHEN n % 5 = 0 THEN '"' || n || '"' ELSE CAST(n AS VARCHAR) END || ',"query":' || digest || '},"id":"' || r.call_id
+      || '","name":"' || r.name || '"' || CASE WHEN a.call_id IS NULL THEN '' ELSE ',"result":' || content END || '}' AS record
   FROM refs r JOIN levels l USING (conv_id, turn) LEFT JOIN results a ON a.conv_id = r.conv_id AND a.call_id = r.call_id
 ), orphans AS (
   SELECT conv_id, call_id, turn, NULL AS name, -1 AS level, 'orphan' AS status, NULL AS errors,
-         '{"id":"' || call_id || '","result":"' || content || '"}' AS record
+         '{"id":"' || call_id || '","result":' || content || '}' AS record
   FROM results a WHERE NOT EXISTS (SELECT 1 FROM calls c WHERE c.conv_id = a.conv_id AND c.call_id = a.call_id)
 )
 SELECT conv_id, call_id, turn, name, CAST(level AS INTEGER) AS level, status, errors, CAST(0 AS BIGINT) AS copies, record FROM linked
