@@ -5,12 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from catalign.llm.common import mix64, texts_of
+from catalign.llm.common import mix64, text_slices, texts_of
 
 BUCKETS = 1 << 15
 GRAMS = (2, 3, 4)
@@ -19,6 +18,9 @@ DIM = 16
 ROWS_PER_LANGUAGE = 400
 MAX_LANGUAGES = 200
 UNKNOWN = "und"
+# Bytes of text that are judged at once; a longer text stands alone.
+SLICE_BYTES = 2 << 20
+RUN_BYTES = 1 << 17
 # ASCII letters become lower case, bytes of other letters stay, the rest separates words.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -63,11 +65,14 @@ class Model:
 
     def probabilities(self, texts: list[bytes | None]) -> np.ndarray:
         out = np.empty((len(texts), len(self.languages)))
-        for start in range(0, len(texts), 64):
-            buckets, starts = features(texts[start : start + 64])
+        # Some 128 KB of text at once, whose features take a few dozen MB; a longer text stands alone.
+        runs = np.cumsum([len(t or b"") for t in texts], dtype=np.int64) // RUN_BYTES
+        edges = np.append(np.flatnonzero(np.diff(runs, prefix=-1)), len(texts))
+        for start, end in zip(edges, edges[1:]):
+            buckets, starts = features(texts[start:end])
             sums = np.add.reduceat(self.table[buckets], starts, axis=0, dtype=np.float64)
             sizes = np.diff(np.append(starts, len(buckets)))
-            out[start : start + 64] = softmax((sums / sizes[:, None] + self.bias) / self.temperature)
+            out[start:end] = softmax((sums / sizes[:, None] + self.bias) / self.temperature)
         return out
 
 
@@ -207,7 +212,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         import pyarrow as pa
 
         own = shared.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in text_slices(whole, 1, SLICE_BYTES)):
             texts = texts_of(batch.column(1))
             chance = own.probabilities(texts)
             best = chance.argmax(axis=1)
@@ -233,10 +238,15 @@ def drop_rejected(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs``, all columns, whose text the model doesn't reject."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("boolean")
-    def accepted(texts: pd.Series) -> pd.Series:
-        raw = [t.encode() if t is not None else None for t in texts]
-        score = shared.value.probabilities(raw).max(axis=1, initial=0.0)
-        return pd.Series([has_letter(t) and s >= shared.value.least_score for t, s in zip(raw, score)], dtype=bool)
+    text = docs.columns.index("text")
+
+    def accepted(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for part in text_slices(batch, text, SLICE_BYTES):
+                raw = texts_of(part.column(text))
+                score = shared.value.probabilities(raw).max(axis=1, initial=0.0)
+                yield part.filter(pa.array([has_letter(t) and s >= shared.value.least_score for t, s in zip(raw, score)], pa.bool_()))
 
-    return docs.filter(accepted(docs["text"]))
+    return docs.mapInArrow(accepted, docs.schema)
