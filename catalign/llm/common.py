@@ -17,6 +17,10 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FILTER_BITS = 1 << 23
 # Members of a bucket that are compared with as many others at once.
 BLOCK_MEMBERS = 256
+# Rounds in which the members of a bucket meet one of them; they end early when nothing new is linked.
+REPRESENTATIVE_ROUNDS = 2
+# So many links of components are finished by one task.
+FINISHED_EDGES = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -118,7 +122,7 @@ def linked_groups(
     members: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
     near: Callable[[Column, Column], Column],
-    compare: Callable[[dict, dict], tuple[np.ndarray, np.ndarray]],
+    compare: Callable[[int, dict, dict], tuple[np.ndarray, np.ndarray, np.ndarray]],
     payload: DataFrame | None = None,
 ) -> DataFrame:
     """``(id, component)`` of the ids that links join, links being verified pairs of a bucket.
@@ -128,12 +132,14 @@ def linked_groups(
     is a cheap native condition on two tags, in either order, that links meet.
 
     No bucket is expanded into all its pairs. Each member is first compared with one
-    representative of its bucket, twice with different ones; what is linked by then is one
+    representative of its bucket, then with others as long as that links something; what is linked by then is one
     component. Then only members of *different* components that still share a bucket are
     compared with each other, so that no link between two components is lost. That is done in
-    blocks of members, whose pairs stay inside a task: ``compare`` gets two blocks as arrays ``id``,
+    blocks of members, whose pairs stay inside a task: ``compare`` gets the bucket's key and two blocks as arrays ``id``,
     ``tag``, ``at`` (the component) and what ``payload(id, data)`` adds, and returns the positions of
-    the pairs worth verifying. So a bucket of many that aren't linked makes few rows.
+    the pairs worth verifying and how alike they seem. The first time each member gets its best partner of a block, which
+    joins what is left of large groups; what still differs is compared in full. ``compare`` should
+    leave out pairs that another bucket of both settles. So a bucket of many that aren't linked makes few rows.
     """
     buckets = stage(
         members.groupBy("key")
@@ -154,32 +160,56 @@ def linked_groups(
     tested = stage(pairs.distinct(), "pairs")
     links = stage(verify(tested), "links")
     groups = _components(links)
-    for final in (False, True):
+    steps = ["representative"] * REPRESENTATIVE_ROUNDS + ["best", "all"]
+    turn = 0
+    while turn < len(steps):
+        step = steps[turn]
         known = left.select("key", "id", "tag").join(groups, "id", "left")
         known = stage(known.select("key", "id", "tag", F.coalesce("component", "id").alias("at")), "known")
-        mixed = known.groupBy("key").agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.max(F.xxhash64("id")).alias("rep"))
+        salted = F.xxhash64("id", F.lit(turn))
+        mixed = known.groupBy("key").agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.max(salted).alias("rep"))
         mixed = stage(mixed.filter("lo <> hi").select("key", "rep"), "mixed")
         if mixed.isEmpty():
             break
         rest = stage(known.join(mixed, "key"), "rest")
-        if final:
-            pairs = _compared_blocks(rest if payload is None else rest.join(payload, "id"), compare)
-        else:
+        if step == "representative":
             # The representative is the member of the highest hash.
-            reps = rest.filter(F.xxhash64("id") == F.col("rep")).groupBy("key").agg(F.min(F.struct("id", "tag", "at")).alias("r"))
+            reps = rest.filter(salted == F.col("rep")).groupBy("key").agg(F.min(F.struct("id", "tag", "at")).alias("r"))
             reps = reps.select("key", *[F.col(f"r.{c}").alias(f"{c}2") for c in ("id", "tag", "at")])
             pairs = rest.join(reps, "key").filter(F.expr("at <> at2") & near(F.col("tag"), F.col("tag2")))
             pairs = pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
+        else:
+            pairs = _compared_blocks(rest if payload is None else rest.join(payload, "id"), compare, step == "best")
         fresh = stage(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         found = stage(verify(fresh), "links")
-        links, tested = links.unionByName(found), tested.unionByName(fresh)
+        tested = tested.unionByName(fresh)
         if not found.isEmpty():
-            groups = _components(links)
+            groups = _joined(groups, found)
+        elif step == "representative":
+            turn = steps.index("best") - 1
+        turn += 1
     return groups
 
 
-def _compared_blocks(rest: DataFrame, compare) -> DataFrame:
-    """Pairs ``(a, b)`` of different components in a bucket that ``compare`` keeps."""
+def first_common(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each pair of rows the first key that both have in the same column; it names the bucket that settles the pair."""
+    out = np.empty(len(i), left.dtype)
+    for start in range(0, len(i), 16384):
+        one, two = left[i[start : start + 16384]], right[j[start : start + 16384]]
+        same = (one == two).argmax(1)
+        out[start : start + 16384] = one[np.arange(len(one)), same]
+    return out
+
+
+def _best_partners(i: np.ndarray, j: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """Positions of the pairs that are the best one of a member on either side."""
+    order = np.argsort(-score, kind="stable")
+    best = [order[np.unique(side[order], return_index=True)[1]] for side in (i, j)]
+    return np.unique(np.concatenate(best))
+
+
+def _compared_blocks(rest: DataFrame, compare, only_best: bool) -> DataFrame:
+    """Pairs ``(a, b)`` of different components in a bucket that ``compare`` keeps, or the best of each member."""
     fields = [c for c in ("id", "tag", "at", "data") if c in rest.columns]
     sizes = rest.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("id", F.lit(5)), F.col("parts")).cast("int")
@@ -187,21 +217,24 @@ def _compared_blocks(rest: DataFrame, compare) -> DataFrame:
     # A block holds about BLOCK_MEMBERS members: the bucket was cut by a hash into that many parts.
     packed = stage(split.agg(F.collect_list(F.struct(*fields)).alias("rows")), "blocks")
     left = packed.select("key", F.col("rows").alias("one"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("part"))
-    met = left.join(packed.select("key", "part", F.col("rows").alias("two")), ["key", "part"]).select("one", "two")
+    met = left.join(packed.select("key", "part", F.col("rows").alias("two")), ["key", "part"]).select("key", "one", "two")
 
     def kept(batches):
         import pyarrow as pa
 
         for batch in batches:
             sides = []
-            for column in batch.columns:
+            for column in batch.columns[1:]:
                 rows = column.flatten()
                 ends = np.cumsum(column.value_lengths().to_numpy())
                 own = {f.name: rows.field(i) for i, f in enumerate(rows.type)}
                 own = {n: v.to_numpy(zero_copy_only=False) for n, v in own.items()}
                 sides.append([{n: v[s:e] for n, v in own.items()} for s, e in zip(np.append(0, ends[:-1]), ends)])
-            for one, two in zip(*sides):
-                i, j = compare(one, two)
+            for key, one, two in zip(batch.column(0).to_pylist(), *sides):
+                i, j, score = compare(key, one, two)
+                if only_best and len(i):
+                    best = _best_partners(i, j, score)
+                    i, j = i[best], j[best]
                 a, b = one["id"][i], two["id"][j]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
@@ -211,4 +244,16 @@ def _compared_blocks(rest: DataFrame, compare) -> DataFrame:
 def _components(links: DataFrame) -> DataFrame:
     edges = links.select(F.col("a").alias("src"), F.col("b").alias("dst"))
     nodes = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
-    return stage(connected_components(nodes, edges, single_task_edges=0), "groups")
+    return stage(connected_components(nodes, edges, single_task_edges=FINISHED_EDGES), "groups")
+
+
+def _joined(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """``groups(id, component)`` after more links: only components that these touch are looked at again."""
+    side = lambda end: groups.select(F.col("id").alias(end), F.col("component").alias(f"{end}_at"))
+    both = links.select("a", "b").join(side("a"), "a", "left").join(side("b"), "b", "left")
+    both = stage(both.select("a", "b", F.coalesce("a_at", "a").alias("a_at"), F.coalesce("b_at", "b").alias("b_at")), "touched")
+    merged = _components(both.select(F.col("a_at").alias("a"), F.col("b_at").alias("b")))
+    ends = both.select(F.col("a").alias("id"), F.col("a_at").alias("at")).unionByName(both.select(F.col("b").alias("id"), F.col("b_at").alias("at")))
+    every = groups.select("id", F.col("component").alias("at")).unionByName(ends.distinct().join(groups, "id", "left_anti"))
+    to = merged.select(F.col("id").alias("at"), F.col("component").alias("to"))
+    return stage(every.join(to, "at", "left").select("id", F.coalesce("to", "at").alias("component")), "groups")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalign.llm.common import KeyFilter, free_name, linked_groups, mix64, texts_of, with_row_ids
+from catalign.llm.common import KeyFilter, first_common, free_name, linked_groups, mix64, texts_of, with_row_ids
 from catalign.runtime import stage
 
 # Largest number of differing SimHash bits, and the blocks the 64 bits are cut into. At distance
@@ -258,9 +258,12 @@ def _repeated(
 
     close = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= distance
 
-    def closest(one, two):
-        bits = np.bitwise_count(one["tag"].view(np.uint64)[:, None] ^ two["tag"].view(np.uint64)[None, :])
-        return np.nonzero((bits <= distance) & (one["at"][:, None] != two["at"][None, :]))
+    def closest(key, one, two):
+        left, right = one["tag"].view(np.uint64), two["tag"].view(np.uint64)
+        bits = np.bitwise_count(left[:, None] ^ right[None, :])
+        i, j = np.nonzero((bits <= distance) & (one["at"][:, None] != two["at"][None, :]))
+        mine = first_common(block_keys(left, distance, blocks).view(np.int64), block_keys(right, distance, blocks).view(np.int64), i, j) == key
+        return i[mine], j[mine], -bits[i, j][mine].astype(np.int64)
 
     groups = linked_groups(members, verify, close, closest)
     known = distinct.join(groups, "id", "left")

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalign.llm.common import KeyFilter, free_name, linked_groups, mix64, texts_of, with_row_ids
+from catalign.llm.common import KeyFilter, first_common, free_name, linked_groups, mix64, texts_of, with_row_ids
 from catalign.runtime import stage
 
 BANDS, ROWS = 40, 5
@@ -77,12 +77,27 @@ def least_matches(places: int, batch: int, threshold: float, miss: float) -> lis
 
 def passing(left: np.ndarray, right: np.ndarray, steps: list[tuple[int, int]]) -> np.ndarray:
     """Indices of the signature pairs that no batch prunes; pruned ones aren't compared further."""
+    return matching(left, right, steps)[0]
+
+
+def matching(left: np.ndarray, right: np.ndarray, steps: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """``passing`` and the number of equal places of those pairs."""
     alive, matches, done = np.arange(len(left)), np.zeros(len(left), np.int64), 0
     for n, least in steps:
         matches = matches + (left[alive, done:n] == right[alive, done:n]).sum(axis=1)
         kept = matches >= least
         alive, matches, done = alive[kept], matches[kept], n
-    return alive
+    return alive, matches
+
+
+def band_keys(signs: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """A signed 64-bit key for each band of each signature."""
+    salt = mix64(np.arange(bands, dtype=np.uint64) + np.uint64(SEED))
+    signs = signs.reshape(-1, bands, rows)
+    keys = np.tile(salt, (len(signs), 1))
+    for i in range(rows):
+        keys = mix64(keys ^ signs[:, :, i].astype(np.uint64)) + np.uint64(i)
+    return mix64(keys).view(np.int64)
 
 
 def _set_key(hashes: np.ndarray) -> tuple[int, int]:
@@ -143,16 +158,12 @@ def near_duplicates(
     def banded(batches):
         import pyarrow as pa
 
-        salt = mix64(np.arange(bands, dtype=np.uint64) + np.uint64(SEED))
         for batch in batches:
             if not batch.num_rows:
                 continue
-            signs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, bands, rows)
-            keys = np.tile(salt, (len(signs), 1))
-            for i in range(rows):
-                keys = mix64(keys ^ signs[:, :, i].astype(np.uint64)) + np.uint64(i)
+            keys = band_keys(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16), bands, rows)
             ids, sizes = (pa.array(np.repeat(batch.column(i).to_numpy(), bands)) for i in (0, 2))
-            yield pa.RecordBatch.from_arrays([pa.array(mix64(keys).ravel().view(np.int64)), ids, sizes], names=["key", "id", "tag"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), ids, sizes], names=["key", "id", "tag"])
 
     members = sets.select("id", "sign", "n").mapInArrow(banded, "key bigint, id bigint, tag bigint")
 
@@ -217,15 +228,21 @@ def near_duplicates(
         near = near.join(owners.select("doc_id").distinct(), "doc_id").select("text").mapInArrow(reread, "k1 bigint, k2 bigint, text string")
         return near.join(owners.select("id", "k1", "k2"), ["k1", "k2"]).groupBy("id").agg(F.first("text").alias("text"))
 
-    def worth_it(one, two):
-        """Pairs of two blocks that differ in component, are of similar size and aren't pruned."""
+    def worth_it(key, one, two):
+        """Pairs of two blocks that differ in component, are of similar size, aren't pruned, and share no band before this one."""
         m, n = one["tag"][:, None], two["tag"][None, :]
         fits = (np.minimum(m, n) * 100 >= np.maximum(m, n) * percent) & (one["at"][:, None] != two["at"][None, :])
         i, j = np.nonzero(fits)
         left, right = (np.frombuffer(b"".join(x["data"]), np.uint16).reshape(-1, places) for x in (one, two))
-        kept = [start + passing(left[i[start : start + 8192]], right[j[start : start + 8192]], steps) for start in range(0, len(i), 8192)]
-        kept = np.concatenate(kept) if kept else np.empty(0, np.int64)
-        return i[kept], j[kept]
+        kept, likeness = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for start in range(0, len(i), 8192):
+            alive, matches = matching(left[i[start : start + 8192]], right[j[start : start + 8192]], steps)
+            kept.append(start + alive)
+            likeness.append(matches)
+        kept, likeness = np.concatenate(kept), np.concatenate(likeness)
+        i, j = i[kept], j[kept]
+        mine = first_common(band_keys(left, bands, rows), band_keys(right, bands, rows), i, j) == key
+        return i[mine], j[mine], likeness[mine]
 
     similar_size = lambda m, n: F.least(m, n) * 100 >= F.greatest(m, n) * percent
     signs = sets.select("id", F.col("sign").alias("data"))
