@@ -4,17 +4,18 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from catalign.llm.common import range_bounds
+from catalign.llm.common import range_bounds, texts_of
 
 CHUNK_IDS = 1 << 16
 SEGMENT_IDS = 1 << 20
 PART_BYTES = 16 << 20
-CACHED_CHUNKS = 600_000
+CACHED_CHUNKS = 250_000
 # A-Z as a-z, line ends as spaces.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if c == 10 else c for c in range(256))
 LINE_ENDS = bytes(32 if c == 10 else c for c in range(256))
@@ -75,9 +76,8 @@ def _load(content: bytes):
     key = hashlib.md5(content).hexdigest()
     if key not in _tokenizers:
         tokenizer = Tokenizer.from_str(content.decode())
-        tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
         _tokenizers.clear()
-        _tokenizers[key] = (tokenizer, {})
+        _tokenizers[key] = (tokenizer, Memory(_named(tokenizer)))
     return _tokenizers[key]
 
 
@@ -88,25 +88,57 @@ def _chunks(text: bytes) -> list[bytes]:
     return [c if MARKED.search(c) else c.translate(FOLD) for c in text.translate(LINE_ENDS).split(b" ")]
 
 
-def encode_texts(texts: list[str | None], tokenizer, known: dict[bytes, bytes], splits: bool = True) -> list[np.ndarray]:
+class Memory(dict):
+    """Ids of chunks in two generations: when one is full it becomes the older one, from which chunks that are
+    asked for again come back."""
+
+    def __init__(self, names: re.Pattern | None):
+        self.names, self.older = names, {}
+
+    def recall(self, chunks: set[bytes]) -> dict[bytes, bytes]:
+        """What the older generation knows; makes room before new chunks are added."""
+        back = {c: self.older[c] for c in chunks if c in self.older}
+        if len(self) + len(chunks) > CACHED_CHUNKS:
+            self.older = dict(self)
+            self.clear()
+        return back
+
+
+def _named(tokenizer) -> re.Pattern | None:
+    """Names of the tokenizer's added tokens, in any case."""
+    names = [re.escape(t.content.encode()) for t in tokenizer.get_added_tokens_decoder().values()]
+    return re.compile(b"|".join(names), re.IGNORECASE) if names else None
+
+
+def encode_texts(texts: list[str | bytes | None], tokenizer, known: dict[bytes, bytes], splits: bool = True) -> list[np.ndarray]:
     """Ids of each whole text, without special tokens.
 
     ``splits`` says that no token of this tokenizer reaches over a space or a line end, and that
     it takes A-Z as a-z, except before a letter's mark. Then a text's ids are those of the chunks
-    between them, and each new chunk of the list is encoded once. The memory is emptied when it is
-    full.
+    between them, and each new chunk of the list is encoded once. A full memory becomes the
+    older. A text with a name of an added token (as ``<|endoftext|>``) goes to the library in one piece, which decides what
+    it is.
     """
     if not splits:
-        return [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
-    parts = [_chunks((text or "").encode()) for text in texts]
-    fresh = set().union(*(set(chunks).difference(known) for chunks in parts))
-    if len(known) + len(fresh) > CACHED_CHUNKS:
-        known.clear()
-        fresh = set().union(*parts)
-    fresh = list(fresh)
+        return [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch([(t or b"").decode() if not isinstance(t, str) else t for t in texts], add_special_tokens=False)]
+    names = known.names if isinstance(known, Memory) else _named(tokenizer)
+    raw = [text if isinstance(text, bytes) else (text or "").encode() for text in texts]
+    whole = {i for i, text in enumerate(raw) if names and b"<" in text and names.search(text)}
+    parts = [[] if i in whole else _chunks(text) for i, text in enumerate(raw)]
+    found = [list(map(known.get, chunks)) for chunks in parts]
+    open_texts = [i for i, ids in enumerate(found) if None in ids]
+    fresh = {chunk for i in open_texts for chunk, ids in zip(parts[i], found[i]) if ids is None}
+    own = known.recall(fresh) if isinstance(known, Memory) else {}
+    fresh = list(fresh.difference(own))
     for chunk, encoded in zip(fresh, tokenizer.encode_batch_fast([c.decode() for c in fresh], add_special_tokens=False)):
-        known[chunk] = np.array(encoded.ids, np.uint32).tobytes()
-    return [np.frombuffer(b"".join(map(known.__getitem__, chunks)), np.uint32) for chunks in parts]
+        own[chunk] = array("I", encoded.ids).tobytes()
+    for i in open_texts:
+        found[i] = [own[chunk] if ids is None else ids for chunk, ids in zip(parts[i], found[i])]
+    known.update(own)
+    out = [np.frombuffer(b"".join(ids), np.uint32) for ids in found]
+    for i in whole:
+        out[i] = np.array(tokenizer.encode(raw[i].decode(), add_special_tokens=False).ids, np.uint32)
+    return out
 
 
 def write_tokens(
@@ -141,7 +173,7 @@ def write_tokens(
             for start in range(0, batch.num_rows, 1000):
                 piece = batch.slice(start, 1000)
                 keys = piece.column(0).to_pylist()
-                ids = encode_texts(piece.column(1).to_pylist(), tokenizer, known, splits)
+                ids = encode_texts(texts_of(piece.column(1)), tokenizer, known, splits)
                 part = [0 if k is None else int(np.searchsorted(bounds, k, side="right")) for k in keys]
                 blobs = [np.append(x, end_id).astype("<u4") for x in ids]
                 # Most vocabularies fit 16 bits, which halves what is shuffled.

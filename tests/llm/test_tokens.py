@@ -67,6 +67,40 @@ def test_bpe_of_a_table(spark):
     assert bpe.round_trip(frame(spark, []), RANKS, P.PATTERN).count() == 0
 
 
+def test_encoded_and_checked_columns_replace_their_namesakes(spark):
+    rows = awkward(10)
+    docs = frame(spark, rows, clashing=True).withColumn("round_trip", F.lit("old"))
+    got = bpe.encode_documents(docs, RANKS, P.PATTERN, check="round_trip")
+    assert got.columns == [c for c in docs.columns if c not in ("ids", "round_trip")] + ["ids", "round_trip"] and "decoded" in got.columns
+    want = tiktoken_of()
+    assert plain(got.select("doc_id", "text", "ids", "round_trip")) == sorted(((r[0], r[1], want.encode_ordinary(r[1] or ""), True) for r in rows), key=repr)
+    staged = corpus_pipeline.encode(spark, docs, "")
+    assert staged.columns == got.columns and staged.filter("not round_trip").count() == 0
+
+
+def test_an_encoder_goes_when_it_is_no_longer_used():
+    import gc
+    import weakref
+
+    gc.disable()
+    try:
+        own = bpe.BpeEncoder({bytes([i]): i for i in range(256)}, ".+")
+        own.encode("some text")
+        gone = weakref.ref(own)
+        del own
+        assert gone() is None
+    finally:
+        gc.enable()
+
+
+def test_a_full_memory_is_emptied(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHED_BYTES", 2000)
+    want, own = tiktoken_of(), bpe.BpeEncoder(bpe.read_ranks(RANKS), P.PATTERN)
+    for text in hard_texts()[:200]:
+        assert own.encode(text)[0] == want.encode_ordinary(text)
+    assert own.pieces.held <= 2000
+
+
 WORD_BPE = P.path("word_bpe_49k.json")
 
 
@@ -74,7 +108,6 @@ def library_ids(texts):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(WORD_BPE)
-    tokenizer.encode_special_tokens = True
     return [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
@@ -93,6 +126,13 @@ def test_capitals_before_marks_encode_like_the_whole_text():
     assert token_store.encode_texts(["J\u030c"], tokenizer, known)[0].tolist() == [329, 136, 490]
 
 
+def test_names_of_added_tokens_encode_as_the_library_does():
+    tokenizer, known = token_store._load(open(WORD_BPE, "rb").read())
+    texts = ["x <|endoftext|> y", "<|ENDOFTEXT|>", "a<|startoftext|>b\nC <|Startoftext|>", " <|endoftext|>\n<|endoftext|> ", "<|endoftext", "é<|endoftext|>J\u030c"]
+    assert [x.tolist() for x in token_store.encode_texts(texts, tokenizer, known)] == library_ids(texts)
+    assert token_store.encode_texts(texts[:1], tokenizer, known)[0].tolist() == [343, 49407, 344]
+
+
 @pytest.mark.parametrize("plane", ["byte", "bit"])
 def test_planes_round_trip(plane):
     rng = np.random.default_rng(2)
@@ -157,6 +197,11 @@ def test_backoff_scores_against_brute_force(spark, order):
     ]
 
 
+def test_counts_over_four_bytes_are_kept():
+    values = np.array([0, 1, 2**32 - 1, 2**32, 2**40 + 7, 2**62], np.uint64)
+    assert (B._unpack(B._pack(values)) == values).all() and len(B._unpack(B._pack(values[:0]))) == 0
+
+
 def test_no_documents_have_no_scores(spark):
     assert B.score_documents(frame(spark, [])).count() == 0
     assert plain(B.score_documents(frame(spark, [(1, None, None, None, None)]))) == [(1, 0, 0.0, None)]
