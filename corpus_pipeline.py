@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from catalign.llm import bpe, decontaminate, langid, line_dedup, minhash
 from catalign.llm.common import table
@@ -11,34 +10,49 @@ from catalign.runtime import stage
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the identifier, trained on ``docs`` itself, doesn't reject; their columns as they are."""
+    """Documents that the identifier, trained on ``docs`` itself, doesn't reject; their columns as they are.
+
+    Null, empty and letterless texts are rejected. Rows are judged one by one, repeated ones alike; an empty table
+    stays empty. A null id or language only keeps a row out of the training sample.
+    """
     return langid.drop_rejected(docs, langid.train(docs))
 
 
 def deduplicate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go; a document of which nothing but repeated lines is left goes with them."""
+    """Repeated lines go; a document of which nothing but repeated lines is left goes with them.
+
+    Of equal or similar lines the one of the smallest id and line number stays. Null and empty texts stay as they are; rows that
+    share an id are told apart by their text.
+    """
     return line_dedup.drop_repeated_lines(docs, drop_emptied=True)
 
 
 def deduplicate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, that of the smallest id."""
+    """One document of each group of near duplicates stays, that of the smallest id.
+
+    Rows without words or without an id stay; rows that repeat an id go only if none of them is the one that stays.
+    """
     return minhash.keep_first(docs)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a passage of the benchmark go."""
+    """Documents with a passage of the benchmark go.
+
+    Null and empty texts have none; a document id goes with all its rows; with an empty benchmark all stay.
+    """
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its token ids and what they decode to."""
+    """Every document with its token ids and whether they decode to its text.
+
+    Null and empty texts have no ids. Columns already called ``ids`` or ``round_trip`` are replaced, all others stay.
+    """
     import public_tokenizers
 
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    encoded = bpe.encode_documents(docs, path, pattern)
-    sound = bpe.decode_documents(encoded, path, pattern)
-    whole = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
-    return sound.select(*[docs[f"`{c}`"] for c in docs.columns if c not in ("ids", "decoded")], "ids", whole.alias("round_trip"))
+    return bpe.encode_documents(docs, path, pattern, out="ids", check="round_trip")
+
 
 
 STAGES = [
