@@ -18,7 +18,7 @@ FILTER_BITS = 1 << 23
 # Members of a bucket that are compared with as many others at once.
 BLOCK_MEMBERS = 256
 # Rounds in which the members of a bucket meet one of them; they end early when nothing new is linked.
-REPRESENTATIVE_ROUNDS = 2
+REPRESENTATIVE_ROUNDS = 1
 # So many links of components are finished by one task.
 FINISHED_EDGES = 100_000
 

@@ -67,7 +67,7 @@ class Model:
         out = np.empty((len(texts), len(self.languages)))
         # Some 128 KB of text at once, whose features take a few dozen MB; a longer text stands alone.
         runs = np.cumsum([len(t or b"") for t in texts], dtype=np.int64) // RUN_BYTES
-        edges = np.append(np.flatnonzero(np.diff(runs, prefix=-1)), len(texts))
+        edges = np.append(np.flatnonzero(np.diff(runs, prepend=-1)), len(texts))
         for start, end in zip(edges, edges[1:]):
             buckets, starts = features(texts[start:end])
             sums = np.add.reduceat(self.table[buckets], starts, axis=0, dtype=np.float64)
