@@ -212,6 +212,22 @@ def _token_list(content, key: str) -> list[bytes]:
     return _token_lists[key]
 
 
+def _give_back() -> None:
+    """Free what a worker remembers at the end of a task: it is used again by stages that need the memory."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    _encoders.clear()
+    _token_lists.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def _with_columns(df: DataFrame, new: list[tuple[str, T.DataType]], fill) -> DataFrame:
     """``df`` plus columns that ``fill(part)`` computes for an Arrow slice; columns already called so are replaced.
 
@@ -228,6 +244,7 @@ def _with_columns(df: DataFrame, new: list[tuple[str, T.DataType]], fill) -> Dat
             for part in fill.slices(batch):
                 columns = [part.column(i) for i in kept] + fill(part)
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        _give_back()
 
     return df.mapInArrow(filled, schema)
 
