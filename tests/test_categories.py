@@ -7,6 +7,7 @@ from catalign.operators import groups as G
 from catalign.operators import hierarchy as H
 from catalign.operators import overlap as O
 from catalign.operators import schema as S
+from catalign.runtime import stage
 
 
 def cats(spark, names):
@@ -130,6 +131,21 @@ def test_product_overlap_against_plain(spark, threshold):
     assert {g[:2]: round(g[3], 9) for g in got} == {w[:2]: round(w[3], 9) for w in want}
 
 
+@pytest.mark.parametrize("holders", [1024, 5])
+def test_only_sets_that_share_enough_are_compared(spark, monkeypatch, holders):
+    rnd = random.Random(5)
+    sets = {f"c{i}": set(rnd.sample(range(400), 60 + i)) for i in range(40)}
+    sets["near"] = set(list(sets["c1"])[:50])
+    staged = {}
+    monkeypatch.setattr(O, "stage", lambda df, name="stage": staged.setdefault(name, stage(df, name)))
+    monkeypatch.setattr(O, "BLOCK_HOLDERS", holders, raising=False)
+    df = spark.createDataFrame([(c, f"p{p}") for c, s in sets.items() for p in s], "category string, product_name string")
+    got = {tuple(r)[:3] for r in O.product_overlap(df, 0.4).collect()}
+    assert got == {w[:3] for w in plain_overlap(sets, 0.4)} and ("c1", "near", 50) in got
+    # Nearly all of the 820 pairs share a product.
+    assert staged["candidates"].count() <= 10
+
+
 def test_hybrid_score_counts_missing_sides_as_zero(spark):
     names = spark.createDataFrame([("a", "b", 90.0), ("a", "c", 100.0)], "text1 string, text2 string, score double")
     products = spark.createDataFrame([("a", "b", 1, 0.5), ("b", "c", 1, 1.0)], "category1 string, category2 string, shared long, jaccard double")
