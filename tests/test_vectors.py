@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,3 +118,34 @@ def test_null_vectors_are_noise_and_lengths_must_agree(spark):
     assert [(r["id1"], r["id2"]) for r in X.cosine_pairs(df, 0.2).collect()] == [(1, 3)]
     with pytest.raises(ValueError):
         X.dbscan(df.unionByName(spark.createDataFrame([(5, [1.0])], df.schema)))
+
+
+def test_vectors_are_sent_a_bounded_number_of_times(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(1500, 8)))]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>")
+    unit = df.select("id", X.unit_vector(F.col("embedding")).alias("vec"), F.lit(0).alias("by"))
+    sent = X.compared_blocks(unit, 2.0, 5)
+    # Blocks of 5 would send each vector 300 times and more.
+    assert sent.count() <= 1500 * 50
+    assert {tuple(r) for r in X.dbscan(df, 0.02, 3, block_vectors=5).collect()} == {tuple(r) for r in X.dbscan(df, 0.02, 3).collect()}
+
+
+def test_parts_of_large_blocks_give_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    left, right = rng.normal(size=(23, 3)), rng.normal(size=(17, 3))
+    frame = lambda pts, side, lo: pd.DataFrame({"id": range(len(pts)), "vec": list(pts / np.linalg.norm(pts, axis=1)[:, None]), "side": side, "lo": lo, "hi": 1})
+    for pdf, alone in ((pd.concat([frame(left, 0, 0), frame(right, 1, 0)]), False), (frame(left, 0, 1), True)):
+        outcomes = []
+        for part in (1024, 6):
+            monkeypatch.setattr(X, "PART_VECTORS", part)
+            one, two, is_alone, parts = X.block_sides(pdf)
+            near = np.zeros((len(one), len(two)), int)
+            trees = X.Trees(len(one), len(two), is_alone)
+            for at, to, same, distance in parts:
+                near[at, to] += distance <= 0.1
+                trees.add(at, to, distance <= 0.1)
+                if is_alone and not same:
+                    near.T[at, to] += distance <= 0.1
+            outcomes.append((is_alone, near.tolist(), len(trees.rows), [int((trees.label == x).argmax()) for x in trees.label]))
+        assert outcomes[0] == outcomes[1] and outcomes[0][0] == alone and max(map(max, outcomes[0][1])) == 1
