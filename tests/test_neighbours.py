@@ -1,5 +1,6 @@
 """The random-projection index and the spanning forest against all pairs."""
 
+import math
 import random
 
 import numpy as np
@@ -64,6 +65,13 @@ def test_plans_meet_the_recall_and_grow_with_the_table():
     assert H.plan_index(10**9, 0.1, 0.9).bits > H.plan_index(1000, 0.1, 0.9).bits
 
 
+def test_plans_of_wide_neighbourhoods_send_few_rows():
+    for n in (10**5, 6 * 10**5):
+        plan = H.plan_index(n, 0.6, 0.99)
+        # Of two neighbouring buckets one vector visits the other's.
+        assert plan.tables * (1 + sum(math.comb(plan.bits, i) for i in range(plan.radius + 1))) / 2 <= 40
+
+
 def brute_labels(points, ids, eps):
     far = distances(points)
     label = list(range(len(points)))
