@@ -59,7 +59,7 @@ def detect_dialects(spark: SparkSession, paths: list[str]) -> dict[str, dict[str
 
     All files are looked at together: one job reads their first lines, which decide separator,
     quoting and header (``;`` before ``,`` before a guess, quoted before unquoted), one scan of all
-    bytes decides the encodings and whether quoted fields span lines.
+    bytes tells which files are UTF-8 and whether quoted fields span lines, one of the others decides their encodings.
     """
     files = {path: sorted(_location(f) for f in spark.read.text(path).inputFiles()) for path in paths}
     lines = spark.read.text(paths).select(
@@ -75,13 +75,19 @@ def detect_dialects(spark: SparkSession, paths: list[str]) -> dict[str, dict[str
         heads.setdefault(_location(row[0]), []).append(bytes(row[2]))
     guessed = {path: _separator(head) for path, head in heads.items()}
     separators = sorted({g[0] for g in guessed.values() if g})
-    hexes = F.hex(F.col("value").cast("binary"))
     checks = [F.bool_and(F.is_valid_utf8("value")).alias("utf-8")]
-    for name in ENCODINGS[1:]:
-        bad = [f"{128 + i:02X}" for i, ch in enumerate(_high_bytes(name)) if ch is None]
-        checks.append((~F.bool_or(hexes.rlike("^(..)*(" + "|".join(bad) + ")")) if bad else F.bool_and(F.lit(True))).alias(name))
-    checks += [F.bool_or(opens_field(F.col("value"), sep)).alias(f"open{i}") for i, sep in enumerate(separators)]
-    facts = {_location(r["path"]): r for r in lines.groupBy("path").agg(*checks).collect()}
+    checks += [F.bool_or(F.col("value").contains('"') & opens_field(F.col("value"), sep)).alias(f"open{i}") for i, sep in enumerate(separators)]
+    facts = {_location(r["path"]): r.asDict() for r in lines.groupBy("path").agg(*checks).collect()}
+    others = [file for file, fact in facts.items() if not fact["utf-8"]]
+    if others:
+        hexes = F.hex(F.col("value").cast("binary"))
+        fits = []
+        for name in ENCODINGS[1:]:
+            bad = [f"{128 + i:02X}" for i, ch in enumerate(_high_bytes(name)) if ch is None]
+            fits.append((~F.bool_or(hexes.rlike("^(..)*(" + "|".join(bad) + ")")) if bad else F.bool_and(F.lit(True))).alias(name))
+        of_others = spark.read.text(others).select("value", F.col("_metadata.file_path").alias("path"))
+        for r in of_others.groupBy("path").agg(*fits).collect():
+            facts[_location(r["path"])].update(r.asDict())
 
     def dialect(file: str) -> Dialect | None:
         if not guessed.get(file):

@@ -3,8 +3,8 @@
 A file is cut into byte ranges wherever Spark likes. Whether a range begins inside a quoted field depends on
 everything before it, but each line maps the state before it to the state after it, and such maps
 compose. So one pass finds the map of each range for both states, a running composition over the ranges (one row each)
-gives the state at each range's start, and a second pass cuts all ranges at the true record starts. Only the
-pieces of a record that crosses a range's end are shuffled.
+gives the state at each range's start, and a second pass cuts all ranges at the true record starts. Small ranges are
+read many to a task. Only the pieces of a record that crosses a range's end are shuffled.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from catalign.runtime import stage
 
 # Bytes of a range. The driver and each task hold some 40 bytes for each of them.
 SPLIT_BYTES = 32 << 20
+# Bytes of the ranges that one task reads, if they are smaller than that.
+TASK_BYTES = 32 << 20
 # Records that leave a task together.
 BATCH_ROWS = 4096
 
@@ -35,10 +37,24 @@ def opens_field(line: Column, separator: str) -> Column:
     return without_quoted(line, separator).rlike(f'(^|{re.escape(separator)})"[^"]*$')
 
 
+def _reading_tasks(spark: SparkSession, paths: list[str]) -> int:
+    """How many tasks read the files: enough to keep the cluster busy, and no more than their bytes need."""
+    total = spark.read.format("binaryFile").load(paths).agg(F.sum("length")).first()[0] or 0
+    return max(spark.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
+
+
+def _without_return(text: Column) -> Column:
+    return F.when(text.contains("\r"), F.regexp_replace(text, "\r$", "")).otherwise(text)
+
+
 @contextmanager
-def _fixed_splits(spark: SparkSession, split_bytes: int):
-    """Ranges that depend on the files and ``split_bytes`` alone, so that two passes cut alike."""
-    wanted = {"spark.sql.files.maxPartitionBytes": str(split_bytes), "spark.sql.files.minPartitionNum": "1"}
+def _fixed_splits(spark: SparkSession, split_bytes: int, tasks: int):
+    """Ranges that depend on the files and ``split_bytes`` alone, so that two passes cut alike; a task reads many small ones."""
+    wanted = {
+        "spark.sql.files.maxPartitionBytes": str(split_bytes),
+        "spark.sql.files.minPartitionNum": "1",
+        "spark.sql.files.maxPartitionNum": str(tasks),
+    }
     before = {key: spark.conf.get(key, None) for key in wanted}
     for key, value in wanted.items():
         spark.conf.set(key, value)
@@ -135,16 +151,16 @@ def _range_starts(maps: DataFrame) -> DataFrame:
     return known.select("path", "block", "state", opened["b"].alias("from_block"), opened["l"].alias("from_line"))
 
 
-PIECE = "path string, block bigint, line bigint, from_block bigint, from_line bigint, text binary"
+PIECE = "path string, block bigint, line bigint, from_block bigint, from_line bigint, text binary, crosses boolean"
 
 
-def _cut(lines: DataFrame, starts, whole: bool) -> DataFrame:
-    """Records that lie within one range, or the pieces of those that don't, with the place where they begin."""
+def _cut(lines: DataFrame, starts) -> DataFrame:
+    """Records that lie within one range and the pieces of those that don't, with the place where they begin."""
 
     def cut(batches):
         import pyarrow as pa
 
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
         out = lambda rows: pa.RecordBatch.from_arrays(
             [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=[f.split()[0] for f in PIECE.split(", ")]
         )
@@ -152,8 +168,8 @@ def _cut(lines: DataFrame, starts, whole: bool) -> DataFrame:
         at, held, held_line, begun, state = None, [], 0, (None, None), False
 
         def close(crosses: bool) -> None:
-            if held and crosses != whole:
-                rows.append((*at, held_line, *begun, b"\n".join(held)))
+            if held:
+                rows.append((*at, held_line, *begun, b"\n".join(held), crosses))
 
         for path, block, first, part in _runs(batches):
             if (path, block) != at:
@@ -189,7 +205,7 @@ def scan_records(spark: SparkSession, paths: list[str], separator: str, charset:
     Lines end with a line feed, or with a carriage return before it; inside a field both stay. A record that isn't
     closed ends with its file.
     """
-    with _fixed_splits(spark, split_bytes):
+    with _fixed_splits(spark, split_bytes, _reading_tasks(spark, paths)):
         lines = _lines(spark, paths, separator)
         lines = lines.withColumn("value", F.col("value").cast("binary"))
         ranges = _range_starts(_range_maps(lines)).orderBy("path", "block").toArrow().to_pydict()
@@ -200,14 +216,16 @@ def scan_records(spark: SparkSession, paths: list[str], separator: str, charset:
                 column.append(-1 if fact is None else fact)
         packed = {path: [np.array(c) for c in columns] for path, columns in starts.items()}
         shared = spark.sparkContext.broadcast(packed)
-        text = (F.col("text").cast("string") if charset == "UTF-8" else F.decode("text", charset)).alias("text")
-        complete = _cut(lines, shared, True).select("path", F.col("from_block").alias("block"), F.col("from_line").alias("line"), text)
-        piece = F.struct("block", "line", "text")
-        crossing = (
-            _cut(lines, shared, False)
-            .withColumn("text", text)
-            .groupBy("path", "from_block", "from_line")
-            .agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
-            .select("path", F.col("from_block").alias("block"), F.col("from_line").alias("line"), F.array_join(F.transform("pieces", lambda x: x["text"]), "\n").alias("text"))
-        )
-        return stage(complete.unionByName(crossing).withColumn("text", F.regexp_replace("text", "\r$", "")), "records")
+        text = F.col("text").cast("string") if charset == "UTF-8" else F.decode("text", charset)
+        ended = F.when(F.col("crosses"), text).otherwise(_without_return(text))
+        pieces = stage(_cut(lines, shared).withColumn("text", ended), "pieces")
+    complete = pieces.filter("NOT crosses").select("path", F.col("from_block").alias("block"), F.col("from_line").alias("line"), "text")
+    piece = F.struct("block", "line", "text")
+    crossing = (
+        pieces.filter("crosses")
+        .groupBy("path", "from_block", "from_line")
+        .agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
+        .select("path", F.col("from_block").alias("block"), F.col("from_line").alias("line"), F.array_join(F.transform("pieces", lambda x: x["text"]), "\n").alias("text"))
+        .withColumn("text", _without_return(F.col("text")))
+    )
+    return complete.unionByName(stage(crossing, "crossing"))

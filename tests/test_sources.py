@@ -135,6 +135,14 @@ def test_a_field_longer_than_many_ranges_and_an_open_one(spark, tmp_path):
     assert got["1"] == long.replace('""', '"') and got["2"] == 'in 55" x' and got["3"] == 'tv 55" y' and len(got) == 4
 
 
+def test_small_ranges_are_read_many_to_a_task(spark, tmp_path):
+    path = write(tmp_path, "a.csv", "a,b\n" + "".join(f'{i},"one\ntwo, {i}"\n' for i in range(1500)))
+    df = read_csv(spark, path, split_bytes=100)
+    assert len({r["_block"] for r in df.select("_block").distinct().collect()}) > 150
+    assert len(df.inputFiles()) <= 4 * spark.sparkContext.defaultParallelism
+    assert rows(df) == sorted(((str(i), f"one\ntwo, {i}") for i in range(1500)), key=repr)
+
+
 def test_multi_line_files_of_a_folder_in_a_single_byte_encoding(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for name in ("b c", "a+1"):
