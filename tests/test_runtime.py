@@ -16,6 +16,12 @@ def test_global_rank_is_the_same_in_one_task_and_in_ranges(spark):
     assert one == many == {k: i for i, k in enumerate(sorted(one, reverse=True))}
 
 
+def test_ranges_of_a_rank_are_no_more_than_the_cluster_has_tasks_for(spark):
+    ranked = global_rank(spark.range(1000), [F.col("id")], "n", single_task_rows=2)
+    assert len([f for f in ranked.inputFiles() if "/ranges-" in f]) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sorted(r["n"] for r in ranked.filter("id = n").collect()) == list(range(1000))
+
+
 def test_stage_keeps_rows_and_schema(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0]), (2, None)], "id int, v array<double>")
     back = stage(df)
