@@ -9,6 +9,7 @@ from catalign.operators import profile as N
 from catalign.operators import standardize as V
 from catalign.operators import unit_expressions as X
 from catalign.operators import units as U
+from catalign.runtime import with_parsed
 
 COLUMN_ROWS = [
     ("my laptop", "Box dimension", "mm"), ("my laptop", "Screen", "inch"), ("my laptop", "Screen resolution", "pixel"),
@@ -272,3 +273,27 @@ def test_values_with_unknown_units_keep_their_rows(spark):
     got = {r.id: (r.amount, r.base_unit) for r in X.convert_measured(df, ["v"], ["id"]).collect()}
     assert got[4] == (1000.0, "meter ** 2") and got[5] == (268.15, "kelvin") and got[2] == got[3] == got[7] == (None, None)
     assert abs(got[1][0] - 3 / 3.6) < 1e-12 and 6 not in got
+
+
+def test_repeated_texts_are_parsed_once_and_many_ones_row_by_row(spark):
+    rows = [(i, v) for i in range(40) for v in ("5 kg", "7", "a", None, "1 mm", "")]
+    df = spark.createDataFrame(rows, "row_id int, v string").withColumn("w", F.reverse("v"))
+    direct = df.select("row_id", "v", "w", M.converted(F.col("v")).alias("p"), M.converted(F.col("w")).alias("q"))
+    joined, by_row = (with_parsed(df, {"v": "p", "w": "q"}, M.converted, most) for most in (100, 2))
+    assert any("/parsed-" in f for f in joined.inputFiles()) and not by_row.inputFiles()
+    same = lambda d: sorted(map(tuple, d.collect()), key=repr)
+    assert same(joined) == same(by_row) == same(direct)
+    assert any("/parsed-" in f for f in V.convert_units(df, ["v"], ["row_id"]).inputFiles())
+
+
+@pytest.mark.parametrize("mode", ["simple", "best"])
+def test_columns_are_written_as_single_values_are(spark, mode):
+    rows = [(i, "lamp", "Lamps" if i % 5 else None, v) for i, v in enumerate(["5 kg", "7", "a", None, "1 mm", "", "3-4", "1.2.3", "0", "x2"] * 2)]
+    df = spark.createDataFrame(rows, "row_id int, product_name string, group_name string, power string")
+    none = spark.createDataFrame([], "category string, column_name string, unit string")
+    after = V.standardize_columns(df, ["power"], none, mode=mode)
+    assert any("/parsed-" in f for f in after.inputFiles())
+    context = (F.col("product_name"), F.col("group_name"))
+    alone = V.WRITERS[mode](F.col("power"), F.coalesce(M.rule_unit("power", *context), M.context_unit("power", *context)))
+    want = df.withColumn("power", F.when(F.col("group_name").isNotNull(), alone).otherwise(F.col("power")))
+    assert sorted(map(tuple, after.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
