@@ -297,3 +297,14 @@ def test_columns_are_written_as_single_values_are(spark, mode):
     alone = V.WRITERS[mode](F.col("power"), F.coalesce(M.rule_unit("power", *context), M.context_unit("power", *context)))
     want = df.withColumn("power", F.when(F.col("group_name").isNotNull(), alone).otherwise(F.col("power")))
     assert sorted(map(tuple, after.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+
+
+def test_profile_takes_repeated_texts_apart_once(spark):
+    rows = [(i, ["5 kg", "7 kg 1 mm", "a", None, "2 mm"][i % 5]) for i in range(100)]
+    df = spark.createDataFrame(rows, "row_id int, v string")
+    profile = N.numeric_profile(df, ["v"], n=None)
+    got = profile.first()
+    assert (got["total_values"], got["analyzed_values"], got["numeric_count"], got["avg_value"]) == (80, 80, 60, 3.75)
+    assert [tuple(u) for u in got["units_found"]] == [("kg", 40), ("mm", 40)]
+    assert got["first_numbers"] == ["5", "7", "1", "2", "5", "7", "1", "2", "5", "7"]
+    assert any("/texts-" in f for f in profile.inputFiles())
