@@ -282,7 +282,7 @@ def test_repeated_texts_are_parsed_once_and_many_ones_row_by_row(spark):
     joined, by_row = (with_parsed(df, {"v": "p", "w": "q"}, M.converted, most) for most in (100, 2))
     assert any("/parsed-" in f for f in joined.inputFiles()) and not by_row.inputFiles()
     same = lambda d: sorted(map(tuple, d.collect()), key=repr)
-    assert same(joined) == same(by_row) == same(direct)
+    assert same(joined) == same(by_row) == same(direct) and with_parsed(df, {}, M.converted) is df
     assert any("/parsed-" in f for f in V.convert_units(df, ["v"], ["row_id"]).inputFiles())
 
 
