@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalign.llm.common import KeyFilter, first_common, free_name, linked_groups, mix64, texts_of, with_row_ids
+from catalign.llm.common import KeptTexts, KeyFilter, first_common, free_name, linked_groups, mix64, texts_of, with_row_ids
 from catalign.runtime import stage
 
 BANDS, ROWS = 40, 5
@@ -212,7 +212,7 @@ def near_duplicates(
 
     side = lambda df, s, c: df.select(F.col("id").alias(s), F.col(c).alias(f"{c}_{s}"))
 
-    def verify(pairs: DataFrame) -> DataFrame:
+    def verify(pairs: DataFrame, later: DataFrame) -> DataFrame:
         signed = pairs.join(side(sets, "a", "sign"), "a").join(side(sets, "b", "sign"), "b")
         alive = stage(signed.select("a", "b", "sign_a", "sign_b").mapInArrow(prune, ends), "survivors")
         needed = alive.select(F.col("a").alias("id")).unionByName(alive.select(F.col("b").alias("id"))).distinct()
@@ -244,7 +244,7 @@ def near_duplicates(
         mine = first_common(band_keys(left, bands, rows), band_keys(right, bands, rows), i, j) == key
         return i[mine], j[mine], likeness[mine]
 
-    similar_size = lambda m, n: F.least(m, n) * 100 >= F.greatest(m, n) * percent
+    similar_size = lambda m, n: np.minimum(m, n) * 100 >= np.maximum(m, n) * percent
     signs = sets.select("id", F.col("sign").alias("data"))
     groups = linked_groups(members, verify, similar_size, worth_it, signs)
     # Sets that link with no other set are components of their own.

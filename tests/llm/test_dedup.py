@@ -302,3 +302,49 @@ def test_clean_rows_without_an_id_stay(spark):
     bench = spark.createDataFrame([(5, "two three")], "item_id long, text string")
     kept = D.drop_contaminated(frame(spark, [(*r, None, None, None) for r in rows]), bench)
     assert plain(kept.select("doc_id", "text")) == sorted([(None, "clean"), (None, None), (None, "clean"), (5, "x")], key=repr)
+
+
+def test_buckets_are_compared_in_pieces_without_losing_a_pair(monkeypatch):
+    import pyarrow as pa
+
+    from catalign.llm import common
+
+    monkeypatch.setattr(common, "RUN_ROWS", 50)
+    monkeypatch.setattr(common, "RUN_LIMIT", 200)
+    rng = np.random.default_rng(9)
+    # Keys of one member to 700; the tags of key 3 are few and far apart, those of key 5 all alike.
+    keys = np.sort(np.concatenate([np.full(700, 4), np.full(90, 3), np.full(60, 5), rng.integers(10, 60, 400)]))
+    tags = rng.integers(0, 1000, len(keys))
+    tags[keys == 3], tags[keys == 5] = np.arange(90) * 100, 7
+    columns = [pa.array(x.astype(np.int64)) for x in (keys, np.arange(len(keys)), tags)]
+    rows = pa.RecordBatch.from_arrays(columns, names=["key", "id", "tag"])
+    near = lambda a, b: np.abs(a - b) <= 2
+    pairs, crowded, seen = set(), {}, 0
+    for (k, i, t), cut in common._whole_keys(rows.slice(s, 30) for s in range(0, len(keys), 30)):
+        seen += len(k)
+        for batch in common._met(k, i, t, near, None, cut):
+            for key, one, _, other in zip(*(c.to_pylist() for c in batch.columns)):
+                if other is None:
+                    crowded.setdefault(key, set()).add(one)
+                else:
+                    pairs.add((one, other))
+    assert seen == len(keys) and {4, 5} <= set(crowded) and 3 not in crowded
+    assert all(near(tags[a], tags[b]) and keys[a] == keys[b] for a, b in pairs)
+    want = {(a, b) for a in range(len(keys)) for b in range(a + 1, len(keys)) if keys[a] == keys[b] and near(tags[a], tags[b])}
+    assert all(p in pairs or set(p) <= crowded[keys[p[0]]] for p in want) and len(pairs) < len(want) // 2
+
+
+def test_texts_of_links_are_read_once_for_all_rounds(spark):
+    from catalign.llm.common import KeptTexts
+
+    asked = []
+
+    def read(ids):
+        asked.append(sorted(r.id for r in ids.collect()))
+        return ids.withColumn("text", F.col("id").cast("string"))
+
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id long")
+    kept = KeptTexts(read)
+    for now in ((1, 2), (2, 3), (3, 9)):
+        assert set(now) <= {r.id for r in kept.of(ids(*now), ids(2, 3)).collect()}
+    assert asked == [[1, 2, 3], [9]]
