@@ -216,7 +216,7 @@ def near_duplicates(
         signed = pairs.join(side(sets, "a", "sign"), "a").join(side(sets, "b", "sign"), "b")
         alive = stage(signed.select("a", "b", "sign_a", "sign_b").mapInArrow(prune, ends), "survivors")
         needed = alive.select(F.col("a").alias("id")).unionByName(alive.select(F.col("b").alias("id"))).distinct()
-        texts = stage(texts_of_sets(needed), "texts")
+        texts = known_texts.of(needed, later)
         full = alive.join(side(texts, "a", "text"), "a").join(side(texts, "b", "text"), "b")
         return full.select("a", "b", "text_a", "text_b").mapInArrow(confirm, ends)
 
@@ -228,6 +228,8 @@ def near_duplicates(
         near = near.join(owners.select("doc_id").distinct(), "doc_id").select("text").mapInArrow(reread, "k1 bigint, k2 bigint, text string")
         return near.join(owners.select("id", "k1", "k2"), ["k1", "k2"]).groupBy("id").agg(F.first("text").alias("text"))
 
+    known_texts = KeptTexts(texts_of_sets)
+
     def worth_it(key, one, two):
         """Pairs of two blocks that differ in component, are of similar size, aren't pruned, and share no band before this one."""
         m, n = one["tag"][:, None], two["tag"][None, :]

@@ -348,3 +348,14 @@ def test_texts_of_links_are_read_once_for_all_rounds(spark):
     for now in ((1, 2), (2, 3), (3, 9)):
         assert set(now) <= {r.id for r in kept.of(ids(*now), ids(2, 3)).collect()}
     assert asked == [[1, 2, 3], [9]]
+
+
+def test_few_texts_are_in_a_batch_while_links_are_verified(spark):
+    from catalign.runtime import arrow_rows
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    sizes = lambda: spark.range(0, 100, 1, 1).mapInArrow(lambda bs: (b.slice(0, 1) for b in bs), "id bigint").count()
+    with arrow_rows(spark, 10):
+        assert sizes() == 10
+    assert sizes() == 1 and spark.conf.get(name) == before
