@@ -10,15 +10,19 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from catalign.llm.common import range_bounds, texts_of
+from catalign.llm.common import range_bounds, text_slices, texts_of
 
 CHUNK_IDS = 1 << 16
 SEGMENT_IDS = 1 << 20
 PART_BYTES = 16 << 20
-CACHED_CHUNKS = 250_000
+CACHED_CHUNKS = 400_000
+# Bytes of text that are encoded at once.
+SLICE_BYTES = 4 << 20
 # A-Z as a-z, line ends as spaces.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if c == 10 else c for c in range(256))
 LINE_ENDS = bytes(32 if c == 10 else c for c in range(256))
+# After a plain letter and before a space each of these is a token of its own.
+MARKS = np.isin(np.arange(256), list(b",.;:!?"))
 # A capital and a mark may be composed to one letter, or only the small letter and the mark; the
 # tokenizer composes before it folds.
 MARKED = re.compile(rb"[A-Z][\x80-\xff]")
@@ -77,31 +81,45 @@ def _load(content: bytes):
     if key not in _tokenizers:
         tokenizer = Tokenizer.from_str(content.decode())
         _tokenizers.clear()
-        _tokenizers[key] = (tokenizer, Memory(_named(tokenizer)))
+        _tokenizers[key] = (tokenizer, Memory(tokenizer))
     return _tokenizers[key]
 
 
-def _chunks(text: bytes) -> list[bytes]:
-    """What stands between spaces and line ends, folded where that changes no id."""
+def _folded(text: bytes) -> bytes:
+    """The text with spaces as line ends, and A-Z as a-z in all chunks where that changes no id."""
+    out = text.translate(FOLD)
     if text.isascii() or not MARKED.search(text):
-        return text.translate(FOLD).split(b" ")
-    return [c if MARKED.search(c) else c.translate(FOLD) for c in text.translate(LINE_ENDS).split(b" ")]
+        return out
+    kept, whole = bytearray(out), text.translate(LINE_ENDS)
+    for found in MARKED.finditer(text):
+        start, end = out.rfind(b" ", 0, found.start()) + 1, out.find(b" ", found.start())
+        end = end if end >= 0 else len(out)
+        kept[start:end] = whole[start:end]
+    return bytes(kept)
 
 
 class Memory(dict):
     """Ids of chunks in two generations: when one is full it becomes the older one, from which chunks that are
     asked for again come back."""
 
-    def __init__(self, names: re.Pattern | None):
-        self.names, self.older = names, {}
-
-    def recall(self, chunks: set[bytes]) -> dict[bytes, bytes]:
-        """What the older generation knows; makes room before new chunks are added."""
-        back = {c: self.older[c] for c in chunks if c in self.older}
-        if len(self) + len(chunks) > CACHED_CHUNKS:
+    def __init__(self, tokenizer):
+        self.names, self.last, self.older = _named(tokenizer), _word_ends(tokenizer), {}
+
+    def look_up(self, chunks: list[bytes]) -> list[bytes | None]:
+        """The ids of each chunk, None if neither generation has them."""
+        found = list(map(self.get, chunks))
+        if self.older:
+            open_chunks = [i for i, ids in enumerate(found) if ids is None]
+            for i, ids in zip(open_chunks, map(self.older.get, [chunks[i] for i in open_chunks])):
+                if ids is not None:
+                    self[chunks[i]] = found[i] = ids
+        return found
+
+    def learn(self, new: dict[bytes, bytes]) -> None:
+        if len(self) + len(new) > CACHED_CHUNKS:
             self.older = dict(self)
             self.clear()
-        return back
+        self.update(new)
 
 
 def _named(tokenizer) -> re.Pattern | None:
@@ -110,37 +128,91 @@ def _named(tokenizer) -> re.Pattern | None:
     return re.compile(b"|".join(names), re.IGNORECASE) if names else None
 
 
-def encode_texts(texts: list[str | bytes | None], tokenizer, known: dict[bytes, bytes], splits: bool = True) -> list[np.ndarray]:
+def _word_ends(tokenizer) -> np.ndarray:
+    """Whether each id ends a word; no id does if the tokenizer doesn't mark that."""
+    suffix, ids = getattr(tokenizer.model, "end_of_word_suffix", None), tokenizer.get_vocab()
+    out = np.zeros(max(ids.values()) + 1, bool)
+    out[[i for token, i in ids.items() if suffix and token.endswith(suffix)]] = True
+    return out
+
+
+def encode_texts(texts: list[str | bytes | None], tokenizer, known: Memory, splits: bool = True) -> list[np.ndarray]:
     """Ids of each whole text, without special tokens.
 
-    ``splits`` says that no token of this tokenizer reaches over a space or a line end, and that
-    it takes A-Z as a-z, except before a letter's mark. Then a text's ids are those of the chunks
-    between them, and each new chunk of the list is encoded once. A full memory becomes the
-    older. A text with a name of an added token (as ``<|endoftext|>``) goes to the library in one piece, which decides what
-    it is.
+    ``splits`` says that no token of this tokenizer reaches over a space, a line end or the place between a plain
+    letter and one of MARKS before a space, and that it takes A-Z as a-z, except before a letter's mark. Then a text's
+    ids are those of the chunks between these; each distinct chunk of the list is looked up once, and encoded if the
+    memory doesn't know it. A text with a name of an added token (as ``<|endoftext|>``) goes to the library in one
+    piece, which decides what it is.
     """
     if not splits:
         return [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch([(t or b"").decode() if not isinstance(t, str) else t for t in texts], add_special_tokens=False)]
-    names = known.names if isinstance(known, Memory) else _named(tokenizer)
     raw = [text if isinstance(text, bytes) else (text or "").encode() for text in texts]
-    whole = {i for i, text in enumerate(raw) if names and b"<" in text and names.search(text)}
-    parts = [[] if i in whole else _chunks(text) for i, text in enumerate(raw)]
-    found = [list(map(known.get, chunks)) for chunks in parts]
-    open_texts = [i for i, ids in enumerate(found) if None in ids]
-    fresh = {chunk for i in open_texts for chunk, ids in zip(parts[i], found[i]) if ids is None}
-    own = known.recall(fresh) if isinstance(known, Memory) else {}
-    fresh = list(fresh.difference(own))
-    for chunk, encoded in zip(fresh, tokenizer.encode_batch_fast([c.decode() for c in fresh], add_special_tokens=False)):
-        own[chunk] = array("I", encoded.ids).tobytes()
-    for i in open_texts:
-        found[i] = [own[chunk] if ids is None else ids for chunk, ids in zip(parts[i], found[i])]
-    known.update(own)
-    out = [np.frombuffer(b"".join(ids), np.uint32) for ids in found]
+    whole = {i for i, text in enumerate(raw) if known.names and b"<" in text and known.names.search(text)}
+    out = _of_chunks([b"" if i in whole else text for i, text in enumerate(raw)], tokenizer, known)
     for i in whole:
         out[i] = np.array(tokenizer.encode(raw[i].decode(), add_special_tokens=False).ids, np.uint32)
     return out
 
 
+def _of_chunks(texts: list[bytes], tokenizer, known: Memory) -> list[np.ndarray]:
+    """Ids of each text, put together from those of its chunks. A chunk ends with its space."""
+    import pyarrow as pa
+
+    if not texts:
+        return []
+    letters = np.frombuffer(_folded(b" ".join(texts) + b" "), np.uint8)
+    # A mark between a plain letter and a space is a token of its own, so it may as well stand alone.
+    marks = np.flatnonzero(MARKS[letters[1:-1]] & (letters[2:] == 32) & (letters[:-2] >= 97) & (letters[:-2] <= 122)) + 1
+    stops = np.cumsum([len(text) + 1 for text in texts])
+    stops = stops + np.searchsorted(marks, stops)
+    letters = np.insert(letters, marks, 32)
+    ends = np.flatnonzero(letters == 32) + 1
+    offsets = np.append(0, ends).astype(np.int64)
+    column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(letters)])
+    coded = column.dictionary_encode()
+    which, ids = coded.indices.to_numpy(), _ids_of(coded.dictionary.to_pylist(), tokenizer, known)
+    flat = np.frombuffer(b"".join(ids), np.uint32)
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    counts = sizes[which]
+    done = np.append(0, np.cumsum(counts))
+    # Where the ids of each chunk stand in ``flat``, less where they go.
+    shifts = (np.cumsum(sizes) - sizes)[which] - done[:-1]
+    every = flat[np.repeat(shifts, counts) + np.arange(done[-1])]
+    return np.split(every, done[np.searchsorted(ends, stops[:-1], side="right")])
+
+
+def _ids_of(chunks: list[bytes], tokenizer, known: Memory) -> list[bytes]:
+    """The ids of distinct chunks as bytes; the library encodes those that the memory doesn't know."""
+    found = known.look_up(chunks)
+    fresh = [i for i, ids in enumerate(found) if ids is None]
+    texts = [chunks[i].decode() for i in fresh]
+    # Words of letters are one token each before they are merged; many of them are encoded as one text.
+    words = [n for n, text in enumerate(texts) if text[:-1].isalpha()]
+    new: list[bytes | None] = [None] * len(fresh)
+    for start in range(0, len(words), 1000):
+        some = words[start : start + 1000]
+        for n, ids in zip(some, _ids_of_words([texts[n] for n in some], tokenizer, known.last)):
+            new[n] = ids
+    rest = [n for n, ids in enumerate(new) if ids is None]
+    for n, encoded in zip(rest, tokenizer.encode_batch_fast([texts[n] for n in rest], add_special_tokens=False)):
+        new[n] = array("I", encoded.ids).tobytes()
+    for i, ids in zip(fresh, new):
+        found[i] = ids
+    known.learn({chunks[i]: found[i] for i in fresh})
+    return found
+
+
+def _ids_of_words(words: list[str], tokenizer, last: np.ndarray) -> list[bytes] | list[None]:
+    """The ids of each word, encoded together and cut where a word ends; nothing is known if that isn't once in each."""
+    ids = np.array(tokenizer.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+    ends = np.flatnonzero(last[ids]) + 1
+    if len(ends) != len(words) or ends[-1] != len(ids):
+        return [None] * len(words)
+    blob, ends = ids.tobytes(), (ends * 4).tolist()
+    return [blob[start:end] for start, end in zip([0, *ends], ends)]
+
+
 def write_tokens(
     docs: DataFrame,
     path: str,
@@ -170,8 +242,7 @@ def write_tokens(
 
         tokenizer, known = _load(content.value)
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                piece = batch.slice(start, 1000)
+            for piece in text_slices(batch, 1, SLICE_BYTES):
                 keys = piece.column(0).to_pylist()
                 ids = encode_texts(texts_of(piece.column(1)), tokenizer, known, splits)
                 part = [0 if k is None else int(np.searchsorted(bounds, k, side="right")) for k in keys]

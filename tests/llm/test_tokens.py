@@ -133,6 +133,31 @@ def test_names_of_added_tokens_encode_as_the_library_does():
     assert token_store.encode_texts(texts[:1], tokenizer, known)[0].tolist() == [343, 49407, 344]
 
 
+def test_words_and_their_marks_share_what_is_known():
+    class Counted:
+        """The library, with a count of the texts it is called for."""
+
+        def __init__(self, tokenizer):
+            self.tokenizer, self.calls = tokenizer, 0
+
+        def encode_batch_fast(self, texts, **how):
+            self.calls += len(texts)
+            return self.tokenizer.encode_batch_fast(texts, **how)
+
+        def __getattr__(self, name):
+            return getattr(self.tokenizer, name)
+
+    tokenizer, _ = token_store._load(open(WORD_BPE, "rb").read())
+    counted, known = Counted(tokenizer), token_store.Memory(tokenizer)
+    texts = ["thron, école. Thron! x1, it's; don't. a.. ,b, ...", "", " ", None, "\n,\n", ",", "thron; école", "J\u030c, x\u030c. \u030c,", "a\u00a0b, c\td."]
+    texts += [f"word{''.join(chr(97 + int(c)) for c in str(i))}, é{chr(97 + i % 26)}." for i in range(3000)]
+    assert [x.tolist() for x in token_store.encode_texts(texts, counted, known)] == library_ids(texts)
+    assert counted.calls < 100
+    calls = counted.calls
+    token_store.encode_texts(["thron. école! worda; " * 50], counted, known)
+    assert counted.calls - calls <= 2
+
+
 @pytest.mark.parametrize("plane", ["byte", "bit"])
 def test_planes_round_trip(plane):
     rng = np.random.default_rng(2)
