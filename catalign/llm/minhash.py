@@ -8,8 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalign.llm.common import KeptTexts, KeyFilter, first_common, free_name, linked_groups, mix64, texts_of, with_row_ids
-from catalign.runtime import stage
+from catalign.llm.common import DOC_ROWS, TEXT_ROWS, KeptTexts, KeyFilter, first_common, free_name, linked_groups, mix64, texts_of, with_row_ids
+from catalign.runtime import arrow_rows, stage
 
 BANDS, ROWS = 40, 5
 # Chance to prune a pair at the threshold, at each batch of signature places.
@@ -108,6 +108,42 @@ def _set_key(hashes: np.ndarray) -> tuple[int, int]:
     return int(np.uint64(whole >> 64).view(np.int64)), int(np.uint64(whole & (2**64 - 1)).view(np.int64))
 
 
+def _short(hashes: np.ndarray) -> np.ndarray:
+    """32 bits of each hash, sorted."""
+    return np.unique((hashes >> np.uint64(32)).astype(np.uint32))
+
+
+def _signs_and_sets(data, places: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The signatures and short hashes of a block's members."""
+    signs = np.frombuffer(b"".join(d[: 2 * places] for d in data), np.uint16).reshape(-1, places)
+    return signs, [np.frombuffer(d, np.uint32, offset=2 * places) for d in data]
+
+
+def common_counts(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """How many numbers each set of ``one`` shares with each of ``two``, by products of 0-1 matrices."""
+    flat = [np.concatenate(side) if side else np.empty(0, np.uint32) for side in (one, two)]
+    owner = [np.repeat(np.arange(len(side)), [len(x) for x in side]) for side in (one, two)]
+    shared = np.intersect1d(*flat)
+    out = np.zeros((len(one), len(two)), np.float32)
+    if not len(shared):
+        return out.astype(np.int64)
+    held = []
+    for numbers, who in zip(flat, owner):
+        place = np.minimum(np.searchsorted(shared, numbers), len(shared) - 1)
+        found = np.flatnonzero(shared[place] == numbers)
+        found = found[np.argsort(place[found], kind="stable")]
+        held.append((place[found], who[found]))
+    for start in range(0, len(shared), 2048):
+        width, sides = min(2048, len(shared) - start), []
+        for (place, who), side in zip(held, (one, two)):
+            lo, hi = np.searchsorted(place, [start, start + width])
+            table = np.zeros((len(side), width), np.float32)
+            table[who[lo:hi], place[lo:hi] - start] = 1
+            sides.append(table)
+        out += sides[0] @ sides[1].T
+    return out.astype(np.int64)
+
+
 def near_duplicates(
     docs: DataFrame,
     shingle: int = 5,
@@ -129,7 +165,8 @@ def near_duplicates(
     pruned by comparing batches of their signatures until the posterior chance of reaching the
     threshold is under ``miss``; survivors are compared by their full sets of words. The chance
     that banding alone misses a pair at the threshold is (1 - (percent/100)^rows)^bands, 1.3e-7
-    by default. No group is expanded into its pairs, see ``linked_groups``.
+    by default. No group is expanded into its pairs, see ``linked_groups``: members of large buckets are
+    compared by their whole sets where they meet, and only what joins two components is written down.
     """
     places = bands * rows
     steps = least_matches(places, BATCH, percent / 100, miss)
@@ -151,7 +188,8 @@ def near_duplicates(
             yield pa.RecordBatch.from_arrays([*columns, pa.array(signs, pa.binary())], names=["doc_id", "n", "k1", "k2", "sign"])
 
     rows_in = docs.select("doc_id", "text")
-    sketched = stage(rows_in.mapInArrow(sketch, f"doc_id {kind}, n bigint, k1 bigint, k2 bigint, sign binary"), "sketches")
+    with arrow_rows(docs.sparkSession, DOC_ROWS):
+        sketched = stage(rows_in.mapInArrow(sketch, f"doc_id {kind}, n bigint, k1 bigint, k2 bigint, sign binary"), "sketches")
     named = sketched.filter("n > 0 and doc_id is not null")
     sets = with_row_ids(named.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.first("sign").alias("sign")), "sets")
 
@@ -189,12 +227,12 @@ def near_duplicates(
     def confirm(batches):
         import pyarrow as pa
 
-        # A representative comes up again and again; 2 MB of text are remembered.
+        # A representative comes up again and again; 512 KB of text are remembered, whose sets take some fifty times that.
         known: dict[bytes, set] = {}
 
         def whole(text: bytes) -> set:
             if text not in known:
-                if sum(map(len, known)) + len(text) > 2 << 20:
+                if sum(map(len, known)) + len(text) > 512 << 10:
                     known.clear()
                 known[text] = set(word_shingles(text, shingle))
             return known[text]
@@ -230,25 +268,32 @@ def near_duplicates(
 
     known_texts = KeptTexts(texts_of_sets)
 
-    def worth_it(key, one, two):
-        """Pairs of two blocks that differ in component, are of similar size, aren't pruned, and share no band before this one."""
+    def linked(key, one, two):
+        """Links of two blocks that differ in component and share no band before this one, by their whole sets."""
         m, n = one["tag"][:, None], two["tag"][None, :]
-        fits = (np.minimum(m, n) * 100 >= np.maximum(m, n) * percent) & (one["at"][:, None] != two["at"][None, :])
-        i, j = np.nonzero(fits)
-        left, right = (np.frombuffer(b"".join(x["data"]), np.uint16).reshape(-1, places) for x in (one, two))
-        kept, likeness = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for start in range(0, len(i), 8192):
-            alive, matches = matching(left[i[start : start + 8192]], right[j[start : start + 8192]], steps)
-            kept.append(start + alive)
-            likeness.append(matches)
-        kept, likeness = np.concatenate(kept), np.concatenate(likeness)
-        i, j = i[kept], j[kept]
+        (left, x), (right, y) = (_signs_and_sets(side["data"], places) for side in (one, two))
+        # Of hashes cut to 32 bits a set may hold fewer; the two may share that many more.
+        fewer = np.minimum(m - np.array([[len(own)] for own in x]), n - np.array([[len(own) for own in y]]))
+        both = common_counts(x, y) + fewer
+        i, j = np.nonzero((100 * both >= percent * (m + n - both)) & (one["at"][:, None] != two["at"][None, :]))
         mine = first_common(band_keys(left, bands, rows), band_keys(right, bands, rows), i, j) == key
-        return i[mine], j[mine], likeness[mine]
+        return i[mine], j[mine], both[i, j][mine]
+
+    def whole_sets(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            short = [_short(shingle_hashes(text, shingle)).tobytes() for text in texts_of(batch.column(2))]
+            data = [sign + own for sign, own in zip(batch.column(1).to_pylist(), short)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], names=["id", "data"])
+
+    def signs_and_sets(ids: DataFrame) -> DataFrame:
+        with arrow_rows(docs.sparkSession, TEXT_ROWS):
+            with_texts = sets.select("id", "sign").join(known_texts.of(ids, ids), "id").join(ids, "id")
+            return stage(with_texts.select("id", "sign", "text").mapInArrow(whole_sets, "id bigint, data binary"), "whole-sets")
 
     similar_size = lambda m, n: np.minimum(m, n) * 100 >= np.maximum(m, n) * percent
-    signs = sets.select("id", F.col("sign").alias("data"))
-    groups = linked_groups(members, verify, similar_size, worth_it, signs)
+    groups = linked_groups(members, verify, similar_size, linked, signs_and_sets, sure=True)
     # Sets that link with no other set are components of their own.
     of_sets = sets.select("id", "k1", "k2", "doc_id").join(groups, "id", "left")
     of_sets = stage(of_sets.select("k1", "k2", "doc_id", F.coalesce("component", "id").alias("component")), "of-sets")

@@ -359,3 +359,36 @@ def test_few_texts_are_in_a_batch_while_links_are_verified(spark):
     with arrow_rows(spark, 10):
         assert sizes() == 10
     assert sizes() == 1 and spark.conf.get(name) == before
+
+
+def test_candidates_that_do_not_hold_make_no_rows(spark, monkeypatch):
+    """600 texts that share most of their words, a few of them linked: pairs grow with links, not with the square."""
+    from catalign.llm import common
+
+    rng = random.Random(31)
+    base = [f"w{i}" for i in range(100)]
+    rows = []
+    for i in range(600):
+        words = list(base)
+        for at in rng.sample(range(100), rng.choice([2, 6, 7])):
+            words[at] = f"x{i}_{at}"
+        rows.append((i, " ".join(words)))
+    made, compared = [], common._compared_blocks
+
+    def counted(*args):
+        out = compared(*args)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(common, "_compared_blocks", counted)
+    monkeypatch.setattr(common, "BLOCK_MEMBERS", 64)
+    got = M.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), shingle=2)
+    assert plain(got) == brute_components(rows, 2)
+    assert made and sum(made) < 3 * len(rows)
+
+
+def test_shared_numbers_are_counted_exactly():
+    rng = np.random.default_rng(4)
+    one, two = ([np.unique(rng.integers(0, 6000, n).astype(np.uint32)) for n in sizes] for sizes in ((0, 1, 3000, 40), (5000, 0, 7)))
+    assert M.common_counts(one, two).tolist() == [[len(np.intersect1d(x, y)) for y in two] for x in one]
+    assert M.common_counts([], two).shape == (0, 3)
