@@ -363,3 +363,28 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
 def test_vocabulary_file_is_read():
     line = open(RANKS, "rb").readline().split()
     assert bpe.read_ranks(RANKS)[base64.b64decode(line[0])] == int(line[1])
+
+
+def test_few_documents_are_in_a_batch_in_every_stage(spark, monkeypatch, tmp_path):
+    import corpus_pipeline
+
+    from catalign.llm.common import DOC_ROWS
+
+    seen, name = [], "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+
+    def watched(spark, docs, sf_dir):
+        def sizes(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["doc_id"])
+
+        seen.append(1)
+        return docs.select("doc_id").mapInArrow(sizes, "doc_id bigint")
+
+    spark.range(3 * DOC_ROWS).withColumnRenamed("id", "doc_id").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("watched", watched)])
+    got = [r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert seen and sum(got) == 3 * DOC_ROWS and max(got) <= DOC_ROWS
+    assert spark.conf.get(name) == before
