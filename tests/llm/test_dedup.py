@@ -392,3 +392,25 @@ def test_shared_numbers_are_counted_exactly():
     one, two = ([np.unique(rng.integers(0, 6000, n).astype(np.uint32)) for n in sizes] for sizes in ((0, 1, 3000, 40), (5000, 0, 7)))
     assert M.common_counts(one, two).tolist() == [[len(np.intersect1d(x, y)) for y in two] for x in one]
     assert M.common_counts([], two).shape == (0, 3)
+
+
+def test_many_edits_are_not_looked_for_along_diagonals(monkeypatch):
+    """Missing n-grams tell that a text of 4 % edits needs more than diagonals reach."""
+    rng = random.Random(12)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(4000))
+    letters = list(text)
+    for at in range(10, 4000, 25):
+        letters[at] = "#"
+    calls, slide = [], LD._slide
+    monkeypatch.setattr(LD, "_slide", lambda *args: calls.append(1) or slide(*args))
+    assert E.near_texts(text, "".join(letters), 95) and not E.near_texts(text, "".join(letters), 97)
+    assert len(calls) <= 4
+
+
+def test_slides_stop_at_the_first_other_letter():
+    rng = random.Random(13)
+    for _ in range(2000):
+        a, b = ("".join(rng.choice("aaaaaaab") for _ in range(rng.randrange(40))) for _ in range(2))
+        i, j = rng.randrange(len(a) + 1), rng.randrange(len(b) + 1)
+        n = next((n for n, (x, y) in enumerate(zip(a[i:], b[j:])) if x != y), min(len(a) - i, len(b) - j))
+        assert LD._slide(a, b, i, j) == i + n
