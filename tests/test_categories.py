@@ -1,5 +1,7 @@
+import itertools
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,6 +10,7 @@ from catalign.operators import hierarchy as H
 from catalign.operators import overlap as O
 from catalign.operators import schema as S
 from catalign.runtime import stage
+from suite import vector_queries
 
 
 def cats(spark, names):
@@ -146,6 +149,33 @@ def test_only_sets_that_share_enough_are_compared(spark, monkeypatch, holders):
     assert staged["candidates"].count() <= 10
 
 
+@pytest.mark.parametrize("holders", [1024, 2])
+def test_every_copy_of_a_set_makes_its_own_pairs(spark, monkeypatch, holders):
+    rnd = random.Random(7)
+    kinds = [set(rnd.sample(range(30), 12)) for _ in range(8)]
+    sets = {f"c{i}": kinds[i % 8 if i < 24 else 0] for i in range(30)} | {"alone": {99}, "also alone": {99}}
+    monkeypatch.setattr(O, "BLOCK_HOLDERS", holders)
+    df = spark.createDataFrame([(c, p) for c, s in sets.items() for p in s] * 2, "category string, product_name long")
+    got = [(*r[:3], round(r[3], 9)) for r in O.product_overlap(df, 0.3, every_copy=True).collect()]
+    want = {
+        (a, b, len(sets[a] & sets[b]), round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 9))
+        for a, b in itertools.combinations(sorted(sets), 2)
+        if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.3
+    }
+    assert len(got) == len(want) and set(got) == want and ("alone", "also alone", 1, 1.0) in want
+
+
+def test_suppliers_of_the_same_parts_are_all_paired(spark, tmp_path):
+    parts = {1: range(10), 2: range(10), 3: range(10), 4: range(2, 12), 5: range(2, 12), 6: range(50, 55)}
+    rows = [(s, p) for s, own in parts.items() for p in own]
+    spark.createDataFrame(rows, "l_suppkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {tuple(r) for r in vector_queries.Q["supplier_overlap"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    assert got == set(con.execute(vector_queries.SQL["supplier_overlap"]).fetchall())
+    assert {g[:2] for g in got} == {(f"S{a}", f"S{b}") for a in range(1, 6) for b in range(a + 1, 6)}
+
+
 def test_hybrid_score_counts_missing_sides_as_zero(spark):
     names = spark.createDataFrame([("a", "b", 90.0), ("a", "c", 100.0)], "text1 string, text2 string, score double")
     products = spark.createDataFrame([("a", "b", 1, 0.5), ("b", "c", 1, 1.0)], "category1 string, category2 string, shared long, jaccard double")
