@@ -1,5 +1,6 @@
 """Mergeable sketches and the fitted embedding against exact figures."""
 
+import datetime
 import math
 import random
 
@@ -8,6 +9,8 @@ from pyspark.sql import functions as F
 
 from catalign.operators import sketches as K
 from catalign.operators import terms as T
+from catalign.runtime import stage
+from suite import vector_queries
 
 
 def catalog(spark, n=3000):
@@ -60,6 +63,27 @@ def test_overlaps_from_sketches_of_parts(spark, lg):
     assert len(got) == 66 and inside >= 0.9 * 66
 
 
+def test_suppliers_are_sketched_by_year_of_delivery(spark, tmp_path, monkeypatch):
+    rng = random.Random(9)
+    lines = [(s, rng.randrange(12), datetime.datetime(rng.choice([1995, 1996, 1999]), rng.randrange(1, 13), 5)) for s in range(4) for _ in range(40)]
+    lines += [(0, 50, None), (0, 51, None), (1, 50, None), (9, 1, datetime.datetime(1999, 12, 31, 23, 59))]
+    rows = spark.createDataFrame(lines, "l_suppkey long, l_partkey long, l_shipdate timestamp")
+    rows.write.parquet(f"{tmp_path}/lineitem.parquet")
+    staged = {}
+    monkeypatch.setattr(vector_queries, "stage", lambda df, name="stage": staged.setdefault(name, stage(df, name)))
+    found = vector_queries.Q["overlap_sketch"](spark, str(tmp_path)).first()
+    want = {}
+    for s, p, at in lines:
+        want.setdefault((f"S{s}", at and at.year), set()).add(p)
+    got = staged["years"].select("category", "year", F.theta_sketch_estimate("sketch")).collect()
+    assert {tuple(r)[:2]: r[2] for r in got} == {k: len(v) for k, v in want.items()} and len(got) == len(want)
+    # A part delivered in several years counts once in the merged sketch.
+    every = {c: set().union(*(v for k, v in want.items() if k[0] == c)) for c, _ in want}
+    merged = staged["sets"].select("category", F.theta_sketch_estimate("sketch")).collect()
+    assert {r[0]: r[1] for r in merged} == {c: len(v) for c, v in every.items()}
+    assert found.n_pairs >= 6 and found.within
+
+
 def brute_grams(text, dims, size):
     import hashlib
 
