@@ -11,7 +11,7 @@ from operator import itemgetter
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from catalign.llm.common import text_slices
+from catalign.llm.common import give_back, text_slices
 
 # Bytes of pieces, in each of two generations, and number of pairs of tokens that a worker remembers.
 CACHED_BYTES, CACHED_PAIRS = 48 << 20, 300_000
@@ -214,18 +214,9 @@ def _token_list(content, key: str) -> list[bytes]:
 
 def _give_back() -> None:
     """Free what a worker remembers at the end of a task: it is used again by stages that need the memory."""
-    import ctypes
-    import gc
-
-    import pyarrow as pa
-
     _encoders.clear()
     _token_lists.clear()
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
+    give_back()
 
 
 def _with_columns(df: DataFrame, new: list[tuple[str, T.DataType]], fill) -> DataFrame:

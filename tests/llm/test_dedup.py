@@ -8,6 +8,7 @@ import pytest
 from cases import WORDS, awkward, edited, frame, plain, prose
 from pyspark.sql import functions as F
 
+from catalign.llm import edit_batches as EB
 from catalign.llm import edit_embedding as E
 from catalign.llm import line_dedup as LD
 from catalign.llm import minhash as M
@@ -414,3 +415,59 @@ def test_slides_stop_at_the_first_other_letter():
         i, j = rng.randrange(len(a) + 1), rng.randrange(len(b) + 1)
         n = next((n for n, (x, y) in enumerate(zip(a[i:], b[j:])) if x != y), min(len(a) - i, len(b) - j))
         assert LD._slide(a, b, i, j) == i + n
+
+
+def with_edits(rng, text, every):
+    return "".join(rng.choice(["", c, c + "x", "😀"]) if rng.random() < 1 / every else c for c in text)
+
+
+def test_edit_distances_of_many_pairs_at_once(monkeypatch):
+    rng = random.Random(14)
+    monkeypatch.setattr(EB, "CHECK_COLUMNS", 32)
+    pairs = [(a, with_edits(rng, a, rng.choice([3, 10, 40]))) for a in ("".join(rng.choice("abé 😀") for _ in range(rng.randrange(150))) for _ in range(150))]
+    for most in (0, 1, 5, 20, 60):
+        some = [p for p in pairs if abs(len(p[0]) - len(p[1])) <= most]
+        got = EB.within([tuple(EB.code_points(t) for t in p) for p in some], np.full(len(some), most))
+        assert got.tolist() == [LD.edit_within(a, b, most) for a, b in some]
+
+
+def test_near_pairs_and_what_joins_them():
+    rng = random.Random(15)
+    base = [prose(rng, rng.randrange(1, 120)) for _ in range(6)]
+    texts = ["", "a", "b", *(with_edits(rng, t, rng.choice([25, 50, 200])) for t in base for _ in range(8))]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i)]
+    near = [LD.edit_similar(texts[i], texts[j], 95) for i, j in pairs]
+    assert EB.near_pairs(texts, pairs, 95).tolist() == near
+    some = EB.linking_pairs(texts, pairs, 95)
+    assert all(near[nth] for nth in some) and len(some) < sum(near)
+    linked = {pairs[nth] for nth in some}
+    want = groups_of(len(texts), lambda a, b: LD.edit_similar(texts[a], texts[b], 95))
+    assert groups_of(len(texts), lambda a, b: (a, b) in linked or (b, a) in linked) == want and len(some) == len(texts) - len(set(want))
+
+
+def test_walks_by_code_points_are_the_walks_by_steps(monkeypatch):
+    rng, sampled = random.Random(16), set(E.STEPS.tolist())
+    texts = ["", "z", "y" * 300, "".join(rng.choice("ab cé") for _ in range(5000)), *(prose(rng, n) for n in range(1, 60))]
+    for few in (0, 10**9):
+        monkeypatch.setattr(E, "FEW_WALKS", few)
+        for walk in range(E.WALKS):
+            for text, got in zip(texts, E.fingerprints(texts, walk)):
+                letters, place, step, want = [*E.letter_classes(text).tolist(), E.DONE], 0, 0, ""
+                while letters[place] != E.DONE:
+                    want += "%x" % (letters[place] & 15) if step in sampled else ""
+                    place += int(E._WALKS[walk][step % E.WALK_ROWS, letters[place]])
+                    step += 1
+                assert got == want
+
+
+@pytest.mark.parametrize("chars", [1 << 21, 2000])
+def test_candidates_of_a_group_stand_together(spark, monkeypatch, chars):
+    monkeypatch.setattr(E, "DEALT_CHARS", chars)
+    pairs = [(i, j) for i in range(12) for j in range(i + 1, 12)] + [(100, 101), (101, 102), (200, 201)]
+    df = spark.createDataFrame([(a, b, 500, 500) for a, b in pairs], "a long, b long, n_a long, n_b long")
+    rows = E._dealt(df).collect()
+    assert sorted((r.a, r.b) for r in rows) == pairs
+    held = {}
+    for r in rows:
+        held.setdefault(r.key, set()).update([r.a, r.b])
+    assert len(held) == 3 if chars > 2000 else max(map(len, held.values())) < 12
